@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .op1_mpeg_audio import op1_mpeg_audio
+from .op7_packing import op7_packing
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mpeg_audio,)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op7_packing)}
 
 
 def oracle_sql():

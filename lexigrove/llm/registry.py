@@ -5,11 +5,12 @@ from __future__ import annotations
 from . import op4_chat_format as chat
 from .op1_mpeg_audio import op1_mpeg_audio
 from .op4_chat_format import op4_chat_format
+from .op6_quality_rules import op6_quality_rules
 from .op7_packing import op7_packing
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mpeg_audio, op4_chat_format, op7_packing)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op4_chat_format, op6_quality_rules, op7_packing)}
 
 
 def oracle_sql():

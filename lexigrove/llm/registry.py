@@ -7,10 +7,11 @@ from .op1_mpeg_audio import op1_mpeg_audio
 from .op4_chat_format import op4_chat_format
 from .op6_quality_rules import op6_quality_rules
 from .op7_packing import op7_packing
+from .op9_substring_dedup import op9_substring_dedup
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mpeg_audio, op4_chat_format, op6_quality_rules, op7_packing)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op4_chat_format, op6_quality_rules, op7_packing, op9_substring_dedup)}
 
 
 def oracle_sql():

@@ -33,6 +33,8 @@ CAPACITY = 1024
 UNIT = 4
 #: Column generation ends when its lower bound is this close, relatively.
 GAP = 0.002
+#: It ends as well after so many rounds of pricing without progress (degenerate pivots).
+PATIENCE = 40
 #: Pieces for each bucket of ranks, about.
 BUCKET_ROWS = 20_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -95,6 +97,23 @@ def _pattern(lengths, choice, first: int, capacity: int) -> dict[int, int]:
     return pattern
 
 
+def _inverse(a):
+    """Gauss-Jordan elimination; threaded LAPACK was seen to hang beside the JVM."""
+    import numpy as np
+
+    m = len(a)
+    both = np.hstack([a.astype(float), np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        if p != k:
+            both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        rows = np.flatnonzero(both[:, k])
+        rows = rows[rows != k]
+        both[rows] -= np.outer(both[rows, k], both[k])
+    return np.ascontiguousarray(both[:, m:])
+
+
 def column_generation(counts: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, columns: int = 40):
     """Fractional uses of patterns that cover the counts: ([(pattern, use)], lower bound).
 
@@ -121,18 +140,21 @@ def column_generation(counts: dict[int, int], capacity: int = CAPACITY, gap: flo
         else:
             basis[k, k] = capacity // x
     even = lengths / capacity
-    bound, pivots, fresh = float(even @ demand), 0, -1
-    for _ in range(20 * m + 20):
+    bound, pivots, fresh = float((even * demand).sum()), 0, -1
+    best_total, idle = float("inf"), 0
+    while idle < PATIENCE:
         if pivots // 400 != fresh:
-            inverse, fresh = np.linalg.inv(basis), pivots // 400
-            use, prices = inverse @ demand, inverse.sum(axis=0)
+            inverse, fresh = _inverse(basis), pivots // 400
+            use, prices = (inverse * demand).sum(axis=1), inverse.sum(axis=0)
         shown, total, moved = np.maximum(prices, 0), float(use.sum()), False
         if total - bound <= max(gap * bound, 1.0):
             break
+        idle = 0 if total < best_total * (1 - 1e-5) else idle + 1
+        best_total = min(best_total, total)
         for pull in (0.9, 0.5, 0.0):
             smooth = pull * even + (1 - pull) * shown
             best, choice = knapsack(lengths, smooth, capacity)
-            bound = max(bound, float(smooth @ demand) / max(float(best[capacity]), 1.0))
+            bound = max(bound, float((smooth * demand).sum()) / max(float(best[capacity]), 1.0))
             worth = best[capacity - lengths] + smooth
             tried = set()
             for j in np.argsort(-worth)[:columns]:
@@ -142,7 +164,7 @@ def column_generation(counts: dict[int, int], capacity: int = CAPACITY, gap: flo
                     continue
                 tried.add(pattern)
                 held, copies = [k for k, _ in pattern], np.array([a for _, a in pattern], float)
-                direction = inverse[:, held] @ copies
+                direction = (inverse[:, held] * copies).sum(axis=1)
                 up = direction > 1e-9
                 if not up.any():
                     continue

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op4_chat_format as chat
 from .op1_mpeg_audio import op1_mpeg_audio
+from .op10_html_extraction import op10_html_extraction
 from .op2_ngram_jaccard import op2_ngram_jaccard
 from .op3_toxicity import op3_toxicity
 from .op4_chat_format import op4_chat_format
@@ -13,7 +14,7 @@ from .op9_substring_dedup import op9_substring_dedup
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mpeg_audio, op2_ngram_jaccard, op3_toxicity, op4_chat_format, op6_quality_rules, op7_packing, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op2_ngram_jaccard, op3_toxicity, op4_chat_format, op6_quality_rules, op7_packing, op9_substring_dedup, op10_html_extraction)}
 
 
 def oracle_sql():

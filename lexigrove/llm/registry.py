@@ -8,13 +8,15 @@ from .op10_html_extraction import op10_html_extraction
 from .op2_ngram_jaccard import op2_ngram_jaccard
 from .op3_toxicity import op3_toxicity
 from .op4_chat_format import op4_chat_format
+from .op5_token_counts import op5_token_counts
 from .op6_quality_rules import op6_quality_rules
 from .op7_packing import op7_packing
+from .op8_sentencepiece import op8_sentencepiece
 from .op9_substring_dedup import op9_substring_dedup
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mpeg_audio, op2_ngram_jaccard, op3_toxicity, op4_chat_format, op6_quality_rules, op7_packing, op9_substring_dedup, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op2_ngram_jaccard, op3_toxicity, op4_chat_format, op5_token_counts, op6_quality_rules, op7_packing, op8_sentencepiece, op9_substring_dedup, op10_html_extraction)}
 
 
 def oracle_sql():

@@ -33,17 +33,13 @@ from .common import table
 WINDOW = 35
 SEED = 16
 SENT = "block int, span int, keys binary"
-HASHES = None
 
 
 def _words(texts, window: int):
     """Words of each text, flat hashes, first word of each text, and which windows are whole."""
     import numpy as np
 
-    global HASHES
-    if HASHES is None:
-        HASHES = B.WordHashes()
-    look = HASHES.__getitem__
+    look = B.WordHashes().__getitem__
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])

@@ -254,8 +254,8 @@ def test_pages(spark, sf_dir):
     page = "<body><div>Top</div><div>{}</div></body>"
     rows = [(1, "http://h/a/1", page.format("one")), (2, "http://h/a/2", page.format("two")), (3, None, None), (4, "http://x/", ""), (4, "http://x/", ""), (5, "not a url", "<article>ok &eacute;</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df).collect()) == [(1, "one", 3), (2, "two", 3), (3, "", 0), (4, "", 0), (4, "", 0), (5, "ok é", 4)]
-    assert html.extract(df.limit(0)).count() == 0
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df, spark).collect()) == [(1, "one", 3), (2, "two", 3), (3, "", 0), (4, "", 0), (4, "", 0), (5, "ok é", 4)]
+    assert html.extract(df.limit(0), spark).count() == 0
     assert html.op10_html_extraction(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
 

@@ -60,14 +60,18 @@ class Pieces:
         self.keys = np.array(sorted(hashes), np.uint64)
         self.values = np.array([hashes[int(h)][0] for h in self.keys], np.int64)
         self.weight = np.array([(2.0 + max(0.0, hashes[int(h)][1])) ** -alpha for h in self.keys])
+        # a bit for each top part of a key: nearly all other strings are told apart here
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.keys >> np.uint64(42)] = True
 
     BASE = 0x9E3779B97F4A7C15
+    SPREAD = 0xFF51AFD7ED558CCD
 
     def _hash(self, p: str) -> int:
         h = 0
         for c in p:
             h = (h * self.BASE + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return h
+        return (h * self.SPREAD) & 0xFFFFFFFFFFFFFFFF
 
     def segment(self, texts: list[str], seeds):
         """Ids of each text; characters that are no piece as ``size`` plus their code point."""
@@ -92,40 +96,44 @@ class Pieces:
         word = np.repeat(np.arange(len(distinct)), lengths)
         place = np.arange(n) - base[word]
         span = min(self.longest, int(lengths.max()) if len(lengths) else 0)
-        piece, weight = np.full((span, n), -1, np.int64), np.zeros((span, n))
-        rolled = np.zeros(n, np.uint64)
-        power = np.uint64(1)
+        piece, weight = np.full((span, n), -1, np.int32), np.zeros((span, n), np.float32)
+        live, rolled, power = np.arange(n), np.zeros(n, np.uint64), 1
         for k in range(span):
             # hash of the k + 1 characters ending here: one more character in front
-            front = np.zeros(n, np.uint64)
-            front[k:] = chars[: n - k] + np.uint64(1)
-            rolled = rolled + front * power
-            power = np.uint64(int(power) * self.BASE & 0xFFFFFFFFFFFFFFFF)
-            at = np.searchsorted(self.keys, rolled)
+            inside = place[live] >= k
+            live, rolled = live[inside], rolled[inside]
+            rolled = rolled + (chars[live - k] + np.uint64(1)) * np.uint64(power)
+            power = power * self.BASE & 0xFFFFFFFFFFFFFFFF
+            spread = rolled * np.uint64(self.SPREAD)
+            hit = np.flatnonzero(self.maybe[spread >> np.uint64(42)])
+            at = np.searchsorted(self.keys, spread[hit])
             at[at == len(self.keys)] = 0
-            fits = (self.keys[at] == rolled) & (place >= k)
-            piece[k, fits], weight[k, fits] = self.values[at[fits]], self.weight[at[fits]]
+            fits = self.keys[at] == spread[hit]
+            piece[k, live[hit[fits]]], weight[k, live[hit[fits]]] = self.values[at[fits]], self.weight[at[fits]]
         if span:
             alone = piece[0] < 0
-            piece[0, alone], weight[0, alone] = self.size + chars[alone].astype(np.int64), 1.0 / (2.0 + self.size)
-        # forward filtering, all parts side by side; sums are scaled at each place
-        share = np.zeros((span, n))
-        log = np.zeros(n)
+            piece[0, alone], weight[0, alone] = self.size + chars[alone].astype(np.int32), 1.0 / (2.0 + self.size)
+        # forward filtering, all parts side by side: the sum up to a place, edge by edge
+        below = np.zeros((span, n), np.float32)
+        total = np.ones(n)  # of each place, in units of its part's scale there
         order = np.argsort(-lengths, kind="stable")
         active = lengths[order]
+        first = base[:-1][order]
         for j in range(int(active[0]) if len(active) else 0):
-            at = base[:-1][order[: int(np.searchsorted(-active, -j, side="left"))]] + j
-            terms = np.full((min(span, j + 1), len(at)), -np.inf)
-            for k in range(len(terms)):
-                w = weight[k, at]
-                ok = w > 0
-                terms[k, ok] = np.log(w[ok]) + (log[at[ok] - k - 1] if k < j else 0.0)
-            top = terms.max(axis=0)
-            e = np.exp(terms - top)
-            total = e.sum(axis=0)
-            log[at] = top + np.log(total)
-            share[: len(terms), at] = e / total
-        below = np.cumsum(share, axis=0)[:-1].T.copy() if span else np.zeros((0, 0))
+            at = first[: int(np.searchsorted(-active, -j, side="left"))] + j
+            sums = np.zeros((min(span, j + 1), len(at)))
+            for k in range(len(sums)):
+                sums[k] = weight[k, at] * (total[at - k - 1] if k < j else 1.0)
+                if k:
+                    sums[k] += sums[k - 1]
+            run = sums[-1]
+            below[: len(sums), at] = sums / run
+            total[at] = run
+            if j >= span and j % 8 == 0:
+                # only ratios matter: scale the last ``span`` places of long parts alike
+                scale = run.copy()
+                for k in range(span):
+                    total[at - k] /= scale
         # backward sampling, all occurrences side by side
         text_of_part = np.repeat(np.arange(len(texts)), counts)
         number = np.arange(len(parts)) - np.repeat(np.cumsum([0, *counts])[:-1], counts)
@@ -134,15 +142,23 @@ class Pieces:
         while len(who):
             at = base[occurrence[who]] + left[who] - 1
             u = (_mixed(seed[who] + np.uint64(step * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(float) / (1 << 53)
-            k = (u[:, None] >= below[at]).sum(axis=1) if span > 1 else np.zeros(len(at), np.int64)
-            k = np.where(weight[k, at] > 0, k, np.argmax(share[:, at], axis=0))
-            drawn.append((who, np.full(len(who), step), piece[k, at]))
+            k, open_, r = np.zeros(len(at), np.int64), np.arange(len(at)), u.astype(np.float32)
+            for length in range(span - 1):
+                open_ = open_[r[open_] >= below[length, at[open_]]]
+                if not len(open_):
+                    break
+                k[open_] = length + 1
+            # rounding may end on an edge that is not there: the longest before it that is
+            for i in np.flatnonzero(weight[k, at] <= 0):
+                k[i] = int(np.flatnonzero(weight[:, at[i]] > 0)[-1])
+            drawn.append((who, np.full(len(who), step, np.int32), piece[k, at]))
             left[who] -= k + 1
             who = who[left[who] > 0]
             step += 1
         if not drawn:
             return [np.zeros(0, np.int64) for _ in texts]
         who, steps, ids = (np.concatenate(x) for x in zip(*drawn, strict=True))
+        ids = ids.astype(np.int64)
         order = np.lexsort((-steps, who))
         ends = np.searchsorted(text_of_part[who[order]], np.arange(len(texts) + 1))
         ids = ids[order]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,8 +104,6 @@ def decode_url(c: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """All named and numeric character references."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         import html
@@ -228,8 +227,6 @@ def middle_cut(c: Column, size: int = 60) -> Column:
 
 def file_id(c: Column) -> Column:
     """A file name for a title: spaces as underscores, other signs as lower hex escapes."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         import re
@@ -290,8 +287,6 @@ def is_date(tokens: Column) -> Column:
 
 def stem(c: Column) -> Column:
     """English suffix stripping (Porter, 1980)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         known: dict[str, str] = {}

@@ -398,13 +398,13 @@ def search_flagship(spark, sf_dir):
 
 # --- links and graphs -----------------------------------------------------------------------
 
-REDIRECTS = ", red AS (SELECT 'n' || n_nationkey AS key, CASE WHEN n_nationkey % 5 = 4 THEN 'r' || n_regionkey ELSE 'n' || (n_nationkey + 1) END AS target FROM nation), page AS (SELECT 'r' || r_regionkey AS title FROM region WHERE r_regionkey > 0)"
+REDIRECTS = ", red AS (SELECT 'n' || n_nationkey AS key, CASE WHEN n_nationkey % 5 = 4 THEN 'r' || (n_nationkey % 4) ELSE 'n' || (n_nationkey + 1) END AS target FROM nation), page AS (SELECT 'r' || r_regionkey AS title FROM region WHERE r_regionkey > 0)"
 
 
 def _redirects(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     key = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
-    target = F.when(F.col("n_nationkey") % 5 == 4, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).otherwise(F.concat(F.lit("n"), (F.col("n_nationkey") + 1).cast("string")))
+    target = F.when(F.col("n_nationkey") % 5 == 4, F.concat(F.lit("r"), (F.col("n_nationkey") % 4).cast("string"))).otherwise(F.concat(F.lit("n"), (F.col("n_nationkey") + 1).cast("string")))
     return nation.select(key.alias("key"), target.alias("target")), region.filter("r_regionkey > 0").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("title"))
 
 
@@ -502,7 +502,7 @@ def lsh_recall(spark, sf_dir):
 @query()
 def word2vec_vocabulary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(T.lower_words(F.col("text")).alias("tokens"))
-    return vectors.word_vectors(docs, size=16, window=4, least=50).getVectors().select("word", F.size(F.expr("transform(array(1), x -> x)")).alias("n"))
+    return vectors.word_vectors(docs, size=16, window=4, least=50).getVectors().select("word", F.length("word").alias("n_chars"))
 
 
 @query()

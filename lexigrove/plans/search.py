@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,13 +49,17 @@ def candidates(index: Index, terms: list[dict], restrict: DataFrame | None) -> D
     return docs.filter(F.size(F.array_intersect("toks", F.array(*map(F.lit, live)))) >= need)
 
 
+def _count(tokens: str, word: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == word)).cast("double")
+
+
 def scored(docs: DataFrame, index: Index, terms: list[dict], s: ranking.Scheme) -> DataFrame:
     """(doc_id, score): the words' counts within each document's own array, so no shuffle is needed."""
     total = F.lit(0.0)
     n = F.lit(float(index.n))
     for t in terms:
         if t["df"]:
-            tf = F.size(F.filter("toks", lambda x, v=t["value"]: x == v)).cast("double")
+            tf = _count("toks", t["value"])
             total = total + t["weight"] * ranking.idf(n, F.lit(float(t["df"]))) * ranking.tf_weight(tf, F.col("doclen"), s)
     if s.pageweight is not None and "pageweight" in docs.columns:
         total = ranking.with_pageweight(total, F.col("pageweight"), s.pageweight)
@@ -111,6 +116,4 @@ def top_words(docs: DataFrame, low: float = 0.05, high: float = 0.3, k: int = 2)
     dfs = postings.document_frequencies(docs).crossJoin(F.broadcast(n))  # one row
     band = dfs.filter((F.col("df") >= low * F.col("n")) & (F.col("df") <= high * F.col("n")))
     best = band.orderBy(F.desc("df"), "value").limit(k)
-    from pyspark.sql import Window as W
-
     return best.select("value", "df", "n", F.row_number().over(W.orderBy(F.desc("df"), "value")).alias("idx"))

@@ -51,7 +51,7 @@ def text_stream(spark: SparkSession, path: str) -> DataFrame:
     heads = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.startswith("##"))
     entity = lambda x: F.struct(F.split(F.substring(x, 3, 1 << 20), "##")[0].alias("name"), F.get(F.split(F.substring(x, 3, 1 << 20), "##"), F.lit(1)).alias("alias"))
     body = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~x.startswith("##"))
-    return parts.select(F.trim(lines[0]).alias("file"), F.transform(heads, entity).alias("entities"), F.trim(F.array_join(body, "\n")).alias("content"))
+    return parts.select(F.trim(lines[0]).alias("file"), F.transform(heads, entity).alias("entities"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "").alias("content"))
 
 
 def malformed(spark: SparkSession, path: str, row_tag: str = "page") -> DataFrame:

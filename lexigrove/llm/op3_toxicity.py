@@ -1,6 +1,7 @@
 """Toxicity: a learned lexicon in a trie, Levenshtein automata, and context windows.
 
-Training, on labelled rows alone (at most ``SAMPLE`` of them, by least hash of doc_id):
+Training, on labelled rows alone (at most ``SAMPLE`` of them, by least hash of doc_id; one
+of each group of near copies):
 words and word beginnings that stand far more often in toxic than in clean documents become
 the lexicon. A word scores by the longest lexicon entry that it is or begins with. Words
 that are no entry are intersected, as Levenshtein automata of distance 1, with the trie of
@@ -217,31 +218,72 @@ def _forms(model):
     return run
 
 
-def _logistic(x, y, ridge: float = 1e-3, steps: int = 40):
-    """Weights (intercept first) of a ridge logistic regression, by Newton steps in plain sums."""
+def _solved(h, g):
+    """x with h x = g, by Gaussian elimination: a few rows."""
     import numpy as np
 
-    x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(x.shape[1])
+    a = np.hstack([h, g[:, None]])
+    for k in range(len(g)):
+        p = k + int(np.abs(a[k:, k]).argmax())
+        a[[k, p]] = a[[p, k]]
+        a[k] /= a[k, k]
+        for r in range(len(g)):
+            if r != k:
+                a[r] = a[r] - a[r, k] * a[k]
+    return a[:, -1]
+
+
+def _logistic(x, y, ridge: float = 1.0, steps: int = 100):
+    """Weights (intercept first) of a ridge logistic regression: Newton steps, halved while they do not help."""
+    import numpy as np
+
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
+    penalty = np.r_[1e-6, np.full(x.shape[1], ridge)]
+
+    def value(w):
+        t = (z * w).sum(axis=1)
+        return float((y * t - np.logaddexp(0, t)).sum() - (penalty * w * w).sum() / 2)
+
+    w, best = np.zeros(z.shape[1]), None
+    best = value(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -30, 30)))
-        g = (x * (y - p)[:, None]).sum(axis=0) - ridge * len(y) * w * np.r_[0, np.ones(len(w) - 1)] * 0.01
-        v = p * (1 - p) + 1e-6
-        h = np.array([[(x[:, i] * x[:, j] * v).sum() for j in range(len(w))] for i in range(len(w))]) + np.eye(len(w)) * ridge
-        # Gaussian elimination: a small symmetric system
-        a = np.hstack([h, g[:, None]])
-        for k in range(len(w)):
-            p_ = k + int(np.abs(a[k:, k]).argmax())
-            a[[k, p_]] = a[[p_, k]]
-            a[k] /= a[k, k]
-            for r in range(len(w)):
-                if r != k:
-                    a[r] = a[r] - a[r, k] * a[k]
-        step = a[:, -1]
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip((z * w).sum(axis=1), -40, 40)))
+        g = (z * (y - p)[:, None]).sum(axis=0) - penalty * w
+        v = p * (1 - p)
+        h = np.array([[(z[:, i] * z[:, j] * v).sum() for j in range(len(w))] for i in range(len(w))]) + np.diag(penalty)
+        step, t = _solved(h, g), 1.0
+        while t > 1e-4 and value(w + t * step) <= best:
+            t /= 2
+        if t <= 1e-4:
+            break
+        w = w + t * step
+        gain, best = value(w) - best, value(w)
+        if gain < 1e-9 * max(1.0, abs(best)):
             break
-    return w.tolist()
+    inner = w[1:] / scale
+    return [float(w[0] - (inner * mean).sum()), *map(float, inner)]
+
+
+def _families(batches):
+    """Two least hashes of each text's word quadruples: near copies mostly share one."""
+    import pyarrow as pa
+    import xxhash
+
+    for b in batches:
+        found = []
+        for text in b.column("text").to_pylist():
+            w = _words(text or "")
+            grams = {" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))}
+            found.append(tuple(min(xxhash.xxh3_64_intdigest(g, seed=s) for g in grams) - (1 << 63) for s in (1, 2)))
+        yield pa.RecordBatch.from_arrays([b.column("text"), b.column("toxic"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["text", "toxic", "a", "b"])
+
+
+def one_of_family(rows: DataFrame) -> DataFrame:
+    """One labelled row of each group of near copies, which would pass for evidence otherwise."""
+    for key in ("a", "b"):
+        rows = rows.groupBy(key).agg(F.min_by(F.struct("text", "toxic", *(c for c in ("a", "b") if c != key)), F.xxhash64("text")).alias("r")).select("r.*", key)
+    return rows.select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, held_out=None, sample: int = SAMPLE) -> dict:
@@ -252,7 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, held_out=None
     # bounded: ``sample`` rows of two numbers
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = stored(texts.join(F.broadcast(stored(chosen, spark, "chosen")), "doc_id").select("text", "toxic"), spark, "labelled")
+    labelled = texts.join(F.broadcast(stored(chosen, spark, "chosen")), "doc_id").select("text", "toxic")
+    rows = stored(one_of_family(labelled.mapInArrow(_families, "text string, toxic int, a long, b long")), spark, "labelled")
     total = {r["toxic"] > 0: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_tox, n_cln = total.get(True, 0), total.get(False, 0)
     model = {"terms": {}, "stems": {}, "innocent": [], "quoted": 0.5, "weights": None, "share": n_tox / max(1, n_tox + n_cln)}
@@ -261,18 +304,14 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, held_out=None
     rows = rows.repartition(max(8, min(64, (n_tox + n_cln) // 300)))
     counts = rows.mapInArrow(_term_counts, "unit string, tox long, cln long").groupBy("unit").agg(F.sum("tox").alias("tox"), F.sum("cln").alias("cln"))
     lift = (F.col("tox") / n_tox) / ((F.col("cln") + 0.5) / n_cln)
-    need = max(SUPPORT, n_tox // 500)
+    need = max(SUPPORT, n_tox // 100)
     best = counts.filter((F.col("tox") >= need) & (lift >= LIFT)).withColumn("lift", lift).orderBy(F.desc(F.col("tox") * F.log("lift")), "unit").limit(ENTRIES).collect()
     for r in best:
         kind, unit, weight = r["unit"][0], r["unit"][1:], math.log(r["lift"])
-        if kind == "=" and r["lift"] >= 20 and r["tox"] >= max(need, n_tox // 50) and len(unit) >= 3:
+        if kind == "=" and r["lift"] >= 20 and r["tox"] >= need and len(unit) >= 3:
             model["terms"][unit] = weight
         elif kind == "^" and not any(unit[:k] in model["stems"] and model["stems"][unit[:k]] >= weight for k in STEMS if k < len(unit)):
             model["stems"][unit] = weight
-    # a whole term's own beginnings are no evidence beside it
-    for t in model["terms"]:
-        for k in STEMS:
-            model["stems"].pop(t[:k], None)
     told = {r["what"]: r["n"] for r in rows.mapInArrow(_forms(model), "what string, n long").groupBy("what").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "what").limit(50_000).collect()}
     model["innocent"] = sorted(w[1:] for w in told if w[0] == "~")
     quoted = (told.get("quoted1", 0) + 1) / (told.get("quoted0", 0) + told.get("quoted1", 0) + 2)

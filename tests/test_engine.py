@@ -176,7 +176,7 @@ def test_discourse():
 
 
 def test_dump_sources(spark, tmp_path):
-    (tmp_path / "d.xml").write_text("<wikimedia><page><title>A b</title><ns>0</ns><revision><text>x</text></revision></page><page><title>R</title><ns>0</ns><redirect title='A b'/><revision><text>#REDIRECT</text></revision></page><page><title>T</title><ns>1</ns><revision><text>y</text></revision></page></wikimedia>")
+    (tmp_path / "d.xml").write_text("<dump><page><title>A b</title><ns>0</ns><revision><text>x</text></revision></page><page><title>R</title><ns>0</ns><redirect title='A b'/><revision><text>#REDIRECT</text></revision></page><page><title>T</title><ns>1</ns><revision><text>y</text></revision></page></dump>")
     rows = dumps.classified(dumps.pages(spark, str(tmp_path / "d.xml"), [0])).collect()
     assert sorted((r["title"], r["kind"], r["redirect_title"]) for r in rows) == [("A b", "document", ""), ("R", "redirect", "A b")]
     assert dumps.pages(spark, str(tmp_path / "d.xml"), title_contains=["T"]).count() == 1

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import is_date
+from .phrases import exclusive, matched
+
 # Classes of Penn tags; T! ends a sentence, P! a part.
 TAG_CLASSES = {
     "T!": ". ; LS", "P!": "-LRB- -RRB- , : #", "C": "CD", "X": "EX", "N": "FW NN NNS", "A": "JJ JJR JJS RB RBR RBS RP AFX", "M": "MD PDT", "E": "NNP NNPS", "U": "ADD",
@@ -69,8 +72,6 @@ def voted_tags(tagged: DataFrame) -> DataFrame:
 
 def sentence_class(values: Column, tags: Column) -> Column:
     """numseq, date, title, sent or empty, in this order."""
-    from ..functions.text import is_date
-
     has_verb = F.exists(tags, lambda t: t.startswith("V") | (t == "MD"))
     numbers = F.size(values).between(1, 1000) & F.forall(tags, lambda t: t.isin("CD", ",", ".", ":"))
     title = F.exists(tags, lambda t: t.startswith("NNP")) & F.forall(tags, lambda t: t.isin("NNP", "NNPS", "IN", "DT", "CD", ",", "CC"))
@@ -197,3 +198,66 @@ def tagged_documents(docs: DataFrame) -> DataFrame:
     toks = sents.select("doc_id", "sent", F.posexplode(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}'-]+|[^\s\p{L}\p{N}]"), F.lit(0))).alias("seq", "value"))
     cls = class_of(rule_tags(F.col("value")))
     return toks.select("doc_id", "sent", "seq", "value", cls.alias("cls"), F.when((F.col("seq") == 0) & cls.isin("E", "R"), "subj").otherwise("").alias("role"))
+
+
+# --- names of several parts --------------------------------------------------------------
+
+
+def parts_usage(names: DataFrame) -> DataFrame:
+    """(doc_id, part, usage): uses of every name and of every beginning and ending of it."""
+    words = F.split("name", " ")
+    n = F.size(words)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.array(F.array_join(F.slice(words, F.lit(1), k), " "), F.array_join(F.slice(words, k + 1, n), " ")))
+    every = F.array_union(F.array("name"), F.when(n > 1, F.flatten(pieces)).otherwise(F.array().cast("array<string>")))
+    return names.select("doc_id", "usage", F.explode(every).alias("part")).groupBy("doc_id", "part").agg(F.sum("usage").alias("usage"))
+
+
+def split_names(names: DataFrame, factor: float = 10.0, rounds: int = 4) -> DataFrame:
+    """Names cut in two where both parts are names themselves and the first is used over
+    ``factor`` times as much as at any other cut; the parts take over the uses. Repeated
+    ``rounds`` times, by joins on (doc_id, part)."""
+    for _ in range(rounds):
+        used = parts_usage(names)
+        own = names.select("doc_id", F.col("name").alias("part"))
+        words = F.split("name", " ")
+        cuts = names.filter(F.size(words) > 1).select("doc_id", "name", F.col("usage").alias("uses"), F.explode(F.sequence(F.lit(1), F.size(words) - 1)).alias("k"), words.alias("w"))
+        cuts = cuts.select("doc_id", "name", "uses", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("head"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("tail"))
+        known = cuts.join(own.withColumnRenamed("part", "head"), ["doc_id", "head"], "left_semi").join(own.withColumnRenamed("part", "tail"), ["doc_id", "tail"], "left_semi")
+        told = known.join(used.select("doc_id", F.col("part").alias("head"), F.col("usage").alias("head_usage")), ["doc_id", "head"])
+        whole = used.select("doc_id", F.col("part").alias("name"), F.col("usage").alias("name_usage"))
+        w = W.partitionBy("doc_id", "name").orderBy(F.desc("head_usage"), "head")
+        best = told.join(whole, ["doc_id", "name"]).withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("head_usage").over(w))
+        best = best.filter((F.col("_r") == 1) & (F.col("head_usage") > factor * F.greatest(F.coalesce("_next", F.lit(0.0)), F.col("name_usage"))))
+        gone = best.select("doc_id", "name")
+        moved = best.select("doc_id", F.explode(F.array("head", "tail")).alias("name"), F.col("uses").alias("usage"))
+        names = names.join(gone, ["doc_id", "name"], "left_anti").select("doc_id", "name", "usage").unionByName(moved).groupBy("doc_id", "name").agg(F.sum("usage").alias("usage"))
+    return names
+
+
+def most_used(names: DataFrame, share: float = 0.6, least: float = 3.0, long_name: int = 5) -> DataFrame:
+    """Names used ``least`` times; if the most used reach ``share`` of all uses, the rarer ones
+    go, but for those of ``long_name`` words and more."""
+    kept = names.filter(F.col("usage") >= least)
+    by, whole = W.partitionBy("doc_id").orderBy(F.desc("usage")).rangeBetween(W.unboundedPreceding, 0), W.partitionBy("doc_id")
+    told = kept.withColumn("_sum", F.sum("usage").over(by)).withColumn("_all", F.sum("usage").over(whole))
+    cut = F.max(F.when(F.col("_sum") > share * F.col("_all"), F.col("usage"))).over(whole)
+    return told.withColumn("_cut", F.coalesce(cut, F.lit(least))).filter((F.col("usage") >= F.col("_cut")) | (F.size(F.split("name", " ")) >= long_name)).drop("_sum", "_all", "_cut")
+
+
+def best_title_match(title: Column, names: DataFrame) -> DataFrame:
+    """(doc_id, name): the most used name whose words stand in the title, shorter ones before
+    longer ones; single words only for titles of up to three."""
+    words, whole = F.split("name", " "), F.split(title, " ")
+    fits = names.filter(names_within(words, whole) & ((F.size(words) > 1) | (F.size(whole) <= 3)))
+    return fits.groupBy("doc_id").agg(F.max_by("name", F.struct("usage", -F.size(words), "name")).alias("name"))
+
+
+def longest_spans(tokens: DataFrame, names: DataFrame, longest: int = 6) -> DataFrame:
+    """(doc_id, pos, n, phrase, id): places in ``toks`` where a dictionary name stands, the longest at each."""
+    return exclusive(matched(tokens, names, longest))
+
+
+def merged_markup(items: DataFrame, tagged: DataFrame) -> DataFrame:
+    """Tagged tokens put back at their items: (doc_id, seq, type, tokens) in item order."""
+    per = tagged.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "cls", "value"))).alias("tokens"))
+    return items.join(per, ["doc_id", "seq"], "left")

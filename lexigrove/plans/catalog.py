@@ -721,3 +721,27 @@ def df_increments(spark, sf_dir):
     plus = statistics.increments(docs.select("text"))
     twice = statistics.increments(docs.filter("doc_id % 3 = 0").select("text", F.lit(1).alias("sign"))).unionByName(statistics.increments(docs.filter("doc_id % 3 = 0").select("text", F.lit(-1).alias("sign"))))
     return postings.merge_df(plus.unionByName(twice)).filter("df <> 0")
+
+
+@query("SELECT * FROM (VALUES (1, 'A B', 3.0), (1, 'C', 20.0)) t(doc_id, name, usage)")
+def names_split(spark, sf_dir):
+    names = spark.createDataFrame([(1, "C A B", 1.0), (1, "C", 19.0), (1, "A B", 2.0)], "doc_id int, name string, usage double")
+    return nlp.split_names(names, factor=1.5, rounds=1)
+
+
+@query("WITH u AS (SELECT user_id AS doc_id, event_type AS name, count(*)::DOUBLE AS usage FROM events GROUP BY ALL HAVING count(*) >= 3), s AS (SELECT *, sum(usage) OVER (PARTITION BY doc_id ORDER BY usage DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(usage) OVER (PARTITION BY doc_id) AS total FROM u), c AS (SELECT *, coalesce(max(CASE WHEN run > 0.6 * total THEN usage END) OVER (PARTITION BY doc_id), 3) AS cut FROM s) SELECT doc_id, name, usage FROM c WHERE usage >= cut")
+def names_most_used(spark, sf_dir):
+    used = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id"), F.col("event_type").alias("name")).agg(F.count("*").cast("double").alias("usage"))
+    return nlp.most_used(used)
+
+
+@query("WITH " + TOK + ", c AS (SELECT lang AS path, value, count(*) AS tf FROM tok GROUP BY ALL) SELECT path, max_by(value, (tf, value)) AS value, max(tf) AS tf FROM c GROUP BY path")
+def top_word_by_language(spark, sf_dir):
+    toks = table(spark, sf_dir, "documents").select(F.col("lang").alias("path"), F.explode(T.lower_words(F.col("text"))).alias("value")).groupBy("path", "value").agg(F.count("*").alias("tf"))
+    return toks.groupBy("path").agg(F.max_by("value", F.struct("tf", "value")).alias("value"), F.max("tf").alias("tf"))
+
+
+@query("WITH " + TOK + ", a AS (SELECT value, count(DISTINCT doc_id) AS df FROM tok WHERE lang = 'en' GROUP BY value), b AS (SELECT value, count(DISTINCT doc_id) AS df FROM tok GROUP BY value) SELECT value, (b.df - coalesce(a.df, 0))::BIGINT AS change FROM b LEFT JOIN a USING (value) WHERE b.df <> coalesce(a.df, 0)")
+def statistics_changes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return dumps.statistics_changes(postings.document_frequencies(docs.filter("lang = 'en'")), postings.document_frequencies(docs))

@@ -74,3 +74,37 @@ def path_statistics(rows: DataFrame, classes: list[tuple[str, str]], least: int
         kind = F.when(F.col("value").rlike(pattern), name).otherwise(kind)
     sized = rows.filter(F.length("value").between(least, most))
     return sized.groupBy("path", kind.alias("class")).agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
+
+
+def word_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(name, embedding) of a vector file in the binary form of word2vec: a header line of
+    count and dimension, then for each word its name, a space, and little-endian floats."""
+
+    def run(batches):
+        import struct
+
+        import pyarrow as pa
+
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                head, _, rest = raw.partition(b"\n")
+                count, dim = map(int, head.split())
+                names, rows, at = [], [], 0
+                for _ in range(count):
+                    end = rest.index(b" ", at)
+                    names.append(rest[at:end].strip(b"\n").decode("utf-8", "replace"))
+                    rows.append(struct.unpack_from(f"<{dim}f", rest, end + 1))
+                    at = end + 1 + 4 * dim
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(rows, pa.list_(pa.float32()))], ["name", "embedding"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, embedding array<float>")
+
+
+def statistics_changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
+    """(value, change): all df (+) of a new state, all (-) of one withdrawn, or what changed between two."""
+    if before is None:
+        return after.select("value", F.col("df").alias("change"))
+    if after is None:
+        return before.select("value", (-F.col("df")).alias("change"))
+    both = after.select("value", F.col("df").alias("change")).unionByName(before.select("value", (-F.col("df")).alias("change")))
+    return both.groupBy("value").agg(F.sum("change").alias("change")).filter("change <> 0")

@@ -238,3 +238,27 @@ def test_near_pairs_counts_once(spark):
     got = proximity.near_pairs(hits, hits, 10)
     want = sum(abs(a - b) <= 10 for a in (0, 3, 10, 11, 40) for b in (0, 3, 10, 11, 40))
     assert got.count() == want
+
+
+def test_best_title_match(spark):
+    names = spark.createDataFrame([(1, "Giuliani", 9.0), (1, "Rudy Giuliani", 9.0), (1, "Rudy", 2.0), (1, "Other", 50.0)], "doc_id long, name string, usage double")
+    assert nlp.best_title_match(F.lit("Rudy Giuliani"), names).first()["name"] == "Giuliani"
+    assert nlp.best_title_match(F.lit("Rudy W. L. Giuliani"), names).first()["name"] == "Rudy Giuliani"
+
+
+def test_word_vector_file(spark, tmp_path):
+    import struct
+
+    (tmp_path / "v.bin").write_bytes(b"2 3\n" + b"a " + struct.pack("<3f", 1, 2, 3) + b"\nE#b " + struct.pack("<3f", 4, 5, 6) + b"\n")
+    assert sorted((r["name"], r["embedding"]) for r in dumps.word_vectors(spark, str(tmp_path / "v.bin")).collect()) == [("E#b", [4.0, 5.0, 6.0]), ("a", [1.0, 2.0, 3.0])]
+
+
+def test_registry_of_functions(spark):
+    from lexigrove.functions import registry
+
+    registry.register("normalizer", "bang", lambda c: F.concat(c, F.lit("!")))
+    assert one(spark, registry.normalizer(["lc", "convdia", "bang"])(F.lit("É"))) == "e!"
+    with pytest.raises(KeyError):
+        registry.get("tokenizer", "none")
+    with pytest.raises(ValueError):
+        registry.register("other", "x", len)

@@ -2,7 +2,7 @@
 
 What columns can say stays in columns. The discourse passes depend on the order of a
 document's sentences, with weights that decay from one to the next; they are folds over one
-document (``discourse``), run by ``applyInPandas`` on documents.
+document (``discourse``).
 """
 
 from __future__ import annotations
@@ -135,6 +135,7 @@ def fold_document(tokens: list[dict]) -> list[dict]:
     0.2."""
     subjects: list[list] = []  # name, sentence, gender or None
     names: dict[str, float] = {}
+    holding: dict[str, set[str]] = {}  # names by word
     votes: dict[str, dict[str, float]] = {}
     synonyms: dict[str, tuple[str, float]] = {}
     out, last = [], None
@@ -148,10 +149,12 @@ def fold_document(tokens: list[dict]) -> list[dict]:
         word = t["value"].lower()
         if t["cls"] == "E":
             parts = t["value"].split()
-            fuller = [n for n in names if len(n.split()) > len(parts) and all(parts.count(p) <= n.split().count(p) for p in parts)]
+            fuller = [n for n in holding.get(parts[0], ()) if n in names and len(n.split()) > len(parts) and all(parts.count(p) <= n.split().count(p) for p in parts)]
             ref = max(fuller, key=lambda n: (names[n], -len(n), n)) if fuller else t["value"]
             w = names.get(ref, 0.0)
             names[ref] = w + w / 3 if w else 1.0
+            for p in ref.split():
+                holding.setdefault(p, set()).add(ref)
             if t["role"] == "subj":
                 known = votes.get(ref, {})
                 best = sorted(known.values(), reverse=True)
@@ -177,19 +180,24 @@ def fold_document(tokens: list[dict]) -> list[dict]:
     return out
 
 
-RESOLVED = "doc_id long, sent int, seq int, value string, cls string, role string, ref string, gender string"
+RESOLVED = "doc_id long, resolved array<struct<sent: int, seq: int, value: string, cls: string, role: string, ref: string, gender: string>>"
 
 
 def discourse(tagged: DataFrame) -> DataFrame:
-    """References and genders of (doc_id, sent, seq, value, cls, role), document by document."""
+    """References and genders of (doc_id, sent, seq, value, cls, role), document by document.
 
-    def run(pdf):
-        import pandas as pd
+    A document's tokens meet in one array, so the fold runs over batches of documents."""
 
-        rows = pdf.sort_values(["sent", "seq"])[["doc_id", "sent", "seq", "value", "cls", "role"]].to_dict("records")
-        return pd.DataFrame(fold_document(rows), columns=[x.split()[0] for x in RESOLVED.split(", ")])
+    def run(batches):
+        import pyarrow as pa
 
-    return tagged.groupBy("doc_id").applyInPandas(run, RESOLVED)
+        kind = pa.list_(pa.struct([("sent", pa.int32()), ("seq", pa.int32()), *((n, pa.string()) for n in ("value", "cls", "role", "ref", "gender"))]))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(fold_document, b.column("ts").to_pylist()), kind)], ["doc_id", "resolved"])
+
+    tokens = tagged.select("doc_id", F.struct(F.col("sent").cast("int").alias("sent"), F.col("seq").cast("int").alias("seq"), "value", "cls", "role").alias("t"))
+    whole = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    return whole.mapInArrow(run, RESOLVED).select("doc_id", F.explode("resolved").alias("r")).select("doc_id", "r.*")
 
 
 def tagged_documents(docs: DataFrame) -> DataFrame:

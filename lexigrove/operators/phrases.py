@@ -44,10 +44,10 @@ def exclusive(found: DataFrame) -> DataFrame:
 
 
 def rule_names(phrases: DataFrame, prefix: str | None = None) -> DataFrame:
-    """A result name for each phrase: its cleaned name, or a prefix and a number."""
+    """A result name for each phrase: its cleaned name, or a prefix and a number from its hash."""
     if prefix is None:
         return phrases.withColumn("rule", T.rule_name(F.col("phrase")))
-    return phrases.withColumn("rule", F.concat(F.lit(prefix), F.row_number().over(W.orderBy("phrase")).cast("string")))
+    return phrases.withColumn("rule", F.concat(F.lit(prefix), F.pmod(F.xxhash64("phrase"), F.lit(1 << 53)).cast("string")))
 
 
 def analyzed(query: str, phrases: dict[str, str] | None = None, longest: int = 6) -> list[dict]:

@@ -112,10 +112,11 @@ def dominant(weights: DataFrame, key: str, label: str, weight: str, factor: floa
     return ranked.filter("_r = 1").select(key, F.when(sure, F.col(label)).alias(label))
 
 
-def fields_paired(headings: DataFrame) -> DataFrame:
+def fields_paired(headings: DataFrame, levels: int = 6) -> DataFrame:
     """Sections from headings (doc_id, pos, level): each ends where the next of its level or above begins."""
     w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(1, W.unboundedFollowing)
-    later = F.collect_list(F.struct("pos", "level")).over(w)
-    ends = headings.withColumn("_later", later)
-    end = F.get(F.filter("_later", lambda x: x["level"] <= F.col("level")), F.lit(0))["pos"]
-    return ends.select("doc_id", F.col("pos").alias("start"), "level", end.alias("end"))
+    nexts = {f"_n{k}": F.min(F.when(F.col("level") <= k, F.col("pos"))).over(w) for k in range(1, levels + 1)}
+    end = F.lit(None).cast("long")
+    for k in range(levels, 0, -1):
+        end = F.when(F.col("level") <= k, F.col(f"_n{k}")).otherwise(end) if k == levels else F.when(F.col("level") == k, F.col(f"_n{k}")).otherwise(end)
+    return headings.withColumns(nexts).select("doc_id", F.col("pos").alias("start"), "level", end.alias("end"))

@@ -117,3 +117,28 @@ def top_words(docs: DataFrame, low: float = 0.05, high: float = 0.3, k: int = 2)
     band = dfs.filter((F.col("df") >= low * F.col("n")) & (F.col("df") <= high * F.col("n")))
     best = band.orderBy(F.desc("df"), "value").limit(k)
     return best.select("value", "df", "n", F.row_number().over(W.orderBy(F.desc("df"), "value")).alias("idx"))
+
+
+def search_many(docs: DataFrame, queries: DataFrame, k: int = 6, s: ranking.Scheme = ranking.SCHEMES["BM25"]) -> DataFrame:
+    """(qid, doc_id, score, rank): the best ``k`` documents of many queries (qid, value, df, n) in one pass.
+
+    Words are counted within their documents' arrays, and only those that some query holds
+    leave them; scores meet by (query, document), then by query. Where the queries are few
+    enough, Spark broadcasts them; else they are joined by word."""
+    held = docs.select("doc_id", T.lower_words(F.col("text")).alias("toks"))
+    words = held.select("doc_id", F.size("toks").alias("doclen"), F.explode("toks").alias("value"))
+    wanted = queries.select("value").distinct()
+    tf = words.join(wanted, "value", "left_semi").groupBy("doc_id", "doclen", "value").agg(F.count("*").alias("tf"))
+    score = F.sum(ranking.idf(F.col("n"), F.col("df")) * ranking.tf_weight(F.col("tf"), F.col("doclen"), s))
+    told = tf.join(queries, "value").groupBy("qid", "doc_id").agg(F.round(score, 6).alias("score"))
+    return ranking.top_in_groups(told, "qid", k, "score", "doc_id")
+
+
+def sampled_queries(docs: DataFrame, single: int = 800, double: int = 800) -> DataFrame:
+    """(qid, value, df, n): a load of one- and two-word queries, drawn from the vocabulary by hash."""
+    n = docs.agg(F.count("*").alias("n"))
+    dfs = postings.document_frequencies(docs).filter("df >= 2")
+    drawn = dfs.orderBy(F.md5(F.col("value").cast("binary")), "value").limit(single + 2 * double)
+    ranked = drawn.withColumn("r", F.row_number().over(W.orderBy(F.md5(F.col("value").cast("binary")), "value")))  # a bounded number of rows
+    qid = F.when(F.col("r") <= single, F.col("r")).otherwise(single + F.ceil((F.col("r") - single) / 2)).cast("long")
+    return ranked.crossJoin(F.broadcast(n)).select(qid.alias("qid"), "value", "df", "n")  # one row

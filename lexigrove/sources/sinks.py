@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -39,7 +38,3 @@ def link_dump(links: DataFrame) -> DataFrame:
     """(title, line): ``*title = a;b;`` of linked titles in order."""
     rows = links.groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "link"))), lambda r: r["link"]).alias("ls"))
     return rows.select("title", F.concat(F.lit("*"), F.col("title"), F.lit(" = "), F.array_join("ls", ";"), F.lit(";")).alias("line"))
-
-
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("number", F.row_number().over(W.partitionBy(key).orderBy(key)))

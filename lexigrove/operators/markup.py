@@ -39,6 +39,8 @@ RULES = [
     ("list", r"(?m:^)(?P<bullets>[*#:;]+)[ \t]*"),
     ("rule", r"(?m:^)-{4,}"),
     ("link", r"\[\[(?P<target>[^\[\]|\n]{1,300})(?:\|(?P<label>[^\[\]]*))?\]\](?P<tail>[a-z]*)"),
+    ("mediaopen", r"\[\[(?P<media>(?i:file|image):[^\[\]|\n]{1,300})"),
+    ("mediaclose", r"\]\]"),
     ("weblink", r"\[(?P<web>(?:\w{1,6}:)?//[^\s\]]+)(?:[ \t]+(?P<weblabel>[^\]\n]*))?\]"),
     ("citeopen", r"\{\{(?P<name>[^{}|\n]{1,300})"),
     ("citeclose", r"\}\}"),
@@ -57,6 +59,7 @@ ATTRIBUTE = re.compile(r"([A-Za-z][\w-]*)\s*[=:]\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 # Attributes that only concern looks.
 VISUAL = frozenset("align bgcolor border cellpadding cellspacing class color height nowrap scope style valign width".split())
 FORMATS = frozenset("small big u s q pre ins i p b em strong span abbr center div poem font".split())
+LINKS = frozenset(("pagelink", "weblink", "filelink", "imglink", "category"))
 NAMESPACES = {"file": "filelink", "image": "imglink", "category": "category"}
 #: Depth from which a page is reported.
 DEPTH = 12
@@ -97,6 +100,8 @@ def lex(page: str | None) -> list[tuple[str, int, str, dict[str, str]]]:
             target = g["target"].strip().lstrip(":")
             label = (g["label"] if g["label"] is not None else target) + (g["tail"] or "")
             out.append(("char", 0, target, {}) if len(target) == 1 and g["label"] is None else ("link", 0, label, {"target": target}))
+        elif kind == "mediaopen":
+            out.append(("link", 0, "", {"target": g["media"].strip()}))
         elif kind == "weblink":
             web = g["web"] if ":" in g["web"].split("//")[0] else "http:" + g["web"]
             out.append(("weblink", 0, g["weblabel"] or "", {"target": web}))
@@ -139,6 +144,8 @@ class Builder:
         target = self.ref if self.ref is not None else self.cites[-1]["values"] if self.cites else self.tables[-1]["text"] if self.tables else None
         if target is not None:
             target.append((kind, ident, text))
+            if kind in LINKS:
+                self.later.append([kind, ident, text, len(self.tables) + len(self.cites), self.section])
             return
         if kind == "text":
             if self.items and self.items[-1][0] == "text" and self.items[-1][4] == self.section:
@@ -199,7 +206,7 @@ class Builder:
         """Tables, citations and references stand at the end of their section, once each."""
         seen = set()
         for x in self.later:
-            if (x[0], x[1]) not in seen:
+            if x[0] in LINKS or (x[0], x[1]) not in seen:
                 seen.add((x[0], x[1]))
                 self.items.append(x)
         self.later = []
@@ -216,7 +223,7 @@ class Builder:
             self.section += 1
             self.items.append(["heading", f"h{idx}", value.strip(), 0, self.section])
         elif kind == "tableopen":
-            table = {"id": self.number("table", len(self.keys)), "row": 0, "col": 0, "used": set(), "cell": None, "text": [], "began": False}
+            table = {"id": self.number("table", len(self.keys)), "row": 0, "col": 0, "used": set(), "cell": None, "text": []}
             if len(self.tables) + len(self.cites) == DEPTH:
                 self.errors.append("structure too deep")
             self.tables.append(table)
@@ -227,11 +234,8 @@ class Builder:
                 return
             self.end_cell()
             if kind == "row":
-                if t["began"]:
-                    t["row"], t["col"] = t["row"] + 1, 0
-                t["began"] = True
+                t["row"], t["col"] = t["row"] + 1, 0
             else:
-                t["began"] = t["began"] or kind != "caption"
                 was_head = kind in ("head", "headmore") or kind == "cellmore" and t.get("last") == "head"
                 t["cell"] = ("caption" if kind == "caption" else "head" if was_head else "cell", attrs)
                 t["last"] = t["cell"][0]
@@ -261,7 +265,8 @@ class Builder:
         elif kind == "link":
             base, _, anchor = attrs["target"].partition("#")
             space = base.split(":", 1)[0].lower() if ":" in base else ""
-            self.add(NAMESPACES.get(space, "pagelink"), value, base.removeprefix("wikipedia:").strip() or anchor[:80])
+            name = base.split(":", 1)[1] if space in NAMESPACES or space == "wikipedia" else base
+            self.add(NAMESPACES.get(space, "pagelink"), value, name.strip() or anchor[:80])
         elif kind == "weblink":
             self.add("weblink", value, attrs["target"])
         elif kind == "list":
@@ -274,7 +279,7 @@ class Builder:
             self.add("br", "")
         elif kind == "text" or kind in ("bar", "head", "headmore", "cell", "cellmore", "caption", "row"):
             self.add("text", value if kind == "text" else " ")
-        elif kind == "nodata" or kind in ("open", "close") and value in FORMATS or kind in ("refempty", "redirect", "tableclose"):
+        elif kind == "nodata" or kind in ("open", "close") and value in FORMATS or kind in ("refempty", "redirect", "tableclose", "mediaclose"):
             pass
         elif kind in ("open", "close"):
             self.add("br", "")

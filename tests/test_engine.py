@@ -153,10 +153,14 @@ Text with [[computer interface]]s, [[File:x.png]], <nowiki>[[raw]]</nowiki> and
 def test_markup_items():
     b = markup.build(PAGE)
     kinds = {k: [x for x in b.items if x[0] == k] for k in {x[0] for x in b.items}}
-    assert [x[2] for x in kinds["pagelink"]] == ["computer interfaces"] and [x[1] for x in kinds["filelink"]] == ["File:x.png"]
+    assert [x[2] for x in kinds["pagelink"]] == ["computer interfaces"] and [x[1] for x in kinds["filelink"]] == ["x.png"]
     assert [x[2] for x in kinds["nowiki"]] == ["[[raw]]"] and len(kinds["reflink"]) == 2 and len(kinds["ref"]) == 1
-    assert [x[1] for x in kinds["attr"]] == ["cit1:title", "cit1:url"] and kinds["weblink"][-1][1] == "http://c.d" and not b.errors
+    assert [x[1] for x in kinds["attr"]] == ["cit1:title", "cit1:url"] and {x[1] for x in kinds["weblink"]} == {"http://a.b/", "http://c.d"} and not b.errors
     assert {(c[1], c[2], c[3]): c[6] for c in b.cells if c[1] == "cell"} == {("cell", 1, 1): "1", ("cell", 1, 2): "2", ("cell", 2, 0): "3", ("cell", 2, 1): "4", ("cell", 3, 1): "5"}
+    nested = markup.build("[[File:a.jpg|thumb|see [[Page]]s]]\n{{box|x=[[Inner]]}}").items
+    assert [x[:2] for x in nested if x[0] in markup.LINKS] == [["filelink", "a.jpg"], ["pagelink", "Page"], ["pagelink", "Inner"]]
+    rows = markup.build("{|\n|+ c\n|-\n| a\n|-\n! t\n|\n| b\n|}").cells
+    assert [(c[1], c[2], c[3]) for c in rows] == [("title", -1, -1), ("cell", 1, 0), ("head", 2, 0), ("cell", 2, 1), ("cell", 2, 2)]
     assert markup.build("{| \n| open").errors == ["table not closed"] and markup.build(None).items == [] and markup.build("}}").errors
 
 

@@ -65,6 +65,36 @@ NAMESPACES = {"file": "filelink", "image": "imglink", "category": "category"}
 DEPTH = 12
 
 
+#: Words of a text that may be no text: numbers and groups in hex, long identifiers, repeated patterns, paths.
+ODD = re.compile(r"(?P<period>\S{1,3}?)(?P=period){5,}|\b[0-9A-Fa-f]+(?:-[0-9A-Fa-f]+)+\b|\b0x[0-9A-Fa-f]{6,}\b|\b[A-Za-z0-9_]{12,}\b|(?<![\w/.])(?:/[\w.-]+){2,}\.\w{1,4}\b")
+DATE = re.compile(r"\d{4}-\d{2}-\d{2}|\d{2}-\d{2}-\d{4}|\d{4}-\d{2,4}|\d{1,3}-\d{1,3}")
+
+
+def odd_kind(word: str) -> str | None:
+    """nodata, bibref, code or path for a word that is no text; else None."""
+    if len(word) >= 16 and re.fullmatch(r"(.{1,3}?)\1{5,}.{0,2}", word):
+        return "nodata"
+    if word[0] == "/":
+        return "path"
+    if "-" in word:
+        return "bibref" if len(word) >= 8 and any(c.isdigit() for c in word) and not DATE.fullmatch(word) else None
+    if word.startswith("0x") or len(word) >= 12 and re.fullmatch("[0-9A-Fa-f]+", word) and any(c.isdigit() for c in word):
+        return "code"
+    changes = len(re.findall("[A-Z]+|[a-z]+|[0-9]+|_+", word)) - 1
+    return "code" if len(word) > 12 and changes >= 4 else None
+
+
+def _parts(text: str) -> list[tuple[str, int, str, dict[str, str]]]:
+    out, at = [], 0
+    for m in ODD.finditer(text):
+        if kind := odd_kind(m[0]):
+            if m.start() > at:
+                out.append(("text", 0, text[at : m.start()], {}))
+            out.append(("weblink", 0, "", {"target": "file:" + m[0]}) if kind == "path" else (kind, 0, m[0], {}))
+            at = m.end()
+    return [*out, ("text", 0, text[at:], {})] if at < len(text) else out
+
+
 def attributes(text: str | None) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text or "")}
 
@@ -123,7 +153,7 @@ def lex(page: str | None) -> list[tuple[str, int, str, dict[str, str]]]:
                 out.append(("text", 0, m[0], {}))
         else:
             out.append((kind, 0, m[0] if kind in ("timestamp", "book", "nodata", "redirect") else "", {}))
-    return out
+    return [p for x in out for p in (_parts(x[2]) if x[0] == "text" else [x])]
 
 
 class Builder:
@@ -273,7 +303,7 @@ class Builder:
             self.add("list", "", f"l{idx}")
         elif kind == "quotes":
             self.quote = 0 if self.quote else idx
-        elif kind in ("nowiki", "math", "char", "timestamp", "book"):
+        elif kind in ("nowiki", "math", "char", "timestamp", "book", "bibref", "code"):
             self.add({"timestamp": "time", "book": "bibref"}.get(kind, kind), value)
         elif kind in ("break", "rule") or kind in ("open", "close") and value in ("br", "hr", "ol", "ul", "li"):
             self.add("br", "")

@@ -266,3 +266,13 @@ def test_registry_of_functions(spark):
         registry.get("tokenizer", "none")
     with pytest.raises(ValueError):
         registry.register("other", "x", len)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("id 12ab-34cd-56 end", "bibref"), ("on 2014-11-06 we", None), ("years 1914-1918", None), ("x deadbeef1234567 y", "code"), ("call aB3dE5fG7hI9jK now", "code"), ("-=-=-=-=-=-=-=-=-=-=", "nodata"), ("international relations", None)],
+)
+def test_odd_words(text, want):
+    kinds = {x[0] for x in markup.lex(text)} - {"text"}
+    assert kinds == ({want} if want else set()) and "".join(x[2] for x in markup.lex(text)) == text
+    assert [x[3]["target"] for x in markup.lex("see /usr/lib/x.so there") if x[0] == "weblink"] == ["file:/usr/lib/x.so"]

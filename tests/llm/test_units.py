@@ -224,3 +224,18 @@ def test_common_is_longest(a, b):
         for j, y in enumerate(b):
             best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
     assert len(html.common(a, b)) == best[-1][-1]
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('<article><p class="ad">buy<p>one<p>two</article>', "one two"),
+        ('<div class="content has-sidebar"><article><div class="article-header"><h1>T</h1></div><p>x</p></article></div>', "T x"),
+        ('<article>a<article class="comment">c</article>b</article>', "a b"),
+        ('<section id="comments"><article>c</article></section><main>m<div class="cookie-notice">n</div></main>', "m"),
+        ('<article><ul><li class="share">s<li>k</ul>t<!-- x --><div hidden>h</div></article>', "k t"),
+        ("<div role=navigation>n</div><article>a&#x41;&nbsp;&nbsp;b<br/>c</article>", "aA b c"),
+    ],
+)
+def test_page_kinds(body, want):
+    assert html.main_text(*html.blocks_of(f"<html><body>{body}</body></html>"), []) == want

@@ -30,3 +30,10 @@ def stored(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batches, rows: int = 500):
+    """Record batches in slices of a few rows, so that what is built for each stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -24,7 +24,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_of
+from .common import slices, table, text_of
 
 CHUNK = 576
 
@@ -230,11 +230,10 @@ def feature_of(parsed: dict) -> str:
 def _add_media(batches):
     import pyarrow as pa
 
-    for b in batches:
-        media, sizes = [], []
+    for b in slices(batches):
+        media = []
         for text in b.column("text").to_pylist():
             raw = (text or "").encode("utf-8", "surrogatepass")
-            sizes.append(len(raw))
             media.append(encode_stream(raw.ljust(max(1, -(-len(raw) // CHUNK)) * CHUNK, b"\xff"), len(raw)))
         keep = [n for n in b.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(media, pa.binary())], [*keep, "media"])
@@ -282,7 +281,7 @@ def _measures(batches):
     names = [x.split()[0] for x in MEASURES.split(", ")]
     types = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
     kinds = {x.split()[0]: types[x.split()[1]] for x in MEASURES.split(", ")}
-    for b in batches:
+    for b in slices(batches):
         rows = [measure(x) for x in b.column("media").to_pylist()]
         keep = [n for n in b.schema.names if n != "media" and n not in names]
         cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]

@@ -3,15 +3,19 @@
 Each page becomes its blocks of text in page order, each with what its markup says of it:
 *article* (within ``article`` or ``main``), *frame* (navigation, headers, footers, asides,
 forms, notices, adverts, comments, by element, role, class or id) or *open* (neither).
-Pages of one host and directory are sorted by URL path; each is paired with its neighbours
-there, their blocks outside the article are aligned by longest common subsequence, and
-blocks that a neighbour shares are deleted; a neighbour that shares nearly all of a page's
-open blocks is a copy and says nothing about templates. The text is the article's blocks;
-in a page without such an element, the open blocks that remain.
+All pages of a host are ranked by path, query and page_id; each is paired with the nearest
+pages before and after it, their blocks outside the article are aligned by longest common
+subsequence, and blocks that a neighbour shares are deleted. A page whose blocks all equal
+those of another is its copy and says nothing about templates, so neighbours are sought
+beyond copies. The text is the article's blocks; in a page without such an element, the
+open blocks that remain.
 
 Blocks inside an article are not deleted for being shared: the corpus holds pages with equal
-articles, and differencing alone would empty them. A directory of more than ``SHARD`` pages
-is dealt into shards by a hash of the path, so no task holds a host.
+articles, and differencing alone would empty them. The ranks are cut into ranges of
+``RANGE`` pages, more beyond ``RANGES`` of them, so no task holds a host; the pages next to a
+range are sent to it as well, wherever they stand. Only the keys at the ends of ranges reach
+the driver. Pages are parsed twice, once for the order and once for the lines, which costs
+less than to keep the lines.
 
 Defined cases: null and empty html give the empty text; a null url is a host of its own;
 repeated rows are copies of each other, each with its text; an empty table gives no rows;
@@ -28,9 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-SHARD = 512
-#: Share of open blocks in common from which two pages are copies.
-COPY = 0.8
+#: Pages in a range of ranks, at least, and ranges, at most.
+RANGE, RANGES = 128, 8192
 ARTICLE, FRAME, OPEN = 0, 1, 2
 
 # Fixed values of the HTML standard.
@@ -51,7 +54,11 @@ CLOSES_OWN = frozenset("li dt dd tr td th option".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: The blocks travel packed: a byte for each kind, and the lines under zstandard.
-LINES = "page_id long, url string, kinds binary, lines binary"
+LINES = "page_id long, url string, kinds binary, lines binary, host string, path string, query string, seq long, digest long, span long, own boolean"
+KEY = ("host", "path", "query", "seq", "address", "digest")
+KEYS = "host string, path string, query string, seq long, address string, digest long"
+#: The first and last key of a range, and the ones nearest to them that are no copies of them.
+EDGES = f"span long, role string, {KEYS}"
 TEXTS = "page_id long, url string, text string, n_chars long"
 
 
@@ -179,57 +186,139 @@ def main_text(kinds: list[int], lines: list[str], neighbours: list[tuple[list[in
     """A page's text, after deleting what its neighbours share."""
     if ARTICLE in kinds:
         return " ".join(t for k, t in zip(kinds, lines, strict=True) if k == ARTICLE)
-    outside = [i for i, k in enumerate(kinds) if k != ARTICLE]
-    n_open, gone = sum(k == OPEN for k in kinds), set()
+    outside, gone = [i for i, k in enumerate(kinds) if k != ARTICLE], set()
     for other_kinds, other in neighbours:
-        shared = {outside[i] for i in common([lines[i] for i in outside], [t for k, t in zip(other_kinds, other, strict=True) if k != ARTICLE])}
-        if sum(kinds[i] == OPEN for i in shared) < COPY * max(n_open, 1):
-            gone |= shared
+        if (kinds, lines) != (other_kinds, other):
+            gone |= {outside[i] for i in common([lines[i] for i in outside], [t for k, t in zip(other_kinds, other, strict=True) if k != ARTICLE])}
     return " ".join(lines[i] for i in outside if kinds[i] == OPEN and i not in gone)
 
 
-def _lines(batches):
+def _packed(b):
+    """Kinds and lines of each page of a batch as bytes, and its key."""
+    import xxhash
+
+    # no line holds a line feed, for white space within blocks is one space
+    blocks = [(bytes(k), "\n".join(t).encode("utf-8", "surrogatepass")) for k, t in map(blocks_of, b.column("html").to_pylist())]
+    digests = [xxhash.xxh3_64_intdigest(k + b"\xff" + t) - (1 << 63) for k, t in blocks]
+    return blocks, list(zip(*(b.column(c).to_pylist() for c in KEY[:-1]), digests, strict=True))
+
+
+def _keys(batches):
     import pyarrow as pa
-    import zstandard
 
-    pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        parsed = [blocks_of(x) for x in b.column("html").to_pylist()]
-        kinds = pa.array([bytes(k) for k, _ in parsed], pa.binary())
-        lines = pa.array([pack("\n".join(t).encode("utf-8", "surrogatepass")) for _, t in parsed], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), kinds, lines], ["page_id", "url", "kinds", "lines"])
+        _, keys = _packed(b)
+        yield pa.RecordBatch.from_pylist([dict(zip(KEY, k, strict=True)) for k in keys], pa.schema([(c, pa.int64() if c in ("seq", "digest") else pa.string()) for c in KEY]))
+
+
+def _edges(key, table_):
+    import pyarrow as pa
+
+    keys = sorted(zip(*(table_.column(c).to_pylist() for c in KEY), strict=True))
+    found = [("first", keys[0]), ("last", keys[-1])]
+    found += [("after", k) for k in [next((k for k in keys if k[-1] != keys[0][-1]), None)] if k]
+    found += [("before", k) for k in [next((k for k in reversed(keys) if k[-1] != keys[-1][-1]), None)] if k]
+    columns = [pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array([r for r, _ in found], pa.string())]
+    columns += [pa.array([k[i] for _, k in found], pa.int64() if c in ("seq", "digest") else pa.string()) for i, c in enumerate(KEY)]
+    return pa.table(dict(zip(("span", "role", *KEY), columns, strict=True)))
+
+
+def guests(edges: list[dict]) -> dict[tuple, list[int]]:
+    """Ranges, beside its own, to which a key's page goes: where it is the nearest page before or after that is no copy.
+
+    ``edges`` has the keys of each range by role, in order."""
+    out: dict[tuple, list[int]] = {}
+    for at, own in enumerate(edges):
+        for step, mine, nearest, beyond in ((-1, "first", "last", "before"), (1, "last", "first", "after")):
+            k = at + step
+            # ranges of nothing but copies are passed over
+            while 0 <= k < len(edges) and edges[k][nearest][-1] == own[mine][-1] and beyond not in edges[k] and edges[k][nearest][0] == own[mine][0]:
+                k += step
+            if 0 <= k < len(edges):
+                near = edges[k][nearest]
+                found = edges[k][beyond] if near[-1] == own[mine][-1] and near[0] == own[mine][0] and beyond in edges[k] else near
+                if found[0] == own[mine][0] and found[-1] != own[mine][-1]:
+                    out.setdefault(found, []).append(at)
+    return out
+
+
+def _lines(firsts: list[tuple], sent: dict[tuple, list[int]]):
+    def run(batches):
+        from bisect import bisect_right
+
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            blocks, keys = _packed(b)
+            spans = [bisect_right(firsts, k) - 1 for k in keys]
+            rows = [(i, s, s == spans[i]) for i, k in enumerate(keys) for s in (spans[i], *sent.get(k, ()))]
+            at, lines = pa.array([i for i, *_ in rows], pa.int64()), [pack(t) for _, t in blocks]
+            columns = [b.column("page_id").take(at), b.column("url").take(at), pa.array([blocks[i][0] for i, *_ in rows], pa.binary()), pa.array([lines[i] for i, *_ in rows], pa.binary())]
+            columns += [b.column(c).take(at) for c in ("host", "path", "query", "seq")]
+            columns += [pa.array([keys[i][-1] for i, *_ in rows], pa.int64()), pa.array([s for _, s, _ in rows], pa.int64()), pa.array([o for *_, o in rows], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LINES.split(", ")])
+
+    return run
 
 
 def _differ(key, table_):
     import pyarrow as pa
     import zstandard
 
-    ids, urls = table_.column("page_id").to_pylist(), table_.column("url").to_pylist()
+    ids, urls, own = (table_.column(c).to_pylist() for c in ("page_id", "url", "own"))
     unpack = zstandard.ZstdDecompressor().decompress
-    paths, kinds = table_.column("path").to_pylist(), [list(k) for k in table_.column("kinds").to_pylist()]
-    # no line holds a line feed, for white space within blocks is one space
-    lines = [unpack(x).decode("utf-8", "surrogatepass").split("\n") if k else [] for x, k in zip(table_.column("lines").to_pylist(), kinds, strict=True)]
-    order = sorted(range(len(ids)), key=lambda i: (paths[i] or "", urls[i] or "", ids[i] if ids[i] is not None else -1, lines[i]))
-    texts = [""] * len(ids)
-    for r, i in enumerate(order):
-        near = [order[s] for s in (r - 1, r + 1) if 0 <= s < len(order)]
-        texts[i] = main_text(kinds[i], lines[i], [(kinds[j], lines[j]) for j in near])
-    return pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+    packed = [table_.column(c).to_pylist() for c in ("kinds", "lines")]
+    keys = list(zip(*(table_.column(c).to_pylist() for c in ("host", "path", "query", "seq")), [u or "" for u in urls], table_.column("digest").to_pylist(), strict=True))
+
+    def blocks(i):
+        k = list(packed[0][i])
+        return k, unpack(packed[1][i]).decode("utf-8", "surrogatepass").split("\n") if k else []
+
+    order = sorted(range(len(ids)), key=keys.__getitem__)
+    near: dict[int, list[int]] = {i: [] for i in order}
+    for way in (order, order[::-1]):
+        last = None
+        for before, i in zip(way, way[1:]):
+            if keys[before][0] != keys[i][0]:
+                last = None
+            elif keys[before][-1] != keys[i][-1]:
+                last = before
+            if last is not None:
+                near[i].append(last)
+    order = [i for i in order if own[i]]
+    texts = [main_text(*blocks(i), [] if ARTICLE in packed[0][i] else [blocks(j) for j in near[i]]) for i in order]
+    return pa.table({
+        "page_id": pa.array([ids[i] for i in order], pa.int64()), "url": pa.array([urls[i] for i in order], pa.string()),
+        "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+    })
 
 
-def extract(pages: DataFrame, spark: SparkSession) -> DataFrame:
+def extract(pages: DataFrame, spark: SparkSession, least: int = RANGE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     address = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(address, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    folder = F.regexp_extract(F.col("path"), r"^(.*/)[^/]+/?$", 1)
-    placed = source.select("page_id", "url", host.alias("host"), path.alias("path"), "html").withColumn("folder", folder)
-    # written first, so that Spark knows its size and shuffles no lines where it can be broadcast
-    counts = stored(placed.groupBy("host", "folder").agg(F.count("*").alias("n")), spark, "folders")
-    keyed = source.mapInArrow(_lines, LINES).select("*", host.alias("host"), path.alias("path")).withColumn("folder", folder)
-    dealt = keyed.join(counts, ["host", "folder"]).withColumn("shard", F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / SHARD)))
-    return dealt.select("page_id", "url", "path", "kinds", "lines", "host", "folder", "shard").groupBy("host", "folder", "shard").applyInArrow(_differ, TEXTS)
+    query = F.regexp_extract(address, r"^[^?#]*\?([^#]*)", 1)
+    placed = source.withColumns({"host": host, "path": path, "query": query, "seq": F.coalesce("page_id", F.lit(-(1 << 63))), "address": address})
+    keys = stored(placed.select(*KEY[:-1], "html").mapInArrow(_keys, KEYS).distinct(), spark, "keys")
+    ordered = stored(keys.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("place", F.monotonically_increasing_id()), spark, "order")
+    part = F.shiftright("place", 33)
+    # one row for each partition of the order
+    counts, before, n = sorted((r["part"], r["n"]) for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()), [], 0
+    for p, m in counts:
+        before.append((p, n))
+        n += m
+    starts = spark.createDataFrame(before, "part long, before long")
+    size = max(least, -(-n // RANGES))
+    ranked = ordered.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("span", F.floor((F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)) / size))
+    edges: list[dict] = [{} for _ in range(-(-n // size))]
+    for r in ranked.select("span", *KEY).groupBy("span").applyInArrow(_edges, EDGES).collect():
+        edges[r["span"]][r["role"]] = tuple(r[c] for c in KEY)
+    dealt = placed.mapInArrow(_lines([e["first"] for e in edges], guests(edges)), LINES)
+    return dealt.groupBy("span").applyInArrow(_differ, TEXTS)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

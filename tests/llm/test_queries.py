@@ -259,6 +259,18 @@ def test_pages(spark, sf_dir):
     assert html.op10_html_extraction(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
 
+def test_pages_of_a_host_across_folders_and_ranges(spark):
+    page = "<body><div>Top</div>{}<div>End</div></body>"
+    told = lambda i: page.format(f"<div>story {i}</div>" if i % 7 else "")
+    # each page alone in its folder, three copies of some, another host between
+    rows = [(10 * i + c, f"http://h/{i:03}/slug/?c={c}", told(i)) for i in range(60) for c in range(3 if i % 5 == 0 else 1)]
+    rows += [(10_000 + i, f"http://other/{i}", "<body><div>Top</div><div>End</div></body>") for i in range(5)]
+    want = {i: f"story {i // 10}" if i // 10 % 7 else "" for i, *_ in rows if i < 10_000} | {i: "Top End" for i, *_ in rows if i >= 10_000}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for least in (1, 2, 7, 128):
+        assert {r["page_id"]: r["text"] for r in html.extract(df, spark, least).collect()} == want
+
+
 def test_pipeline(spark, sf_dir, empty):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seen = [docs]

@@ -4,13 +4,15 @@ A document fails the base rules below ``MIN_WORDS`` words or when more than half
 words lie in repeated 3-word windows. The others are points of five transformed
 statistics: log length, log mean word length, and the shares of symbols, repeated lines
 and repeated words. For each language and source, a minimum-covariance-determinant
-estimate is found from a deterministic start (medians and mean absolute deviations)
-by concentration steps: keep the half with the smallest Mahalanobis distances, estimate
-mean and covariance from it, again. Shares are zero in most documents, which would leave
-the determinant 0, so a fixed variance is added on the diagonal, as the regularised
-estimate (MRCD) does. A document goes if its squared distance exceeds ``LIMIT``. Groups of
-fewer than ``MIN_GROUP`` points use their language's estimate; where that has too few
-points as well, nothing is rejected beyond the base rules.
+estimate is found from three deterministic starts about the medians (mean absolute
+deviations, scatter of tanh scores, scatter of spatial signs) by concentration steps: keep
+the half with the smallest Mahalanobis distances, estimate mean and covariance from it,
+again, until the determinant falls no more. Of all starts, the estimate of least
+determinant counts. Shares are zero in most documents, which would leave the determinant 0,
+so a fixed variance is added on the diagonal, as the regularised estimate (MRCD) does. A
+document goes if its squared distance exceeds ``LIMIT``. Groups of fewer than ``MIN_GROUP``
+points use their language's estimate, and languages of fewer points that of all documents;
+only in a table of fewer points is nothing rejected beyond the base rules.
 
 All statistics cover all rows: means and covariances as partial aggregates, medians and
 the half's limit by ``percentile_approx``, so no group meets in one task.
@@ -32,15 +34,16 @@ from .common import SPACE, stored, table, text_of
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Points that an estimate needs.
-MIN_GROUP = 200
-STEPS = 3
 HALF = 0.5
+#: Fall of the determinant's logarithm under which steps have converged.
+FALL = 1e-3
 #: Squared Mahalanobis distance beyond which a document goes: one clean normal point in a million.
 LIMIT = 36.0
 #: Standard deviations added to the covariance, by statistic.
 FLOORS = (0.1, 0.03, 0.01, 0.12, 0.12)
 P = len(FLOORS)
+#: Points that an estimate needs.
+MIN_GROUP = 10 * P
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -122,22 +125,48 @@ def _distance(df: DataFrame, x=lambda k: F.col(f"_x{k}")) -> DataFrame:
     return df.withColumn("_d2", sum((F.col(f"_z{k}") * F.col(f"_z{k}") for k in range(1, P)), F.col("_z0") * F.col("_z0")))
 
 
-def _estimate(points: DataFrame, keys: list[str], spark: SparkSession) -> DataFrame:
-    """Mean and Cholesky factor for each group of at least MIN_GROUP points."""
+def _starts(points: DataFrame, keys: list[str], spark: SparkSession) -> DataFrame:
+    """Mean and Cholesky factor of each start (_start) for each group of at least MIN_GROUP points."""
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
     medians = points.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.percentile_approx(f"_x{k}", 0.5, 10000).alias(f"_m{k}") for k in range(P)))
     medians = stored(medians.filter(F.col("_n") >= MIN_GROUP).drop("_n"), spark, "medians")
-    spread = points.join(medians, keys).groupBy(*keys).agg(*(F.first(f"_m{k}").alias(f"_m{k}") for k in range(P)), *(F.avg(F.abs(F.col(f"_x{k}") - F.col(f"_m{k}"))).alias(f"_s{k}") for k in range(P)))
-    start = {f"_c{i}{j}": F.lit(0.0) if i != j else F.pow(1.2533 * F.col(f"_s{i}"), F.lit(2)) + FLOORS[i] ** 2 for i in range(P) for j in range(i + 1)}
-    fitted = stored(_cholesky(spread.withColumns(start)).select(*keys, *_fields()), spark, "start")
-    scale = consistency()
-    for step in range(STEPS):
-        near = _distance(points.join(fitted, keys)).select(*keys, "_d2", *(f"_x{k}" for k in range(P)))
-        inner = near.groupBy(*keys).agg(F.percentile_approx("_d2", HALF, 10000).alias("_limit"))
-        held = near.join(inner, keys).filter(F.col("_d2") <= F.col("_limit"))
-        sums = held.groupBy(*keys).agg(*(F.avg(f"_x{k}").alias(f"_m{k}") for k in range(P)), *(F.covar_pop(f"_x{i}", f"_x{j}").alias(f"_v{i}{j}") for i in range(P) for j in range(i + 1)))
+    spread = points.join(medians, keys).groupBy(*keys).agg(*(F.first(f"_m{k}").alias(f"_m{k}") for k in range(P)), *(F.avg(F.abs(F.col(f"_x{k}") - F.col(f"_m{k}"))).alias(f"_a{k}") for k in range(P)))
+    spread = stored(spread.withColumns({f"_s{k}": F.sqrt(F.pow(1.2533 * F.col(f"_a{k}"), F.lit(2)) + FLOORS[k] ** 2) for k in range(P)}), spark, "spread")
+    z = points.join(spread, keys).withColumns({f"_z{k}": (F.col(f"_x{k}") - F.col(f"_m{k}")) / F.col(f"_s{k}") for k in range(P)})
+    z = z.withColumn("_norm", F.greatest(sum((F.col(f"_z{k}") * F.col(f"_z{k}") for k in range(P)), F.lit(0.0)), F.lit(1e-12)))
+    scatter = z.groupBy(*keys).agg(
+        *(F.covar_pop(F.tanh(f"_z{i}"), F.tanh(f"_z{j}")).alias(f"_t{i}{j}") for i, j in pairs),
+        *(F.avg(F.col(f"_z{i}") * F.col(f"_z{j}") / F.col("_norm")).alias(f"_u{i}{j}") for i, j in pairs),
+    )
+    known = stored(scatter.join(spread, keys), spark, "scatter")
+    sized = lambda v, i, j: v * F.col(f"_s{i}") * F.col(f"_s{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
+    kinds = ({p: F.lit(float(p[0] == p[1])) for p in pairs}, {(i, j): F.col(f"_t{i}{j}") for i, j in pairs}, {(i, j): P * F.col(f"_u{i}{j}") for i, j in pairs})
+    starts = None
+    for k, kind in enumerate(kinds):
+        one = _cholesky(known.withColumns({f"_c{i}{j}": sized(v, i, j) for (i, j), v in kind.items()})).select(*keys, F.lit(k).alias("_start"), *_fields(), F.lit(1e9).alias("_det"))
+        starts = one if starts is None else starts.unionByName(one)
+    return stored(starts, spark, "starts")
+
+
+def _estimate(points: DataFrame, keys: list[str], spark: SparkSession) -> DataFrame:
+    """Mean, Cholesky factor and log determinant (_det) of each group of at least MIN_GROUP points, the least of all starts."""
+    moving, seen, scale = _starts(points, keys, spark), None, consistency()
+    each = [*keys, "_start"]
+    while not moving.isEmpty():
+        near = _distance(points.join(moving, keys)).select(*each, "_det", "_d2", *(f"_x{k}" for k in range(P)))
+        inner = stored(near.groupBy(*each).agg(F.percentile_approx("_d2", HALF, 10000).alias("_limit")), spark, "inner")
+        held = near.join(inner, each).filter(F.col("_d2") <= F.col("_limit"))
+        sums = held.groupBy(*each).agg(F.first("_det").alias("_was"), *(F.avg(f"_x{k}").alias(f"_m{k}") for k in range(P)), *(F.covar_pop(f"_x{i}", f"_x{j}").alias(f"_v{i}{j}") for i in range(P) for j in range(i + 1)))
         cov = {f"_c{i}{j}": scale * F.col(f"_v{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)}
-        fitted = stored(_cholesky(sums.withColumns(cov)).select(*keys, *_fields()), spark, f"step{step}")
-    return fitted
+        fresh = _cholesky(sums.withColumns(cov)).withColumn("_det", 2 * sum((F.log(f"_l{k}{k}") for k in range(P)), F.lit(0.0)))
+        fresh = stored(fresh.select(*each, *_fields(), "_det", "_was"), spark, "step")
+        seen = fresh.drop("_was") if seen is None else seen.unionByName(fresh.drop("_was"))
+        # each round lowers a determinant by a fixed part, and the floors bound it from below
+        moving = fresh.filter(F.col("_det") < F.col("_was") - FALL).drop("_was")
+    if seen is None:
+        return moving.drop("_start")
+    best = seen.groupBy(*keys).agg(F.min_by(F.struct(*_fields(), "_det"), F.struct("_det", "_start")).alias("_best"))
+    return stored(best.select(*keys, "_best.*"), spark, "estimate")
 
 
 def _fields() -> list[str]:
@@ -149,12 +178,18 @@ def assess(docs: DataFrame, spark: SparkSession, carry: list[str] | None = None)
     names = docs.columns if carry is None else carry
     told = docs.select(F.col("text"), F.struct(*names).alias("_row"), *(F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-")).alias(f"_{c}") for c in ("lang", "source")))
     rows = stored(measured(told).drop("text"), spark, "measured")
-    points = _points(rows.filter(~base_failed())).select("_lang", "_source", *(f"_x{k}" for k in range(P)))
-    fine = _estimate(points, ["_lang", "_source"], spark)
-    coarse = _estimate(points, ["_lang"], spark)
-    renamed = coarse.select("_lang", *(F.col(c).alias(f"_coarse{c}") for c in _fields()))
-    both = _points(rows).join(fine, ["_lang", "_source"], "left").join(renamed, "_lang", "left")
-    both = both.withColumns({c: F.coalesce(c, f"_coarse{c}") for c in _fields()})
+    points = stored(_points(rows.filter(~base_failed())).select("_lang", "_source", F.lit(0).alias("_all"), *(f"_x{k}" for k in range(P))), spark, "points")
+    both, left, wanted = _points(rows).withColumn("_all", F.lit(0)), points.select("_lang", "_source", "_all").distinct(), points
+    both = both.withColumns({c: F.lit(None).cast("double") for c in _fields()})
+    # the language's estimate where a group has none, that of all documents where the language has none
+    for keys in (["_lang", "_source"], ["_lang"], ["_all"]):
+        found = _estimate(wanted, keys, spark)
+        renamed = found.select(*keys, *(F.col(c).alias(f"_new{c}") for c in _fields()))
+        both = both.join(renamed, keys, "left").withColumns({c: F.coalesce(c, f"_new{c}") for c in _fields()}).drop(*(f"_new{c}" for c in _fields()))
+        left = stored(left.join(found, keys, "left_anti"), spark, "left")
+        if left.isEmpty():
+            break
+        wanted = points.join(left.select("_lang").distinct(), "_lang", "left_semi") if keys[-1] == "_source" else points
     judged = _distance(both)
     failed = base_failed()
     return judged.select(

@@ -213,6 +213,35 @@ def test_quality_rejects_outliers(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
 
 
+def test_quality_judges_rare_languages(spark):
+    text = lambda i: " ".join(f"word{(i * 31 + k * k) % 997}" for k in range(60 + i % 200))
+    clean = [(i, text(i), "en" if i < 150 else f"rare{i % 5}", f"s{i % 3}") for i in range(200)]
+    junk = [(1000 + i, " ".join(f"w{k}###***" for k in range(100)), f"rare{i}", "s0") for i in range(5)]
+    got = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string"), spark).collect()}
+    assert all(got[i]["kept"] for i, *_ in clean) and not any(got[i]["kept"] for i, *_ in junk) and all(r["distance2"] is not None for r in got.values())
+
+
+def test_quality_estimate_has_converged(spark):
+    import numpy as np
+
+    rng, p = np.random.default_rng(5), quality.P
+    mix = rng.normal(size=(p, p))
+    x = np.vstack([rng.normal(size=(180, p)) @ mix, rng.normal(size=(120, p)) @ mix * 0.3 + 4])
+    df = spark.createDataFrame([(0, *map(float, r)) for r in x], "_g int, " + ", ".join(f"_x{k} double" for k in range(p)))
+    fit = quality._estimate(df, ["_g"], spark).first()
+    floors, scale, dets = np.diag(np.square(quality.FLOORS)), quality.consistency(), []
+    starts = [(np.median(x, axis=0), np.diag(np.square(1.2533 * np.abs(x - np.median(x, axis=0)).mean(axis=0))) + floors)]
+    starts.append((np.array([fit[f"_m{k}"] for k in range(p)]), (low := np.array([[fit[f"_l{i}{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])) @ low.T))
+    assert abs(np.linalg.slogdet(starts[1][1])[1] - fit["_det"]) < 1e-6
+    for mean, cov in starts:
+        for _ in range(100):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            held = x[np.argsort(d)[:150]]
+            mean, cov = held.mean(axis=0), scale * np.cov(held.T, bias=True) + floors
+        dets.append(np.linalg.slogdet(cov)[1])
+    assert fit["_det"] <= min(dets) + 0.05
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 

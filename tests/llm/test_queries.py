@@ -104,6 +104,17 @@ def test_near_query(spark, sf_dir):
     assert got == {i: (len(x), find(i)) for (i, _), x in zip(rows, s, strict=True)}
 
 
+@pytest.mark.parametrize(("size", "whole", "page"), [(4, 85, 1024), (5, 80, 8)])
+def test_near_counts_links(spark, monkeypatch, size, whole, page):
+    monkeypatch.setattr(near, "PAGE", page)
+    rows = [(k, " ".join(f"word{i}" if (i + 10 * k) % 150 > k % 4 // 2 else f"x{k}y{i}" for i in range(150))) for k in range(40)]
+    rows += [(100 + k, rows[k % 3][1]) for k in range(6)] + [(200, "")]
+    s = [{tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (t.split() for _, t in rows)]
+    want = {i: sum(a != b and bool(s[a]) and 100 * len(s[a] & s[b]) >= whole * len(s[a] | s[b]) for b in range(len(rows))) for a, (i, _) in enumerate(rows)}
+    got = near.with_components(spark.createDataFrame(rows, "doc_id long, text string"), spark, size=size, whole=whole).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and sum(want.values()) > 2 * len(rows)
+
+
 def removed(rows, window=35):
     seen, out = {}, []
     for _, t, *_ in rows:

@@ -80,6 +80,24 @@ def test_linked_sets_share_a_cell():
                 assert any(np.intersect1d(k, j).size >= max(need, other) for k, need in near.cells(s) for j, other in near.cells(t))
 
 
+def test_linked_sets_share_a_cell_whatever_their_voids():
+    rng = np.random.default_rng(11)
+    for _ in range(20_000):
+        n = int(rng.integers(30, 48))
+        s = np.unique(B.mixed(rng.integers(0, 1 << 62, n).astype(np.uint64)))
+        t = np.unique(np.concatenate([s[rng.integers(0, 4) :], B.mixed(rng.integers(0, 1 << 62, rng.integers(0, 4)).astype(np.uint64))]))
+        if jaccard(s, t):
+            assert any(np.intersect1d(k, j).size >= max(need, other) for k, need in near.cells(s) for j, other in near.cells(t))
+
+
+def test_every_link_is_found():
+    rng = np.random.default_rng(4)
+    base = B.mixed(np.arange(150, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(150) > rng.random() * 0.25], B.mixed(rng.integers(0, 1 << 62, rng.integers(0, 20)).astype(np.uint64))])) for _ in range(200)]
+    everyone = list(range(200))
+    assert sorted(near.linked(sets, everyone, everyone)) == [(i, j) for i in everyone for j in range(i + 1, 200) if jaccard(sets[i], sets[j])]
+
+
 def test_tree_join_loses_nothing():
     rng = np.random.default_rng(3)
     base = B.mixed(np.arange(150, dtype=np.uint64))

@@ -40,6 +40,9 @@ REACH = 6
 SPEECH = frozenset("said says say wrote writes called calls quote quoted dit disait écrit sagte sagt schrieb dijo dice escribió".split())
 ADDRESS = frozenset("you your youre tu toi vous votre du dich dein ihr usted tú eres".split())
 QUOTES = "\"“”„«»"
+#: Marks that end a quotation, by its first mark, and first marks that end none.
+CLOSES = {'"': '"', "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«"}
+DIRECTED = "“„«"
 N_FEATURES = 6
 
 
@@ -111,7 +114,8 @@ class Scorer:
     def __init__(self, model: dict):
         self.terms, self.stems, self.known = model["terms"], model["stems"], set(model["innocent"])
         self.trie = Trie(t for t in self.terms if len(t) >= 4)
-        self.heads = {t[: len(t) // 2] for t in self.terms}
+        # a swap across the middle of an even length changes both halves
+        self.heads = {t[: len(t) // 2] for t in self.terms} | {t[: len(t) // 2 - 1] + t[len(t) // 2] for t in self.terms if len(t) % 2 == 0}
         self.tails = {t[-(len(t) // 2) :] for t in self.terms}
         self.cuts = sorted({len(h) for h in self.heads} | {len(t) for t in self.tails})
         self.quoted = model["quoted"]
@@ -121,8 +125,8 @@ class Scorer:
         """(weight, kind): kind 0 a term, 1 a misspelling, 2 a beginning; None for no hit."""
         if w in self.terms:
             return (self.terms[w], 0, w)
-        # one edit leaves a term's first or second half as it is
-        if len(w) >= 4 and w not in self.known and any(w[:k] in self.heads or w[-k:] in self.tails for k in self.cuts) and (t := self.trie.near(w)):
+        # any other edit leaves a term's first or second half as it is
+        if len(w) >= 3 and w not in self.known and any(w[:k] in self.heads or w[-k:] in self.tails for k in self.cuts) and (t := self.trie.near(w)):
             return (self.terms[t], 1, t)
         for k in reversed(STEMS):
             if len(w) >= k and (s := w[:k]) in self.stems:
@@ -149,20 +153,23 @@ class Scorer:
         """For each hit: inside quotation or after speech, and next to address."""
         import re
 
-        spans, open_at = [], None
+        spans, mark, open_at = [], None, 0
         if any(q in text for q in QUOTES):
-            for m in re.finditer(f"[{QUOTES}]", text):
-                if open_at is None:
-                    open_at = m.start()
-                else:
+            # a quotation ends at the mark that matches its first; one that could end as well as begin ends with its paragraph
+            for m in re.finditer(rf"[{QUOTES}]|\n[^\S\n]*\n", text):
+                if m[0] not in CLOSES:
+                    mark = mark if mark in DIRECTED else None
+                elif mark is None:
+                    mark, open_at = m[0], m.start()
+                elif m[0] in CLOSES[mark]:
                     spans.append((open_at, m.start()))
-                    open_at = None
+                    mark = None
         starts = [m.start() for m in re.finditer(r"\w+", text.lower())] if spans else []
         out = []
         for at, *_ in found:
             near = words[max(0, at - REACH) : at + REACH + 1]
             before = words[max(0, at - REACH) : at]
-            inside = any(a < starts[at] < b and b - a < 400 for a, b in spans) if starts else False
+            inside = any(a < starts[at] < b for a, b in spans) if starts else False
             out.append((inside or any(w in SPEECH for w in before), any(w in ADDRESS for w in near)))
         return out
 

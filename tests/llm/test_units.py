@@ -132,6 +132,29 @@ def test_trie_finds_misspellings():
         assert trie.near(w) is None, w
 
 
+def test_scorer_finds_every_edit():
+    terms = ("stupid", "idiot", "moron", "scum")
+    model = {"terms": dict.fromkeys(terms, 5.0), "stems": {}, "innocent": [], "quoted": 0.3}
+    scorer, letters = tox.Scorer(model), "abcdefghijklmnopqrstuvwxyz1é"
+    for t in terms:
+        cuts = [(t[:k], t[k:]) for k in range(len(t) + 1)]
+        edits = {a + b[1:] for a, b in cuts if b} | {a + c + b for a, b in cuts for c in letters} | {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+        assert [w for w in sorted(edits) if [h[4] for h in scorer.hits(w)[0]] != [t]] == []
+
+
+def test_long_quotations_count():
+    scorer = tox.Scorer({"terms": {"idiot": 5.0}, "stems": {}, "innocent": [], "quoted": 0.3})
+
+    def quoted(text):
+        found, words = scorer.hits(text)
+        return [q for q, _ in scorer.context(text, words, found)]
+
+    long = "one two three " * 60
+    assert quoted(f'then "{long} idiot {long}" end {long} idiot') == [True, False]
+    assert quoted(f"then „{long} idiot\n\n {long}“ end {long} idiot") == [True, False]
+    assert quoted(f'five inches 5" wide\n\n{long} idiot {long} "a" {long} idiot') == [False, False]
+
+
 def test_quotation_counts_less():
     model = {"terms": {"idiot": 5.0}, "stems": {}, "innocent": [], "quoted": 0.3, "weights": [-3.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0], "share": 0.1}
     score = lambda t: tox.score_of(tox.Scorer(model).features(t), model)

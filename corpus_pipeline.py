@@ -41,7 +41,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences and offsets."""
-    return op7_packing.pack(docs, spark)
+    return op7_packing.pack(docs, spark, special=True)
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substrings", substrings), ("packing", packing)]

@@ -40,7 +40,9 @@ BUCKET_ROWS = 20_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _pieces(path: str | None, capacity: int):
+def _pieces(path: str | None, capacity: int, special: bool):
+    allowed = "all" if special else set()
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -49,7 +51,7 @@ def _pieces(path: str | None, capacity: int):
         for b in batches:
             out = ([], [], [], [], [])
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.append(enc.encode_to_numpy(text or "", disallowed_special=()).astype("<u4"), np.uint32(0)).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(text or "", allowed_special=allowed, disallowed_special=()).astype("<u4"), np.uint32(0)).astype("<u4")
                 n, raw = len(ids), ids.tobytes()
                 for at in range(0, n, capacity):
                     m = min(capacity, n - at)
@@ -60,10 +62,10 @@ def _pieces(path: str | None, capacity: int):
     return run
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece. ``special``: special tokens in texts get their own ids."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return source.mapInArrow(_pieces(path, capacity), PIECE)
+    return source.mapInArrow(_pieces(path, capacity, special), PIECE)
 
 
 def knapsack(lengths, prices, capacity: int):
@@ -223,9 +225,9 @@ def rank_ranges(patterns: list[tuple[dict[int, int], int]]) -> list[tuple]:
     return out
 
 
-def pack(docs: DataFrame, spark: SparkSession, path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT, gap: float = GAP) -> DataFrame:
+def pack(docs: DataFrame, spark: SparkSession, path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT, gap: float = GAP, special: bool = False) -> DataFrame:
     """Assign every piece of the documents to a sequence and an offset there."""
-    cut = stored(pieces(docs, path, capacity), spark, "pieces")
+    cut = stored(pieces(docs, path, capacity, special), spark, "pieces")
     buckets = 64 + cut.count() // BUCKET_ROWS
     cut = cut.withColumn("units", F.ceil(F.col("length") / unit)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     by_bucket = cut.groupBy("units", "bucket").agg(F.count("*").alias("n"))
@@ -248,4 +250,4 @@ def pack(docs: DataFrame, spark: SparkSession, path: str | None = None, capacity
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
-    return pack(table(spark, sf_dir, "documents"), spark)
+    return pack(table(spark, sf_dir, "documents"), spark, special=True)

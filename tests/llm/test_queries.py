@@ -275,6 +275,19 @@ def test_packing(spark, odd, empty):
     assert max(ends.values()) <= 1024 and pack.pack(empty, spark).count() == 0
 
 
+def test_packing_takes_special_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "plain <|endoftext"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for run in (pack.op7_packing, lambda spark, sf_dir: corpus_pipeline.packing(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)):
+        got = {r["doc_id"]: r["ids_crc32"] for r in run(spark, str(tmp_path)).collect()}
+        assert got == {i: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in t.encode(x, add_special_tokens=False).ids + [0])) for i, x in enumerate(texts)}
+
+
 def test_packing_query(spark, sf_dir):
     got = pack.op7_packing(spark, sf_dir).collect()
     total = sum(r["length"] for r in got)

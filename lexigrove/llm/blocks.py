@@ -106,34 +106,40 @@ def bounds(spans: int):
     return np.arange(spans, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // spans)
 
 
-def _answer(table):
+def _answer(table, crowd: int = 0):
     import numpy as np
     import pyarrow as pa
 
     arrays = [np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")]
     everything = np.sort(np.concatenate(arrays)) if arrays else np.zeros(0, np.uint64)
     common = np.unique(everything[1:][everything[1:] == everything[:-1]])
-    bits = []
-    for a in arrays:
-        hit = np.zeros(len(a), bool)
-        if len(common):
-            hit[np.searchsorted(a, common[np.isin(common, a, assume_unique=True)])] = True
-        bits.append(np.packbits(hit).tobytes())
-    return pa.table({"block": table.column("block").cast(pa.int32()), "span": table.column("span").cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
+    crowds = np.unique(everything[crowd:][everything[crowd:] == everything[:-crowd]]) if crowd else common[:0]
+    columns = {"block": table.column("block").cast(pa.int32()), "span": table.column("span").cast(pa.int32())}
+    for name, some in (("bits", common), ("crowded", crowds)):
+        bits = []
+        for a in arrays:
+            hit = np.zeros(len(a), bool)
+            if len(some):
+                hit[np.searchsorted(a, some[np.isin(some, a, assume_unique=True)])] = True
+            bits.append(np.packbits(hit).tobytes())
+        columns[name] = pa.array(bits, pa.binary())
+    return pa.table(columns if crowd else {k: columns[k] for k in ("block", "span", "bits")})
 
 
-def shared_keys(sent: DataFrame) -> DataFrame:
-    """Answer rows (block, span, bits) for packet rows (block, span, keys)."""
-    return sent.groupBy("span").applyInArrow(_answer, ANSWER)
+def shared_keys(sent: DataFrame, crowd: int = 0) -> DataFrame:
+    """Answer rows (block, span, bits) for packet rows (block, span, keys).
 
+    With ``crowd``, the column ``crowded`` has a bit for each key that more blocks than that hold."""
+    return sent.groupBy("span").applyInArrow(lambda table: _answer(table, crowd), f"{ANSWER}, crowded binary" if crowd else ANSWER)
 
-def answered(keys, answer, spans: int):
-    """Boolean for each of a block's sorted distinct keys: it stands in another block too."""
+
+def answered(keys, answer, spans: int, column: str = "bits"):
+    """Boolean for each of a block's sorted distinct keys: it stands in another block too (or, for ``crowded``, in many)."""
     import numpy as np
 
     out = np.zeros(len(keys), bool)
     cuts = [*np.searchsorted(keys, bounds(spans)), len(keys)]
-    for s, bits in zip(answer.column("span").to_pylist(), answer.column("bits").to_pylist(), strict=True):
+    for s, bits in zip(answer.column("span").to_pylist(), answer.column(column).to_pylist(), strict=True):
         a, b = cuts[s], cuts[s + 1]
         out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
     return out

@@ -136,6 +136,9 @@ def test_substrings(spark, odd, empty):
     key = lambda r: (r[0] or -1, *r[1:])
     got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sub.find_repeats(odd, spark, block_bytes=900).collect()]
     assert sorted(got, key=key) == sorted(removed(ROWS), key=key)
+    # every seed that two blocks hold counts as crowded
+    crowded = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sub.find_repeats(odd, spark, block_bytes=900, crowd=1).collect()]
+    assert sorted(crowded, key=key) == sorted(got, key=key)
     assert sub.find_repeats(empty, spark).count() == 0
     out = sub.without_repeats(odd, spark)
     assert out.columns == [c for c in odd.columns if c != "block"]

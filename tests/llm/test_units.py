@@ -15,6 +15,7 @@ from lexigrove.llm import op3_toxicity as tox
 from lexigrove.llm import op5_token_counts as tc
 from lexigrove.llm import op7_packing as pack
 from lexigrove.llm import op8_sentencepiece as sp
+from lexigrove.llm import op9_substring_dedup as sub
 from lexigrove.llm import op10_html_extraction as html
 
 
@@ -280,3 +281,34 @@ def test_common_is_longest(a, b):
 )
 def test_page_kinds(body, want):
     assert html.main_text(*html.blocks_of(f"<html><body>{body}</body></html>"), []) == want
+
+
+def naive_match(pieces, k, i, window):
+    """Longest match of place i of piece k with any other place that begins a window."""
+    best = 0
+    for j, other in enumerate(pieces):
+        for at in range(len(other) - window + 1):
+            if (j, at) != (k, i):
+                n = 0
+                while i + n < len(pieces[k]) and at + n < len(other) and pieces[k][i + n] == other[at + n]:
+                    n += 1
+                best = max(best, n)
+    return best
+
+
+@given(st.lists(st.tuples(st.lists(st.integers(0, 2), min_size=5, max_size=13), st.booleans()), min_size=1, max_size=7))
+@settings(max_examples=200, deadline=None)
+def test_factors_against_naive_search(drawn):
+    window, pieces = 5, [p for p, _ in drawn]
+    words, sizes = np.concatenate([np.array(p, np.uint64) for p in pieces]), np.array([len(p) for p in pieces])
+    starts = np.cumsum(sizes) - sizes
+    longest = sub.matched(words, starts, sizes, window)
+    duplicate = sub.factored(words, starts, sizes, np.array([t for _, t in drawn]), window)
+    seen = {}
+    for p, twice in drawn:
+        for i in range(len(p) - window + 1):
+            seen[tuple(p[i : i + window])] = seen.get(tuple(p[i : i + window]), 0) + 1 + twice
+    for k, p in enumerate(pieces):
+        for i in range(len(p) - window + 1):
+            assert longest[starts[k] + i] == naive_match(pieces, k, i, window)
+            assert duplicate[starts[k] + i] == (seen[tuple(p[i : i + window])] > 1)

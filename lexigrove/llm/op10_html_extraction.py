@@ -1,31 +1,41 @@
 """HTML extraction with nearest-URL page differencing.
 
-Each page becomes its blocks of text in page order, each with what its markup says of it:
-*article* (within ``article`` or ``main``), *frame* (navigation, headers, footers, asides,
-forms, notices, adverts, comments, by element, role, class or id) or *open* (neither).
-All pages of a host are ranked by path, query and page_id; each is paired with the nearest
-pages before and after it, their blocks outside the article are aligned by longest common
-subsequence, and blocks that a neighbour shares are deleted. A page whose blocks all equal
+Each page becomes its blocks of text (lines) in page order, each with what its markup says
+of it: *article* (in prose elements of ``article`` or ``main``), *boxed* (within them, but in
+a ``div`` or ``section`` with a class or id of its own), *frame* (navigation, headers,
+footers, asides, forms, notices, adverts, comments, by element, role, class or id) or *open*
+(neither). All pages of a host are ranked by path, query and page_id; each is paired with
+the nearest pages before and after it, all their lines are aligned by longest common
+subsequence, and lines that a neighbour shares are deleted. A page whose lines all equal
 those of another is its copy and says nothing about templates, so neighbours are sought
-beyond copies. The text is the article's blocks; in a page without such an element, the
-open blocks that remain.
+beyond copies.
 
-Blocks inside an article are not deleted for being shared: the corpus holds pages with equal
-articles, and differencing alone would empty them. The ranks are cut into ranges of
-``RANGE`` pages, more beyond ``RANGES`` of them, so no task holds a host; the pages next to a
-range are sent to it as well, wherever they stand. Only the keys at the ends of ranges reach
-the driver. Pages are parsed twice, once for the order and once for the lines, which costs
-less than to keep the lines.
+Markup then vetoes what differencing alone gets wrong, as pages quote each other, and an
+advert that no neighbour shows is one all the same: frame lines go though no neighbour shares
+them; article lines stay though one does; a box stays unless a neighbour shares all its
+lines and it holds less than half of the article's text; open lines beside an article go.
+So in a page with an article, differencing decides its boxes; in one without, it
+decides all open lines. ``n_shared`` tells how many of a page's ``n_lines`` lines a neighbour shares.
+
+The ranks are cut into ranges of ``RANGE`` pages, more beyond ``RANGES`` of them, so no task
+holds a host; the pages next to a range are sent to it as well, wherever they stand. Only the
+keys at the ends of ranges reach the driver. Pages are parsed twice, once for the order and
+once for the lines, which costs less than to keep the lines.
 
 Defined cases: null and empty html give the empty text; a null url is a host of its own;
-repeated rows are copies of each other, each with its text; an empty table gives no rows;
-extra columns are ignored.
+repeated rows are copies of each other, each with its text; equal paths are ordered by query
+and page_id; very long and unclosed markup is read in linear time, and a tag that never ends
+takes the rest of the page with it; lines of any number are aligned exactly, by bit vectors,
+in halves where the vectors would pass ``BITS``; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from array import array
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,60 +44,101 @@ from .common import stored, table
 
 #: Pages in a range of ranks, at least, and ranges, at most.
 RANGE, RANGES = 128, 8192
-ARTICLE, FRAME, OPEN = 0, 1, 2
+#: Kinds of lines; a boxed line has BOXED plus the number of its box.
+ARTICLE, FRAME, OPEN, BOXED = 0, 1, 2, 3
+#: Bits of the vectors kept for an alignment at once.
+BITS = 1 << 29
 
-# Fixed values of the HTML standard.
+# Fixed values of the HTML and MathML standards.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object select annotation annotation-xml".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd".split()
+)
 FRAMES = frozenset("nav footer aside form dialog menu head button fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NAMES = re.compile(
-    r"(?<!\bhas-)(?<!\bno-)(?<!\bwith-)(?<![\w-])(?:[\w-]*[_-])?(?<!\bhas-)(?<!\bno-)(?<!\bwith-)(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|newsletter|subscribe|signup|popup|modal|overlay|paywall|nav|navbar|navigation|menu|"
-    r"breadcrumbs?|sidebar|side|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|login|search|pagination|pager|widget|skip)(?:$|[\s_-])",
-    re.I,
-)
+BOXES = frozenset("div section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What whole class names and ids say of an element: parts of a page, with or without a place and a kind of box.
+PARTS = (
+    "ads? adverts? advertisements? advertising banner sponsor sponsored promo promotion cookies? consent gdpr notices? newsletter subscribe signup popup modal overlay paywall nav navbar navigation menu breadcrumbs? "
+    "sidebar footer header masthead topbar toolbar share sharing social related recommended recommendations comments? disqus disqus_thread replies respond login search pagination pager skip"
+).replace(" ", "|")
+PLACES, SHAPES = "site|page|main|top|bottom|left|right|global|primary|secondary|mobile", "area|bar|box|banner|block|buttons?|container|content|form|inner|left|link|links|list|menu|nav|notice|panel|posts|articles|right|section|slot|unit|widget|wrap|wrapper"
+NAMES = re.compile(rf"(?:(?:{PLACES})[-_]?)?(?:{PARTS})(?:[-_](?:{PARTS}|{SHAPES}|\d+))*")
+#: The same within an article, where words of prose serve as names: only what is no article by any reading.
+INNER = re.compile(r"(?:ads?|adverts?|advertisements?|sponsored|cookie|newsletter|breadcrumbs?|comments?|disqus|pagination|sidebar)(?:[-_](?:area|bar|box|banner|block|container|form|list|notice|section|slot|thread|unit|wrap|wrapper|\d+))*")
 #: Article elements that are no page's article.
-ASIDES = re.compile(r"(?<![a-z])(?:comments?|repl(?:y|ies)|teaser|related|card|promo|ad|sponsored)(?![a-z])", re.I)
+ASIDES = re.compile(r"(?:comment|reply|teaser|related|card|promo|ad|sponsored)s?(?:[-_].*)?")
 #: Elements that end an open one of their own name; any block ends a paragraph.
 CLOSES_OWN = frozenset("li dt dd tr td th option".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: A comment, a section, a declaration, a tag, text; what does not end there ends with the page. No form is tried twice.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+|=)*+)>|[^<]++|<(?![a-zA-Z]|/[a-zA-Z])",
+    re.S,
+)
+#: Where no tag ends as it should: one that ends at the next angle, or with the page.
+LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<", re.S)
 ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-#: The blocks travel packed: a byte for each kind, and the lines under zstandard.
+#: The lines travel packed: four bytes for each kind, and the texts under zstandard.
 LINES = "page_id long, url string, kinds binary, lines binary, host string, path string, query string, seq long, digest long, span long, own boolean"
 KEY = ("host", "path", "query", "seq", "address", "digest")
 KEYS = "host string, path string, query string, seq long, address string, digest long"
 #: The first and last key of a range, and the ones nearest to them that are no copies of them.
 EDGES = f"span long, role string, {KEYS}"
-TEXTS = "page_id long, url string, text string, n_chars long"
+TEXTS = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long"
 
 
 def _kind_of(name: str, attrs: str, inside_article: bool) -> int | None:
     """What an element says of its content; None if nothing."""
     if name in FRAMES or name == "header" and not inside_article:
         return FRAME
+    named = False
     if attrs and name not in ("html", "body"):
         for key, a, b, c in ATTR.findall(attrs):
-            key, value = key.lower(), a or b or c
-            if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return FRAME
-            if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return FRAME
-            if key in ("class", "id") and name == "article" and ASIDES.search(value):
+            key, value = key.lower(), (a or b or c).lower()
+            if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
                 return FRAME
-            if key in ("class", "id") and name not in ("article", "main", "h1") and (m := NAMES.search(value)) and not (inside_article and "header" in m[0].lower()):
+            if key == "style" and re.search(r"display\s*:\s*none", value):
                 return FRAME
-            if key == "role" and value.lower() in ("main", "article"):
+            if key in ("class", "id"):
+                named = named or bool(value)
+                says = ASIDES if name == "article" else INNER if inside_article else NAMES
+                if name != "main" and name not in HEADINGS and any(says.fullmatch(x) for x in value.split()):
+                    return FRAME
+            if key == "role" and value in ("main", "article"):
                 return ARTICLE
-    return ARTICLE if name in ("article", "main") else None
+    if name in ("article", "main"):
+        return ARTICLE
+    return BOXED if inside_article and named and name in BOXES else None
+
+
+def _tokens(page: str):
+    """(tag end mark, tag name, attributes, text) in order, in linear time, without what stands in elements that hold no text."""
+    at, n, pattern = 0, len(page), TOKEN
+    while at < n:
+        m = pattern.match(page, at)
+        if m is None:
+            pattern = LOOSE
+            continue
+        at = m.end()
+        if m[2] and not m[1] and (name := m[2].lower()) in RAW:
+            if not m[3].endswith("/") or name in ("script", "style", "textarea", "title"):
+                shut = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
+                at = shut.end() if shut else n
+            continue
+        yield m[1], m[2], m[3], m[0]
 
 
 def blocks_of(page: str | None) -> tuple[list[int], list[str]]:
-    """Kinds and texts of a page's blocks, in order."""
+    """Kinds and texts of a page's lines, in order."""
     page = page or ""
     kinds, lines, parts = [], [], []
     stack: list[tuple[str, int]] = []
-    kind, at, n = OPEN, 0, len(page)
+    opened: dict[str, int] = {}
+    kind, boxes = OPEN, 0
 
     def end():
         if parts:
@@ -97,100 +148,137 @@ def blocks_of(page: str | None) -> tuple[list[int], list[str]]:
                 lines.append(text)
             parts.clear()
 
-    while at < n:
-        m = TOKEN.match(page, at)
-        if m is None:
-            break
-        at, name = m.end(), m[2]
+    def close(k):
+        for name, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+        return stack[-1][1] if stack else OPEN
+
+    for shut, name, attrs, whole in _tokens(page):
         if name is None:
-            t = m[0]
-            if t[0] != "<" or t == "<":
-                parts.append(t)
-            elif t.startswith("<![CDATA["):
-                parts.append(_html.escape(t[9:-3]))
+            if whole[0] != "<" or len(whole) < 3:
+                parts.append(whole)
+            elif whole.startswith("<![CDATA["):
+                parts.append(_html.escape(whole[9:].removesuffix("]]>")))
             continue
         name = name.lower()
-        if m[1]:
+        if shut:
             if name in INLINE or name in VOID:
                 if name == "br":
                     parts.append(" ")
                 continue
             end()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    kind = stack[-1][1] if stack else OPEN
-                    break
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                kind = close(k)
             continue
         if name in INLINE:
             continue
         if name in VOID:
-            if name in ("br", "hr", "img", "input", "embed"):
-                if name == "hr":
-                    end()
-                else:
-                    parts.append(" " if name == "br" else "")
+            if name == "br":
+                parts.append(" ")
+            elif name == "hr":
+                end()
             continue
         end()
         if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in CLOSES_OWN):
-            stack.pop()
-            kind = stack[-1][1] if stack else OPEN
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not (m[3] and ATTR.search(m[3])):
+            kind = close(len(stack) - 1)
+        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not (attrs and ATTR.search(attrs)):
             continue  # bare blocks nest nothing that matters, and are often not closed
-        if m[3].rstrip().endswith("/"):
+        if attrs.rstrip().endswith("/"):
             continue
-        own = _kind_of(name, m[3], kind == ARTICLE)
-        if kind != FRAME and own is not None:
+        own = _kind_of(name, attrs, kind == ARTICLE or kind >= BOXED)
+        if kind != FRAME and own is not None and not (own == ARTICLE and kind >= BOXED):
+            if own == BOXED:
+                own, boxes = BOXED + boxes, boxes + 1
             kind = own
         stack.append((name, kind))
+        opened[name] = opened.get(name, 0) + 1
     end()
     return kinds, lines
 
 
+def _vectors(a: list, b: list):
+    """Bit vectors of the alignment of ever longer heads of ``a`` with ``b`` (Hyyrö, 2004): bit j is 0 where b[j] lengthens it."""
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks.setdefault(x, []).append(j)
+    bits = {}
+    for x in set(a) & masks.keys():
+        held = bytearray(len(b) // 8 + 1)
+        for j in masks[x]:
+            held[j >> 3] |= 1 << (j & 7)
+        bits[x] = int.from_bytes(held, "little")
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        if x in bits:
+            u = v & bits[x]
+            v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(a: list, b: list) -> list[int]:
+    """Length of the longest common subsequence of ``a`` and each head of ``b``."""
+    from itertools import accumulate
+
+    last = (1 << len(b)) - 1
+    for last in _vectors(a, b):
+        pass
+    return list(accumulate((bit == "0" for bit in reversed(f"{last:0{len(b)}b}")), initial=0)) if b else [0]
+
+
 def common(a: list, b: list) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski)."""
-    from bisect import bisect_left
-
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    high = 0
-    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
-        high += 1
-    found = {*range(low), *range(len(a) - high, len(a))}
-    places: dict = {}
-    for j in range(len(b) - high - 1, low - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    tails, ends, links = [], [], []
-    for i in range(low, len(a) - high):
-        for j in places.get(a[i], ()):
-            k = bisect_left(tails, j)
-            links.append((i, ends[k - 1] if k else -1))
-            if k == len(tails):
-                tails.append(j)
-                ends.append(len(links) - 1)
+    """Places in ``a`` of a longest common subsequence with ``b``."""
+    found, todo = set(), [(a, b, 0)]
+    while todo:
+        x, y, base = todo.pop()
+        low, high = 0, 0
+        while low < min(len(x), len(y)) and x[low] == y[low]:
+            low += 1
+        while high < min(len(x), len(y)) - low and x[-1 - high] == y[-1 - high]:
+            high += 1
+        found.update(range(base, base + low), range(base + len(x) - high, base + len(x)))
+        x, y, base = x[low : len(x) - high], y[low : len(y) - high], base + low
+        if len(x) > 1 and len(x) * len(y) > BITS:
+            # Hirschberg's halves: the head and the tail of y that go best with the halves of x
+            half = len(x) // 2
+            head, tail = _lengths(x[:half], y), _lengths(x[half:][::-1], y[::-1])
+            cut = max(range(len(y) + 1), key=lambda j: head[j] + tail[len(y) - j])
+            todo += [(x[:half], y[:cut], base), (x[half:], y[cut:], base + half)]
+            continue
+        rows = list(_vectors(x, y))
+        i, j = len(x), len(y)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
             else:
-                tails[k], ends[k] = j, len(links) - 1
-    at = ends[-1] if ends else -1
-    while at >= 0:
-        found.add(links[at][0])
-        at = links[at][1]
+                i -= 1
+                if not i or rows[i - 1] >> (j - 1) & 1:
+                    j -= 1
+                    found.add(base + i)
     return found
 
 
-def main_text(kinds: list[int], lines: list[str], neighbours: list[tuple[list[int], list[str]]]) -> str:
-    """A page's text, after deleting what its neighbours share."""
-    if ARTICLE in kinds:
-        return " ".join(t for k, t in zip(kinds, lines, strict=True) if k == ARTICLE)
-    outside, gone = [i for i, k in enumerate(kinds) if k != ARTICLE], set()
-    for other_kinds, other in neighbours:
-        if (kinds, lines) != (other_kinds, other):
-            gone |= {outside[i] for i in common([lines[i] for i in outside], [t for k, t in zip(other_kinds, other, strict=True) if k != ARTICLE])}
-    return " ".join(lines[i] for i in outside if kinds[i] == OPEN and i not in gone)
+def shared_lines(lines: list[str], neighbours: list[list[str]]) -> list[set[int]]:
+    """For each neighbour, the places of lines that it shares."""
+    return [common(lines, other) for other in neighbours]
+
+
+def main_text(kinds: list[int], lines: list[str], shared: list[set[int]]) -> str:
+    """A page's text, after deleting what its neighbours share, unless markup vetoes it."""
+    gone = set().union(*shared)
+    inside = [i for i, k in enumerate(kinds) if k == ARTICLE or k >= BOXED]
+    if not inside:
+        return " ".join(t for i, t in enumerate(lines) if kinds[i] == OPEN and i not in gone)
+    boxes: dict[int, list[int]] = {}
+    for i in inside:
+        boxes.setdefault(kinds[i], []).append(i)
+    size = sum(len(lines[i]) for i in inside)
+    out = {k for k, held in boxes.items() if k >= BOXED and any(s.issuperset(held) for s in shared) and 2 * sum(len(lines[i]) for i in held) < size}
+    return " ".join(lines[i] for i in inside if kinds[i] not in out)
 
 
 def _packed(b):
@@ -198,7 +286,7 @@ def _packed(b):
     import xxhash
 
     # no line holds a line feed, for white space within blocks is one space
-    blocks = [(bytes(k), "\n".join(t).encode("utf-8", "surrogatepass")) for k, t in map(blocks_of, b.column("html").to_pylist())]
+    blocks = [(array("I", k).tobytes(), "\n".join(t).encode("utf-8", "surrogatepass")) for k, t in map(blocks_of, b.column("html").to_pylist())]
     digests = [xxhash.xxh3_64_intdigest(k + b"\xff" + t) - (1 << 63) for k, t in blocks]
     return blocks, list(zip(*(b.column(c).to_pylist() for c in KEY[:-1]), digests, strict=True))
 
@@ -272,8 +360,9 @@ def _differ(key, table_):
     packed = [table_.column(c).to_pylist() for c in ("kinds", "lines")]
     keys = list(zip(*(table_.column(c).to_pylist() for c in ("host", "path", "query", "seq")), [u or "" for u in urls], table_.column("digest").to_pylist(), strict=True))
 
+    @lru_cache(maxsize=16)
     def blocks(i):
-        k = list(packed[0][i])
+        k = list(array("I", packed[0][i]))
         return k, unpack(packed[1][i]).decode("utf-8", "surrogatepass").split("\n") if k else []
 
     order = sorted(range(len(ids)), key=keys.__getitem__)
@@ -288,15 +377,22 @@ def _differ(key, table_):
             if last is not None:
                 near[i].append(last)
     order = [i for i in order if own[i]]
-    texts = [main_text(*blocks(i), [] if ARTICLE in packed[0][i] else [blocks(j) for j in near[i]]) for i in order]
+    texts, n_lines, n_shared = [], [], []
+    for i in order:
+        kinds, lines = blocks(i)
+        shared = shared_lines(lines, [blocks(j)[1] for j in near[i]])
+        texts.append(main_text(kinds, lines, shared))
+        n_lines.append(len(lines))
+        n_shared.append(len(set().union(*shared)))
     return pa.table({
         "page_id": pa.array([ids[i] for i in order], pa.int64()), "url": pa.array([urls[i] for i in order], pa.string()),
         "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+        "n_lines": pa.array(n_lines, pa.int64()), "n_shared": pa.array(n_shared, pa.int64()),
     })
 
 
 def extract(pages: DataFrame, spark: SparkSession, least: int = RANGE) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+    """(page_id, url, text, n_chars, n_lines, n_shared) of every page."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     address = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -327,6 +327,55 @@ def test_pages_of_a_host_across_folders_and_ranges(spark):
         assert {r["page_id"]: r["text"] for r in html.extract(df, spark, least).collect()} == want
 
 
+def aligned(a, b):
+    """Places in a of a longest common subsequence, whichever; by dynamic program."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_pages_query(spark, sf_dir):
+    """Every page against its neighbours in the host's order, taken in plain Python."""
+    rows = duckdb.sql(f"select page_id, url, html from '{sf_dir}/pages.parquet'").fetchall()
+    hosts, read = {}, {i: html.blocks_of(h) for i, _, h in rows}
+    for i, u, _ in rows:
+        host, _, rest = u.split("//", 1)[1].partition("/")
+        path, _, query = ("/" + rest).partition("#")[0].partition("?")
+        hosts.setdefault(host.lower(), []).append((path, query, i))
+    got = {r["page_id"]: r for r in html.op10_html_extraction(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    decided = 0
+    for pages in hosts.values():
+        ids = [i for *_, i in sorted(pages)]
+        for k, i in enumerate(ids):
+            near = [next((j for j in side if read[j] != read[i]), None) for side in (ids[:k][::-1], ids[k + 1 :])]
+            shared = [aligned(read[i][1], read[j][1]) for j in near if j is not None]
+            assert max(shared, default=0) <= got[i]["n_shared"] <= sum(shared) and got[i]["n_lines"] == len(read[i][1])
+            decided += got[i]["n_shared"] > 0
+            assert got[i]["text"] == " ".join(t for kind, t in zip(*read[i], strict=True) if kind == html.ARTICLE)
+    assert decided
+
+
+def test_pages_change_with_their_neighbours(spark):
+    page = "<body><p>Top {}</p><article><h1>{}</h1><p>a story of some length, told to the end</p><div class='call'>Write to us</div></article></body>"
+    bare = "<body><div>Top</div><div>{}</div><div>Call us</div></body>"
+    rows = [(1, "http://h/a/1", page.format(1, "one")), (2, "http://h/a/1?x", page.format(2, "two")), (3, "http://h/b/", page.format(3, "three").replace("Write", "Come"))]
+    rows += [(4, "http://g/1", bare.format("one")), (5, "http://g/1", bare.format("two")), (6, "http://g/2", bare.format("three").replace("Call", "Ask")), (7, "http://f/", bare.format("alone"))]
+    text = lambda rows: {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), spark).collect()}
+    story = " a story of some length, told to the end"
+    assert text(rows) == {1: "one" + story, 2: "two" + story, 3: "three" + story + " Come to us", 4: "one", 5: "two", 6: "three Ask us", 7: "Top alone Call us"}
+    assert text(rows[1:]) == {2: "two" + story + " Write to us", 3: "three" + story + " Come to us", 4: "one", 5: "two", 6: "three Ask us", 7: "Top alone Call us"}
+
+
+def test_very_long_page(spark):
+    page = "<article>" + "<p>same line</p>" * 20_000 + "<p>{}</p></article>" + "<div>tail</div>" * 20_000
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(2)]
+    got = {r["page_id"]: (r["n_chars"], r["n_lines"], r["n_shared"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), spark).collect()}
+    assert got == {i: (20_000 * 10 + 1, 40_001, 40_000) for i in range(2)}
+
+
 def test_pipeline(spark, sf_dir, empty):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seen = [docs]

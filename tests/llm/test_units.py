@@ -254,8 +254,50 @@ def test_page_blocks():
 def test_differencing_deletes_shared_lines():
     page = lambda *body: html.blocks_of("<body>" + "".join(f"<div>{x}</div>" for x in body) + "</body>")
     a, b = page("Home | About", "first story", "more of it", "All rights"), page("Home | About", "second story", "and more", "All rights")
-    assert html.main_text(*a, [b]) == "first story more of it"
-    assert html.main_text(*a, [a]) == "Home | About first story more of it All rights"
+    assert html.main_text(*a, html.shared_lines(a[1], [b[1]])) == "first story more of it"
+    assert html.main_text(*a, []) == "Home | About first story more of it All rights"
+
+
+def test_markup_vetoes_differencing():
+    page = lambda title, *more: html.blocks_of(f"<nav>Home</nav><article><h1>{title}</h1><p>a licence line</p>{''.join(more)}</article><p>beside</p>")
+    box = '<div class="keep-up"><p>Write to us</p><p>or call</p></div>'
+    a, b, c = page("first", box), page("second story", box), page("third", box.replace("call", "fax"))
+    text = lambda x, *others: html.main_text(*x, html.shared_lines(x[1], [o[1] for o in others]))
+    # the box goes if a neighbour shares all of it, the licence line in the article's own prose stays
+    assert text(a) == text(a, c) == "first a licence line Write to us or call"
+    assert text(a, b) == text(a, c, b) == "first a licence line" or len("Write to us or call") * 2 >= len("first a licence line Write to us or call")
+    long = page("first", "<p>and much more of the story, told at length</p>", box)
+    assert text(long, b) == "first a licence line and much more of the story, told at length"
+    # equal articles in a box of their own are no template
+    whole = html.blocks_of('<article><div class="body"><p>one</p><p>two</p></div></article><footer>x</footer>')
+    other = html.blocks_of('<article><div class="body"><p>one</p><p>two</p></div></article><footer>y</footer>')
+    assert text(whole, other) == "one two"
+
+
+@pytest.mark.parametrize("unit", ['<a x="', "<a x='", "<!", "</", "<![CDATA[", "<!--", "<div>", "</x>", "<p", "<a b=\"c'", "<a =", "< "])
+def test_odd_markup_is_read_in_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    html.blocks_of(unit * 40_000 + "<article>x</article>")
+    assert time.perf_counter() - began < 5
+
+
+def test_stray_marks_take_no_text():
+    kinds, lines = html.blocks_of("<article><p title=it's>one <b class=x\">two</b> 1 < 2 </3 three <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><script>if (a<b) c=\"</script>four</article>")
+    assert html.main_text(kinds, lines, []) == "one two 1 < 2 </3 three x=1. four"
+
+
+@pytest.mark.parametrize("bits", [1, 40, 1 << 29])
+def test_alignment_in_halves(monkeypatch, bits):
+    rng = random.Random(3)
+    monkeypatch.setattr(html, "BITS", bits)
+    for _ in range(40):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(25))] for _ in range(2))
+        test_common_is_longest.hypothesis.inner_test(a, b)
+        found = [a[i] for i in sorted(html.common(a, b))]
+        left = iter(b)
+        assert all(x in left for x in found)
 
 
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
@@ -275,7 +317,9 @@ def test_common_is_longest(a, b):
         ('<div class="content has-sidebar"><article><div class="article-header"><h1>T</h1></div><p>x</p></article></div>', "T x"),
         ('<article>a<article class="comment">c</article>b</article>', "a b"),
         ('<section id="comments"><article>c</article></section><main>m<div class="cookie-notice">n</div></main>', "m"),
-        ('<article><ul><li class="share">s<li>k</ul>t<!-- x --><div hidden>h</div></article>', "k t"),
+        ('<article><ul><li class="share">s<li>k</ul>t<!-- x --><div hidden>h</div></article>', "s k t"),
+        ('<article><div class="side-effects">a</div><section id="related-work">b</section><div class="search-engines">c</div><h2 id="login">d</h2></article>', "a b c d"),
+        ('<body><div class="side-effects">a</div><div class="ads">b</div><div id="main-menu">c</div><div class="left-sidebar wide">d</div><h2 id="search">e</h2></body>', "a e"),
         ("<div role=navigation>n</div><article>a&#x41;&nbsp;&nbsp;b<br/>c</article>", "aA b c"),
     ],
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,10 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one under the warehouse where none is named."""
+    """The shared folder that the cluster names; on one machine without a name, one under the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
@@ -37,3 +40,24 @@ def slices(batches, rows: int = 500):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+#: Rows that a join sends to every executor, at most.
+SENT_ROWS = 10_000
+#: A key of more than one in so many rows is a heavy one.
+HEAVY = 2000
+
+
+def joined(rows: DataFrame, found: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", n_found: int | None = None) -> DataFrame:
+    """Rows with the one row of ``found`` for each key, without ``size``, the number of rows that have it.
+
+    A table of up to SENT_ROWS rows (counted, unless ``n_found`` is given) goes to all executors. Of a longer one, the rows
+    of heavy keys do, and there are fewer than HEAVY of them; all others meet their rows by
+    a shuffle, where no key has more than 1 / HEAVY of the ``total`` rows."""
+    if (found.count() if n_found is None else n_found) <= SENT_ROWS:
+        return rows.join(F.broadcast(found.drop(size)), keys, how)
+    heavy = found.filter(F.col(size) > F.lit(total / HEAVY)).drop(size)
+    light = found.filter(F.col(size) <= F.lit(total / HEAVY)).drop(size)
+    hot = rows.join(F.broadcast(heavy), keys)
+    cold = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
+    return hot.unionByName(cold)

@@ -14,8 +14,12 @@ document goes if its squared distance exceeds ``LIMIT``. Groups of fewer than ``
 points use their language's estimate, and languages of fewer points that of all documents;
 only in a table of fewer points is nothing rejected beyond the base rules.
 
-All statistics cover all rows: means and covariances as partial aggregates, medians and
-the half's limit by ``percentile_approx``, so no group meets in one task.
+All statistics cover all rows and are the same in any order of the rows: the points are
+whole numbers of steps of 2**-10 (logarithms) or 2**-14 (shares), so that their sums and
+products add up exactly, and medians and the half's limit count the values, of which there are
+a bounded number. Sums and counts are merged from partial ones, and groups get their estimate
+by broadcast (all of them if they are few, else those that hold more than 1/2000 of the
+points), so no group meets in one task. Sums are exact up to 2e10 points in a group.
 
 Defined cases: null text has no words and fails the base rules; a null language or source
 is a value of its own; repeated rows are judged alike; an empty table gives no rows; a
@@ -29,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, table, text_of
+from .common import SPACE, joined, stored, table, text_of
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -42,6 +46,10 @@ LIMIT = 36.0
 #: Standard deviations added to the covariance, by statistic.
 FLOORS = (0.1, 0.03, 0.01, 0.12, 0.12)
 P = len(FLOORS)
+#: Steps of each statistic in one.
+STEPS = (1 << 10, 1 << 10, 1 << 14, 1 << 14, 1 << 14)
+#: Steps of start scatters, and of the logarithm of a distance.
+FINE, NEAR = 1 << 28, 1 << 12
 #: Points that an estimate needs.
 MIN_GROUP = 10 * P
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -80,10 +88,12 @@ def base_failed() -> Column:
 
 
 def _points(df: DataFrame) -> DataFrame:
+    """_q{k}, the statistics in whole steps, and _x{k}, their values."""
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     x = (F.log(words), F.log(chars / words), F.col("n_symbols") / chars, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / words)
-    return df.withColumns({f"_x{k}": v for k, v in enumerate(x)})
+    df = df.withColumns({f"_q{k}": F.floor(v * STEPS[k] + 0.5) for k, v in enumerate(x)})
+    return df.withColumns({f"_x{k}": F.col(f"_q{k}") / STEPS[k] for k in range(P)})
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -125,47 +135,72 @@ def _distance(df: DataFrame, x=lambda k: F.col(f"_x{k}")) -> DataFrame:
     return df.withColumn("_d2", sum((F.col(f"_z{k}") * F.col(f"_z{k}") for k in range(1, P)), F.col("_z0") * F.col("_z0")))
 
 
-def _starts(points: DataFrame, keys: list[str], spark: SparkSession) -> DataFrame:
-    """Mean and Cholesky factor of each start (_start) for each group of at least MIN_GROUP points."""
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    medians = points.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.percentile_approx(f"_x{k}", 0.5, 10000).alias(f"_m{k}") for k in range(P)))
-    medians = stored(medians.filter(F.col("_n") >= MIN_GROUP).drop("_n"), spark, "medians")
-    spread = points.join(medians, keys).groupBy(*keys).agg(*(F.first(f"_m{k}").alias(f"_m{k}") for k in range(P)), *(F.avg(F.abs(F.col(f"_x{k}") - F.col(f"_m{k}"))).alias(f"_a{k}") for k in range(P)))
-    spread = stored(spread.withColumns({f"_s{k}": F.sqrt(F.pow(1.2533 * F.col(f"_a{k}"), F.lit(2)) + FLOORS[k] ** 2) for k in range(P)}), spark, "spread")
-    z = points.join(spread, keys).withColumns({f"_z{k}": (F.col(f"_x{k}") - F.col(f"_m{k}")) / F.col(f"_s{k}") for k in range(P)})
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def _starts(points: DataFrame, keys: list[str], spark: SparkSession, total: int) -> DataFrame:
+    """Mean, Cholesky factor and number of points (_n) of each start (_start) for each group of at least MIN_GROUP points."""
+    medians = points.groupBy(*keys).agg(F.count("*").alias("_n"), F.count("*").alias("_size"), *(F.percentile(f"_q{k}", F.lit(0.5)).alias(f"_h{k}") for k in range(P)))
+    medians = stored(medians.filter(F.col("_n") >= MIN_GROUP), spark, "medians")
+    apart = joined(points, medians, keys, "_size", total).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.first("_n").alias("_size"), *(F.first(f"_h{k}").alias(f"_h{k}") for k in range(P)), *(F.sum(F.abs(2 * F.col(f"_q{k}") - F.col(f"_h{k}") * 2).cast("long")).alias(f"_a{k}") for k in range(P))
+    )
+    spread = apart.withColumns({f"_m{k}": F.col(f"_h{k}") / STEPS[k] for k in range(P)})
+    spread = spread.withColumns({f"_s{k}": F.sqrt(F.pow(1.2533 * F.col(f"_a{k}") / (2 * STEPS[k]) / F.col("_n"), F.lit(2)) + FLOORS[k] ** 2) for k in range(P)})
+    spread = stored(spread.select(*keys, "_n", "_size", *(f"_{c}{k}" for c in "ms" for k in range(P))), spark, "spread")
+    z = joined(points, spread, keys, "_size", total).withColumns({f"_z{k}": (F.col(f"_x{k}") - F.col(f"_m{k}")) / F.col(f"_s{k}") for k in range(P)})
     z = z.withColumn("_norm", F.greatest(sum((F.col(f"_z{k}") * F.col(f"_z{k}") for k in range(P)), F.lit(0.0)), F.lit(1e-12)))
+    whole = lambda v, steps: F.floor(v * steps + 0.5)
+    z = z.withColumns({f"_t{k}": whole(F.tanh(f"_z{k}"), 1 << 14) for k in range(P)})
     scatter = z.groupBy(*keys).agg(
-        *(F.covar_pop(F.tanh(f"_z{i}"), F.tanh(f"_z{j}")).alias(f"_t{i}{j}") for i, j in pairs),
-        *(F.avg(F.col(f"_z{i}") * F.col(f"_z{j}") / F.col("_norm")).alias(f"_u{i}{j}") for i, j in pairs),
+        *(F.sum(f"_t{k}").alias(f"_t{k}") for k in range(P)),
+        *(F.sum(F.col(f"_t{i}") * F.col(f"_t{j}")).alias(f"_t{i}{j}") for i, j in PAIRS),
+        *(F.sum(whole(F.col(f"_z{i}") * F.col(f"_z{j}") / F.col("_norm"), FINE)).alias(f"_u{i}{j}") for i, j in PAIRS),
     )
     known = stored(scatter.join(spread, keys), spark, "scatter")
     sized = lambda v, i, j: v * F.col(f"_s{i}") * F.col(f"_s{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
-    kinds = ({p: F.lit(float(p[0] == p[1])) for p in pairs}, {(i, j): F.col(f"_t{i}{j}") for i, j in pairs}, {(i, j): P * F.col(f"_u{i}{j}") for i, j in pairs})
+    tanh = lambda i, j: (F.col(f"_t{i}{j}") / F.col("_n") - F.col(f"_t{i}") / F.col("_n") * (F.col(f"_t{j}") / F.col("_n"))) / (1 << 28)
+    kinds = ({p: F.lit(float(p[0] == p[1])) for p in PAIRS}, {p: tanh(*p) for p in PAIRS}, {(i, j): P * F.col(f"_u{i}{j}") / FINE / F.col("_n") for i, j in PAIRS})
     starts = None
     for k, kind in enumerate(kinds):
-        one = _cholesky(known.withColumns({f"_c{i}{j}": sized(v, i, j) for (i, j), v in kind.items()})).select(*keys, F.lit(k).alias("_start"), *_fields(), F.lit(1e9).alias("_det"))
+        one = _cholesky(known.withColumns({f"_c{i}{j}": sized(v, i, j) for (i, j), v in kind.items()})).select(*keys, F.lit(k).alias("_start"), *_fields(), F.lit(1e9).alias("_det"), "_n")
         starts = one if starts is None else starts.unionByName(one)
     return stored(starts, spark, "starts")
 
 
+def _stepped(points: DataFrame, moving: DataFrame, keys: list[str], spark: SparkSession, total: int, groups: int) -> DataFrame:
+    """One concentration step of all starts; _was is the determinant before."""
+    at = [*keys, "_start"]
+    # a group's starts travel in one row, so each point is met once
+    packed = moving.groupBy(*keys).agg(F.first("_n").alias("_size"), F.sort_array(F.collect_list(F.struct("_start", *_fields(), "_det", "_n"))).alias("_each"))
+    near = joined(points, packed, keys, "_size", total, n_found=groups).select(*keys, F.explode("_each").alias("_of"), *(f"_{c}{k}" for c in "qx" for k in range(P))).select("*", "_of.*").drop("_of")
+    near = _distance(near).withColumn("_near", F.floor(F.log1p("_d2") * NEAR)).select(*at, "_det", "_n", "_near", *(f"_q{k}" for k in range(P)))
+    inner = stored(near.groupBy(*at).agg(F.first("_n").alias("_size"), F.percentile("_near", F.lit(HALF)).alias("_limit")), spark, "inner")
+    held = joined(near, inner, at, "_size", total, n_found=3 * groups).filter(F.col("_near") <= F.col("_limit"))
+    sums = held.groupBy(*at).agg(
+        F.first("_det").alias("_was"), F.first("_n").alias("_n"), F.count("*").alias("_h"),
+        *(F.sum(f"_q{k}").alias(f"_a{k}") for k in range(P)), *(F.sum(F.col(f"_q{i}") * F.col(f"_q{j}")).alias(f"_a{i}{j}") for i, j in PAIRS),
+    )
+    mean = {f"_m{k}": F.col(f"_a{k}") / F.col("_h") / STEPS[k] for k in range(P)}
+    scale = consistency()
+    cov = lambda i, j: scale * (F.col(f"_a{i}{j}") / F.col("_h") / (STEPS[i] * STEPS[j]) - F.col(f"_m{i}") * F.col(f"_m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)
+    fresh = _cholesky(sums.withColumns(mean).withColumns({f"_c{i}{j}": cov(i, j) for i, j in PAIRS})).withColumn("_det", 2 * sum((F.log(f"_l{k}{k}") for k in range(P)), F.lit(0.0)))
+    return stored(fresh.select(*at, *_fields(), "_det", "_n", "_was"), spark, "step")
+
+
 def _estimate(points: DataFrame, keys: list[str], spark: SparkSession) -> DataFrame:
-    """Mean, Cholesky factor and log determinant (_det) of each group of at least MIN_GROUP points, the least of all starts."""
-    moving, seen, scale = _starts(points, keys, spark), None, consistency()
-    each = [*keys, "_start"]
+    """Mean, Cholesky factor, log determinant (_det) and points (_n) of each group of at least MIN_GROUP points, the least of all starts."""
+    total = points.count()
+    moving, seen = _starts(points, keys, spark, total), None
+    groups = moving.count() // 3
     while not moving.isEmpty():
-        near = _distance(points.join(moving, keys)).select(*each, "_det", "_d2", *(f"_x{k}" for k in range(P)))
-        inner = stored(near.groupBy(*each).agg(F.percentile_approx("_d2", HALF, 10000).alias("_limit")), spark, "inner")
-        held = near.join(inner, each).filter(F.col("_d2") <= F.col("_limit"))
-        sums = held.groupBy(*each).agg(F.first("_det").alias("_was"), *(F.avg(f"_x{k}").alias(f"_m{k}") for k in range(P)), *(F.covar_pop(f"_x{i}", f"_x{j}").alias(f"_v{i}{j}") for i in range(P) for j in range(i + 1)))
-        cov = {f"_c{i}{j}": scale * F.col(f"_v{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)}
-        fresh = _cholesky(sums.withColumns(cov)).withColumn("_det", 2 * sum((F.log(f"_l{k}{k}") for k in range(P)), F.lit(0.0)))
-        fresh = stored(fresh.select(*each, *_fields(), "_det", "_was"), spark, "step")
+        fresh = _stepped(points, moving, keys, spark, total, groups)
         seen = fresh.drop("_was") if seen is None else seen.unionByName(fresh.drop("_was"))
         # each round lowers a determinant by a fixed part, and the floors bound it from below
         moving = fresh.filter(F.col("_det") < F.col("_was") - FALL).drop("_was")
     if seen is None:
         return moving.drop("_start")
-    best = seen.groupBy(*keys).agg(F.min_by(F.struct(*_fields(), "_det"), F.struct("_det", "_start")).alias("_best"))
+    best = seen.groupBy(*keys).agg(F.min_by(F.struct(*_fields(), "_det", "_n"), F.struct("_det", "_start")).alias("_best"))
     return stored(best.select(*keys, "_best.*"), spark, "estimate")
 
 
@@ -173,24 +208,29 @@ def _fields() -> list[str]:
     return [*(f"_m{k}" for k in range(P)), *(f"_l{i}{j}" for i in range(P) for j in range(i + 1))]
 
 
+def _keyed() -> tuple[Column, Column, Column]:
+    """Keys of the estimates over all documents, over a language, over a language and source."""
+    return F.lit("0"), F.concat(F.lit("1"), F.col("_lang")), F.concat(F.lit("2"), F.length("_lang").cast("string"), F.col("_lang"), F.col("_source"))
+
+
 def assess(docs: DataFrame, spark: SparkSession, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns unless given) with the base statistics, base_failed, distance2 and kept."""
     names = docs.columns if carry is None else carry
     told = docs.select(F.col("text"), F.struct(*names).alias("_row"), *(F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-")).alias(f"_{c}") for c in ("lang", "source")))
     rows = stored(measured(told).drop("text"), spark, "measured")
-    points = stored(_points(rows.filter(~base_failed())).select("_lang", "_source", F.lit(0).alias("_all"), *(f"_x{k}" for k in range(P))), spark, "points")
-    both, left, wanted = _points(rows).withColumn("_all", F.lit(0)), points.select("_lang", "_source", "_all").distinct(), points
-    both = both.withColumns({c: F.lit(None).cast("double") for c in _fields()})
+    points = _points(rows.filter(~base_failed())).select("_lang", "_source", *(f"_{c}{k}" for c in "qx" for k in range(P)))
+    counts = stored(points.groupBy("_lang", "_source").agg(F.count("*").alias("_n2")), spark, "counts")
+    counts = counts.join(counts.groupBy("_lang").agg(F.sum("_n2").alias("_n1")), "_lang").crossJoin(F.broadcast(counts.agg(F.sum("_n2").alias("_n0"))))
     # the language's estimate where a group has none, that of all documents where the language has none
-    for keys in (["_lang", "_source"], ["_lang"], ["_all"]):
-        found = _estimate(wanted, keys, spark)
-        renamed = found.select(*keys, *(F.col(c).alias(f"_new{c}") for c in _fields()))
-        both = both.join(renamed, keys, "left").withColumns({c: F.coalesce(c, f"_new{c}") for c in _fields()}).drop(*(f"_new{c}" for c in _fields()))
-        left = stored(left.join(found, keys, "left_anti"), spark, "left")
-        if left.isEmpty():
-            break
-        wanted = points.join(left.select("_lang").distinct(), "_lang", "left_semi") if keys[-1] == "_source" else points
-    judged = _distance(both)
+    level = lambda of: F.when(F.col("_n2") >= MIN_GROUP, of(2)).when(F.col("_n1") >= MIN_GROUP, of(1)).when(F.col("_n0") >= MIN_GROUP, of(0))
+    counts = counts.withColumns({"_key": level(lambda k: _keyed()[k]), "_size": level(lambda k: F.col(f"_n{k}"))}).filter("_key is not null")
+    told = stored(counts.select("_lang", "_source", "_key", "_size", F.col("_n2").alias("_points")), spark, "groups")
+    needed = stored(told.select("_key", "_size").distinct(), spark, "needed")
+    apart = points.withColumn("_key", F.explode(F.array(*_keyed())))
+    total = counts.agg(F.sum("_n2")).first()[0] or 0
+    found = _estimate(stored(joined(apart, needed, ["_key"], "_size", total), spark, "points"), ["_key"], spark)
+    estimates = stored(told.join(found.select("_key", *_fields()), "_key").drop("_key", "_size"), spark, "estimates")
+    judged = _distance(joined(_points(rows), estimates, ["_lang", "_source"], "_points", total, "left"))
     failed = base_failed()
     return judged.select(
         *(F.col("_row")[c].alias(c) for c in names if c not in STATS and c not in ("base_failed", "distance2", "kept")),

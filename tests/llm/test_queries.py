@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,13 +236,69 @@ def test_quality_judges_rare_languages(spark):
     assert all(got[i]["kept"] for i, *_ in clean) and not any(got[i]["kept"] for i, *_ in junk) and all(r["distance2"] is not None for r in got.values())
 
 
-def test_quality_estimate_has_converged(spark):
-    import numpy as np
+def estimates(x):
+    """The minimum-covariance-determinant estimate of points, in numpy: (mean, covariance, log determinant)."""
+    floors, scale, n = np.diag(np.square(quality.FLOORS)), quality.consistency(), len(x)
+    median = np.median(x, axis=0)
+    s = np.sqrt((1.2533 * np.abs(x - median).mean(axis=0)) ** 2 + np.square(quality.FLOORS))
+    z = (x - median) / s
+    kinds = np.eye(quality.P), np.cov(np.tanh(z).T, bias=True), quality.P * np.mean([np.outer(v, v) / max(v @ v, 1e-12) for v in z], axis=0)
+    best = None
+    for kind in kinds:
+        mean, cov, det = median, kind * np.outer(s, s) + floors, 1e9
+        while True:
+            d = np.floor(np.log1p(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)) * quality.NEAR)
+            held = x[d <= np.percentile(d, 50)]
+            mean, cov, was = held.mean(axis=0), scale * np.cov(held.T, bias=True) + floors, det
+            det = np.linalg.slogdet(cov)[1]
+            if best is None or det < best[2]:
+                best = mean, cov, det
+            if not det < was - quality.FALL:
+                break
+    return best
+
+
+def kept_by_hand(rows):
+    """doc_id -> kept for rows of (doc_id, text, lang, source), without Spark."""
+    x = {}
+    for k, (_, t, *_) in enumerate(rows):
+        n, chars, symbols, dups, repeats = stats(t)
+        lines = sum(bool(line.encode().split()) for line in (t or "").split("\n"))
+        if not (n < 50 or 100 * repeats > 50 * n):
+            v = (np.log(n), np.log(chars / n), symbols / chars, dups / max(lines, 1), repeats / n)
+            x[k] = np.floor(np.array(v) * quality.STEPS + 0.5) / quality.STEPS
+    levels = (lambda r: (r[2], r[3]), lambda r: (r[2], ""), lambda r: ("", ""))
+    out, fits = {}, {}
+    for k, r in enumerate(rows):
+        out[r[0]] = k in x
+        for level, key in enumerate(levels):
+            members = [j for j in x if key(rows[j]) == key(r)]
+            if k in x and len(members) >= quality.MIN_GROUP:
+                at = level, key(r)
+                if at not in fits:
+                    fits[at] = estimates(np.array([x[j] for j in members]))
+                mean, cov, _ = fits[at]
+                out[r[0]] = (x[k] - mean) @ np.linalg.inv(cov) @ (x[k] - mean) <= quality.LIMIT
+                break
+    return out
+
 
+def test_quality_against_numpy(spark, sf_dir):
+    rows = duckdb.sql(f"select doc_id, text, lang, source from '{sf_dir}/documents.parquet'").fetchall()
+    # two groups of one language, one with an estimate of its own, and rare ones
+    rows += [(10_000 + i, " ".join(f"word{(i * 31 + k * k) % 997}{'#' * (i % 40 == 0)}" for k in range(60 + i % 200)), "xx" if i < 180 else f"rare{i % 4}", f"s{i % 3 == 0}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    told = [{r["doc_id"]: (r["kept"], r["distance2"]) for r in quality.assess(d, spark).collect()} for d in (df, df.repartition(7, "doc_id").orderBy(F.xxhash64("doc_id")))]
+    assert told[0] == told[1]
+    assert {i: kept for i, (kept, _) in told[0].items()} == kept_by_hand(rows)
+
+
+def test_quality_estimate_has_converged(spark):
     rng, p = np.random.default_rng(5), quality.P
     mix = rng.normal(size=(p, p))
-    x = np.vstack([rng.normal(size=(180, p)) @ mix, rng.normal(size=(120, p)) @ mix * 0.3 + 4])
-    df = spark.createDataFrame([(0, *map(float, r)) for r in x], "_g int, " + ", ".join(f"_x{k} double" for k in range(p)))
+    q = np.floor(np.vstack([rng.normal(size=(180, p)) @ mix, rng.normal(size=(120, p)) @ mix * 0.3 + 4]) * quality.STEPS + 0.5)
+    x = q / quality.STEPS
+    df = spark.createDataFrame([(0, *map(int, r), *map(float, v)) for r, v in zip(q, x, strict=True)], "_g int, " + ", ".join([*(f"_q{k} long" for k in range(p)), *(f"_x{k} double" for k in range(p))]))
     fit = quality._estimate(df, ["_g"], spark).first()
     floors, scale, dets = np.diag(np.square(quality.FLOORS)), quality.consistency(), []
     starts = [(np.median(x, axis=0), np.diag(np.square(1.2533 * np.abs(x - np.median(x, axis=0)).mean(axis=0))) + floors)]

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lexigrove.llm import common
 from lexigrove.llm import op1_mpeg_audio as mpeg
 from lexigrove.llm import op2_ngram_jaccard as near
 from lexigrove.llm import op3_toxicity as tox
@@ -75,7 +76,7 @@ def test_near(spark, odd, empty):
 
 
 def test_near_in_page_pairs(spark, monkeypatch):
-    monkeypatch.setattr(near, "PAGE", 8)
+    monkeypatch.setattr(near, "PAGE_HASHES", 1200)
     rows = [(k, " ".join(f"word{i}" if (i * 7 + k) % 61 > k % 9 // 4 else f"x{k}y{i}" for i in range(150))) for k in range(60)]
     got = {r["doc_id"]: r["component_id"] for r in near.with_components(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()}
     s, root = sets(rows), list(range(60))
@@ -105,9 +106,9 @@ def test_near_query(spark, sf_dir):
     assert got == {i: (len(x), find(i)) for (i, _), x in zip(rows, s, strict=True)}
 
 
-@pytest.mark.parametrize(("size", "whole", "page"), [(4, 85, 1024), (5, 80, 8)])
+@pytest.mark.parametrize(("size", "whole", "page"), [(4, 85, near.PAGE_HASHES), (5, 80, 1200)])
 def test_near_counts_links(spark, monkeypatch, size, whole, page):
-    monkeypatch.setattr(near, "PAGE", page)
+    monkeypatch.setattr(near, "PAGE_HASHES", page)
     rows = [(k, " ".join(f"word{i}" if (i + 10 * k) % 150 > k % 4 // 2 else f"x{k}y{i}" for i in range(150))) for k in range(40)]
     rows += [(100 + k, rows[k % 3][1]) for k in range(6)] + [(200, "")]
     s = [{tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (t.split() for _, t in rows)]
@@ -116,6 +117,17 @@ def test_near_counts_links(spark, monkeypatch, size, whole, page):
     assert {r["doc_id"]: r["n_links"] for r in got} == want and sum(want.values()) > 2 * len(rows)
 
 
+def test_joined_by_heavy_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 7 if k < 50 else 100 + k, k) for k in range(90)] + [(None, 1000)], "key long, k long")
+    found = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("k").alias("least")).filter("key is not null and key < 130")
+    want = {how: sorted(map(str, rows.join(found.drop("size"), ["key"], how).collect())) for how in ("inner", "left")}
+    for few, heavy in ((10_000, 2000), (0, 2000), (0, 20), (0, 1)):
+        monkeypatch.setattr(common, "SENT_ROWS", few)
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        for how, rows_ in want.items():
+            assert sorted(map(str, common.joined(rows, found, ["key"], "size", 91, how).collect())) == rows_
+
+
 def removed(rows, window=35):
     seen, out = {}, []
     for _, t, *_ in rows:

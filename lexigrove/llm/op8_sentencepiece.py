@@ -2,19 +2,21 @@
 
 A text's pieces form a lattice over its characters. Forward filtering sums, for each
 place, the weights of all segmentations up to it; backward sampling then draws pieces from
-the end, each with its share of those sums, so a whole segmentation comes with its exact
-probability. A piece's weight is ``(1 + merge rank) ** -ALPHA``, its rank in the
+the end, each with its share of those sums, so a whole segmentation is drawn with the share
+of its weight in that of all. A piece's weight is ``(1 + merge rank) ** -ALPHA``, its rank in the
 vocabulary. No piece holds a character before a space, or a line feed beside another
-character, so the lattice falls apart there: distinct parts are filtered once for a batch,
-and all their occurrences are drawn side by side in numpy.
+character, so the lattice falls apart there, and at every other place that no piece crosses:
+the stretches of distinct parts are filtered once for a batch, and all their occurrences are
+drawn side by side in numpy. So a text without spaces takes about as long as one with them.
 
-Draws are hashes of the row key, the part's number and the piece's, so the same row gives
+Draws are hashes of the row key, the stretch's number and the piece's, so the same row gives
 the same segmentation in any order, partition or retry. A character that is no piece stands
 as its UTF-8 bytes' pieces. Decoding joins the pieces' bytes and drops the first space; it
 gives back every text, those with the mark U+2581 included, which counts as no space.
 
 Defined cases: null text counts as empty (no ids); a null key counts as 0; rows with equal
-key and text are equal; an empty table gives no rows; extra columns are ignored.
+key and text are equal; a very long text is worked on in batches of parts; equal weights are
+no ties, for pieces are drawn; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,6 +87,26 @@ class Pieces:
             p = split(" " + t) if t else []
             parts += p
             counts.append(len(p))
+        number = np.arange(len(parts)) - np.repeat(np.cumsum([0, *counts])[:-1], counts)
+        seed = seeds[np.repeat(np.arange(len(texts)), counts)] + number.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        drawn, sizes, at = [], [], 0
+        while at < len(parts):
+            end, held = at, 0
+            while end < len(parts) and (end == at or held + len(parts[end]) <= BATCH):
+                held += len(parts[end])
+                end += 1
+            ids, many = self._drawn(parts[at:end], seed[at:end])
+            drawn.append(ids)
+            sizes.append(many)
+            at = end
+        ids, ends = np.concatenate([np.zeros(0, np.int64), *drawn]), np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+        cuts = ends[np.cumsum([0, *counts])]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _drawn(self, parts: list[str], seeds):
+        """Ids of the pieces of all parts, in order, and their number in each part."""
+        import numpy as np
+
         index: dict[str, int] = {}
         occurrence = np.fromiter((index.setdefault(p, len(index)) for p in parts), np.int64, len(parts))
         distinct = list(index)
@@ -113,12 +135,19 @@ class Pieces:
         if span:
             alone = piece[0] < 0
             piece[0, alone], weight[0, alone] = self.size + chars[alone].astype(np.int32), 1.0 / (2.0 + self.size)
-        # forward filtering, all parts side by side: the sum up to a place, edge by edge
+        # stretches: from each place that no piece crosses to the next
+        begins = np.arange(n)
+        for k in range(1, span):
+            ends_here = piece[k] >= 0
+            begins[ends_here] = np.arange(n)[ends_here] - k
+        heads = np.flatnonzero(np.minimum.accumulate(begins[::-1])[::-1] == np.arange(n))
+        stretches = np.diff(np.append(heads, n))
+        firsts = np.searchsorted(heads, base)  # of each distinct part, and the end
+        # forward filtering, all stretches side by side: the sum up to a place, edge by edge
         below = np.zeros((span, n), np.float32)
         total = np.ones(n)  # of each place, in units of its part's scale there
-        order = np.argsort(-lengths, kind="stable")
-        active = lengths[order]
-        first = base[:-1][order]
+        order = np.argsort(-stretches, kind="stable")
+        active, first = stretches[order], heads[order]
         for j in range(int(active[0]) if len(active) else 0):
             at = first[: int(np.searchsorted(-active, -j, side="left"))] + j
             sums = np.zeros((min(span, j + 1), len(at)))
@@ -135,12 +164,14 @@ class Pieces:
                 for k in range(span):
                     total[at - k] /= scale
         # backward sampling, all occurrences side by side
-        text_of_part = np.repeat(np.arange(len(texts)), counts)
-        number = np.arange(len(parts)) - np.repeat(np.cumsum([0, *counts])[:-1], counts)
-        seed = seeds[text_of_part] + number.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        left, who, step, drawn = lengths[occurrence].copy(), np.arange(len(parts)), 0, []
+        many = np.diff(firsts)[occurrence]
+        ends = np.cumsum(many)
+        turn = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - many, many)  # of the stretch in its part
+        unit = np.repeat(firsts[occurrence], many) + turn
+        seed = np.repeat(seeds, many) + turn.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        left, who, step, drawn = stretches[unit], np.arange(len(unit)), 0, []
         while len(who):
-            at = base[occurrence[who]] + left[who] - 1
+            at = heads[unit[who]] + left[who] - 1
             u = (_mixed(seed[who] + np.uint64(step * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(float) / (1 << 53)
             k, open_, r = np.zeros(len(at), np.int64), np.arange(len(at)), u.astype(np.float32)
             for length in range(span - 1):
@@ -156,13 +187,11 @@ class Pieces:
             who = who[left[who] > 0]
             step += 1
         if not drawn:
-            return [np.zeros(0, np.int64) for _ in texts]
+            return np.zeros(0, np.int64), np.zeros(len(parts), np.int64)
         who, steps, ids = (np.concatenate(x) for x in zip(*drawn, strict=True))
-        ids = ids.astype(np.int64)
         order = np.lexsort((-steps, who))
-        ends = np.searchsorted(text_of_part[who[order]], np.arange(len(texts) + 1))
-        ids = ids[order]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        part = np.repeat(np.arange(len(parts)), many)[who]
+        return ids[order].astype(np.int64), np.bincount(part, minlength=len(parts))
 
     def expanded(self, ids):
         """With bytes' ids in place of characters that are no piece, and how many these are."""

@@ -356,3 +356,21 @@ def test_factors_against_naive_search(drawn):
         for i in range(len(p) - window + 1):
             assert longest[starts[k] + i] == naive_match(pieces, k, i, window)
             assert duplicate[starts[k] + i] == (seen[tuple(p[i : i + window])] > 1)
+
+
+def test_long_unbroken_texts_are_segmented_in_time():
+    import time
+
+    rng, pieces = random.Random(1), sp.Pieces()
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(80_000)), "a" * 300, "x" * 50 + "\u3042" * 50]
+    began = time.perf_counter()
+    for text, ids in zip(texts, pieces.segment(texts, np.arange(3, dtype=np.uint64)), strict=True):
+        assert pieces.decode(pieces.expanded(ids)[0]) == text
+    assert time.perf_counter() - began < 8
+
+
+def test_segmentation_does_not_depend_on_batches(monkeypatch):
+    pieces, texts = sp.Pieces(), ["one two  three\nfour" * 9, "", "five six" * 20]
+    whole = [x.tolist() for x in pieces.segment(texts, np.arange(3, dtype=np.uint64))]
+    monkeypatch.setattr(sp, "BATCH", 17)
+    assert [x.tolist() for x in pieces.segment(texts, np.arange(3, dtype=np.uint64))] == whole

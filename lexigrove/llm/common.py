@@ -35,11 +35,20 @@ def stored(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches, rows: int = 500):
-    """Record batches in slices of a few rows, so that what is built for each stays small."""
+def slices(batches, column: str, size: int = 16_000_000, rows: int = 500):
+    """Record batches in slices of a few rows and bytes of a column (one row at least), so that what is built for each stays small."""
+    import pyarrow.compute as pc
+
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        at = 0
+        while at < b.num_rows:
+            end, held = at, 0
+            while end < b.num_rows and end - at < rows and (end == at or held + lengths[end] <= size):
+                held += lengths[end]
+                end += 1
+            yield b.slice(at, end - at)
+            at = end
 
 
 #: Rows that a join sends to every executor, at most.

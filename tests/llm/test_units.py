@@ -374,3 +374,49 @@ def test_segmentation_does_not_depend_on_batches(monkeypatch):
     whole = [x.tolist() for x in pieces.segment(texts, np.arange(3, dtype=np.uint64))]
     monkeypatch.setattr(sp, "BATCH", 17)
     assert [x.tolist() for x in pieces.segment(texts, np.arange(3, dtype=np.uint64))] == whole
+
+
+def crc_of_bits(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1) & 0xFFFF ^ (0x8005 if (c >> 15) ^ b else 0)
+    return c
+
+
+@pytest.mark.parametrize(
+    ("head", "widths", "bound", "channels"),
+    [
+        (b"\xff\xfe\x90\x00", [4] * 32, 32, 2),  # layer I, 288 kbit/s, stereo
+        (b"\xff\xfe\x90\x50", [4] * 32, 8, 2),  # joint stereo from subband 8 on
+        (b"\xff\xfc\x90\x00", [4] * 11 + [3] * 12 + [2] * 4, 27, 2),  # layer II, 160 kbit/s in two channels
+        (b"\xff\xfc\xa0\xc0", [4] * 11 + [3] * 12 + [2] * 7, 30, 1),  # 192 kbit/s in one
+        (b"\xff\xfc\x10\x00", [4] * 2 + [3] * 6, 8, 2),  # 32 kbit/s
+        (b"\xff\xf4\x80\x40", [4] * 4 + [3] * 7 + [2] * 19, 4, 2),  # MPEG-2, joint stereo from subband 4 on
+    ],
+)
+def test_mpeg_checksums_of_layers_one_and_two(head, widths, bound, channels):
+    rng, h = random.Random(8), mpeg.header(head)
+    frames = []
+    for _ in range(3):
+        bits, chosen = [], 0
+        for k, w in enumerate(widths):
+            for _ in range(channels if k < bound else 1):
+                own = [rng.randrange(2) for _ in range(w)]
+                bits += own
+                chosen += any(own) * (1 if k < bound else channels)
+        if h["layer"] == 2:
+            bits += [rng.randrange(2) for _ in range(2 * chosen)]
+        covered = [b >> s & 1 for b in head[2:] for s in range(7, -1, -1)] + bits
+        rest = bits + [rng.randrange(2) for _ in range(8 * (h["length"] - 6) - len(bits))]
+        body = bytes(sum(b << (7 - i) for i, b in enumerate(rest[k : k + 8])) for k in range(0, len(rest), 8))
+        frames.append(head + crc_of_bits(covered).to_bytes(2, "big") + body)
+    assert [mpeg.parse_stream(b"".join(frames))[k] for k in ("crc_ok", "crc_checked")] == [3, 3]
+    wrong = frames[1][:4] + b"\xde\xad" + frames[1][6:]
+    assert [mpeg.parse_stream(frames[0] + wrong + frames[2])[k] for k in ("crc_ok", "crc_checked")] == [2, 3]
+
+
+def test_mpeg_truncated_frame():
+    data = mpeg.encode_stream(bytes(2304), 2304)
+    whole, short = mpeg.parse_stream(data), mpeg.parse_stream(data[:-10])
+    assert short["junk"] == 0 and len(short["frames"]) == len(whole["frames"]) - 1 and short["truncated"] == len(data) - 10 - whole["frames"][-1][0] and whole["truncated"] == 0
+    assert f"truncated={short['truncated']} " in mpeg.feature_of(short)

@@ -319,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, held_out=None
             model["terms"][unit] = weight
         elif kind == "^" and not any(unit[:k] in model["stems"] and model["stems"][unit[:k]] >= weight for k in STEMS if k < len(unit)):
             model["stems"][unit] = weight
-    told = {r["what"]: r["n"] for r in rows.mapInArrow(_forms(model), "what string, n long").groupBy("what").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "what").limit(50_000).collect()}
+    told = {r["what"]: r["n"] for r in rows.mapInArrow(_forms(model), "what string, n long").groupBy("what").agg(F.sum("n").alias("n")).collect()}  # forms in at most ``sample`` rows
     model["innocent"] = sorted(w[1:] for w in told if w[0] == "~")
     quoted = (told.get("quoted1", 0) + 1) / (told.get("quoted0", 0) + told.get("quoted1", 0) + 2)
     plain = (told.get("plain1", 0) + 1) / (told.get("plain0", 0) + told.get("plain1", 0) + 1)

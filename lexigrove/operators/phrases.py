@@ -50,15 +50,20 @@ def rule_names(phrases: DataFrame, prefix: str | None = None) -> DataFrame:
     return phrases.withColumn("rule", F.concat(F.lit(prefix), F.pmod(F.xxhash64("phrase"), F.lit(1 << 53)).cast("string")))
 
 
+def words_of(text: str) -> list[str]:
+    """A query's words, lowered."""
+    import re
+
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
 def analyzed(query: str, phrases: dict[str, str] | None = None, longest: int = 6) -> list[dict]:
     """A query's terms: longest dictionary phrases within comma parts, single words elsewhere.
 
     Plain Python, for a query is a line: [{type, value, length, pos}]."""
-    import re
-
     out, pos = [], 0
     for part in query.split(","):
-        words = [w for w in re.split(r"[\W_]+", part.lower()) if w]
+        words = words_of(part)
         i = 0
         while i < len(words):
             n = next((n for n in range(min(longest, len(words) - i), 0, -1) if "_".join(words[i : i + n]) in (phrases or {})), 0)

@@ -59,12 +59,21 @@ def highlighted(tokens: Column, start: Column, size: int, terms: list[str] | Col
     return F.array_join(F.transform(F.slice(tokens, start + 1, F.lit(size)), lambda t: F.when(is_term(t), F.concat(F.lit(before), t, F.lit(after))).otherwise(t)), " ")
 
 
-def proximity_tf(hits: DataFrame, n_terms: int, window: int, cardinality: float, base: float) -> DataFrame:
-    """(doc_id, term, ff): counts damped to ``base``, hits in windows that hold enough terms in full."""
-    need = max(1, -(-int(n_terms * cardinality * 100) // 100))
-    back = W.partitionBy("doc_id").orderBy("pos").rangeBetween(-(window // 2), window // 2)
-    near = hits.withColumn("_near", F.size(F.collect_set("term").over(back)))
-    return near.groupBy("doc_id", "term").agg((base * F.count("*") + (1 - base) * F.sum((F.col("_near") >= need).cast("long") * F.col("_near") / n_terms)).alias("ff"))
+def proximity_tf(hits: DataFrame, terms: DataFrame, window: int, cardinality: float, base: float, title_bonus: float = 0.0) -> DataFrame:
+    """(doc_id, doclen, value, ff): counts damped to ``base``, hits near other terms in full, and a bonus for those in the title.
+
+    ``hits`` has doc_id, doclen, value, pos, sent and in_title, ``terms`` has value and
+    near (whether the term is rare enough for windows). A hit of a near term counts by the share
+    of near terms that stand within half a window of it in its sentence, if these are
+    ``cardinality`` of them."""
+    total = terms.agg(F.sum(F.col("near").cast("int")).alias("n_near"))
+    told = hits.join(F.broadcast(terms.select("value", "near").crossJoin(total)), "value")  # a query's terms
+    around = W.partitionBy("doc_id", "sent").orderBy("pos").rangeBetween(-(window // 2), window // 2)
+    found = F.size(F.collect_set(F.when(F.col("near"), F.col("value"))).over(around))
+    full = F.when(F.col("near") & (found >= F.ceil(F.col("n_near") * cardinality)), found / F.col("n_near")).otherwise(0.0)
+    rows = told.withColumn("_full", full)
+    ff = base * F.count("*") + (1 - base) * F.sum("_full") + title_bonus * F.sum(F.col("in_title").cast("int"))
+    return rows.groupBy("doc_id", "doclen", "value").agg(ff.alias("ff"))
 
 
 def accumulated_near(hits: DataFrame, forward: DataFrame, n_terms: int, reach: int = 30, cardinality: float = 0.75, cofactor: float = 2.5, k: int = 20) -> DataFrame:
@@ -78,3 +87,31 @@ def accumulated_near(hits: DataFrame, forward: DataFrame, n_terms: int, reach: i
     sums = enough.groupBy("doc_id", F.col("value").alias("link")).agg(F.sum(F.pow(F.col("n") / n_terms, F.lit(cofactor))).alias("weight"))
     w = W.partitionBy("doc_id").orderBy(F.desc("weight"), "link")
     return sums.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def first_positions(hits: DataFrame, k: int = 10) -> DataFrame:
+    """(doc_id, positions): the first ``k`` places of matches in each document."""
+    return hits.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("pos")), 1, k).alias("positions"))
+
+
+def bound_variables(left: DataFrame, right: DataFrame, reach: int, k: int | None = None, ordered: bool = False) -> DataFrame:
+    """(doc_id, value, n): values of the right side of pairs within range, how often they are bound."""
+    pairs = near_pairs(left.select("doc_id", "pos"), right.select("doc_id", "pos", "value"), reach, ordered)
+    out = pairs.groupBy("doc_id", F.col("other_value").alias("value")).agg(F.count("*").alias("n"))
+    if k is None:
+        return out
+    w = W.partitionBy("doc_id").orderBy(F.desc("n"), "value")
+    return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def titles_at(passages: DataFrame, headings: DataFrame) -> DataFrame:
+    """Passages (doc_id, start, ...) with ``paratitle``, the last heading (doc_id, pos, value) at or before their start."""
+    marks = passages.select("doc_id", F.col("start").alias("pos"), F.lit(1).alias("_p"), F.lit(None).cast("string").alias("value")).unionByName(headings.select("doc_id", "pos", F.lit(0).alias("_p"), "value"))
+    w = W.partitionBy("doc_id").orderBy("pos", "_p").rowsBetween(W.unboundedPreceding, 0)
+    told = marks.withColumn("paratitle", F.last("value", ignorenulls=True).over(w)).filter("_p = 1")
+    return passages.join(told.select("doc_id", F.col("pos").alias("start"), "paratitle").distinct(), ["doc_id", "start"], "left")
+
+
+def pieces_joined(pieces: DataFrame, glue: str = " --- ") -> DataFrame:
+    """(doc_id, abstract): the pieces (doc_id, pos, piece) of each document in order, joined."""
+    return pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"]), glue).alias("abstract"))

@@ -28,13 +28,16 @@ class Scheme:
     title_bonus: float = 4.0
     maxdf: float = 0.2
     links: float | None = None  # share of link features
-    near_type: str | None = None  # forward feature that is accumulated near matches
-    near_range: int = 30
+    near: tuple[tuple[str, int], ...] = ()  # forward features that are accumulated near matches, with their ranges
     near_cardinality: float = 0.75
     cofactor: float = 2.5
     limit_per_doc: int = 20
 
 
+def _link_scheme(name: str, *near: tuple[str, int]) -> Scheme:
+    return Scheme(name, avgdoclen=500.0, pageweight=0.2, near=near)
+
+
 #: The schemes by name.
 SCHEMES = {
     s.name: s
@@ -43,10 +46,10 @@ SCHEMES = {
         Scheme("BM25pg", pageweight=0.2),
         Scheme("BM25pff", window=60),
         Scheme("BM25std", window=60, links=0.7),
-        Scheme("NBLNK", avgdoclen=500.0, pageweight=0.2, near_type="linkid"),
-        Scheme("TILNK", avgdoclen=500.0, pageweight=0.2, near_type="veclfeat"),
-        Scheme("VCLNK", avgdoclen=500.0, pageweight=0.2, near_type="vecfname"),
-        Scheme("STDLNK", avgdoclen=500.0, pageweight=0.2, near_type="linkid,veclfeat,vecfname"),
+        _link_scheme("NBLNK", ("linkid", 30)),
+        _link_scheme("TILNK", ("veclfeat", 30)),
+        _link_scheme("VCLNK", ("vecfname", 30)),
+        _link_scheme("STDLNK", ("linkid", 30), ("veclfeat", 30), ("vecfname", 20)),
         Scheme("BM25old", k1=0.75, b=2.1),
     )
 }
@@ -67,11 +70,12 @@ def tf_weight(tf: Column, doclen: Column, s: Scheme) -> Column:
     return tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * doclen / s.avgdoclen))
 
 
-def bm25(counts: DataFrame, terms: DataFrame, n: Column | int, s: Scheme = SCHEMES["BM25"]) -> DataFrame:
-    """(doc_id, score) from (doc_id, value, tf, doclen) and query terms (value, df, weight)."""
-    n = F.lit(n).cast("double") if isinstance(n, int) else n
+def bm25(counts: DataFrame, terms: DataFrame, n: Column | int, s: Scheme = SCHEMES["BM25"], count: str = "tf") -> DataFrame:
+    """(doc_id, score, n_terms) from (doc_id, value, tf, doclen) and query terms (value, df, weight)."""
+    n = F.lit(float(n)) if isinstance(n, int) else n
     hit = counts.join(F.broadcast(terms), "value")  # a query's terms
-    return hit.groupBy("doc_id").agg(F.sum(F.col("weight") * idf(n, F.col("df")) * tf_weight(F.col("tf"), F.col("doclen"), s)).alias("score"))
+    score = F.sum(F.col("weight") * idf(n, F.col("df")) * tf_weight(F.col(count), F.col("doclen"), s))
+    return hit.groupBy("doc_id").agg(score.alias("score"), F.count_distinct("value").alias("n_terms"))
 
 
 def mixed(first: Column, second: Column, share: float) -> Column:

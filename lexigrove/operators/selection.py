@@ -50,9 +50,14 @@ def aligned(refs: DataFrame, links: DataFrame) -> DataFrame:
     return refs.join(links.select("doc_id", "pos", F.col("value").alias("link")), ["doc_id", "pos"])
 
 
+def seeded(key: Column, seed: int = 0) -> Column:
+    """A key's draw: a hash of it and the seed."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))
+
+
 def seeded_sample(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """``k`` rows drawn by a seeded hash of their key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+    return rows.orderBy(seeded(F.col(key), seed), key).limit(k)
 
 
 def sharded(rows: DataFrame, key: str, n: int) -> DataFrame:

@@ -11,22 +11,9 @@ from ..operators import links, markup, nlp, phrases, postings, proximity, rankin
 from ..sources import dumps, sinks
 from ..streaming import statistics
 from . import search as plans
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query, with DuckDB SQL where SQL expresses it."""
-
-    def run(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return run
-
+from .index import index_of
+from .registry import QUERIES, SQL, query, table
+from .registry import rounded as _rounded
 
 def queries():
     return QUERIES
@@ -36,15 +23,14 @@ def oracle_sql():
     return SQL
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: The band of document frequencies that registered queries take their words from.
+LOW, HIGH = 0.05, 0.3
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best six documents for the two most frequent words of the middle band, with passages."""
-    docs = table(spark, sf_dir, "documents")
-    words = [r["value"] for r in plans.top_words(docs).orderBy("idx").collect()]  # two rows
-    return plans.search(plans.Index(docs), " ".join(words))
+    index = index_of(spark, sf_dir)
+    return plans.search(index, " ".join(index.frequent(LOW, HIGH, 2)))
 
 
 # Shared parts of the SQL: words by document, postings, statistics, and a query of the two
@@ -64,17 +50,15 @@ def _bm_sql(tail: str, k1: float = 1.2, b: float = 0.75, avg: float = 1000.0) ->
     return f"WITH {sql} {tail}"
 
 
-def _ranks(spark, sf_dir, s=ranking.SCHEMES["BM25"], *keep):
-    """(doc_id, kept, score) of the band query: words are counted where their document stands."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", *keep, T.lower_words(F.col("text")).alias("toks"))
-    terms = plans.top_words(table(spark, sf_dir, "documents"))
-    counts = docs.select("doc_id", *keep, F.size("toks").alias("doclen"), F.explode("toks").alias("value")).join(F.broadcast(terms), "value")  # two rows
-    tf = counts.groupBy("doc_id", *keep, "value", "df", "n", "doclen").agg(F.count("*").alias("tf"))
-    return tf.groupBy("doc_id", *keep).agg(F.sum(ranking.idf(F.col("n"), F.col("df")) * ranking.tf_weight(F.col("tf"), F.col("doclen"), s)).alias("score"))
+def _terms(spark, sf_dir, k: int = 2):
+    index = index_of(spark, sf_dir)
+    return index, index.terms(index.frequent(LOW, HIGH, k))
 
 
-def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+def _ranks(spark, sf_dir, s=ranking.SCHEMES["BM25"], *keep):
+    """(doc_id, kept, score) of the band query, from the postings of its words."""
+    ranks = plans.scored(*_terms(spark, sf_dir), s).select("doc_id", "score")
+    return ranks.join(table(spark, sf_dir, "documents").select("doc_id", *keep), "doc_id") if keep else ranks
 
 
 # --- statistics ---------------------------------------------------------------------------
@@ -178,19 +162,22 @@ def dict_merge(spark, sf_dir):
 
 @query("WITH " + QRY + " SELECT doc_id FROM tok JOIN q USING (value) GROUP BY doc_id HAVING count(DISTINCT value) = 2")
 def select_all_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return selection.holding(docs.select("doc_id", F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("value")), plans.top_words(docs))
+    index, terms = _terms(spark, sf_dir)
+    words = [t["value"] for t in terms]
+    return selection.holding(index.postings(words).select("doc_id", "value"), index.dfs(words).select("value", "df"))
 
 
 @query("WITH " + STATS + ", q AS (SELECT value FROM dfs, num WHERE df >= 0.05 * n AND df <= 0.3 * n ORDER BY df DESC, value LIMIT 4) SELECT doc_id FROM tok JOIN q USING (value) GROUP BY doc_id HAVING count(DISTINCT value) >= 3")
 def select_k_of_n(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return selection.holding(docs.select("doc_id", F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("value")), plans.top_words(docs, k=4), selection.title_cardinality(4))
+    index, terms = _terms(spark, sf_dir, 4)
+    words = [t["value"] for t in terms]
+    return selection.holding(index.postings(words).select("doc_id", "value"), index.dfs(words).select("value", "df"), selection.title_cardinality(4))
 
 
 @query("WITH " + QRY + " SELECT bool_and(df = 0 OR df >= n / 12.0) AS only_stopwords FROM q")
 def stopword_only_query(spark, sf_dir):
-    return selection.only_stopwords(plans.top_words(table(spark, sf_dir, "documents")), F.col("n"))
+    index, terms = _terms(spark, sf_dir)
+    return selection.only_stopwords(index.dfs([t["value"] for t in terms]), index.n)
 
 
 @query(_bm_sql("SELECT doc_id, round(score, 6) AS score FROM bm WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY score DESC, doc_id LIMIT 20"))
@@ -279,20 +266,17 @@ def shard_modulo(spark, sf_dir):
     return selection.sharded(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 4).groupBy("shard").agg(F.count("*").alias("n"))
 
 
-@query()
-def random_sample(spark, sf_dir):
-    return selection.seeded_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 200, 7)
-
 
 # --- proximity and phrases ----------------------------------------------------------------
 
 HITS = ", h AS (SELECT doc_id, pos, idx AS term FROM tok JOIN q USING (value))"
 
 
-def _hits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    terms = plans.top_words(docs)
-    return postings.tokens(docs).join(F.broadcast(terms.select("value", F.col("idx").alias("term"))), "value").select("doc_id", "pos", "term")  # two rows
+def _hits(spark, sf_dir, k: int = 2):
+    """(doc_id, pos, sent, term) of the band query's words, numbered from 1."""
+    index, terms = _terms(spark, sf_dir, k)
+    number = F.coalesce(*(F.when(F.col("value") == t["value"], t["term"]) for t in terms))
+    return index.hits([t["value"] for t in terms]).select("doc_id", "pos", "sent", number.alias("term"))
 
 
 @query("WITH " + QRY + HITS + " SELECT a.doc_id, a.pos::INT AS pos, b.pos::INT AS other_pos FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.term = 1 AND b.term = 2 AND abs(a.pos - b.pos) <= 30")
@@ -356,31 +340,6 @@ def highlight(spark, sf_dir):
     return docs.select("doc_id", proximity.highlighted(T.words(F.col("text")), F.lit(0), 40, ["the", "of"]).alias("abstract"))
 
 
-@query("WITH " + QRY + HITS + ", w AS (SELECT a.doc_id, a.pos, a.term, count(DISTINCT b.term) AS near FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 30 AND a.pos + 30 GROUP BY ALL), ff AS (SELECT doc_id, term, 0.4 * count(*) + 0.6 * sum(CASE WHEN near >= 2 THEN near / 2.0 ELSE 0 END) AS ff FROM w GROUP BY doc_id, term) SELECT ff.doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * ff * 2.2 / (ff + 1.2 * (0.25 + 0.75 * doclen / 1000.0))), 6) AS score FROM ff JOIN q ON term = idx JOIN dl USING (doc_id) GROUP BY ff.doc_id ORDER BY 2 DESC, 1 LIMIT 20")
-def bm25pff(spark, sf_dir):
-    s = ranking.SCHEMES["BM25pff"]
-    docs = table(spark, sf_dir, "documents")
-    terms = plans.top_words(docs)
-    ff = proximity.proximity_tf(_hits(spark, sf_dir), 2, s.window, 1.0, s.ffbase)
-    told = ff.join(F.broadcast(terms.withColumn("term", F.col("idx"))), "term").join(postings.doc_lengths(docs), "doc_id")  # two rows
-    score = F.sum(ranking.idf(F.col("n"), F.col("df")) * ranking.tf_weight(F.col("ff"), F.col("doclen"), s))
-    return ranking.top(_rounded(told.groupBy("doc_id").agg(score.alias("score")), "score"), 20)
-
-
-@query("WITH " + QRY + HITS + ", v AS (SELECT value FROM dfs, num WHERE df BETWEEN 3 AND 10), fwd AS (SELECT doc_id, pos, value FROM tok JOIN v USING (value)), p AS (SELECT f.doc_id, f.value, f.pos, count(DISTINCT h.term) AS k FROM fwd f JOIN h ON f.doc_id = h.doc_id AND abs(f.pos - h.pos) <= 30 GROUP BY ALL), s AS (SELECT doc_id, value AS link, sum(pow(k / 2.0, 2.5)) AS weight FROM p WHERE k >= 0.75 * 2 GROUP BY doc_id, value), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, link) AS rk FROM s) SELECT doc_id, link, round(weight, 6) AS weight FROM r WHERE rk <= 20")
-def near_links(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rare = postings.document_frequencies(docs).filter("df between 3 and 10").select("value")
-    forward = postings.tokens(docs).join(rare, "value")
-    return _rounded(proximity.accumulated_near(_hits(spark, sf_dir), forward, 2), "weight")
-
-
-@query(_bm_sql(", lk AS (SELECT page_id AS doc_id, count(*)::DOUBLE AS refs FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) FROM pages) GROUP BY 1) SELECT bm.doc_id, round(0.7 * coalesce(ln(refs), 0) + (1 - 0.7) * score, 6) AS score FROM bm LEFT JOIN lk USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 20"))
-def two_pass_std(spark, sf_dir):
-    refs = markup.html_links(table(spark, sf_dir, "pages")).groupBy(F.col("page_id").alias("doc_id")).agg(F.log(F.count("*").cast("double")).alias("link_score"))
-    both = _ranks(spark, sf_dir).join(refs, "doc_id", "left")
-    return ranking.top(_rounded(both.select("doc_id", ranking.mixed(F.col("score"), F.coalesce("link_score", F.lit(0.0)), 0.7).alias("score")), "score"), 20)
-
 
 @query("WITH " + STATS + ", d AS (SELECT value, df, row_number() OVER (ORDER BY md5(value), value) AS r FROM dfs WHERE df >= 2 ORDER BY r LIMIT 2400), q AS (SELECT CASE WHEN r <= 800 THEN r ELSE 800 + ceil((r - 800) / 2.0) END::BIGINT AS qid, value, df, n FROM d, num), tf AS (SELECT doc_id, value, count(*) AS tf FROM tok GROUP BY doc_id, value), s AS (SELECT qid, tf.doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doclen / 1000.0))), 6) AS score FROM tf JOIN q USING (value) JOIN dl USING (doc_id) GROUP BY qid, tf.doc_id), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, doc_id, score, rank::INT AS rank FROM k WHERE rank <= 6")
 def search_load_1600(spark, sf_dir):
@@ -389,19 +348,6 @@ def search_load_1600(spark, sf_dir):
     return plans.search_many(docs, plans.sampled_queries(docs))
 
 
-@query()
-def search_std(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rare = postings.document_frequencies(docs).filter("df between 3 and 10").select("value")
-    index = plans.Index(docs, postings.tokens(docs).join(rare, "value"))
-    words = [r["value"] for r in plans.top_words(docs).orderBy("idx").collect()]  # two rows
-    return plans.search(index, " ".join(words), s="STD")
-
-
-@query()
-def search_flagship(spark, sf_dir):
-    return flagship(spark, sf_dir)
-
 
 # --- links and graphs -----------------------------------------------------------------------
 
@@ -752,3 +698,6 @@ def top_word_by_language(spark, sf_dir):
 def statistics_changes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return dumps.statistics_changes(postings.document_frequencies(docs.filter("lang = 'en'")), postings.document_frequencies(docs))
+
+
+from . import analysis, retrieval  # noqa: E402, F401  (more queries, which share the SQL above)

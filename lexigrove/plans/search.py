@@ -1,113 +1,156 @@
-"""Ranked retrieval end to end: one lazy plan a pass."""
+"""Ranked retrieval end to end over a stored index; a query reads the buckets of its words."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import links, phrases, postings, proximity, ranking, selection
+from .index import Index
 
 #: Documents that the link pass looks at, and rows of each related list.
 HORIZON, LINKS, TITLES, FEATURES = 120, 20, 20, 15
+#: The link pass's features by the name of their list.
+LISTS = {"linkid": ("nblinks", LINKS), "veclfeat": ("titles", TITLES), "vecfname": ("features", FEATURES)}
+
+
+def terms_table(index: Index, terms: list[dict], s: ranking.Scheme) -> DataFrame:
+    """(value, df, weight, near) of the query's terms that the collection holds."""
+    rows = [(t["value"], t["df"], float(t["weight"]), t["df"] <= s.maxdf * index.n) for t in terms if t["df"] > 0]
+    return index.spark.createDataFrame(rows, "value string, df long, weight double, near boolean")
+
+
+def scored(index: Index, terms: list[dict], s: ranking.Scheme, metadata: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score, n_terms) of all documents that hold a term; ``metadata`` has doc_id and pageweight."""
+    words, told = [t["value"] for t in terms if t["df"] > 0], terms_table(index, terms, s)
+    if s.window is None:
+        ranks = ranking.bm25(index.postings(words), told, index.n, s)
+    else:
+        ff = proximity.proximity_tf(index.hits(words), told, s.window, s.cardinality, s.ffbase, s.title_bonus)
+        ranks = ranking.bm25(ff, told, index.n, s, "ff")
+    if s.pageweight is not None and metadata is not None:
+        both = ranks.join(metadata.select("doc_id", "pageweight"), "doc_id", "left")
+        ranks = both.select("doc_id", ranking.with_pageweight(F.col("score"), F.coalesce("pageweight", F.lit(0.0)), s.pageweight).alias("score"), "n_terms")
+    return ranks
+
+
+def needed(index: Index, terms: list[dict]) -> int:
+    """How many of a query's terms a document must hold: all that the collection has, or a title's share where all are stop words."""
+    live = [t for t in terms if t["df"] > 0]
+    stop = all(t["df"] >= index.n / 12 for t in live)
+    return selection.title_cardinality(len(live)) if stop else len(live)
+
 
+def candidates(index: Index, terms: list[dict], s: ranking.Scheme, restrict: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """The scored documents that hold enough terms, restricted to some and to those that redirect nowhere."""
+    ranks = scored(index, terms, s, metadata).filter(F.col("n_terms") >= needed(index, terms))
+    if metadata is not None and "redirect" in metadata.columns:
+        ranks = ranks.join(metadata.filter("redirect <> 0").select("doc_id"), "doc_id", "left_anti")
+    return ranks if restrict is None else ranks.join(restrict.select("doc_id"), "doc_id", "left_semi")
 
-@dataclass
-class Index:
-    """What a search reads: documents (doc_id, text; pageweight, redirect if there) and forward
-    features (type, doc_id, pos, value)."""
-
-    docs: DataFrame
-    forward: DataFrame | None = None
-    names: dict[str, str] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.toks = self.docs.withColumn("toks", T.lower_words(F.col("text"))).withColumn("doclen", F.size("toks").cast("long"))
-        self.n = self.docs.count()
-
-
-def query_terms(index: Index, words: list[str]) -> list[dict]:
-    """The words with their df: a row for each word goes to the driver."""
-    found = index.toks.select(F.explode(F.array_distinct(F.filter("toks", lambda t: t.isin(*words)))).alias("value")).groupBy("value").count().collect()
-    df = {r["value"]: r["count"] for r in found}
-    return [{"value": w, "df": df.get(w, 0), "weight": 1.0} for w in dict.fromkeys(words)]
-
-
-def candidates(index: Index, terms: list[dict], restrict: DataFrame | None) -> DataFrame:
-    """Documents that hold all words with df > 0 (titles' share where all are stop words)."""
-    docs = index.toks
-    if "redirect" in docs.columns:
-        docs = docs.filter("redirect = 0")
-    if restrict is not None:
-        docs = docs.join(restrict.select("doc_id"), "doc_id", "left_semi")
-    live = [t["value"] for t in terms if t["df"] > 0]
-    stop = all(t["df"] == 0 or t["df"] >= index.n / 12 for t in terms)
-    need = selection.title_cardinality(len(live)) if stop else len(live)
-    return docs.filter(F.size(F.array_intersect("toks", F.array(*map(F.lit, live)))) >= need)
-
-
-def _count(tokens: str, word: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == word)).cast("double")
-
-
-def scored(docs: DataFrame, index: Index, terms: list[dict], s: ranking.Scheme) -> DataFrame:
-    """(doc_id, score): the words' counts within each document's own array, so no shuffle is needed."""
-    total = F.lit(0.0)
-    n = F.lit(float(index.n))
-    for t in terms:
-        if t["df"]:
-            tf = _count("toks", t["value"])
-            total = total + t["weight"] * ranking.idf(n, F.lit(float(t["df"]))) * ranking.tf_weight(tf, F.col("doclen"), s)
-    if s.pageweight is not None and "pageweight" in docs.columns:
-        total = ranking.with_pageweight(total, F.col("pageweight"), s.pageweight)
-    if s.window is not None:
-        hit = F.transform("toks", lambda x: x.isin(*[t["value"] for t in terms if 0 < t["df"] <= s.maxdf * index.n] or [""]).cast("int"))
-        docs = docs.withColumn("_hits", hit)
-        near = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("_hits"), F.lit(1))), F.lit(0), lambda a, i: F.greatest(a, F.when(F.get(F.col("_hits"), i - 1) == 1, F.aggregate(F.slice("_hits", i, F.lit(s.window)), F.lit(0), lambda b, h: b + h)).otherwise(0)))
-        total = total * (s.ffbase + (1 - s.ffbase) * F.least(near / max(1, len(terms)), F.lit(1.0)))
-    return docs.select("doc_id", total.alias("score"))
-
-
-def search(index: Index, q: str, i: int = 0, n: int = 6, s: str = "BM25", d: DataFrame | None = None, passage: int = 40) -> DataFrame:
-    """Ranks i .. i + n of a query: (doc_id, score, abstract). ``STD`` runs the link pass first."""
-    found = phrases.analyzed(q, index.names)
-    words = list(dict.fromkeys(t["value"] for t in found if t["type"] == "stem"))
-    terms = query_terms(index, words)
+
+def query_terms(index: Index, q: str, names: dict[str, str] | None = None) -> list[dict]:
+    """A query's words with df, normalized as the index was; fails if the collection holds none."""
+    words = [t["value"] for t in phrases.analyzed(q, names) if t["type"] == "stem"]
+    terms = index.terms(index.analyzed(words))
     if not any(t["df"] for t in terms):
         raise ValueError("features not found")
-    pool = candidates(index, terms, d)
-    name = "BM25std" if s == "STD" else s
-    ranks = scored(pool, index, terms, ranking.scheme(name))
-    if s == "STD" and index.forward is not None:
-        lifted = related(index, words, terms, pool).withColumn("weight", F.log(F.col("weight") + 1))
-        hits = index.forward.join(F.broadcast(lifted), index.forward["value"] == lifted["link"]).groupBy("doc_id").agg(F.sum("weight").alias("_links"))  # 20 links
-        ranks = ranks.join(hits, "doc_id", "left").select("doc_id", ranking.mixed(F.col("score"), F.coalesce("_links", F.lit(0.0)), ranking.SCHEMES["BM25std"].links).alias("score"))
-    best = ranking.top(ranks, n, i)
-    return passages(index, best, words, passage)
+    return terms
+
+
+def link_pass(index: Index, terms: list[dict], forward: dict[str, DataFrame], s: ranking.Scheme, horizon: int = HORIZON, metadata: DataFrame | None = None) -> DataFrame:
+    """(type, link, weight, rank): each kind of forward features (doc_id, pos, value) near the terms in the best documents."""
+    words = [t["value"] for t in terms if t["df"] > 0]
+    best = ranking.top(candidates(index, terms, s, None, metadata).withColumn("score", F.round("score", 6)), horizon)
+    hits = index.hits(words).select("doc_id", "pos", F.col("value").alias("term")).join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")  # ``horizon`` rows
+    out = None
+    for kind, reach in s.near:
+        own = forward[kind].join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")
+        near = proximity.accumulated_near(hits, own, len(words), reach, s.near_cardinality, s.cofactor, s.limit_per_doc)
+        told = links.aggregated(near, best).select(F.lit(kind).alias("type"), "link", F.round("weight", 5).alias("weight"))
+        out = told if out is None else out.unionByName(told)
+    w = W.partitionBy("type").orderBy(F.desc("weight"), "link")
+    sizes = F.coalesce(*(F.when(F.col("type") == k, n) for k, (_, n) in LISTS.items()), F.lit(LINKS))
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= sizes)
+
+
+def search(index: Index, q: str, i: int = 0, n: int = 6, s: str = "BM25", d: DataFrame | None = None, m: DataFrame | None = None, passage: int = 40, forward: dict[str, DataFrame] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """Ranks i .. i + n of a query: (doc_id, score, title, abstract).
+
+    ``d`` restricts the documents, ``m`` is their metadata (pageweight, redirect). ``STD`` runs
+    the link pass first, whose link features (by ``forward``) then weigh in."""
+    terms = query_terms(index, q, names)
+    scheme = ranking.scheme("BM25std" if s == "STD" else s)
+    ranks = candidates(index, terms, scheme, d, m)
+    if s == "STD" and forward:
+        lifted = link_pass(index, terms, forward, ranking.SCHEMES["STDLNK"], metadata=m).filter(F.col("type") == "linkid")
+        hits = forward["linkid"].join(F.broadcast(lifted.select(F.col("link").alias("value"), "weight")), "value").groupBy("doc_id").agg(F.sum("weight").alias("_links"))  # LINKS rows
+        ranks = ranks.join(hits, "doc_id", "left").select("doc_id", ranking.mixed(F.col("score"), F.coalesce("_links", F.lit(0.0)), scheme.links).alias("score"))
+    best = ranking.top(ranks.select("doc_id", F.round("score", 6).alias("score")), n, i)
+    return passages(index, best, [t["value"] for t in terms if t["df"] > 0], passage)
+
+
+def search_page(index: Index, q: str, forward: dict[str, DataFrame], i: int = 0, n: int = 6, **more) -> dict[str, DataFrame]:
+    """What a result page shows: ranks, whether there are more, and the related lists."""
+    terms = query_terms(index, q)
+    related = link_pass(index, terms, forward, ranking.SCHEMES["STDLNK"])
+    lists = {name: links.related_terms(related.filter(F.col("type") == kind).withColumnRenamed("link", "name"), q) for kind, (name, _) in LISTS.items()}
+    return {"ranks": search(index, q, i, n, forward=forward, **more), "has_more": ranking.has_more(candidates(index, terms, ranking.SCHEMES["BM25"]), n, i), **lists}
 
 
 def passages(index: Index, ranks: DataFrame, words: list[str], size: int) -> DataFrame:
-    """Ranks with ``abstract``: the passage with most of the words, those marked."""
-    shown = index.docs.join(F.broadcast(ranks), "doc_id")  # a page of ranks
-    shown = shown.withColumn("orig", T.words(F.col("text")))
-    at = F.transform("orig", lambda t: F.lower(t).isin(*words).cast("int"))
-    shown = shown.withColumn("_at", at)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_at"), F.lit(1))), lambda p: F.get(F.col("_at"), p - 1) == 1)
-    counts = F.transform(starts, lambda p: F.struct(F.aggregate(F.slice("_at", p, F.lit(size)), F.lit(0), lambda a, x: a + x).alias("n"), (-p).alias("first")))
-    shown = shown.withColumn("_start", F.coalesce(-F.array_max(counts)["first"] - 1, F.lit(0)))
-    return shown.select("doc_id", "score", proximity.highlighted(F.col("orig"), F.col("_start"), size, words).alias("abstract")).orderBy(F.desc("score"), "doc_id")
-
-
-def related(index: Index, words: list[str], terms: list[dict], pool: DataFrame, k: int = LINKS) -> DataFrame:
-    """(link, weight): forward features near the words in the best documents of the link pass."""
-    best = ranking.top(scored(pool, index, terms, ranking.SCHEMES["NBLNK"]), HORIZON)
-    docs = index.toks.join(F.broadcast(best), "doc_id")  # HORIZON rows
-    hits = docs.select("doc_id", F.posexplode("toks").alias("pos", "term")).filter(F.col("term").isin(*words))
-    near = proximity.accumulated_near(hits, index.forward.join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi"), len(words))
-    return links.aggregated(near, best).select("link", "weight").orderBy(F.desc("weight"), "link").limit(k)
+    """Ranks with ``title`` and ``abstract``: the passage with most places of the words, those marked.
+
+    A page of ranks goes to the driver, so that only its documents are read."""
+    page = index.spark.createDataFrame(ranks.collect(), ranks.schema)
+    ids = [r["doc_id"] for r in page.select("doc_id").collect()]
+    hits = index.hits(words).filter(F.col("doc_id").isin(ids)).select("doc_id", "pos", F.col("value").alias("term"))
+    counted = proximity.window_hits(hits, size).groupBy("doc_id").agg(F.max(F.struct("n_hits", (-F.col("pos")).alias("at"))).alias("b"))
+    shown = index.source.filter(F.col("doc_id").isin(ids)).select("doc_id", T.words(F.col("text")).alias("orig"))
+    titles = index.docs().filter(F.col("doc_id").isin(ids)).select("doc_id", "title")
+    # the words as the text has them stand at the places that the index knows
+    marked = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("marked"))
+    told = page.join(shown, "doc_id").join(titles, "doc_id").join(counted, "doc_id", "left").join(marked, "doc_id", "left")
+    start = F.coalesce(-F.col("b.at"), F.lit(0))
+    piece = F.transform(F.slice("orig", start + 1, F.lit(size)), lambda t, k: F.when(F.array_contains("marked", (k + start).cast("int")), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
+    return told.select("doc_id", "score", "title", F.array_join(piece, " ").alias("abstract")).orderBy(F.desc("score"), "doc_id")
+
+
+def explained(index: Index, q: str, s: str = "BM25", n: int = 6) -> DataFrame:
+    """(doc_id, value, tf, doclen, df, idf, part): what each term adds to the best documents' scores."""
+    terms, scheme = query_terms(index, q), ranking.scheme(s)
+    best = ranking.top(candidates(index, terms, scheme), n)
+    told = index.postings([t["value"] for t in terms]).join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi").join(F.broadcast(terms_table(index, terms, scheme)), "value")
+    idf = ranking.idf(F.lit(float(index.n)), F.col("df"))
+    return told.select("doc_id", "value", "tf", "doclen", "df", F.round(idf, 6).alias("idf"), F.round(idf * ranking.tf_weight(F.col("tf"), F.col("doclen"), scheme), 6).alias("part"))
+
+
+def structured(index: Index, query: dict, n: int = 6) -> DataFrame:
+    """Ranks of a structured query: {"features": [{"value", "weight", "type"}], "results", "minweight"}.
+
+    Features of type ``word`` are normalized as words, those of ``entity`` as the words of a phrase, in order."""
+    weights: dict[str, float] = {}
+    for f in query.get("features", []):
+        words = index.analyzed(phrases.words_of(f["value"]))
+        for w in words:
+            weights[w] = weights.get(w, 0.0) + float(f.get("weight", 1.0)) / len(words)
+    terms = [t | {"weight": weights[t["value"]]} for t in index.terms(list(weights))]
+    if not any(t["df"] for t in terms):
+        raise ValueError("features not found")
+    ranks = scored(index, terms, ranking.SCHEMES["BM25"]).filter(F.col("score") >= float(query.get("minweight", 0.0)))
+    return ranking.top(ranks.select("doc_id", F.round("score", 6).alias("score")), int(query.get("results", n)))
+
+
+def browsed(docs: DataFrame, metadata: DataFrame, least: float, start: int = 0, k: int = 20) -> DataFrame:
+    """The next ``k`` documents from a number on whose page weight is at least ``least``."""
+    return docs.select("doc_id").join(metadata.select("doc_id", "pageweight"), "doc_id").filter((F.col("doc_id") >= start) & (F.col("pageweight") >= least)).select("doc_id").orderBy("doc_id").limit(k)
+
+
+def throughput(times: DataFrame, n_queries: int) -> DataFrame:
+    """(longest, per_second): queries a second of clients that ran side by side, by the slowest one's time."""
+    return times.agg(F.max("seconds").alias("longest")).select("longest", (F.lit(float(n_queries)) / F.col("longest")).alias("per_second"))
 
 
 def top_words(docs: DataFrame, low: float = 0.05, high: float = 0.3, k: int = 2) -> DataFrame:

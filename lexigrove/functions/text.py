@@ -132,16 +132,38 @@ DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
 APOSTROPHES = "\u2018\u2019\u201a\u201b\u2032\u00b4"
 
 
+# Signs that the clean-up for taggers turns into a space (ranges of code points), into a quotation mark, or else.
+CLEANED_TO_SPACE = ((0x2010, 0x2017), (0x2020, 0x202F), (0x2032, 0x203F), (0x215B, 0x215B), (0x2192, 0x2192), (0x2194, 0x2194), (0x21C6, 0x21C6), (0x2212, 0x2212), (0x2264, 0x2264), (0x3003, 0x3003), (0x3008, 0x300B), (0xFF08, 0xFF09), (0x00A2, 0x00BE), (0x00D7, 0x00D7), (0x02BE, 0x02BE))
+CLEANED_TO_QUOTE = (0x2018, 0x201F)
+CLEANED_TO_MARK = {"\u00a1": "!", "\u00bf": "?"}
+
+
+def cleaned_signs() -> tuple[str, str]:
+    """The signs, and what each becomes."""
+    spaces = "".join(chr(k) for low, high in CLEANED_TO_SPACE for k in range(low, high + 1))
+    quotes = "".join(map(chr, range(CLEANED_TO_QUOTE[0], CLEANED_TO_QUOTE[1] + 1)))
+    return spaces + quotes + "".join(CLEANED_TO_MARK), " " * len(spaces) + '"' * len(quotes) + "".join(CLEANED_TO_MARK.values())
+
+
 def clean_typography(c: Column) -> Column:
-    """Plain spaces, quotes, dashes and apostrophes."""
-    return F.translate(c, SPACES + QUOTES + DASHES + APOSTROPHES, " " * len(SPACES) + '"' * len(QUOTES) + "-" * len(DASHES) + "'" * len(APOSTROPHES))
+    """Two apostrophes as a quotation mark, rests of entities and typographic signs as spaces, quotes as plain ones."""
+    c = F.replace(c, F.lit("''"), F.lit('"'))
+    c = F.regexp_replace(F.replace(c, F.lit("nbsp;"), F.lit(" ")), "&[a-z]*;", " ")
+    return F.translate(c, *cleaned_signs())
 
 
 def clean_for_tagging(c: Column) -> Column:
-    """Typography, brackets as commas, space before punctuation, single spaces."""
-    c = F.regexp_replace(clean_typography(c), r"[()\[\]{}]", " , ")
-    c = F.regexp_replace(c, r"\s*([,;:.!?])(?=\s|$)", " $1")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Typography, signs of markup as spaces, brackets as commas, spaces about punctuation."""
+    c = F.regexp_replace(clean_typography(c), r"[~_=/#$%&'()*+-]", " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"[<>()|\[\]{}]", " ,"), r",+\.", ".")
+    return F.translate(F.regexp_replace(c, r"([;,!?:])", " $1 "), "\\", " ")
+
+
+def class_runs(text: str) -> int:
+    """Runs of capitals, small letters, digits and other signs in a string."""
+    import re
+
+    return len(re.findall("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+", text))
 
 
 # --- tokenizers ------------------------------------------------------------------------
@@ -256,6 +278,22 @@ def short_id(c: Column, number: Column, limit: int = 120, keep: int = 110) -> Co
     return F.when(F.length(c) >= limit, F.concat(head, F.lit("__"), number.cast("string"))).otherwise(c)
 
 
+def element(c: Column, name: str, attribute: str | None = None, value: str | None = None) -> Column:
+    """Contents of the elements of a name in an XML or HTML string, of those with an attribute (of a value) if given."""
+    has = "" if attribute is None else rf"(?=[^<>]*\b{attribute}=\"" + (r"" if value is None else rf"{value}\"") + ")"
+    return F.regexp_extract_all(c, F.lit(rf"(?s)<{name}\b{has}[^<>]*>(.*?)</{name}>"), F.lit(1))
+
+
+def element_attribute(c: Column, name: str, attribute: str) -> Column:
+    """Values of an attribute of the elements of a name."""
+    return F.regexp_extract_all(c, F.lit(rf'<{name}\b[^<>]*?\b{attribute}="([^"]*)"'), F.lit(1))
+
+
+def dumped(*columns: str) -> Column:
+    """A row's columns, nested ones included, as JSON with its keys in order."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
 def class_changes(c: Column) -> Column:
     """Runs of one kind of character (letters, digits, others) less one: high in code."""
     runs = F.regexp_extract_all(c, F.lit(r"[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))

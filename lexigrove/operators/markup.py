@@ -52,12 +52,16 @@ RULES = [
     ("nodata", r"(?:&[\w-]+=[^\s&]*){2,}|(?P<period>[^\s\w]{1,3}?)(?P=period){7,}"),
     ("entity", r"&(?:\#\d+|\#[xX][0-9A-Fa-f]+|\w+);"),
     ("break", r"\n[ \t]*\n\s*"),
-    ("text", r"[^<\[\]{}|!'&\n=*#:;h\d-]+|."),
+    ("string", r"\"(?P<string>[^\"<>\[\]{}|\n]{1,300})\""),
+    ("quotemark", r"\""),
+    ("text", r"(?:[^<\[\]{}|!'&\n\"=*#:;h\d-]|h(?!ttps?://)|[=*#:;-](?![^\s\w])|\d(?!\d{7,}T|\d\.\d{4}/))+|."),
 ]
 MASTER = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in RULES), re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z][\w-]*)\s*[=:]\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s|]+))")
 # Attributes that only concern looks.
-VISUAL = frozenset("align bgcolor border cellpadding cellspacing class color height nowrap scope style valign width".split())
+VISUAL = frozenset("colwidth width color display df style leftright fullwidth cols rows image_size image size".split())
+#: Attributes that make no table of a citation.
+PLAIN = frozenset("class link date url id _id".split())
 FORMATS = frozenset("small big u s q pre ins i p b em strong span abbr center div poem font".split())
 LINKS = frozenset(("pagelink", "weblink", "filelink", "imglink", "category"))
 NAMESPACES = {"file": "filelink", "image": "imglink", "category": "category"}
@@ -95,6 +99,10 @@ def _parts(text: str) -> list[tuple[str, int, str, dict[str, str]]]:
     return [*out, ("text", 0, text[at:], {})] if at < len(text) else out
 
 
+#: Typographic dashes, quotes, apostrophes and spaces, and the plain ones that text gets.
+FOLDED = str.maketrans({c: plain for signs, plain in ((T.DASHES, "-"), (T.QUOTES, '"'), (T.APOSTROPHES, "'"), (T.SPACES, " ")) for c in signs})
+
+
 def attributes(text: str | None) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text or "")}
 
@@ -107,8 +115,7 @@ def lex(page: str | None) -> list[tuple[str, int, str, dict[str, str]]]:
     """(kind, idx, value, attributes) of each lexeme; adjacent text is one."""
     out: list = []
     for m in MASTER.finditer(page or ""):
-        kind, g = m.lastgroup, m.groupdict()
-        kind = next(k[2:] for k, v in g.items() if k.startswith("k_") and v is not None)
+        kind, g = m.lastgroup[2:], m  # the outermost group closes last
         if kind == "comment":
             continue
         if kind == "nowiki":
@@ -146,6 +153,8 @@ def lex(page: str | None) -> list[tuple[str, int, str, dict[str, str]]]:
         elif kind == "entity":
             text = html.unescape(m[0])
             out.append(("text", 0, "-" if text == m[0] else text, {}))
+        elif kind == "string":
+            out.append(("code" if T.class_runs(m["string"]) >= 5 and not re.search(r"\s", m["string"]) else "string", 0, m["string"], {}))
         elif kind == "text":
             if out and out[-1][0] == "text":
                 out[-1] = ("text", 0, out[-1][2] + m[0], {})
@@ -153,7 +162,7 @@ def lex(page: str | None) -> list[tuple[str, int, str, dict[str, str]]]:
                 out.append(("text", 0, m[0], {}))
         else:
             out.append((kind, 0, m[0] if kind in ("timestamp", "book", "nodata", "redirect") else "", {}))
-    return [p for x in out for p in (_parts(x[2]) if x[0] == "text" else [x])]
+    return [p for x in out for p in (_parts(x[2].translate(FOLDED)) if x[0] == "text" else [x])]
 
 
 class Builder:
@@ -296,13 +305,15 @@ class Builder:
             base, _, anchor = attrs["target"].partition("#")
             space = base.split(":", 1)[0].lower() if ":" in base else ""
             name = base.split(":", 1)[1] if space in NAMESPACES or space == "wikipedia" else base
-            self.add(NAMESPACES.get(space, "pagelink"), value, name.strip() or anchor[:80])
+            self.add(NAMESPACES.get(space, "pagelink"), value, name.strip() or anchor)
         elif kind == "weblink":
             self.add("weblink", value, attrs["target"])
         elif kind == "list":
             self.add("list", "", f"l{idx}")
         elif kind == "quotes":
             self.quote = 0 if self.quote else idx
+        elif kind in ("string", "quotemark"):
+            self.add("text", f'"{value}"' if kind == "string" else '"')
         elif kind in ("nowiki", "math", "char", "timestamp", "book", "bibref", "code"):
             self.add({"timestamp": "time", "book": "bibref"}.get(kind, kind), value)
         elif kind in ("break", "rule") or kind in ("open", "close") and value in ("br", "hr", "ol", "ul", "li"):
@@ -419,9 +430,10 @@ def balance(marks: DataFrame) -> DataFrame:
 
 def deduplicated(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each content key, with the number of its copies."""
-    key = F.sha2(F.concat_ws("\x01", *keys), 256)
-    first = F.min_by(F.struct(*rows.columns), F.col(order))
-    return rows.groupBy(key.alias("_key")).agg(first.alias("r"), F.count("*").alias("copies")).select("r.*", "copies")
+    keyed = rows.withColumn("_key", F.sha2(F.concat_ws("\x01", *keys), 256))
+    # rows travel only if they are kept: the least of each key is found first
+    least = keyed.groupBy("_key").agg(F.min(order).alias(order), F.count("*").alias("copies"))
+    return keyed.join(least, ["_key", order]).dropDuplicates(["_key"]).select(*rows.columns, "copies")
 
 
 def citation_class(name: Column) -> Column:
@@ -433,10 +445,29 @@ def citation_class(name: Column) -> Column:
 
 
 def pivoted(attributes_: DataFrame) -> DataFrame:
-    """Citation attributes (doc_id, cit, key, value) as heads and cells C<i>, visual ones left out."""
+    """Citation attributes (doc_id, cit, seq, key, value) as heads and cells C<i> in their order, visual ones left out.
+
+    Only citations with an attribute beyond class, link, date, URL and id become tables."""
     kept = attributes_.filter(~F.lower("key").isin(*VISUAL))
-    w = W.partitionBy("doc_id", "cit").orderBy("key")
-    return kept.withColumn("at", F.concat(F.lit("C"), (F.row_number().over(w) - 1).cast("string"))).select("doc_id", "cit", "at", F.col("key").alias("head"), F.col("value").alias("cell"))
+    whole, w = W.partitionBy("doc_id", "cit"), W.partitionBy("doc_id", "cit").orderBy("seq")
+    told = kept.withColumn("_more", F.max((~F.lower("key").isin(*PLAIN)).cast("int")).over(whole)).filter("_more = 1")
+    return told.withColumn("at", F.concat(F.lit("C"), (F.row_number().over(w) - 1).cast("string"))).select("doc_id", "cit", "at", F.col("key").alias("head"), F.col("value").alias("cell"))
+
+
+def folded(attributes_: DataFrame, longest: int = 80, longest_id: int = 200) -> DataFrame:
+    """(doc_id, owner, key, value, inline): values of one attribute joined by commas in order; short ones without line breaks may stand in a tag."""
+    rows = attributes_.groupBy("doc_id", "owner", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda r: r["value"]), ",").alias("value"))
+    limit = F.when(F.col("key").isin("id", "_id"), longest_id).otherwise(longest)
+    return rows.withColumn("inline", (F.length("value") <= limit) & ~F.col("value").contains("\n"))
+
+
+def xml_of(items_: DataFrame, root: str = "doc") -> DataFrame:
+    """(doc_id, xml): a document's items as elements in order, their ids as attributes."""
+    ident = F.when(F.coalesce("id", F.lit("")) == "", "").otherwise(F.concat(F.lit(' id="'), T.escape_xml(F.col("id")), F.lit('"')))
+    body = T.escape_xml(F.coalesce("text", F.lit("")))
+    one = F.when(body == "", F.concat(F.lit("<"), F.col("type"), ident, F.lit("/>"))).otherwise(F.concat(F.lit("<"), F.col("type"), ident, F.lit(">"), body, F.lit("</"), F.col("type"), F.lit(">")))
+    rows = items_.select("doc_id", F.struct("seq", one.alias("x")).alias("r")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]), "").alias("x"))
+    return rows.select("doc_id", F.concat(F.lit(f"<{root}>"), F.col("x"), F.lit(f"</{root}>")).alias("xml"))
 
 
 def attribute_name(c: Column) -> Column:

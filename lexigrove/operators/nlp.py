@@ -7,6 +7,8 @@ document (``discourse``).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,9 +55,10 @@ def rule_tags(token: Column) -> Column:
 
 
 def merged_runs(tagged: DataFrame, joins=("N", "E")) -> DataFrame:
-    """Runs of one class in a sentence as one item: (doc_id, sent, first, cls, value, n)."""
+    """Runs of one class in a sentence as one item: (doc_id, sent, first, cls, value, n); of all classes if ``joins`` is None."""
     w = W.partitionBy("doc_id", "sent").orderBy("seq")
-    new = F.coalesce((F.col("cls") != F.lag("cls").over(w)) | ~F.col("cls").isin(*joins), F.lit(True))
+    alone = F.lit(False) if joins is None else ~F.col("cls").isin(*joins)
+    new = F.coalesce((F.col("cls") != F.lag("cls").over(w)) | alone, F.lit(True))
     runs = tagged.withColumn("_new", new.cast("int")).withColumn("run", F.sum("_new").over(w))
     return runs.groupBy("doc_id", "sent", "run").agg(
         F.min("seq").alias("first"), F.min("cls").alias("cls"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda t: t["value"]), " ").alias("value"), F.count("*").alias("n")
@@ -114,11 +117,77 @@ def location_candidates(entities: DataFrame, least: int = 3) -> DataFrame:
     return entities.select("doc_id", tail.alias("location")).filter("location <> ''").groupBy("doc_id", "location").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def decayed_sum(rows: DataFrame, key: str, order: str, value: str, decay: float) -> DataFrame:
-    """Running sum in which each earlier row of a key counts ``decay`` times as much per step."""
-    w = W.partitionBy(key).orderBy(order)
-    n = F.row_number().over(w)
-    return rows.withColumn("_n", n).withColumn("decayed", F.sum(F.col(value) * F.pow(F.lit(decay), -F.col("_n"))).over(w) * F.pow(F.lit(decay), F.col("_n"))).drop("_n")
+def decayed_sum(rows: DataFrame, key: str, order: str, value: str, decay: float, levels: int = 4) -> DataFrame:
+    """Running sum in which each earlier row of a key counts ``decay`` times as much per step.
+
+    Powers stay within doubles: rows are summed in blocks, and what earlier blocks carry over is
+    the same sum over blocks, ``levels`` deep."""
+    size = max(2, min(500, int(600 / -math.log(decay)))) if 0 < decay < 1 else 500
+    numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order)) - 1)
+    placed = numbered.withColumns({"_b": F.floor(F.col("_n") / size), "_k": F.col("_n") % size})
+    w = W.partitionBy(key, "_b").orderBy("_k")
+    own = placed.withColumn("_own", F.sum(F.col(value) * F.pow(F.lit(decay), -F.col("_k"))).over(w) * F.pow(F.lit(decay), F.col("_k")))
+    if levels == 0:
+        return own.withColumn("decayed", F.col("_own")).drop("_n", "_b", "_k", "_own")
+    ends = own.filter(F.col("_k") == size - 1).select(key, F.col("_b").alias(f"_block{levels}"), F.col("_own").alias("_end"))
+    carried = decayed_sum(ends, key, f"_block{levels}", "_end", decay**size, levels - 1).select(key, (F.col(f"_block{levels}") + 1).alias("_b"), F.col("decayed").alias("_before"))
+    both = own.join(carried, [key, "_b"], "left")
+    return both.withColumn("decayed", F.col("_own") + F.coalesce("_before", F.lit(0.0)) * F.pow(F.lit(decay), F.col("_k") + 1)).drop("_n", "_b", "_k", "_own", "_before")
+
+
+# Signs that alpha tokens are cut at.
+ALPHA_DELIMITERS = "\u2019'\"`?!/;:.,-\u2014 )([]{}<>"
+
+
+def abbreviation_parts(name: Column) -> Column:
+    """Parts of a name that end in points, each with its point, trimmed."""
+    return F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"[^.]*\.|[^.]+$"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def trimmed_marks(name: Column) -> Column:
+    """Without quotes, apostrophes, points, colons and semicolons at its ends."""
+    return F.regexp_replace(name, "^['\u2019`\";.:]+|['\u2019`\";.:]+$", "")
+
+
+def alpha_tokens(name: Column) -> Column:
+    """Tokens of a trimmed name between delimiters, with a dash after those that anything but a space ends."""
+    cut = "".join("\\" + c if c in "[]-^\\" else c for c in ALPHA_DELIMITERS)
+    found = F.regexp_extract_all(trimmed_marks(name), F.lit(rf"[^{cut}]+(?:[{cut}]|$)"), F.lit(0))
+    word = lambda t: F.regexp_replace(t, rf"[{cut}]$", "")
+    return F.flatten(F.transform(found, lambda t: F.when(t.rlike(rf"[{cut}]$") & ~t.endswith(" "), F.array(word(t), F.lit("-"))).otherwise(F.array(word(t)))))
+
+
+def inverse_references(spans: DataFrame, entities: DataFrame) -> DataFrame:
+    """Spans (doc_id, text) with ``ref``, the name of the entity (doc_id, name, alias) that has the text as its alias."""
+    known = entities.groupBy("doc_id", "alias").agg(F.min("name").alias("ref")).withColumnRenamed("alias", "text")
+    return spans.join(known, ["doc_id", "text"], "left")
+
+
+def own_skipped(tagged: DataFrame) -> DataFrame:
+    """Pronouns with ``skip``: possessives before ``own``, and the neutral one before a form of be and a word that is no noun."""
+    w = W.partitionBy("doc_id", "sent").orderBy("seq")
+    after, later = F.lower(F.lead("value").over(w)), F.lead("cls", 2).over(w)
+    neutral = (gender_of(F.col("value")) == "N") & after.isin("is", "was", "has") & ~F.coalesce(later, F.lit("")).isin("N", "E")
+    return tagged.withColumn("skip", F.coalesce(gender_of(F.col("value")).isNotNull() & ((after == "own") | neutral), F.lit(False)))
+
+
+def bracketed(tagged: DataFrame) -> DataFrame:
+    """Tokens with ``inside``: how many brackets are open at them, and ``quoted``: whether they stand between quotation marks."""
+    w = W.partitionBy("doc_id", "sent").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    step = F.when(F.col("value").isin("(", "[", "{"), 1).when(F.col("value").isin(")", "]", "}"), -1).otherwise(0)
+    marks = F.sum((F.col("value") == '"').cast("int")).over(w)
+    return tagged.withColumns({"inside": F.greatest(F.sum(step).over(w), F.lit(0)), "quoted": (marks % 2 == 1) & (F.col("value") != '"')})
+
+
+def entity_sequences(tagged: DataFrame) -> DataFrame:
+    """(doc_id, sent, first, value, n): runs of capitalized words in quotation marks or brackets, or in sentences that are titles."""
+    placed = bracketed(tagged).withColumn("_kind", F.when(F.col("quoted"), "q").when(F.col("inside") > 0, "b").otherwise("t"))
+    title = F.min((F.col("value").rlike(r"^\p{Lu}") | F.col("cls").isin("", "T!", "P!", "C")).cast("int")).over(W.partitionBy("doc_id", "sent"))
+    able = placed.withColumn("_ok", F.col("value").rlike(r"^\p{Lu}") & ((F.col("_kind") != "t") | (title == 1)))
+    w = W.partitionBy("doc_id", "sent").orderBy("seq")
+    runs = able.withColumn("_new", ((F.col("_ok") != F.coalesce(F.lag("_ok").over(w), F.lit(False))) | (F.col("_kind") != F.coalesce(F.lag("_kind").over(w), F.col("_kind")))).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_new").over(w)).filter("_ok")
+    return runs.groupBy("doc_id", "sent", "_run").agg(F.min("seq").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda t: t["value"]), " ").alias("value"), F.count("*").alias("n")).drop("_run")
 
 
 # --- folds over one document -------------------------------------------------------------
@@ -131,19 +200,26 @@ def fold_document(tokens: list[dict]) -> list[dict]:
     sentence. A pronoun refers to the last subject of its gender (or of none known) within
     ten sentences, two where it stands in a conjunction. A name of fewer words refers to the
     fullest earlier name that holds them, weighted by recency. ``X is a N`` makes N a
-    synonym of X; a later ``the N`` refers to X while the weight, fading by 0.85, is over
-    0.2."""
+    synonym of X, as do ``N X``, ``of N X`` and ``N of the M, X``, with their weights; a later
+    ``the N`` refers to the X of most weight while that, fading by 0.85, is over 0.2."""
     subjects: list[list] = []  # name, sentence, gender or None
     names: dict[str, float] = {}
     holding: dict[str, set[str]] = {}  # names by word
     votes: dict[str, dict[str, float]] = {}
-    synonyms: dict[str, tuple[str, float]] = {}
+    updates: dict[str, int] = {}
+    synonyms: dict[str, dict[str, float]] = {}
+
+    def same(noun: str, name: str, weight: float) -> None:
+        known = synonyms.setdefault(noun.lower(), {})
+        known[name] = min(2.5, known.get(name, 0.0) + weight) if name in known else weight
+
     out, last = [], None
     for k, t in enumerate(tokens):
         if t["sent"] != last:
             names = {n: w * 0.8 for n, w in names.items() if w * 0.8 >= 0.1}
             votes = {n: {g: w * 0.8 for g, w in v.items() if w * 0.8 >= 0.3} for n, v in votes.items()}
-            synonyms = {n: (e, w * 0.85) for n, (e, w) in synonyms.items()}
+            synonyms = {n: {e: w * 0.85 for e, w in v.items() if w * 0.85 >= 0.1} for n, v in synonyms.items()}
+            subjects = [s for s in subjects if t["sent"] - s[1] <= 10]
             last = t["sent"]
         ref, gender = None, None
         word = t["value"].lower()
@@ -159,9 +235,13 @@ def fold_document(tokens: list[dict]) -> list[dict]:
                 known = votes.get(ref, {})
                 best = sorted(known.values(), reverse=True)
                 sure = best and best[0] > 2 * (best[1] if len(best) > 1 else 0.0)
-                subjects = [*subjects[-15:], [ref, t["sent"], max(known, key=known.get) if sure else None]]
+                subjects.append([ref, t["sent"], max(known, key=known.get) if sure else None])
             if k + 3 < len(tokens) and [x["value"].lower() for x in tokens[k + 1 : k + 3]] in (["is", "a"], ["was", "a"], ["is", "the"], ["was", "the"], ["is", "an"]) and tokens[k + 3]["cls"] == "N":
-                synonyms[tokens[k + 3]["value"].lower()] = (ref, 2.0)
+                same(tokens[k + 3]["value"], ref, 2.0)
+            if k and tokens[k - 1]["cls"] == "N":
+                same(tokens[k - 1]["value"], ref, 2.7 if k > 1 and tokens[k - 2]["value"].lower() == "of" else 1.0)
+            if k > 4 and [tokens[k - 1]["value"], tokens[k - 4]["value"].lower(), tokens[k - 3]["value"].lower()] == [",", "of", "the"] and tokens[k - 5]["cls"] == tokens[k - 2]["cls"] == "N":
+                same(tokens[k - 5]["value"], ref, 2.5)
         elif word in PRONOUNS:
             gender = PRONOUNS[word]
             reach = 2 if k and tokens[k - 1]["value"].lower() in ("and", "or") else 10
@@ -171,11 +251,12 @@ def fold_document(tokens: list[dict]) -> list[dict]:
                 if s[2] in (None, gender):
                     ref = s[0]
                     v = votes.setdefault(ref, {})
-                    v[gender] = v.get(gender, 0.0) + (1.2 if t["role"] == "subj" else 0.7)
+                    updates[ref] = updates.get(ref, 0) + 1
+                    v[gender] = v.get(gender, 0.0) + (1.2 if t["role"] == "subj" else 0.7) / math.sqrt(updates[ref])
                     s[2] = s[2] or gender
                     break
-        elif t["cls"] == "N" and k and tokens[k - 1]["value"].lower() == "the" and synonyms.get(word, ("", 0.0))[1] > 0.2:
-            ref = synonyms[word][0]
+        elif t["cls"] == "N" and k and tokens[k - 1]["value"].lower() == "the" and max(synonyms.get(word, {}).values(), default=0.0) > 0.2:
+            ref = max(synonyms[word], key=lambda n: (synonyms[word][n], n))
         out.append({**t, "ref": ref, "gender": gender})
     return out
 
@@ -260,9 +341,9 @@ def best_title_match(title: Column, names: DataFrame) -> DataFrame:
     return fits.groupBy("doc_id").agg(F.max_by("name", F.struct("usage", -F.size(words), "name")).alias("name"))
 
 
-def longest_spans(tokens: DataFrame, names: DataFrame, longest: int = 6) -> DataFrame:
+def longest_spans(tokens: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, pos, n, phrase, id): places in ``toks`` where a dictionary name stands, the longest at each."""
-    return exclusive(matched(tokens, names, longest))
+    return exclusive(matched(tokens, names))
 
 
 def merged_markup(items: DataFrame, tagged: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def dictionary(names: DataFrame, column: str = "name", stopwords: DataFrame | None = None, longest: int = 6) -> DataFrame:
+def dictionary(names: DataFrame, column: str = "name", stopwords: DataFrame | None = None) -> DataFrame:
     """(phrase, words, n, id): multi-word names by normalized words, the first of each; stop words alone left out."""
-    parsed = names.select(F.col(column).alias("name"), T.lower_words(F.col(column)).alias("words")).filter(F.size("words").between(1, longest))
+    parsed = names.select(F.col(column).alias("name"), T.lower_words(F.col(column)).alias("words")).filter(F.size("words") > 0)
     parsed = parsed.withColumn("phrase", F.array_join("words", "_"))
     if stopwords is not None:
         parsed = parsed.join(stopwords.select(F.col("value").alias("phrase")), "phrase", "left_anti")
@@ -19,22 +19,29 @@ def dictionary(names: DataFrame, column: str = "name", stopwords: DataFrame | No
     return one.select("phrase", "words", F.size("words").alias("n"), "id")
 
 
-def grams(docs: DataFrame, longest: int, tokens: str = "toks") -> DataFrame:
-    """(doc_id, pos, n, phrase) of all word sequences up to a length."""
+def grams(docs: DataFrame, lengths: list[int], tokens: str = "toks") -> DataFrame:
+    """(doc_id, pos, n, key) of all word sequences of some lengths; equal sequences have equal 64-bit keys."""
     arr = F.col(tokens)
 
     def of(n: int):
         starts = F.sequence(F.lit(0), F.size(arr) - n)
-        some = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(arr, i + 1, F.lit(n)), "_").alias("phrase")))
+        some = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.slice(arr, i + 1, F.lit(n))).alias("key")))
         return F.when(F.size(arr) >= n, some).otherwise(F.array())
 
-    per = F.array(*map(of, range(1, longest + 1)))
+    per = F.array(*map(of, lengths))
     return docs.filter(F.size(arr) > 0).select("doc_id", F.explode(F.flatten(per)).alias("g")).select("doc_id", "g.*")
 
 
-def matched(docs: DataFrame, phrases: DataFrame, longest: int = 4, tokens: str = "toks") -> DataFrame:
-    """(doc_id, pos, n, phrase): every place where a dictionary phrase stands."""
-    return grams(docs, longest, tokens).join(phrases.select("phrase", "id"), "phrase").select("doc_id", "pos", "n", "phrase", "id")
+def matched(docs: DataFrame, phrases: DataFrame, tokens: str = "toks") -> DataFrame:
+    """(doc_id, pos, n, phrase, id): every place where a dictionary phrase stands.
+
+    Only sequences as long as some phrase are built; these lengths, a few numbers, are
+    fetched first. Sequences travel as 64-bit keys, and no two phrases may share one."""
+    lengths = sorted(r["n"] for r in phrases.select("n").distinct().collect())
+    known = phrases.select(F.xxhash64("words").alias("key"), "phrase", "id")
+    if not lengths:
+        return docs.select("doc_id", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit("").alias("phrase"), F.lit("").alias("id")).limit(0)
+    return grams(docs, lengths, tokens).join(known, "key").select("doc_id", "pos", "n", "phrase", "id")
 
 
 def exclusive(found: DataFrame) -> DataFrame:
@@ -43,6 +50,13 @@ def exclusive(found: DataFrame) -> DataFrame:
     return found.withColumn("_end", F.max(F.col("pos") + F.col("n")).over(w)).filter(F.col("_end").isNull() | (F.col("_end") < F.col("pos") + F.col("n"))).drop("_end")
 
 
+def feeder_lexems(names: DataFrame, column: str = "name", lower: bool = True) -> DataFrame:
+    """(value, type): the distinct lexems of names, lowered or not, numbers apart from words."""
+    read = T.lower_words if lower else T.words
+    values = names.select(F.explode(read(F.col(column))).alias("value")).distinct()
+    return values.withColumn("type", F.when(F.col("value").rlike("^[0-9]+$"), "number").otherwise("word"))
+
+
 def rule_names(phrases: DataFrame, prefix: str | None = None) -> DataFrame:
     """A result name for each phrase: its cleaned name, or a prefix and a number from its hash."""
     if prefix is None:
@@ -77,6 +91,14 @@ def analyzed(query: str, phrases: dict[str, str] | None = None, longest: int = 6
     return out
 
 
+def analyzed_or_words(query: str, analyze) -> list[dict]:
+    """A query's terms by an analyzer; single words alone where it fails."""
+    try:
+        return analyze(query)
+    except Exception:
+        return [{"type": "stem", "value": w, "length": 1, "pos": k} for k, w in enumerate(words_of(query))]
+
+
 def vector_refs(terms: list[dict]) -> list[int]:
     """Indexes of feature references: values of F and a number."""
     return [int(t["value"][1:]) for t in terms if t["value"][:1] == "F" and t["value"][1:].isdigit()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Signature words of 64 bits, and the greatest Hamming distance of a match, of all bits.
@@ -90,9 +91,21 @@ def nearest_signed(vectors: DataFrame, query: DataFrame, k: int, limit: int = MA
     return told.filter(F.col("distance") <= limit).orderBy("distance", "vec_id").limit(k)
 
 
-def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:
+def nearest_of_probes(vectors: DataFrame, probes: DataFrame, k: int, limit: int = MAX_DISTANCE, kept: int | None = None) -> DataFrame:
+    """(probe, vec_id, distance, score): for each probe (vec_id, embedding, signature), the best ``k`` by cosine of the ``kept`` nearest signatures within a distance.
+
+    A bounded number of probes goes to all executors."""
+    p = probes.select(F.col("vec_id").alias("probe"), F.col("signature").alias("_s"), as_doubles(F.col("embedding")).alias("_e"))
+    told = vectors.crossJoin(F.broadcast(p)).withColumn("distance", hamming(F.col("signature"), F.col("_s"))).filter(F.col("distance") <= limit)
+    told = told.withColumn("score", cosine(as_doubles(F.col("embedding")), F.col("_e"))).select("probe", "vec_id", "distance", "score")
+    by_distance, by_score = W.partitionBy("probe").orderBy("distance", "vec_id"), W.partitionBy("probe").orderBy(F.desc("score"), "vec_id")
+    near = told.withColumn("_r", F.row_number().over(by_distance)).filter(F.col("_r") <= (kept or 10 * k))
+    return near.withColumn("_r", F.row_number().over(by_score)).filter(F.col("_r") <= k).drop("_r")
+
+
+def recall(found: DataFrame, exact: DataFrame, key: list[str] | str = "vec_id") -> DataFrame:
     """(recall): the share of the exact rows that were found."""
-    hit = exact.join(found.select(key, F.lit(1).alias("_hit")), key, "left")
+    hit = exact.join(found.select(*([key] if isinstance(key, str) else key), F.lit(1).alias("_hit")), key, "left")
     return hit.agg((F.sum(F.coalesce("_hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 

@@ -316,7 +316,7 @@ def _phrases(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.lower_words(F.col("text")).alias("toks"))
     names = docs.filter(F.size("toks") >= 2).select(F.explode(F.array(F.array_join(F.slice("toks", 1, 2), " "), F.array_join(F.slice("toks", 1, 3), " "))).alias("name"))
     known = phrases.dictionary(names).filter("n >= 2")
-    return phrases.matched(docs, known, 3)
+    return phrases.matched(docs, known)
 
 
 @query("WITH " + TOKS + PHRASES + " SELECT phrase, count(*) AS n_matches, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY phrase")
@@ -441,15 +441,17 @@ def vec_norm(spark, sf_dir):
 @query()
 def lsh_hamming_topk(spark, sf_dir):
     v = vectors.signed(table(spark, sf_dir, "embeddings"), 64)
-    return vectors.nearest_signed(v, v.filter("vec_id = 0"), 20, limit=2048)
+    return vectors.nearest_signed(v, v.filter("vec_id = 0"), 20)
 
 
 @query()
 def lsh_recall(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    s = vectors.signed(v, 64)
-    exact = vectors.nearest(v, v.filter("vec_id = 0"), 20, vectors.cosine)
-    return vectors.recall(vectors.nearest_signed(s, s.filter("vec_id = 0"), 40, limit=2048), exact)
+    """Recall of the best 20 by signatures of 100 probes, against all vectors by cosine."""
+    s = vectors.signed(table(spark, sf_dir, "embeddings"), 64)
+    probes = selection.seeded_sample(s, "vec_id", 100)  # the feature: so many probes
+    found = vectors.nearest_of_probes(s, probes, 20, limit=2048)
+    exact = vectors.nearest_of_probes(s, probes, 20, limit=2048, kept=1 << 30)
+    return vectors.recall(found, exact, ["probe", "vec_id"])
 
 
 @query()
@@ -494,7 +496,7 @@ def dedup_by_content_key(spark, sf_dir):
 
 
 #: A page of markup for each part: heading, link, table with spans, citation, reference.
-WIKI = "concat('== ', p_name, ' ==\\nSee [[', p_brand, '|', p_type, ']]s.<ref>', p_brand, '</ref>\\n{| class=\"x\"\\n|+ ', p_type, '\\n! Name !! Size\\n|-\\n! scope=\"row\" | ', p_name, '\\n| ', p_size, '\\n|-\\n| colspan=\"2\" | ', p_brand, '\\n|}\\n{{Infobox part|name=', p_name, '|size=', p_size, '}}\\n')"
+WIKI = "concat('== ', p_name, ' ==\\nSee [[', p_brand, '|', p_type, ']]s.<ref>', p_brand, '</ref>\\n{| class=\"x\"\\n|+ ', p_type, '\\n! Name !! Size\\n|-\\n! scope=\"row\" | ', p_name, '\\n| ', p_size, '\\n|-\\n| colspan=\"2\" | ', p_brand, '\\n|}\\n{{Infobox part|name=', p_name, '|size=', p_size, '|brand=', p_brand, '|class=box}} {{cite web|url=u', p_size, '|date=2001}}\\n')"
 
 
 def _wiki(spark, sf_dir):
@@ -517,14 +519,14 @@ def table_head_pairs(spark, sf_dir):
     return markup.head_pairs(markup.cells(markup.parsed(_wiki(spark, sf_dir)))).select("doc_id", "head", "cell")
 
 
-@query("WITH p AS (SELECT p_partkey AS doc_id, p_name, p_size::VARCHAR AS p_size FROM part) SELECT doc_id, 'C0' AS at, 'name' AS head, p_name AS cell FROM p UNION ALL SELECT doc_id, 'C1', 'size', p_size FROM p")
+@query("WITH p AS (SELECT p_partkey AS doc_id, p_name, p_brand FROM part) SELECT doc_id, 'C0' AS at, 'name' AS head, p_name AS cell FROM p UNION ALL SELECT doc_id, 'C1', 'brand', p_brand FROM p UNION ALL SELECT doc_id, 'C2', 'class', 'box' FROM p")
 def infobox_pivot(spark, sf_dir):
     attrs = markup.items(markup.parsed(_wiki(spark, sf_dir))).filter("type = 'attr'")
-    told = attrs.select("doc_id", F.substring_index("id", ":", 1).alias("cit"), markup.attribute_name(F.substring_index("id", ":", -1)).alias("key"), F.col("text").alias("value"))
+    told = attrs.select("doc_id", F.substring_index("id", ":", 1).alias("cit"), markup.attribute_name(F.substring_index("id", ":", -1)).alias("key"), F.col("text").alias("value"), "seq")
     return markup.pivoted(told).select("doc_id", "at", "head", "cell")
 
 
-@query("WITH p AS (SELECT p_partkey AS doc_id, p_brand FROM part) SELECT doc_id, 'table' AS kind, 'table1' AS ident FROM p UNION ALL SELECT doc_id, 'citation', 'cit1' FROM p UNION ALL SELECT doc_id, 'ref', 'ref1' FROM p")
+@query("WITH p AS (SELECT p_partkey AS doc_id, p_brand FROM part) SELECT doc_id, 'table' AS kind, 'table1' AS ident FROM p UNION ALL SELECT doc_id, 'citation', 'cit1' FROM p UNION ALL SELECT doc_id, 'citation', 'cit2' FROM p UNION ALL SELECT doc_id, 'ref', 'ref1' FROM p")
 def linked_items(spark, sf_dir):
     return markup.linked_tables(markup.parsed(_wiki(spark, sf_dir))).select("doc_id", "kind", "ident")
 
@@ -534,15 +536,6 @@ def citation_classes(spark, sf_dir):
     return table(spark, sf_dir, "part").filter("p_type not like 'ECONOMY%'").select(F.col("p_type").alias("name"), markup.citation_class(F.col("p_type")).alias("kind")).distinct()
 
 
-@query()
-def markup_lexemes(spark, sf_dir):
-    return markup.lexemes(_wiki(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query()
-def markup_strange(spark, sf_dir):
-    return markup.strange(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
-
 
 @query("WITH p AS (SELECT p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos, p_brand, p_size % 4 + 1 AS level FROM part) SELECT a.p_brand AS doc_id, a.pos AS start, a.level, min(b.pos) AS \"end\" FROM p a LEFT JOIN p b ON a.p_brand = b.p_brand AND b.pos > a.pos AND b.level <= a.level GROUP BY ALL")
 def section_intervals(spark, sf_dir):
@@ -554,17 +547,11 @@ def section_intervals(spark, sf_dir):
 # --- passes over tagged text --------------------------------------------------------------------
 
 
-@query("SELECT tag, CASE tag WHEN 'NN' THEN 'N' WHEN 'NNP' THEN 'E' WHEN 'VBD' THEN 'V' WHEN '.' THEN 'T!' WHEN 'CC' THEN '' ELSE '?' END AS cls FROM (SELECT unnest(['NN', 'NNP', 'VBD', '.', 'CC', 'QQ']) AS tag)")
-def pos_class_map(spark, sf_dir):
-    tags = spark.createDataFrame([(t,) for t in ("NN", "NNP", "VBD", ".", "CC", "QQ")], "tag string")
-    return tags.select("tag", nlp.class_of(F.col("tag")).alias("cls"))
-
 
 @query("WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e) SELECT user_id AS doc_id, min(event_id) AS first, min(event_type) AS cls, count(*) AS n FROM r GROUP BY user_id, run")
 def runs_islands(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit(0).alias("sent"), F.col("event_id").alias("seq"), F.col("event_type").alias("cls"), F.col("event_type").alias("value"))
-    kinds = [r[0] for r in e.select("cls").distinct().limit(100).collect()]
-    return nlp.merged_runs(e, tuple(kinds)).select("doc_id", "first", "cls", "n")
+    return nlp.merged_runs(e, None).select("doc_id", "first", "cls", "n")
 
 
 @query("WITH c AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id AS doc_id, turn AS seq, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM c")
@@ -586,12 +573,6 @@ def sentence_classes(spark, sf_dir):
     return told.groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query()
-def sentence_filter(spark, sf_dir):
-    toks = nlp.tagged_documents(table(spark, sf_dir, "documents"))
-    sents = toks.groupBy("doc_id", "sent").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "cls"))), lambda x: x["cls"]).alias("classes"))
-    return nlp.sentence_filter(sents).groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
-
 
 @query()
 def coreference(spark, sf_dir):
@@ -599,15 +580,11 @@ def coreference(spark, sf_dir):
     return done.filter("ref is not null").groupBy("doc_id").agg(F.count("*").alias("n_refs"), F.count("gender").alias("n_pronouns"))
 
 
-@query("WITH t AS (SELECT text FROM benchmark) SELECT text AS raw, trim(regexp_replace(regexp_replace(regexp_replace(text, '[()\\[\\]{}]', ' , ', 'g'), '\\s*([,;:.!?])(\\s|$)', ' \\1\\2', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM t")
-def cleanup_chain(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("text").alias("raw"), T.clean_for_tagging(F.col("text")).alias("cleaned"))
 
-
-@query("SELECT doc_id, translate(lower(left(text, 200)), '''\"()?!/;:\\’', '') AS plain FROM documents")
+@query("SELECT doc_id, translate(lower(text), '''\"()?!/;:\\’', '') AS plain FROM documents")
 def plain_tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.plain_token(F.substring("text", 1, 200)).alias("plain"))
+    return docs.select("doc_id", T.plain_token(F.col("text")).alias("plain"))
 
 
 @query("SELECT p_partkey, replace(replace(replace(replace(p_name || ' & <' || p_brand || '>', '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM part")
@@ -656,10 +633,6 @@ def link_dump(spark, sf_dir):
     return sinks.link_dump(found.select("title", "pos", F.col("target").alias("link")))
 
 
-@query()
-def training_text(spark, sf_dir):
-    return sinks.training_lines(nlp.tagged_documents(table(spark, sf_dir, "documents")))
-
 
 @query("WITH " + TOK + ", r AS (SELECT doc_id, pos, value FROM tok WHERE pos % 3 = 0), l AS (SELECT doc_id, pos, value AS link FROM tok WHERE pos % 2 = 0) SELECT doc_id, count(*) AS n FROM r JOIN l USING (doc_id, pos) GROUP BY doc_id")
 def align_positions(spark, sf_dir):

@@ -61,6 +61,13 @@ def malformed(spark: SparkSession, path: str, row_tag: str = "page") -> DataFram
     return df.filter("_corrupt_record is not null").select("_corrupt_record")
 
 
+def metadata_added(docs: DataFrame, name: str, kind: str, default=0) -> DataFrame:
+    """Documents with a new metadata column of a type; a name that is there fails."""
+    if name in docs.columns:
+        raise ValueError(f"metadata column is there: {name}")
+    return docs.withColumn(name, F.lit(default).cast(kind))
+
+
 def metadata_joined(docs: DataFrame, values: DataFrame, key: str, name: str, default=0.0) -> DataFrame:
     """Documents with a metadata column from a keyed table."""
     one = values.select(F.col(key), F.col(name).alias("_new")).dropDuplicates([key])

@@ -10,16 +10,21 @@ def write_redirects(redirects: DataFrame, path: str) -> None:
     redirects.select(F.concat_ws("\t", "key", "target").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_kinds(done: DataFrame, path: str, kinds: dict[str, Column], per_folder: int = 1000) -> None:
-    """One Parquet dataset a kind, in folders of so many documents."""
+def write_kinds(done: DataFrame, path: str, kinds: dict[str, Column], per_folder: int = 1000, counter: str = "doc_id") -> None:
+    """One Parquet dataset a kind, in folders of so many documents by their counter, named by four digits."""
     for name, column in kinds.items():
-        done.select("doc_id", column.alias("content"), F.floor(F.col("doc_id") / per_folder).alias("folder")).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/{name}")
+        done.select("doc_id", column.alias("content"), F.lpad(F.floor(F.col(counter) / per_folder).cast("string"), 4, "0").alias("folder")).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/{name}")
 
 
 def write_tagged(tagged: DataFrame, path: str, complete: bool = False) -> None:
     """Tab-separated rows: tag, value, reference; with roles if complete."""
     columns = (["role", "cls"] if complete else ["cls"]) + ["value", "ref"]
-    tagged.select("doc_id", "sent", "seq", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns)).orderBy("doc_id", "sent", "seq").write.mode("overwrite").csv(path, sep="\t", quote="")
+    tagged.select("doc_id", "sent", "seq", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns)).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "sent", "seq").write.mode("overwrite").csv(path, sep="\t", quote="")
+
+
+def write_stream(texts: DataFrame, path: str) -> None:
+    """Texts (file, content) as a stream: a header line ``#FILE#name``, then the content."""
+    texts.select(F.concat(F.lit("#FILE#"), F.col("file"), F.lit("\n"), F.col("content")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_postings(postings: DataFrame, table: str, buckets: int) -> None:
@@ -27,11 +32,11 @@ def write_postings(postings: DataFrame, table: str, buckets: int) -> None:
     postings.write.mode("overwrite").partitionBy("type").bucketBy(buckets, "value").sortBy("value", "doc_id", "pos").saveAsTable(table)
 
 
-def training_lines(tagged: DataFrame, end: str = " .") -> DataFrame:
-    """(doc_id, line): typed tokens of a document, part marks as commas, sentence ends as points."""
+def training_lines(tagged: DataFrame, end: str = " .", last: str = "........") -> DataFrame:
+    """(doc_id, line): typed tokens of a document, part marks as commas, sentence ends as points, and the mark of its end."""
     token = F.when(F.col("cls") == "P!", ",").when(F.col("cls") == "T!", end).when(F.col("cls") == "", F.col("value")).otherwise(F.concat(F.col("cls"), F.lit("#"), F.regexp_replace("value", r"\s+", "_")))
     rows = tagged.select("doc_id", F.struct("sent", "seq", token.alias("t")).alias("r"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), " ").alias("line"))
+    return rows.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), " "), F.lit(f" {last}")).alias("line"))
 
 
 def link_dump(links: DataFrame) -> DataFrame:

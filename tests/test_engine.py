@@ -12,6 +12,7 @@ from lexigrove.functions.porter import stem_word
 from lexigrove.operators import links, markup, nlp, phrases, postings, proximity, ranking, selection, vectors
 from lexigrove.plans import catalog
 from lexigrove.plans import search as plans
+from lexigrove.plans.index import Index
 from lexigrove.sources import dumps, sinks
 from lexigrove.streaming import statistics
 
@@ -77,7 +78,8 @@ def one(spark, column):
         (lambda: T.class_changes(F.lit("ab12CD-x")), 4),
         (lambda: T.chain(T.lowered, T.mapped({"went": "go"}))(F.lit("WENT")), "go"),
         (lambda: T.chain(T.joined_words(), T.prefixed("E#"))(F.lit("a  b")), "E#a_b"),
-        (lambda: T.clean_typography(F.lit("“a”–b c")), '"a"-b c'),
+        (lambda: T.clean_typography(F.lit("“a”–b c&amp;''")), '"a" b c "'),
+        (lambda: T.clean_for_tagging(F.lit("a,(b) c.")), "a ,  b  c."),
         (lambda: T.token_shapes(F.array(*map(F.lit, ("12", "March", ",", "1999")))), "NM,N"),
         (lambda: T.is_date(F.array(*map(F.lit, ("March", "of", ",", "1999")))), False),
         (lambda: T.is_date(F.array(*map(F.lit, ("12", "March", "1999", ",")))), True),
@@ -155,7 +157,7 @@ def test_markup_items():
     kinds = {k: [x for x in b.items if x[0] == k] for k in {x[0] for x in b.items}}
     assert [x[2] for x in kinds["pagelink"]] == ["computer interfaces"] and [x[1] for x in kinds["filelink"]] == ["x.png"]
     assert [x[2] for x in kinds["nowiki"]] == ["[[raw]]"] and len(kinds["reflink"]) == 2 and len(kinds["ref"]) == 1
-    assert [x[1] for x in kinds["attr"]] == ["cit1:title", "cit1:url"] and {x[1] for x in kinds["weblink"]} == {"http://a.b/", "http://c.d"} and not b.errors
+    assert [x[1] for x in kinds["attr"]] == ["cit1:title", "cit1:url", "cit1:class"] and {x[1] for x in kinds["weblink"]} == {"http://a.b/", "http://c.d"} and not b.errors
     assert {(c[1], c[2], c[3]): c[6] for c in b.cells if c[1] == "cell"} == {("cell", 1, 1): "1", ("cell", 1, 2): "2", ("cell", 2, 0): "3", ("cell", 2, 1): "4", ("cell", 3, 1): "5"}
     nested = markup.build("[[File:a.jpg|thumb|see [[Page]]s]]\n{{box|x=[[Inner]]}}").items
     assert [x[:2] for x in nested if x[0] in markup.LINKS] == [["filelink", "a.jpg"], ["pagelink", "Page"], ["pagelink", "Inner"]]
@@ -216,7 +218,7 @@ def test_streamed_statistics(spark, tmp_path):
 
 def test_search(spark, sf_dir):
     docs = spark.createDataFrame([(1, "red fish swim"), (2, "red red fish and a fish"), (3, "blue bird"), *((k, f"filler{k} text") for k in range(4, 60))], "doc_id long, text string")
-    index = plans.Index(docs)
+    index = Index.write(docs, spark)
     got = plans.search(index, "red fish").collect()
     assert [r["doc_id"] for r in got] == [2, 1] and got[1]["abstract"].startswith("<b>red</b> <b>fish</b>")
     assert [r["doc_id"] for r in plans.search(index, "red fish", d=docs.filter("doc_id = 1")).collect()] == [1]
@@ -276,3 +278,53 @@ def test_odd_words(text, want):
     kinds = {x[0] for x in markup.lex(text)} - {"text"}
     assert kinds == ({want} if want else set()) and "".join(x[2] for x in markup.lex(text)) == text
     assert [x[3]["target"] for x in markup.lex("see /usr/lib/x.so there") if x[0] == "weblink"] == ["file:/usr/lib/x.so"]
+
+
+def test_index_reads_only_its_buckets(spark):
+    docs = spark.createDataFrame([(k, f"alpha w{k} running. second sentence {'beta' if k % 3 == 0 else ''}") for k in range(400)], "doc_id long, text string")
+    index = Index.write(docs, spark)
+    rows = index.postings(["alpha", "beta"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [bucket" in plan
+    files = rows.select(F.input_file_name().alias("f")).distinct().count()
+    assert files <= 2 * 2 and len(rows.inputFiles()) > files
+    assert rows.groupBy("value").count().collect() and {r["value"]: r["count"] for r in rows.groupBy("value").count().collect()} == {"alpha": 400, "beta": 134}
+    assert index.terms(["beta", "none"]) == [{"value": "beta", "df": 134, "weight": 1.0, "term": 1}, {"value": "none", "df": 0, "weight": 1.0, "term": 2}]
+    stems = Index.write(docs, spark, stems=True)
+    assert plans.query_terms(stems, "Runs")[0]["df"] == 400
+    with pytest.raises(ValueError, match="features not found"):
+        plans.query_terms(index, "Runs")
+
+
+def test_result_page(spark):
+    docs = spark.createDataFrame([(k, f"red fish number{k % 4} swims by") for k in range(12)] + [(100 + k, f"filler{k} words") for k in range(60)], "doc_id long, text string")
+    index = Index.write(docs, spark)
+    forward = {k: index.band_features(3, 3) for k in ("linkid", "veclfeat", "vecfname")}
+    page = plans.search_page(index, "red fish", forward, n=5)
+    assert set(page) == {"ranks", "has_more", "nblinks", "titles", "features"}
+    assert page["ranks"].count() == 5 and page["has_more"].first()["has_more"] and {r["name"] for r in page["nblinks"].collect()} == {f"number{k}" for k in range(4)}
+    told = plans.structured(index, {"features": [{"type": "word", "value": "number1", "weight": 3.0}], "results": 2, "minweight": 0.1})
+    assert [r["doc_id"] for r in told.collect()] == [1, 5]
+    heavy = docs.select("doc_id", F.when(F.col("doc_id") == 7, 10.0).otherwise(0.0).alias("pageweight"), (F.col("doc_id") == 3).cast("int").alias("redirect"))
+    assert plans.search(index, "red fish", s="NBLNK", m=heavy).first()["doc_id"] == 7
+    assert 3 not in {r["doc_id"] for r in plans.search(index, "red fish", n=50, m=heavy).collect()}
+
+
+def test_decayed_sums_of_long_keys(spark):
+    rows = spark.range(9_000).select(F.lit(1).alias("k"), F.col("id").alias("o"), F.lit(1.0).alias("v"))
+    got = {r["o"]: r["decayed"] for r in nlp.decayed_sum(rows, "k", "o", "v", 0.8).collect()}
+    assert all(abs(got[n] - (1 - 0.8 ** (n + 1)) / 0.2) < 1e-9 for n in (0, 1, 499, 500, 3_300, 8_999))
+    slow = {r["o"]: r["decayed"] for r in nlp.decayed_sum(rows, "k", "o", "v", 0.999).collect()}
+    assert all(abs(slow[n] - (1 - 0.999 ** (n + 1)) / 0.001) < 1e-6 for n in (0, 499, 500, 8_999))
+
+
+def test_discourse_patterns():
+    def told(text):
+        tokens = [{"sent": s, "seq": k, "value": w, "cls": "E" if w[0].isupper() and w not in ("The", "He", "They") else "N" if w in ("mayor", "city", "capital") else "", "role": "subj" if k == 0 else ""} for s, line in enumerate(text.split(".")) for k, w in enumerate(line.split())]
+        return {(t["sent"], t["value"]): t["ref"] for t in nlp.fold_document(tokens)}
+
+    assert told("Anna is a mayor . later the mayor spoke")[1, "mayor"] == "Anna"
+    assert told("we saw mayor Anna . then the mayor spoke")[1, "mayor"] == "Anna"
+    assert told("the capital of the city , Paris , grew . and the capital shone")[1, "capital"] == "Paris"
+    crowd = " . ".join(f"N{k} ran" for k in range(8))
+    assert told(crowd + " . he sat")[8, "he"] == "N7"

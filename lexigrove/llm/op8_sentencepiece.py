@@ -120,6 +120,7 @@ class Pieces:
         span = min(self.longest, int(lengths.max()) if len(lengths) else 0)
         piece, weight = np.full((span, n), -1, np.int32), np.zeros((span, n), np.float32)
         live, rolled, power = np.arange(n), np.zeros(n, np.uint64), 1
+        begins = np.arange(n)  # the least start of a piece that ends at each place
         for k in range(span):
             # hash of the k + 1 characters ending here: one more character in front
             inside = place[live] >= k
@@ -131,15 +132,12 @@ class Pieces:
             at = np.searchsorted(self.keys, spread[hit])
             at[at == len(self.keys)] = 0
             fits = self.keys[at] == spread[hit]
-            piece[k, live[hit[fits]]], weight[k, live[hit[fits]]] = self.values[at[fits]], self.weight[at[fits]]
+            held = live[hit[fits]]
+            piece[k, held], weight[k, held], begins[held] = self.values[at[fits]], self.weight[at[fits]], held - k
         if span:
             alone = piece[0] < 0
             piece[0, alone], weight[0, alone] = self.size + chars[alone].astype(np.int32), 1.0 / (2.0 + self.size)
         # stretches: from each place that no piece crosses to the next
-        begins = np.arange(n)
-        for k in range(1, span):
-            ends_here = piece[k] >= 0
-            begins[ends_here] = np.arange(n)[ends_here] - k
         heads = np.flatnonzero(np.minimum.accumulate(begins[::-1])[::-1] == np.arange(n))
         stretches = np.diff(np.append(heads, n))
         firsts = np.searchsorted(heads, base)  # of each distinct part, and the end
@@ -189,9 +187,13 @@ class Pieces:
         if not drawn:
             return np.zeros(0, np.int64), np.zeros(len(parts), np.int64)
         who, steps, ids = (np.concatenate(x) for x in zip(*drawn, strict=True))
-        order = np.lexsort((-steps, who))
-        part = np.repeat(np.arange(len(parts)), many)[who]
-        return ids[order].astype(np.int64), np.bincount(part, minlength=len(parts))
+        # drawn from the end: a stretch's last piece comes first
+        number = np.bincount(who, minlength=len(unit))
+        after = np.cumsum(number)
+        out = np.empty(len(ids), np.int64)
+        out[after[who] - 1 - steps] = ids
+        totals = np.concatenate([np.zeros(1, np.int64), after])[np.concatenate([np.zeros(1, np.int64), ends])]
+        return out, np.diff(totals)
 
     def expanded(self, ids):
         """With bytes' ids in place of characters that are no piece, and how many these are."""

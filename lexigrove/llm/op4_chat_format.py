@@ -20,7 +20,8 @@ conversation that never comes back identical fails the job.
 
 Defined cases: null text counts as empty; null role as the role ``""``; a null turn sorts
 first and turns of equal number by role and text; repeated rows are turns of their own; a
-null conv_id is one conversation; an empty table gives only what ``extra`` adds.
+null conv_id is one conversation; a very long text is one string of its turn; an empty table
+gives only what ``extra`` adds; extra columns are ignored.
 """
 
 from __future__ import annotations

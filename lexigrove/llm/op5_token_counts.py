@@ -9,7 +9,8 @@ buckets change.
 
 Defined cases: null text counts as empty, with 0 tokens; an edit outside the text is cut to
 it; edits of one document apply in order of their places, overlapping ones from the end of
-the one before; an empty table gives no rows; repeated rows are counted each; extra columns
+the one before; a very long text is one tree, whose edits touch their own leaves alone; edits at
+one place apply in the order given; an empty table gives no rows; repeated rows are counted each; extra columns
 are ignored.
 """
 

@@ -390,19 +390,24 @@ def title_normalize(spark, sf_dir):
 
 
 def _rank_sql(steps: int) -> str:
-    sql = "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || (l_partkey % 500) AS dst FROM lineitem UNION SELECT DISTINCT 'p' || (l_partkey % 500), 's' || (l_suppkey % 50) FROM lineitem), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), sz AS (SELECT count(*)::DOUBLE AS n FROM nodes), deg AS (SELECT src, count(*) AS degree FROM e GROUP BY src), r0 AS (SELECT node, 1 / n AS rank FROM nodes, sz)"
+    sql = "WITH l AS (SELECT 's' || CASE WHEN l_suppkey % 10 = 5 THEN l_suppkey - 1 ELSE l_suppkey END AS s, 'p' || l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT s AS src, p AS dst FROM l UNION SELECT DISTINCT p, s FROM l WHERE p LIKE '%1'), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), sz AS (SELECT count(*)::DOUBLE AS n FROM nodes), deg AS (SELECT src, count(*) AS degree FROM e GROUP BY src), r0 AS (SELECT node, 1 / n AS rank FROM nodes, sz)"
     for k in range(steps):
         sql += f", g{k} AS (SELECT dst, sum(rank / degree) AS got FROM e JOIN deg USING (src) JOIN r{k} ON node = src GROUP BY dst), d{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE node NOT IN (SELECT src FROM deg)), r{k + 1} AS (SELECT node, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS rank FROM nodes LEFT JOIN g{k} ON node = dst, sz, d{k})"
     return sql + f" SELECT node, round(rank, 9) AS rank FROM r{steps}"
 
 
-@query(_rank_sql(6))
+@query(_rank_sql(10))
 def pagerank_steps(spark, sf_dir):
+    """Ten steps over suppliers and parts, those suppliers that redirect to another resolved first."""
     li = table(spark, sf_dir, "lineitem")
-    s = lambda c: F.concat(F.lit("s"), c.cast("string"))
-    p = F.concat(F.lit("p"), (F.col("l_partkey") % 500).cast("string"))
-    edges = li.select(s(F.col("l_suppkey")).alias("src"), p.alias("dst")).distinct().unionByName(li.select(p.alias("src"), s(F.col("l_suppkey") % 50).alias("dst")).distinct())
-    return _rounded(links.page_rank(edges, 6, spark=spark, cut=3), "rank", digits=9)
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    keys = li.select("l_suppkey").distinct()
+    redirects = keys.filter("l_suppkey % 10 = 5").select(name("s", F.col("l_suppkey")).alias("key"), name("s", F.col("l_suppkey") - 1).alias("target"))
+    pairs = li.select(name("s", F.col("l_suppkey")).alias("s"), name("p", F.col("l_partkey")).alias("p")).distinct()
+    own = links.folded(pairs, "s", links.closure(redirects, redirects.select(F.col("target").alias("title"))))
+    back = own.filter(F.col("p").endswith("1"))
+    edges = own.select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(back.select(F.col("p").alias("src"), F.col("s").alias("dst")))
+    return _rounded(links.page_rank(edges, 10, spark=spark, cut=5), "rank", digits=9)
 
 
 # --- vectors --------------------------------------------------------------------------------

@@ -43,6 +43,8 @@ WINDOW = 35
 SEED = 16
 #: Blocks of documents beyond which a seed is crowded.
 CROWD = 1024
+#: Reference blocks for each block of documents: pieces overlap, and a suffix array takes ten times its words.
+REFERENCES = 4
 SENT = "block int, span int, keys binary"
 PIECES = "block int, span int, keys binary, words binary, runs binary, twice binary"
 
@@ -140,7 +142,7 @@ def matched(words, starts, sizes, window: int):
 
     n = len(words)
     match = np.zeros(n, np.int64)
-    room = np.repeat(starts + sizes, sizes) - np.arange(n)  # words left in the piece
+    room = (np.repeat(starts + sizes, sizes) - np.arange(n)).astype(np.int32)  # words left in the piece
     places = np.flatnonzero(room >= window)
     if len(places) < 2:
         return match
@@ -200,7 +202,7 @@ def _index(spans, window, seed):
     return run
 
 
-def _send(spans, window, seed):
+def _send(spans, references, window, seed):
     def run(key, table_, answer):
         import numpy as np
         import pyarrow as pa
@@ -212,9 +214,9 @@ def _send(spans, window, seed):
         counts = np.diff(np.append(firsts, len(heads)))
         heads, runs, own = heads[firsts], runs[firsts], own[firsts]
         rows = []
-        limits = B.bounds(spans)
+        limits = B.bounds(references)
         cuts, keyed = np.append(np.searchsorted(own, limits), len(own)), np.append(np.searchsorted(hashes, limits), len(hashes))
-        for s in range(spans):
+        for s in range(references):
             a, b, c, d = cuts[s], cuts[s + 1], keyed[s], keyed[s + 1]
             if a < b or c < d:
                 words = flat[_gathered(heads[a:b], runs[a:b] + window - 1)]
@@ -249,7 +251,7 @@ def _reference(window):
     return run
 
 
-def _spans(spans, window, seed, out_schema, emit):
+def _spans(spans, references, window, seed, emit):
     def run(key, table_, answers):
         import numpy as np
         import pyarrow.compute as pc
@@ -259,7 +261,7 @@ def _spans(spans, window, seed, out_schema, emit):
         heads, runs, own, fresh, many = _pieces(flat, whole, first, spans, window, seed)
         gone = np.zeros(len(flat) + window + 1, np.int32)
         firsts = np.flatnonzero(fresh)
-        limits = np.append(np.searchsorted(own[firsts], B.bounds(spans)), len(firsts))
+        limits = np.append(np.searchsorted(own[firsts], B.bounds(references)), len(firsts))
         length = runs[firsts]
         told = np.zeros(int(length.sum()), bool)
         begins = np.cumsum(length) - length
@@ -273,7 +275,7 @@ def _spans(spans, window, seed, out_schema, emit):
         if len(many):
             hashes = B.rolling(flat, window)[many]
             keys, counts = _counted(hashes)
-            twice = np.concatenate([twice, many[_in(keys[(counts > 1) | B.answered(keys, second, spans)], hashes)]])
+            twice = np.concatenate([twice, many[_in(keys[(counts > 1) | B.answered(keys, second, references)], hashes)]])
         np.add.at(gone, twice, 1)
         np.add.at(gone, twice + window, -1)
         return emit(table_, words, starts, np.cumsum(gone)[: len(flat)] > 0)
@@ -316,10 +318,11 @@ def _parsed(docs: DataFrame, spark: SparkSession, emit, schema: str, window: int
     n = B.count_blocks(docs, spark, block_bytes)
     by_block = B.dealt(docs, n).groupBy("block")
     first = B.shared_keys(by_block.applyInArrow(_index(n, window, seed), SENT), crowd)
-    sent = by_block.cogroup(first.groupBy("block")).applyInArrow(_send(n, window, seed), PIECES)
+    m = n * REFERENCES
+    sent = by_block.cogroup(first.groupBy("block")).applyInArrow(_send(n, m, window, seed), PIECES)
     second = sent.groupBy("span").applyInArrow(_reference(window), f"{B.ANSWER}, windows binary")
     both = first.withColumns({"windows": F.lit(None).cast("binary"), "pass": F.lit(1)}).unionByName(second.withColumns({"crowded": F.lit(None).cast("binary"), "pass": F.lit(2)}))
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(_spans(n, window, seed, schema, emit), schema)
+    return by_block.cogroup(both.groupBy("block")).applyInArrow(_spans(n, m, window, seed, emit), schema)
 
 
 def find_repeats(docs: DataFrame, spark: SparkSession, window: int = WINDOW, seed: int = SEED, block_bytes: int = B.BLOCK_BYTES, crowd: int = CROWD) -> DataFrame:

@@ -136,8 +136,9 @@ def matched(words, starts, sizes, window: int):
 
     ``words`` has the pieces' word hashes one after another; piece k is ``sizes[k]`` words
     from ``starts[k]`` on. A suffix array over word ids is sorted by doubling to twice the
-    window, more than a match can be long in a piece of one seed that does not repeat; the
-    neighbours there hold the longest match, whose length the ranks of all widths give."""
+    window or so, more than a match can be long unless a text repeats a few words over and over;
+    the neighbours there hold the longest match, whose length the ranks of all widths give. In
+    such texts a match of that depth may come out shorter than it is, which splits its factor."""
     import numpy as np
 
     n = len(words)

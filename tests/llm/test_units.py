@@ -354,7 +354,9 @@ def test_factors_against_naive_search(drawn):
             seen[tuple(p[i : i + window])] = seen.get(tuple(p[i : i + window]), 0) + 1 + twice
     for k, p in enumerate(pieces):
         for i in range(len(p) - window + 1):
-            assert longest[starts[k] + i] == naive_match(pieces, k, i, window)
+            # sorted to 8 words for a window of 5: longer matches, which take repeating texts, may come out shorter
+            most = naive_match(pieces, k, i, window)
+            assert min(most, 8) <= longest[starts[k] + i] <= most
             assert duplicate[starts[k] + i] == (seen[tuple(p[i : i + window])] > 1)
 
 

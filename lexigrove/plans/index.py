@@ -51,15 +51,16 @@ class Index:
         buckets, shards = max(16, n // BUCKET_DOCS), max(2, n // SHARD_DOCS)
         titled = docs if "title" in docs.columns else docs.withColumn("title", F.lit(None).cast("string"))
         read = titled.select("doc_id", "title", placed_words(F.col("text")).alias("ws"))
-        doclen, first = F.size("ws").cast("long"), F.size(F.filter("ws", lambda w: w["sent"] == F.col("ws")[0]["sent"]))
-        words = read.select("doc_id", doclen.alias("doclen"), F.greatest(first, F.lit(0)).alias("title_end"), F.posexplode("ws").alias("pos", "w"))
-        words = words.select("doc_id", "doclen", "title_end", "pos", "w.value", "w.sent")
+        doclen = F.size("ws").cast("long")
+        # the first sentence with a word is the title
+        words = read.select("doc_id", doclen.alias("doclen"), F.get("ws", F.lit(0))["sent"].alias("title_sent"), F.posexplode("ws").alias("pos", "w"))
+        words = words.select("doc_id", "doclen", "title_sent", "pos", "w.value", "w.sent")
         if stems:
             words = words.withColumn("value", T.without_marks(T.stem(F.col("value"))))
         words = words.withColumns({"bucket": bucket_of(F.col("value"), buckets), "shard": F.pmod(F.xxhash64("doc_id"), F.lit(shards))})
         dealt = words.repartition(buckets * shards, "bucket", "shard")
-        lists = dealt.groupBy("bucket", "shard", "value", "doc_id", "doclen", "title_end").agg(F.array_sort(F.collect_list(F.struct("pos", "sent"))).alias("hits"))
-        rows = lists.select("bucket", "value", "doc_id", "doclen", "title_end", F.size("hits").cast("long").alias("tf"), "hits")
+        lists = dealt.groupBy("bucket", "shard", "value", "doc_id", "doclen", "title_sent").agg(F.array_sort(F.collect_list(F.struct("pos", "sent"))).alias("hits"))
+        rows = lists.select("bucket", "value", "doc_id", "doclen", "title_sent", F.size("hits").cast("long").alias("tf"), "hits")
         rows.sortWithinPartitions("bucket", "value", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
         index = cls(spark, path, buckets, n, docs, stems)
         counts = index.postings().groupBy("bucket", "value").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
@@ -68,7 +69,7 @@ class Index:
         return index
 
     def postings(self, words: list[str] | None = None) -> DataFrame:
-        """(bucket, value, doc_id, doclen, title_end, tf, hits), of some words only if given."""
+        """(bucket, value, doc_id, doclen, title_sent, tf, hits), of some words only if given."""
         return self._of(self.spark.read.parquet(f"{self.path}/postings"), words)
 
     def dfs(self, words: list[str] | None = None) -> DataFrame:
@@ -103,8 +104,8 @@ class Index:
 
     def hits(self, words: list[str]) -> DataFrame:
         """(doc_id, doclen, value, tf, pos, sent, in_title): each place of the words."""
-        rows = self.postings(words).select("doc_id", "doclen", "title_end", "value", "tf", F.explode("hits").alias("h"))
-        return rows.select("doc_id", "doclen", "value", "tf", "h.pos", "h.sent", (F.col("h.pos") < F.col("title_end")).alias("in_title"))
+        rows = self.postings(words).select("doc_id", "doclen", "title_sent", "value", "tf", F.explode("hits").alias("h"))
+        return rows.select("doc_id", "doclen", "value", "tf", "h.pos", "h.sent", (F.col("h.sent") == F.col("title_sent")).alias("in_title"))
 
     def band_features(self, low: int, high: int) -> DataFrame:
         """(doc_id, pos, value): forward features, the words with df from ``low`` to ``high``."""

@@ -166,7 +166,7 @@ def match_variables(spark, sf_dir):
 def title_field(spark, sf_dir):
     """How many titles hold each word, and how many documents do."""
     rows = index_of(spark, sf_dir).postings()
-    inside = F.exists("hits", lambda h: h["pos"] < F.col("title_end"))
+    inside = F.exists("hits", lambda h: h["sent"] == F.col("title_sent"))
     return rows.groupBy("value").agg(F.count("*").alias("df"), F.sum(inside.cast("long")).alias("n_titles")).filter("n_titles > 0")
 
 

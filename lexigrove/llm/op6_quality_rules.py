@@ -114,25 +114,24 @@ def consistency(p: int = P, half: float = HALF) -> float:
     return half / _gamma_p(p / 2 + 1, low / 2)
 
 
+def _number(v: float) -> str:
+    """A double of SQL."""
+    return f"{v!r}D"
+
+
 def _cholesky(df: DataFrame) -> DataFrame:
     """_l{i}{j} of the lower factor of _c{i}{j}."""
-    for i in range(P):
-        for j in range(i + 1):
-            v = F.col(f"_c{i}{j}")
-            for k in range(j):
-                v = v - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
-            df = df.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"_l{j}{j}"))
-    return df
+    cells = []
+    for i, j in PAIRS:
+        v = " - ".join([f"_c{i}{j}", *(f"_l{i}{k} * _l{j}{k}" for k in range(j))])
+        cells.append(f"sqrt(greatest({v}, 1e-12D)) as _l{i}{j}" if i == j else f"({v}) / _l{j}{j} as _l{i}{j}")
+    return df.selectExpr("*", *cells)
 
 
-def _distance(df: DataFrame, x=lambda k: F.col(f"_x{k}")) -> DataFrame:
-    """_d2, the squared Mahalanobis distance to _m{k} under _l{i}{j}."""
-    for i in range(P):
-        v = x(i) - F.col(f"_m{i}")
-        for k in range(i):
-            v = v - F.col(f"_l{i}{k}") * F.col(f"_z{k}")
-        df = df.withColumn(f"_z{i}", v / F.col(f"_l{i}{i}"))
-    return df.withColumn("_d2", sum((F.col(f"_z{k}") * F.col(f"_z{k}") for k in range(1, P)), F.col("_z0") * F.col("_z0")))
+def _distance(df: DataFrame) -> DataFrame:
+    """_d2, the squared Mahalanobis distance of _x{k} to _m{k} under _l{i}{j}."""
+    scores = [f"({' - '.join([f'_x{i} - _m{i}', *(f'_l{i}{k} * _z{k}' for k in range(i))])}) / _l{i}{i} as _z{i}" for i in range(P)]
+    return df.selectExpr("*", *scores, f"{' + '.join(f'_z{k} * _z{k}' for k in range(P))} as _d2")
 
 
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -145,25 +144,32 @@ def _starts(points: DataFrame, keys: list[str], spark: SparkSession, total: int)
     apart = joined(points, medians, keys, "_size", total).groupBy(*keys).agg(
         F.first("_n").alias("_n"), F.first("_n").alias("_size"), *(F.first(f"_h{k}").alias(f"_h{k}") for k in range(P)), *(F.sum(F.abs(2 * F.col(f"_q{k}") - F.col(f"_h{k}") * 2).cast("long")).alias(f"_a{k}") for k in range(P))
     )
-    spread = apart.withColumns({f"_m{k}": F.col(f"_h{k}") / STEPS[k] for k in range(P)})
-    spread = spread.withColumns({f"_s{k}": F.sqrt(F.pow(1.2533 * F.col(f"_a{k}") / (2 * STEPS[k]) / F.col("_n"), F.lit(2)) + FLOORS[k] ** 2) for k in range(P)})
-    spread = stored(spread.select(*keys, "_n", "_size", *(f"_{c}{k}" for c in "ms" for k in range(P))), spark, "spread")
-    z = joined(points, spread, keys, "_size", total).withColumns({f"_z{k}": (F.col(f"_x{k}") - F.col(f"_m{k}")) / F.col(f"_s{k}") for k in range(P)})
-    z = z.withColumn("_norm", F.greatest(sum((F.col(f"_z{k}") * F.col(f"_z{k}") for k in range(P)), F.lit(0.0)), F.lit(1e-12)))
-    whole = lambda v, steps: F.floor(v * steps + 0.5)
-    z = z.withColumns({f"_t{k}": whole(F.tanh(f"_z{k}"), 1 << 14) for k in range(P)})
+    spread = apart.selectExpr(
+        *keys, "_n", "_size",
+        *(f"_h{k} / {STEPS[k]} as _m{k}" for k in range(P)),
+        *(f"sqrt(pow({_number(1.2533)} * _a{k} / {2 * STEPS[k]} / _n, 2) + {_number(FLOORS[k] ** 2)}) as _s{k}" for k in range(P)),
+    )
+    spread = stored(spread, spark, "spread")
+    z = joined(points, spread, keys, "_size", total).selectExpr(
+        *keys, *(f"(_x{k} - _m{k}) / _s{k} as _z{k}" for k in range(P)),
+        f"greatest({' + '.join(f'_z{k} * _z{k}' for k in range(P))}, 1e-12D) as _norm",
+        *(f"floor(tanh(_z{k}) * {1 << 14} + 0.5D) as _t{k}" for k in range(P)),
+    )
     scatter = z.groupBy(*keys).agg(
-        *(F.sum(f"_t{k}").alias(f"_t{k}") for k in range(P)),
-        *(F.sum(F.col(f"_t{i}") * F.col(f"_t{j}")).alias(f"_t{i}{j}") for i, j in PAIRS),
-        *(F.sum(whole(F.col(f"_z{i}") * F.col(f"_z{j}") / F.col("_norm"), FINE)).alias(f"_u{i}{j}") for i, j in PAIRS),
+        *(F.expr(f"sum(_t{k}) as _t{k}") for k in range(P)),
+        *(F.expr(f"sum(_t{i} * _t{j}) as _t{i}{j}") for i, j in PAIRS),
+        *(F.expr(f"sum(floor(_z{i} * _z{j} / _norm * {FINE} + 0.5D)) as _u{i}{j}") for i, j in PAIRS),
     )
     known = stored(scatter.join(spread, keys), spark, "scatter")
-    sized = lambda v, i, j: v * F.col(f"_s{i}") * F.col(f"_s{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
-    tanh = lambda i, j: (F.col(f"_t{i}{j}") / F.col("_n") - F.col(f"_t{i}") / F.col("_n") * (F.col(f"_t{j}") / F.col("_n"))) / (1 << 28)
-    kinds = ({p: F.lit(float(p[0] == p[1])) for p in PAIRS}, {p: tanh(*p) for p in PAIRS}, {(i, j): P * F.col(f"_u{i}{j}") / FINE / F.col("_n") for i, j in PAIRS})
+    kinds = (
+        {p: _number(float(p[0] == p[1])) for p in PAIRS},
+        {(i, j): f"(_t{i}{j} / _n - _t{i} / _n * (_t{j} / _n)) / {1 << 28}" for i, j in PAIRS},
+        {(i, j): f"{P} * _u{i}{j} / {FINE} / _n" for i, j in PAIRS},
+    )
+    sized = lambda v, i, j: f"{v} * _s{i} * _s{j}" + (f" + {_number(FLOORS[i] ** 2)}" if i == j else "")
     starts = None
     for k, kind in enumerate(kinds):
-        one = _cholesky(known.withColumns({f"_c{i}{j}": sized(v, i, j) for (i, j), v in kind.items()})).select(*keys, F.lit(k).alias("_start"), *_fields(), F.lit(1e9).alias("_det"), "_n")
+        one = _cholesky(known.selectExpr("*", *(f"{sized(v, i, j)} as _c{i}{j}" for (i, j), v in kind.items()))).select(*keys, F.lit(k).alias("_start"), *_fields(), F.lit(1e9).alias("_det"), "_n")
         starts = one if starts is None else starts.unionByName(one)
     return stored(starts, spark, "starts")
 
@@ -179,12 +185,12 @@ def _stepped(points: DataFrame, moving: DataFrame, keys: list[str], spark: Spark
     held = joined(near, inner, at, "_size", total, n_found=3 * groups).filter(F.col("_near") <= F.col("_limit"))
     sums = held.groupBy(*at).agg(
         F.first("_det").alias("_was"), F.first("_n").alias("_n"), F.count("*").alias("_h"),
-        *(F.sum(f"_q{k}").alias(f"_a{k}") for k in range(P)), *(F.sum(F.col(f"_q{i}") * F.col(f"_q{j}")).alias(f"_a{i}{j}") for i, j in PAIRS),
+        *(F.expr(f"sum(_q{k}) as _a{k}") for k in range(P)), *(F.expr(f"sum(_q{i} * _q{j}) as _a{i}{j}") for i, j in PAIRS),
     )
-    mean = {f"_m{k}": F.col(f"_a{k}") / F.col("_h") / STEPS[k] for k in range(P)}
-    scale = consistency()
-    cov = lambda i, j: scale * (F.col(f"_a{i}{j}") / F.col("_h") / (STEPS[i] * STEPS[j]) - F.col(f"_m{i}") * F.col(f"_m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)
-    fresh = _cholesky(sums.withColumns(mean).withColumns({f"_c{i}{j}": cov(i, j) for i, j in PAIRS})).withColumn("_det", 2 * sum((F.log(f"_l{k}{k}") for k in range(P)), F.lit(0.0)))
+    scale = _number(consistency())
+    cov = lambda i, j: f"{scale} * (_a{i}{j} / _h / {STEPS[i] * STEPS[j]} - _m{i} * _m{j})" + (f" + {_number(FLOORS[i] ** 2)}" if i == j else "")
+    fresh = sums.selectExpr("*", *(f"_a{k} / _h / {STEPS[k]} as _m{k}" for k in range(P)), *(f"{cov(i, j)} as _c{i}{j}" for i, j in PAIRS))
+    fresh = _cholesky(fresh).selectExpr("*", f"2 * ({' + '.join(f'ln(_l{k}{k})' for k in range(P))}) as _det")
     return stored(fresh.select(*at, *_fields(), "_det", "_n", "_was"), spark, "step")
 
 

@@ -36,9 +36,17 @@ def count_blocks(docs: DataFrame, spark: SparkSession, block_bytes: int = BLOCK_
     return max(64, total // block_bytes + 1)
 
 
-def dealt(docs: DataFrame, n: int) -> DataFrame:
-    """With a column ``block``; ``text`` null becomes empty."""
-    return docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.crc32(F.substring("text", 1, 64).cast("binary"))), F.lit(n)).cast("int"))
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def dealt(docs: DataFrame, n: int, name: str = "block") -> DataFrame:
+    """With a column for the block; ``text`` null becomes empty."""
+    return docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn(name, F.pmod(F.xxhash64("doc_id", F.length("text"), F.crc32(F.substring("text", 1, 64).cast("binary"))), F.lit(n)).cast("int"))
 
 
 def mixed(x):

@@ -153,7 +153,8 @@ class Scorer:
         """For each hit: inside quotation or after speech, and next to address."""
         import re
 
-        spans, mark, open_at = [], None, 0
+        # all places are those of the lowered text, which may be longer than the text
+        text, spans, mark, open_at = text.lower(), [], None, 0
         if any(q in text for q in QUOTES):
             # a quotation ends at the mark that matches its first; one that could end as well as begin ends with its paragraph
             for m in re.finditer(rf"[{QUOTES}]|\n[^\S\n]*\n", text):
@@ -164,7 +165,7 @@ class Scorer:
                 elif m[0] in CLOSES[mark]:
                     spans.append((open_at, m.start()))
                     mark = None
-        starts = [m.start() for m in re.finditer(r"\w+", text.lower())] if spans else []
+        starts = [m.start() for m in re.finditer(r"\w+", text)] if spans else []
         out = []
         for at, *_ in found:
             near = words[max(0, at - REACH) : at + REACH + 1]

@@ -26,7 +26,7 @@ Defined cases: null text has no words; empty tables give no rows; repeated rows
 documents of their own, so all their windows repeat; documents of under 35 words lose
 nothing; a very long text is one document of its block, and its pieces are as short as any;
 of equal passages all go, none is preferred; extra columns pass through ``without_repeats``
-and do not matter elsewhere, but for ``block``, which is replaced.
+whatever their names, and do not matter elsewhere.
 """
 
 from __future__ import annotations
@@ -317,7 +317,8 @@ def _texts(names):
 
 def _parsed(docs: DataFrame, spark: SparkSession, emit, schema: str, window: int, seed: int, block_bytes: int, crowd: int) -> DataFrame:
     n = B.count_blocks(docs, spark, block_bytes)
-    by_block = B.dealt(docs, n).groupBy("block")
+    name = B.free_name(docs, "block")
+    by_block = B.dealt(docs, n, name).groupBy(name)
     first = B.shared_keys(by_block.applyInArrow(_index(n, window, seed), SENT), crowd)
     m = n * REFERENCES
     sent = by_block.cogroup(first.groupBy("block")).applyInArrow(_send(n, m, window, seed), PIECES)
@@ -334,9 +335,8 @@ def find_repeats(docs: DataFrame, spark: SparkSession, window: int = WINDOW, see
 
 def without_repeats(docs: DataFrame, spark: SparkSession, window: int = WINDOW, seed: int = SEED, block_bytes: int = B.BLOCK_BYTES, crowd: int = CROWD) -> DataFrame:
     """The documents, with the duplicate spans cut from ``text``; where nothing goes, the text stays as it is."""
-    names = [c for c in docs.columns if c != "block"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return _parsed(docs.select(*names), spark, _texts(names), schema, window, seed, block_bytes, crowd)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return _parsed(docs, spark, _texts(docs.columns), schema, window, seed, block_bytes, crowd)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

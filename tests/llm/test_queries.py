@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -154,7 +155,7 @@ def test_substrings(spark, odd, empty):
     assert sorted(crowded, key=key) == sorted(got, key=key)
     assert sub.find_repeats(empty, spark).count() == 0
     out = sub.without_repeats(odd, spark)
-    assert out.columns == [c for c in odd.columns if c != "block"]
+    assert out.columns == odd.columns and {r["block"] for r in out.collect()} == {7}
     assert {r["text"] for r in out.filter("doc_id in (1, 2)").collect()} == {""} and out.filter("doc_id = 9").first()["text"] == "short text"
 
 
@@ -174,6 +175,15 @@ def test_toxicity(spark, sf_dir, odd, empty):
     assert right / len(rows) > 0.93 and docs.count() == 1000
 
 
+def test_quotation_after_letters_that_grow_when_lowered():
+    model = {"terms": {"rotten": 2.0}, "stems": {}, "innocent": [], "quoted": 0.25}
+    for before in ("", "İ" * 12):
+        scorer = tox.Scorer(model)
+        text = f'{before} they had "rotten" on it'
+        found, seen = scorer.hits(text)
+        assert [inside for inside, _ in scorer.context(text, seen, found)] == [True]
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", "a### b"), (1, 1, "assistant", "</turn>\n### User: x"), (1, 1, "assistant", "</turn>\n### User: x"), (1, None, None, None), (2, 0, "to:ol<^", "\\n \\\\ ####"), (None, 3, "assistant", ""), (3, 0, "system", "plain \\ text")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -445,21 +455,75 @@ def test_very_long_page(spark):
     assert got == {i: (20_000 * 10 + 1, 40_001, 40_000) for i in range(2)}
 
 
+def linked_groups(rows):
+    """For each row its component by brute force, None for texts without words."""
+    s, root = sets(rows), list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if s[a] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return [r if x else None for r, x in zip(root, s, strict=True)]
+
+
+def check_stages(spark, docs, sf_dir, held):
+    """Run all stages over docs (stored between them) and hold each one's rows against brute force on its own input."""
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.stored(stage(spark, before, sf_dir), spark, name)
+        old, new = ([tuple(r[c] for c in ("doc_id", "text", "lang", "source")) for r in d.collect()] if name != "packing" or d is before else [] for d in (before, after))
+        if name != "packing":
+            assert after.columns == docs.columns and after.schema == docs.schema
+        if name == "quality" and held:
+            assert sorted(map(str, new)) == sorted(str(r) for r in old if kept_by_hand(old)[r[0]])
+        if name in ("quality", "toxicity"):
+            assert not Counter(new) - Counter(old)
+        if name == "near_duplicates":
+            groups, stay = linked_groups(old), Counter(new)
+            assert not stay - Counter(old)
+            want = {}
+            for r, g in zip(old, groups, strict=True):
+                if g is not None:
+                    want.setdefault(g, []).append((r[0] is None, r[0] or 0, r))
+            told = [min(x[:2] for x in rows) for rows in want.values()]
+            got = [(r[0] is None, r[0] or 0) for r in new if words(r[1])]
+            assert sorted(got) == sorted(told)
+            assert sorted(str(r) for r in new if not words(r[1])) == sorted(str(r) for r in old if not words(r[1]))
+        if name == "substrings":
+            cut = {(i, k) for i, _, _, k in removed(old)}
+            assert {(r[0], hashlib.sha256(b" ".join(words(r[1]))).hexdigest()) for r in new} == cut and len(new) == len(old)
+        if name == "packing":
+            texts = Counter(r[0] for r in old)
+            pieces = after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+            assert {r["doc_id"] for r in pieces} == set(texts) and all(r["n"] == r["all"] for r in pieces if texts[r["doc_id"]] == 1)
+            assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").isEmpty()
+        before = after
+
+
 def test_pipeline(spark, sf_dir, empty):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    seen = [docs]
-    for _, stage in corpus_pipeline.STAGES:
-        seen.append(stage(spark, seen[-1], sf_dir))
-    for before, after in zip(seen[:-2], seen[1:-1], strict=True):
-        assert after.columns == docs.columns and after.count() <= before.count()
-    assert seen[-2].filter("n_chars <> length(text)").count() == 0
-    assert {r["doc_id"] for r in seen[-1].select("doc_id").collect()} == {r["doc_id"] for r in seen[-2].select("doc_id").collect()}
-    nothing = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    check_stages(spark, docs, sf_dir, True)
+    assert corpus_pipeline.near_duplicates(spark, docs, sf_dir).filter("n_chars <> length(text)").count() == 0
+    nothing = empty
     for _, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, nothing, sf_dir)
         assert nothing.count() == 0
 
 
+def test_pipeline_odd_rows(spark, odd, sf_dir):
+    # the odd rows, and long ones that the rules keep: repeated rows, one doc_id for two texts, a quoted passage, nulls, columns named as the operators' own
+    rng = np.random.default_rng(8)
+    sentence = lambda n: " ".join(f"v{int(k)}" for k in rng.integers(0, 5000, n))
+    passage, texts = sentence(60), [sentence(90) for _ in range(60)]
+    rows = [(i, t, lang, s) for i, t, lang, s in ROWS] + [(100 + k, t if k % 3 else f"{t} {passage}", "en", "a") for k, t in enumerate(texts)]
+    rows += [(105, texts[5], "en", "a")] * 2 + [(106, texts[7], "en", "a"), (106, texts[6] + " more", "en", "a"), (None, texts[9], None, None), (None, texts[9], None, None), (None, sentence(80), "en", "a"), (300, texts[11].upper(), None, "a")]
+    schema = SCHEMA + ", key string, root long, task int, `span` int, words string, gone string, kept boolean, toxic int, bucket int, units int"
+    docs = spark.createDataFrame([(i, t, lang, s, None, 7, 0.5, 3, "m", "k", 1, 2, 3, "w", "g", True, 1, 1, 1) for i, t, lang, s in rows], schema)
+    check_stages(spark, docs, sf_dir, False)
+    once = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(1, BASE)] * 3 + [(1, BASE + " and so on")], "doc_id long, text string"), sf_dir)
+    assert once.count() == 1 and corpus_pipeline.substrings(spark, once, sf_dir).first()["text"].startswith("word0 word1")
+
+
 def test_registry():
     names = registry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and set(registry.oracle_sql()) <= set(names)
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and set(registry.oracle_sql()) <= set(names)

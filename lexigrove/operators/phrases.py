@@ -9,39 +9,47 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def dictionary(names: DataFrame, column: str = "name", stopwords: DataFrame | None = None) -> DataFrame:
-    """(phrase, words, n, id): multi-word names by normalized words, the first of each; stop words alone left out."""
-    parsed = names.select(F.col(column).alias("name"), T.lower_words(F.col(column)).alias("words")).filter(F.size("words") > 0)
+#: Share of a dictionary's phrases from which on a word is a stop word there.
+STOP = 0.001
+
+
+def dictionary(names: DataFrame, column: str = "name", stopwords: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """(phrase, words, n, id): names by normalized words, of equal ones the first by ``order`` (the least, if none is given); stop words alone left out."""
+    parsed = names.select(F.col(column).alias("name"), T.lower_words(F.col(column)).alias("words"), F.col(order or column).alias("_order")).filter(F.size("words") > 0)
     parsed = parsed.withColumn("phrase", F.array_join("words", "_"))
     if stopwords is not None:
         parsed = parsed.join(stopwords.select(F.col("value").alias("phrase")), "phrase", "left_anti")
-    one = parsed.groupBy("phrase").agg(F.min("name").alias("id"), F.first("words").alias("words"))
+    one = parsed.groupBy("phrase").agg(F.min(F.struct("_order", "name"))["name"].alias("id"), F.first("words").alias("words"))
     return one.select("phrase", "words", F.size("words").alias("n"), "id")
 
 
-def grams(docs: DataFrame, lengths: list[int], tokens: str = "toks") -> DataFrame:
-    """(doc_id, pos, n, key) of all word sequences of some lengths; equal sequences have equal 64-bit keys."""
-    arr = F.col(tokens)
+def keyed(phrases: DataFrame, stop: float = STOP) -> DataFrame:
+    """Phrases with ``key``, the word that they are looked up by, and ``at``, its place in them.
 
-    def of(n: int):
-        starts = F.sequence(F.lit(0), F.size(arr) - n)
-        some = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.slice(arr, i + 1, F.lit(n))).alias("key")))
-        return F.when(F.size(arr) >= n, some).otherwise(F.array())
+    It is the first one that is no stop word of the dictionary, or the rarest one there."""
+    each = phrases.select("phrase", F.posexplode("words").alias("at", "key"))
+    held = each.groupBy("key").agg(F.count_distinct("phrase").alias("held"))
+    total = phrases.agg(F.count("*").alias("_total"))
+    told = each.join(held, "key").crossJoin(F.broadcast(total))  # one row
+    stopped = F.col("held") > F.greatest(F.lit(1.0), F.col("_total") * stop)
+    best = told.groupBy("phrase").agg(F.min(F.struct(F.when(stopped, F.col("held")).otherwise(0).alias("cost"), "at", "key")).alias("k"))
+    return phrases.join(best, "phrase").select("phrase", "words", "n", "id", "k.key", "k.at")
 
-    per = F.array(*map(of, lengths))
-    return docs.filter(F.size(arr) > 0).select("doc_id", F.explode(F.flatten(per)).alias("g")).select("doc_id", "g.*")
 
-
-def matched(docs: DataFrame, phrases: DataFrame, tokens: str = "toks") -> DataFrame:
+def matched(docs: DataFrame, phrases: DataFrame, tokens: str = "toks", stop: float = STOP) -> DataFrame:
     """(doc_id, pos, n, phrase, id): every place where a dictionary phrase stands.
 
-    Only sequences as long as some phrase are built; these lengths, a few numbers, are
-    fetched first. Sequences travel as 64-bit keys, and no two phrases may share one."""
-    lengths = sorted(r["n"] for r in phrases.select("n").distinct().collect())
-    known = phrases.select(F.xxhash64("words").alias("key"), "phrase", "id")
-    if not lengths:
-        return docs.select("doc_id", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit("").alias("phrase"), F.lit("").alias("id")).limit(0)
-    return grams(docs, lengths, tokens).join(known, "key").select("doc_id", "pos", "n", "phrase", "id")
+    Words meet the phrases that have them as keys, with as many words on each side as some phrase
+    needs (two numbers, fetched first), and the phrase's words are compared there. So only
+    words that are keys leave their document, and stop words only for phrases of nothing else."""
+    known = keyed(phrases, stop)
+    reach = known.agg(F.max("at").alias("before"), F.max(F.col("n") - F.col("at") - 1).alias("after")).first()
+    before, after, arr = reach["before"] or 0, reach["after"] or 0, F.col(tokens)
+    placed = F.transform(arr, lambda w, i: F.struct(i.alias("place"), w.alias("key"), F.slice(arr, F.greatest(i - before, F.lit(0)) + 1, F.lit(before + 1 + after)).alias("around")))
+    found = docs.select("doc_id", F.explode(placed).alias("_w")).select("doc_id", "_w.*").join(known, "key")
+    start = F.least("place", F.lit(before)) - F.col("at")
+    fits = (start >= 0) & (F.slice("around", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("words"))
+    return found.filter(fits).select("doc_id", (F.col("place") - F.col("at")).alias("pos"), "n", "phrase", "id")
 
 
 def exclusive(found: DataFrame) -> DataFrame:
@@ -71,11 +79,28 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
-def analyzed(query: str, phrases: dict[str, str] | None = None, longest: int = 6) -> list[dict]:
+def query_grams(query: str, longest: int) -> list[str]:
+    """Every word sequence of up to so many words within a comma part of a query, as phrases."""
+    parts = map(words_of, query.split(","))
+    return list(dict.fromkeys("_".join(w[i : i + n]) for w in parts for i in range(len(w)) for n in range(1, min(longest, len(w) - i) + 1)))
+
+
+def merged(terms: list[dict]) -> list[dict]:
+    """What is searched for: phrases of several words at their places, single words wherever no phrase begins."""
+    held = {t["pos"]: {"value": t["value"], "length": t["length"]} for t in terms if t["type"] == "vecsfeat" and t["length"] > 1}
+    for t in terms:
+        if t["type"] == "stem":
+            held.setdefault(t["pos"], {"value": t["value"], "length": 1})
+    return [held[p] for p in sorted(held)]
+
+
+def analyzed(query: str, phrases: dict[str, str] | None = None, longest: int | None = None) -> list[dict]:
     """A query's terms: longest dictionary phrases within comma parts, single words elsewhere.
 
-    Plain Python, for a query is a line: [{type, value, length, pos}]."""
+    Phrases are as long as the dictionary's longest, unless ``longest`` sets a bound. Plain
+    Python, for a query is a line: [{type, value, length, pos}]."""
     out, pos = [], 0
+    longest = longest or max((p.count("_") + 1 for p in phrases or ()), default=1)
     for part in query.split(","):
         words = words_of(part)
         i = 0

@@ -344,8 +344,8 @@ def highlight(spark, sf_dir):
 @query("WITH " + STATS + ", d AS (SELECT value, df, row_number() OVER (ORDER BY md5(value), value) AS r FROM dfs WHERE df >= 2 ORDER BY r LIMIT 2400), q AS (SELECT CASE WHEN r <= 800 THEN r ELSE 800 + ceil((r - 800) / 2.0) END::BIGINT AS qid, value, df, n FROM d, num), tf AS (SELECT doc_id, value, count(*) AS tf FROM tok GROUP BY doc_id, value), s AS (SELECT qid, tf.doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doclen / 1000.0))), 6) AS score FROM tf JOIN q USING (value) JOIN dl USING (doc_id) GROUP BY qid, tf.doc_id), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, doc_id, score, rank::INT AS rank FROM k WHERE rank <= 6")
 def search_load_1600(spark, sf_dir):
     """A load of 1,600 queries in one pass; its time over 1,600 is the time of one."""
-    docs = table(spark, sf_dir, "documents")
-    return plans.search_many(docs, plans.sampled_queries(docs))
+    index = index_of(spark, sf_dir)
+    return plans.search_many(index, plans.sampled_queries(index))
 
 
 

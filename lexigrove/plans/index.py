@@ -1,9 +1,15 @@
-"""A positional index: written once, then read by bucket of the wanted words.
-
-``postings`` has a row for each word of a document with its positions and the sentences they
-stand in, partitioned by a hash of the word and sorted by it, so a query reads the folders of
-its words and skips their other row groups. ``dfs`` has the document frequencies in the same
-buckets, ``docs`` the lengths and titles of documents.
+"""A positional index: written once, then read by bucket of the wanted words or documents.
+
+Two directions. The inverted one: ``postings`` has a row for each word of a document with its
+positions and the sentences they stand in, partitioned by a hash of the word and sorted by
+it, so a query reads the folders of its words and skips their other row groups; ``dfs`` has
+the document frequencies in the same buckets. The forward one: ``texts`` has the words of
+each document as they stand there, with their sentences, and ``features`` the places of
+features, both partitioned by a hash of doc_id, so summaries and link passes read the folders
+of the documents they are for.
+
+``write_features`` matches a dictionary of phrases against the texts: the longest matches become
+postings of their own (``phrases``, several words long) and forward features of their kinds.
 """
 
 from __future__ import annotations
@@ -14,17 +20,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import phrases as P
 from ..sources.shared import new_folder
 
 SENTENCE_END = r"[.!?\n]+"
-#: Documents for each bucket and each shard of a bucket, about.
-BUCKET_DOCS, SHARD_DOCS = 20_000, 500_000
+#: Documents for each bucket and each shard of a bucket, about, and the most buckets: beyond, folders hold more sorted files.
+BUCKET_DOCS, SHARD_DOCS, BUCKETS = 20_000, 500_000, 4096
 
 
 def bucket_of(value: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
 
 
+def bucket_number(value: str | int, buckets: int) -> int:
+    """``bucket_of`` a word or a doc_id, in Python."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(value.encode() if isinstance(value, str) else value.to_bytes(8, "little", signed=True), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
 def placed_words(c: Column, normalize: T.Normalizer = T.lowered) -> Column:
     """Words of a text with the number of their sentence; their places are those of ``T.words``."""
     sentences = F.split(normalize(F.coalesce(c, F.lit(""))), SENTENCE_END)
@@ -41,6 +56,8 @@ class Index:
     n: int
     source: DataFrame
     stems: bool = False
+    #: Words of the longest phrase, 0 without phrases.
+    longest: int = 0
 
     @classmethod
     def write(cls, docs: DataFrame, spark: SparkSession, path: str | None = None, stems: bool = False) -> Index:
@@ -48,41 +65,95 @@ class Index:
 
         With ``stems``, words are stemmed and lose their diacritics, here and in queries."""
         path, n = path or new_folder(spark, "index"), docs.count()
-        buckets, shards = max(16, n // BUCKET_DOCS), max(2, n // SHARD_DOCS)
+        index = cls(spark, path, min(max(16, n // BUCKET_DOCS), BUCKETS), n, docs, stems)
         titled = docs if "title" in docs.columns else docs.withColumn("title", F.lit(None).cast("string"))
-        read = titled.select("doc_id", "title", placed_words(F.col("text")).alias("ws"))
-        doclen = F.size("ws").cast("long")
+        read = titled.select("doc_id", "title", placed_words(F.col("text")).alias("ws"), T.words(F.col("text")).alias("orig"))
+        # lowering a text may split a few rare letters; then its lowered words are shown
+        shown = F.when(F.size("orig") == F.size("ws"), F.col("orig")).otherwise(F.transform("ws", lambda w: w["value"]))
+        texts = read.select("doc_id", "title", F.size("ws").cast("long").alias("doclen"), shown.alias("words"), F.transform("ws", lambda w: w["sent"]).alias("sents"), bucket_of(F.col("doc_id"), index.buckets).alias("bucket"))
+        index._by_doc(texts).sortWithinPartitions("bucket", "doc_id").write.partitionBy("bucket").parquet(f"{path}/texts")
         # the first sentence with a word is the title
-        words = read.select("doc_id", doclen.alias("doclen"), F.get("ws", F.lit(0))["sent"].alias("title_sent"), F.posexplode("ws").alias("pos", "w"))
+        words = read.select("doc_id", F.size("ws").cast("long").alias("doclen"), F.get("ws", F.lit(0))["sent"].alias("title_sent"), F.posexplode("ws").alias("pos", "w"))
         words = words.select("doc_id", "doclen", "title_sent", "pos", "w.value", "w.sent")
         if stems:
             words = words.withColumn("value", T.without_marks(T.stem(F.col("value"))))
-        words = words.withColumns({"bucket": bucket_of(F.col("value"), buckets), "shard": F.pmod(F.xxhash64("doc_id"), F.lit(shards))})
-        dealt = words.repartition(buckets * shards, "bucket", "shard")
-        lists = dealt.groupBy("bucket", "shard", "value", "doc_id", "doclen", "title_sent").agg(F.array_sort(F.collect_list(F.struct("pos", "sent"))).alias("hits"))
-        rows = lists.select("bucket", "value", "doc_id", "doclen", "title_sent", F.size("hits").cast("long").alias("tf"), "hits")
-        rows.sortWithinPartitions("bucket", "value", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-        index = cls(spark, path, buckets, n, docs, stems)
-        counts = index.postings().groupBy("bucket", "value").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-        counts.sortWithinPartitions("value").write.partitionBy("bucket").parquet(f"{path}/dfs")
-        read.select("doc_id", "title", doclen.alias("doclen")).write.parquet(f"{path}/docs")
+        index._write_postings(words.withColumn("length", F.lit(1)), "postings", "dfs")
         return index
 
+    @property
+    def _shards(self) -> int:
+        return max(2, self.n // SHARD_DOCS)
+
+    def _by_doc(self, rows: DataFrame) -> DataFrame:
+        """Dealt so that a bucket becomes as many files as it has shards."""
+        return rows.repartition(self.buckets * self._shards, "bucket", F.pmod(F.hash("doc_id"), F.lit(self._shards)))
+
+    def _write_postings(self, places: DataFrame, to: str, dfs: str) -> None:
+        """Places (doc_id, doclen, title_sent, pos, value, sent, length) as lists by value and document, and the values' frequencies."""
+        keyed = places.withColumns({"bucket": bucket_of(F.col("value"), self.buckets), "shard": F.pmod(F.xxhash64("doc_id"), F.lit(self._shards))})
+        dealt = keyed.repartition(self.buckets * self._shards, "bucket", "shard")
+        lists = dealt.groupBy("bucket", "shard", "value", "length", "doc_id", "doclen", "title_sent").agg(F.array_sort(F.collect_list(F.struct("pos", "sent"))).alias("hits"))
+        rows = lists.select("bucket", "value", "length", "doc_id", "doclen", "title_sent", F.size("hits").cast("long").alias("tf"), "hits")
+        rows.sortWithinPartitions("bucket", "value", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/{to}")
+        counts = self._read(to).groupBy("bucket", "value").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+        counts.sortWithinPartitions("value").write.partitionBy("bucket").parquet(f"{self.path}/{dfs}")
+
+    def write_features(self, names: DataFrame) -> Index:
+        """Match a dictionary (name, kind, value) against the texts; each row tells of one kind of forward feature that a name stands for.
+
+        Names are compared by their lowered words; the longest matches count. Each is a posting of
+        the phrase (its words joined by ``_``), and a forward feature of each kind with the value given."""
+        parsed = names.select(T.lower_words(F.col("name")).alias("words"), "kind", "value").filter(F.size("words") > 1)
+        parsed = parsed.select(F.array_join("words", "_").alias("phrase"), "words", "kind", "value").distinct()
+        known = parsed.select("phrase", "words", F.size("words").alias("length"), bucket_of(F.col("phrase"), self.buckets).alias("bucket")).distinct()
+        known.sortWithinPartitions("phrase").write.partitionBy("bucket").parquet(f"{self.path}/dictionary")
+        known = self._read("dictionary")
+        self.longest = known.agg(F.max("length")).first()[0] or 0
+        texts = self.texts().select("doc_id", "doclen", "sents", F.transform("words", F.lower).alias("toks"))
+        found = P.exclusive(P.matched(texts, known.select("phrase", "words", F.col("length").alias("n"), F.col("phrase").alias("id")))).select("doc_id", "pos", F.col("n").alias("length"), "phrase")
+        placed = texts.select("doc_id", "doclen", "sents").join(found, "doc_id")
+        placed = placed.select("doc_id", "doclen", F.get("sents", F.lit(0)).alias("title_sent"), "pos", F.col("phrase").alias("value"), F.get("sents", F.col("pos")).alias("sent"), "length")
+        self._write_postings(placed, "phrases", "phrase_dfs")
+        places = self._read("phrases").select("doc_id", F.col("value").alias("phrase"), "length", F.explode("hits.pos").alias("pos"))
+        features = places.join(parsed.select("phrase", "kind", "value"), "phrase").select("kind", "doc_id", "pos", "length", "value", bucket_of(F.col("doc_id"), self.buckets).alias("bucket"))
+        self._by_doc(features).sortWithinPartitions("bucket", "doc_id", "kind", "pos").write.partitionBy("bucket").parquet(f"{self.path}/features")
+        return self
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def _of(self, rows: DataFrame, column: str, wanted: list | None) -> DataFrame:
+        if wanted is None:
+            return rows
+        return rows.filter(F.col("bucket").isin(sorted({bucket_number(w, self.buckets) for w in wanted})) & F.col(column).isin(list(wanted)))
+
     def postings(self, words: list[str] | None = None) -> DataFrame:
-        """(bucket, value, doc_id, doclen, title_sent, tf, hits), of some words only if given."""
-        return self._of(self.spark.read.parquet(f"{self.path}/postings"), words)
+        """(bucket, value, length, doc_id, doclen, title_sent, tf, hits): of all words, or of the words and phrases given."""
+        return self._both("postings", "phrases", words)
 
     def dfs(self, words: list[str] | None = None) -> DataFrame:
-        return self._of(self.spark.read.parquet(f"{self.path}/dfs"), words)
+        """(bucket, value, df, tf): of all words, or of the words and phrases given."""
+        return self._both("dfs", "phrase_dfs", words)
+
+    def _both(self, single: str, several: str, words: list[str] | None) -> DataFrame:
+        longer = [w for w in words or () if "_" in w]
+        rows = self._of(self._read(single), "value", words if words is None else [w for w in words if "_" not in w])
+        return rows.unionByName(self._of(self._read(several), "value", longer)) if longer and self.longest else rows
+
+    def texts(self, ids: list[int] | None = None) -> DataFrame:
+        """(bucket, doc_id, title, doclen, words, sents): of all documents, or of those given."""
+        return self._of(self._read("texts"), "doc_id", ids)
+
+    def features(self, ids: list[int] | None = None) -> DataFrame:
+        """(bucket, kind, doc_id, pos, length, value): forward features of all documents, or of those given."""
+        return self._of(self._read("features"), "doc_id", ids)
 
     def docs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/docs")
+        return self.texts().select("doc_id", "title", "doclen")
 
-    def _of(self, rows: DataFrame, words: list[str] | None) -> DataFrame:
-        if words is None:
-            return rows
-        buckets = [r["b"] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(bucket_of(F.col("w"), self.buckets).alias("b")).distinct().collect()]
-        return rows.filter(F.col("bucket").isin(buckets) & F.col("value").isin(words))
+    def phrase_postings(self) -> DataFrame:
+        """The postings of all phrases."""
+        return self._read("phrases")
 
     def analyzed(self, words: list[str]) -> list[str]:
         """A query's words, normalized as the documents' were."""
@@ -91,35 +162,68 @@ class Index:
         rows = self.spark.createDataFrame(list(enumerate(words)), "k int, w string").select("k", T.without_marks(T.stem(F.lower("w"))).alias("w"))
         return [r["w"] for r in rows.orderBy("k").collect()]
 
+    def covered(self, query: str) -> list[dict]:
+        """A query's terms (value, length): the longest phrases of the dictionary, and words as ``phrases.merged`` leaves them."""
+        grams = [g for g in P.query_grams(query, self.longest) if "_" in g]
+        known = {r["phrase"]: r["phrase"] for r in self._of(self._read("dictionary"), "phrase", grams).select("phrase").collect()} if grams else {}
+        terms = P.merged(P.analyzed(query, known))
+        normal = iter(self.analyzed([t["value"] for t in terms if t["length"] == 1]))
+        return [t if t["length"] > 1 else t | {"value": next(normal)} for t in terms]
+
     def terms(self, words: list[str]) -> list[dict]:
-        """The words in order with their df; a row for each word goes to the driver."""
+        """The words and phrases in order with their df; a row for each goes to the driver."""
         words = list(dict.fromkeys(words))
         df = {r["value"]: r["df"] for r in self.dfs(words).select("value", "df").collect()} if words else {}
         return [{"value": w, "df": df.get(w, 0), "weight": 1.0, "term": k + 1} for k, w in enumerate(words)]
 
     def frequent(self, low: float, high: float, k: int) -> list[str]:
         """The most frequent words with df within a band of shares."""
-        band = self.dfs().filter((F.col("df") >= low * self.n) & (F.col("df") <= high * self.n))
+        return self._best(self.dfs(), low, high, k)
+
+    def frequent_phrases(self, low: float, high: float, k: int) -> list[str]:
+        """The most frequent phrases with df within a band of shares."""
+        return self._best(self._read("phrase_dfs"), low, high, k)
+
+    def _best(self, dfs: DataFrame, low: float, high: float, k: int) -> list[str]:
+        band = dfs.filter((F.col("df") >= low * self.n) & (F.col("df") <= high * self.n))
         return [r["value"] for r in band.orderBy(F.desc("df"), "value").limit(k).collect()]
 
-    def hits(self, words: list[str]) -> DataFrame:
-        """(doc_id, doclen, value, tf, pos, sent, in_title): each place of the words."""
-        rows = self.postings(words).select("doc_id", "doclen", "title_sent", "value", "tf", F.explode("hits").alias("h"))
+    def hits(self, words: list[str], ids: list[int] | None = None) -> DataFrame:
+        """(doc_id, doclen, value, tf, pos, sent, in_title): each place of the words and phrases, in some documents only if given."""
+        rows = self.postings(words) if ids is None else self.postings(words).filter(F.col("doc_id").isin(list(ids)))
+        rows = rows.select("doc_id", "doclen", "title_sent", "value", "tf", F.explode("hits").alias("h"))
         return rows.select("doc_id", "doclen", "value", "tf", "h.pos", "h.sent", (F.col("h.sent") == F.col("title_sent")).alias("in_title"))
 
-    def band_features(self, low: int, high: int) -> DataFrame:
-        """(doc_id, pos, value): forward features, the words with df from ``low`` to ``high``."""
-        rare = self.dfs().filter(F.col("df").between(low, high)).select("bucket", "value")
-        return self.postings().join(rare, ["bucket", "value"], "left_semi").select("doc_id", "value", F.explode("hits.pos").alias("pos"))
 
+_KNOWN: dict[tuple, Index] = {}
+
+
+def _state(docs: DataFrame) -> tuple:
+    """Number, size and last change of a table's files, from their footers alone."""
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.agg(F.count("*"), F.sum("file_size"), F.max("file_modification_time")).first())
 
-_KNOWN: dict[tuple[str, str], Index] = {}
 
+def index_of(spark: SparkSession, sf_dir: str, features: bool = False) -> Index:
+    """The index of a folder's documents, written at the first call of a Spark application and again when their files change.
 
-def index_of(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of a folder's documents, written at the first call of a Spark application."""
-    key = spark.sparkContext.applicationId, sf_dir
+    With ``features``, titles are its dictionary: a document's first two words name a feature, its
+    first three are a title that links to the least document that begins with them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = spark.sparkContext.applicationId, sf_dir, _state(docs)
     if key not in _KNOWN:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
         _KNOWN[key] = Index.write(docs.select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("title")), spark)
-    return _KNOWN[key]
+    index = _KNOWN[key]
+    if features and not index.longest:
+        index.write_features(title_names(index.texts()))
+    return index
+
+
+def title_names(texts: DataFrame) -> DataFrame:
+    """(name, kind, value) of titles: first two words as features, first three as links and as titles linked to."""
+    first = lambda n: F.array_join(F.slice("words", 1, n), " ")
+    low = lambda n: F.array_join(F.transform(F.slice("words", 1, n), F.lower), "_")
+    two = texts.filter(F.size("words") >= 2).select(first(2).alias("name"), F.lit("vecfname").alias("kind"), low(2).alias("value"))
+    three = texts.filter(F.size("words") >= 3).select(first(3).alias("name"), low(3).alias("value"), "doc_id")
+    linked = three.groupBy("value").agg(F.first("name").alias("name"), F.concat(F.lit("d"), F.min("doc_id")).alias("target")).select("name", F.lit("linkid").alias("kind"), F.col("target").alias("value"))
+    return two.unionByName(three.select("name", F.lit("veclfeat").alias("kind"), "value")).unionByName(linked)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import links, phrases, postings, proximity, ranking, selection
 from . import search as plans
-from .catalog import HIGH, HITS, LOW, QRY, STATS, _bm_sql, _hits, _ranks, _terms
+from .catalog import HIGH, HITS, LOW, PHRASES, QRY, STATS, _bm_sql, _hits, _ranks, _terms
 from .index import index_of
 from .registry import query, rounded, table
 
@@ -41,19 +41,17 @@ def proximity_counts(spark, sf_dir):
     return rounded(ff.select("doc_id", "value", "ff"), "ff")
 
 
-#: Document frequencies of the words that stand for each kind of forward feature.
-FEATURES = {"linkid": (3, 10), "veclfeat": (11, 20), "vecfname": (21, 40)}
-
-
-def _forward(spark, sf_dir):
-    index = index_of(spark, sf_dir)
-    return {k: index.band_features(*band) for k, band in FEATURES.items()}
+#: Forward features: the longest matches of titles; two words name a feature, three are a title, which links to the least document that begins with it.
+FW = (
+    PHRASES + ", xe AS (SELECT *, max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m), x AS MATERIALIZED (SELECT doc_id, pos, n, phrase FROM xe WHERE before IS NULL OR before < pos + n)"
+    ", tg AS (SELECT l[1] || '_' || l[2] || '_' || l[3] AS phrase, 'd' || min(doc_id) AS target FROM toks WHERE len(l) >= 3 GROUP BY 1)"
+    ", fw AS MATERIALIZED (SELECT doc_id, pos, 'vecfname' AS kind, phrase AS value FROM x WHERE n = 2 UNION ALL SELECT doc_id, pos, 'veclfeat', phrase FROM x WHERE n = 3 UNION ALL SELECT doc_id, pos, 'linkid', target FROM x JOIN tg USING (phrase))"
+)
 
 
 def _near_sql(kind: str, reach: int, tail: str = "") -> str:
-    low, high = FEATURES[kind]
     return (
-        f", f{tail} AS (SELECT doc_id, pos, value FROM tok JOIN dfs USING (value) WHERE df BETWEEN {low} AND {high}), p{tail} AS (SELECT f.doc_id, f.value, f.pos, count(DISTINCT h.term) AS k FROM f{tail} f JOIN h ON f.doc_id = h.doc_id AND abs(f.pos - h.pos) <= {reach} GROUP BY ALL), "
+        f", p{tail} AS (SELECT f.doc_id, f.value, f.pos, count(DISTINCT h.term) AS k FROM fw f JOIN h ON f.doc_id = h.doc_id AND abs(f.pos - h.pos) <= {reach} WHERE f.kind = '{kind}' GROUP BY ALL), "
         f"a{tail} AS (SELECT doc_id, value AS link, sum(pow(k / 2.0, 2.5)) AS weight FROM p{tail} WHERE k >= 1.5 GROUP BY ALL), w{tail} AS (SELECT doc_id, link, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, link) AS r FROM a{tail}) WHERE r <= 20)"
     )
 
@@ -64,16 +62,30 @@ def _link_sql(*near: tuple[str, int]) -> str:
         tail += _near_sql(kind, reach, f"_{kind}")
         size = dict(plans.LISTS.values())[plans.LISTS[kind][0]]
         each.append(f"SELECT '{kind}' AS type, link, weight, rank::INT AS rank FROM (SELECT link, weight, row_number() OVER (ORDER BY weight DESC, link) AS rank FROM (SELECT link, round(sum(weight * score), 5) AS weight FROM w_{kind} JOIN best USING (doc_id) GROUP BY link)) WHERE rank <= {size}")
-    return _bm_sql(HITS + tail + " " + " UNION ALL ".join(each), avg=500.0)
+    return _bm_sql(HITS + FW + tail + " " + " UNION ALL ".join(each), avg=500.0)
+
+
+@query("WITH " + STATS + FW + " SELECT kind, doc_id, pos, value FROM fw")
+def forward_features(spark, sf_dir):
+    """Every forward feature of the index: longest dictionary matches by kind."""
+    return index_of(spark, sf_dir, features=True).features().select("kind", "doc_id", "pos", "value")
+
+
+@query("WITH " + STATS + FW + " SELECT phrase AS value, n::INT AS length, doc_id, count(*) AS tf, list_sort(list(pos))[1]::INT AS first FROM x GROUP BY ALL")
+def phrase_postings(spark, sf_dir):
+    """Postings of the phrases, several words long."""
+    return index_of(spark, sf_dir, features=True).phrase_postings().select("value", "length", "doc_id", "tf", F.get("hits.pos", F.lit(0)).alias("first"))
 
 
-@query("WITH " + QRY + HITS + _near_sql("linkid", 30) + " SELECT doc_id, link, round(weight, 6) AS weight FROM w")
+@query("WITH " + QRY + HITS + FW + _near_sql("veclfeat", 30) + " SELECT doc_id, link, round(weight, 6) AS weight FROM w")
 def near_links(spark, sf_dir):
-    return rounded(proximity.accumulated_near(_hits(spark, sf_dir), _forward(spark, sf_dir)["linkid"], 2), "weight")
+    titles = index_of(spark, sf_dir, features=True).features().filter("kind = 'veclfeat'")
+    return rounded(proximity.accumulated_near(_hits(spark, sf_dir), titles, 2), "weight")
 
 
 def _linked(spark, sf_dir, name):
-    return plans.link_pass(*_terms(spark, sf_dir), _forward(spark, sf_dir), ranking.scheme(name))
+    index = index_of(spark, sf_dir, features=True)
+    return plans.link_pass(index, index.terms(index.frequent(LOW, HIGH, 2)), ranking.scheme(name))
 
 
 @query(_link_sql(("linkid", 30)))
@@ -125,19 +137,36 @@ def search_flagship(spark, sf_dir):
     return plans.search(index, " ".join(index.frequent(LOW, HIGH, 2)))
 
 
-#: The link pass's ranks, and the summed weights of its links in each document.
+#: The link pass's titles, their weights damped, and the sum of these in each document that holds them.
 LINKED = (
     ", bl AS (SELECT tf.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doclen / 500.0))) AS score FROM tf JOIN q USING (value) JOIN dl USING (doc_id) GROUP BY tf.doc_id)"
-    ", lb AS (SELECT doc_id, round(score, 6) AS score FROM bl JOIN held USING (doc_id) WHERE held >= 2 ORDER BY 2 DESC, 1 LIMIT 120)" + _near_sql("linkid", 30) + ", lk AS (SELECT link, weight FROM (SELECT link, weight, row_number() OVER (ORDER BY weight DESC, link) AS rank "
-    "FROM (SELECT link, round(sum(weight * score), 5) AS weight FROM w JOIN lb USING (doc_id) GROUP BY link)) WHERE rank <= 20), s1 AS (SELECT f.doc_id, sum(weight) AS s1 FROM f JOIN lk ON f.value = lk.link GROUP BY f.doc_id)"
+    ", lb AS (SELECT doc_id, round(score, 6) AS score FROM bl JOIN held USING (doc_id) WHERE held >= 2 ORDER BY 2 DESC, 1 LIMIT 120)" + FW + _near_sql("veclfeat", 30) + ", lk AS (SELECT link, ln(weight) AS weight FROM (SELECT link, weight, row_number() OVER (ORDER BY weight DESC, link) AS rank "
+    "FROM (SELECT link, round(sum(weight * score), 5) AS weight FROM w JOIN lb USING (doc_id) GROUP BY link)) WHERE rank <= 20 AND weight > 0), s1 AS (SELECT doc_id, sum(weight) AS s1 FROM (SELECT DISTINCT doc_id, phrase FROM x) JOIN lk ON phrase = link GROUP BY doc_id)"
 )
 
 
 @query(_bm_sql(FF + HITS + HELD + LINKED + _passage_sql(", best AS (SELECT doc_id, round(0.7 * coalesce(s1, 0) + (1 - 0.7) * score, 6) AS score FROM bp JOIN held USING (doc_id) LEFT JOIN s1 USING (doc_id) WHERE held >= 2 ORDER BY 2 DESC, 1 LIMIT 6)")))
 def search_std(spark, sf_dir):
-    """Link pass, then proximity weighting mixed with the weights of matched links."""
-    index = index_of(spark, sf_dir)
-    return plans.search(index, " ".join(index.frequent(LOW, HIGH, 2)), s="STD", forward=_forward(spark, sf_dir))
+    """Link pass, then proximity weighting mixed with the logarithms of the weights of the titles that a document holds."""
+    index = index_of(spark, sf_dir, features=True)
+    return plans.search(index, " ".join(index.frequent(LOW, HIGH, 2)), s="STD")
+
+
+#: A query of the most frequent phrase and word of the middle band; its terms are the phrase, its words but the first, and the word.
+QP = (
+    STATS + FW + ", pd AS (SELECT phrase AS value, count(DISTINCT doc_id) AS df FROM x GROUP BY phrase), bp AS (SELECT value FROM pd, num WHERE df >= 0.05 * n AND df <= 0.3 * n ORDER BY df DESC, value LIMIT 1), bw AS (SELECT value FROM dfs, num WHERE df >= 0.05 * n AND df <= 0.3 * n ORDER BY df DESC, value LIMIT 1)"
+    ", q AS (SELECT value, df FROM pd JOIN bp USING (value) UNION SELECT value, df FROM dfs WHERE value IN (SELECT unnest(string_split(value, '_')[2:]) FROM bp) OR value IN (SELECT value FROM bw))"
+    ", ctf AS (SELECT doc_id, value, count(*) AS tf FROM tok WHERE value IN (SELECT value FROM q) GROUP BY ALL UNION ALL SELECT doc_id, phrase, count(*) FROM x WHERE phrase IN (SELECT value FROM q) GROUP BY ALL)"
+)
+
+
+@query("WITH " + QP + " SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doclen / 1000.0))), 6) AS score FROM ctf JOIN q USING (value) JOIN dl USING (doc_id), num GROUP BY doc_id HAVING count(*) = (SELECT count(*) FROM q) ORDER BY 2 DESC, 1 LIMIT 20")
+def phrase_search(spark, sf_dir):
+    """A query with a phrase of the dictionary: documents that hold it and the other words, the phrase a term with its own frequencies."""
+    index = index_of(spark, sf_dir, features=True)
+    q = index.frequent_phrases(LOW, HIGH, 1)[0].replace("_", " ") + ", " + index.frequent(LOW, HIGH, 1)[0]
+    terms = plans.query_terms(index, q)
+    return ranking.top(rounded(plans.candidates(index, terms, ranking.scheme("BM25")).select("doc_id", "score"), "score"), 20)
 
 
 @query(_bm_sql(", best AS (SELECT doc_id FROM bm JOIN (SELECT doc_id, count(DISTINCT value) AS held FROM tok JOIN q USING (value) GROUP BY doc_id) USING (doc_id) WHERE held >= 2 ORDER BY score DESC, doc_id LIMIT 6) SELECT doc_id, value, tf, doclen::BIGINT AS doclen, df, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 0), 6) AS idf, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doclen / 1000.0)), 6) AS part FROM tf JOIN q USING (value) JOIN dl USING (doc_id) JOIN best USING (doc_id)"))
@@ -156,10 +185,10 @@ def match_positions(spark, sf_dir):
     return proximity.first_positions(_hits(spark, sf_dir)).select("doc_id", F.array_join("positions", ",").alias("positions"))
 
 
-@query("WITH " + QRY + HITS + ", f AS (SELECT doc_id, pos, value FROM tok JOIN dfs USING (value) WHERE df BETWEEN 3 AND 10), b AS (SELECT h.doc_id, f.value, count(*) AS n FROM h JOIN f ON h.doc_id = f.doc_id AND abs(f.pos - h.pos) <= 10 GROUP BY ALL) SELECT doc_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, value) AS r FROM b) WHERE r <= 5")
+@query("WITH " + QRY + HITS + FW + ", b AS (SELECT h.doc_id, f.value, count(*) AS n FROM h JOIN fw f ON h.doc_id = f.doc_id AND abs(f.pos - h.pos) <= 10 WHERE f.kind = 'linkid' GROUP BY ALL) SELECT doc_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, value) AS r FROM b) WHERE r <= 5")
 def match_variables(spark, sf_dir):
-    """The features that stand within ten words of a match, the five most bound of each document."""
-    return proximity.bound_variables(_hits(spark, sf_dir), _forward(spark, sf_dir)["linkid"], 10, 5)
+    """The links that stand within ten words of a match, the five most bound of each document."""
+    return proximity.bound_variables(_hits(spark, sf_dir), index_of(spark, sf_dir, features=True).features().filter("kind = 'linkid'"), 10, 5)
 
 
 @query("WITH " + STATS + ", " + PLACED + ", t AS (SELECT value, count(DISTINCT doc_id) AS n_titles FROM pl WHERE in_title GROUP BY value) SELECT value, df, n_titles FROM t JOIN dfs USING (value)")
@@ -170,7 +199,7 @@ def title_field(spark, sf_dir):
     return rows.groupBy("value").agg(F.count("*").alias("df"), F.sum(inside.cast("long")).alias("n_titles")).filter("n_titles > 0")
 
 
-@query("WITH " + QRY + HITS + ", " + PLACED + " SELECT a.doc_id, a.pos::INT AS pos, b.pos::INT AS other_pos FROM (pl JOIN (SELECT value AS v, idx FROM q) ON value = v) a JOIN (pl JOIN (SELECT value AS v, idx FROM q) ON value = v) b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.idx = 1 AND b.idx = 2 AND b.pos - a.pos BETWEEN 1 AND 100")
+@query("WITH " + QRY + ", " + PLACED + ", ph AS MATERIALIZED (SELECT pl.doc_id, pl.sent, pl.pos, q.idx FROM pl JOIN q USING (value)) SELECT a.doc_id, a.pos::INT AS pos, b.pos::INT AS other_pos FROM ph a JOIN ph b ON a.doc_id = b.doc_id AND a.sent = b.sent WHERE a.idx = 1 AND b.idx = 2 AND b.pos - a.pos BETWEEN 1 AND 100")
 def ordered_in_sentence(spark, sf_dir):
     """The first word and then the second within 100 words of one sentence."""
     h = _hits(spark, sf_dir)
@@ -182,12 +211,10 @@ def abstract_pieces(spark, sf_dir):
     """The first three sentences that hold a word of the query, joined."""
     from pyspark.sql import Window as W
 
-    from .index import placed_words
-
     hit = _hits(spark, sf_dir).select("doc_id", "sent").distinct()
     first = hit.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy("sent"))).filter("_r <= 3")
-    texts = table(spark, sf_dir, "documents").select("doc_id", placed_words(F.col("text")).alias("ws"))
-    pieces = texts.join(first, "doc_id").select("doc_id", F.col("sent").alias("pos"), F.array_join(F.transform(F.filter("ws", lambda w: w["sent"] == F.col("sent")), lambda w: w["value"]), " ").alias("piece"))
+    texts = index_of(spark, sf_dir).texts().select("doc_id", F.arrays_zip("words", "sents").alias("ws"))
+    pieces = texts.join(first, "doc_id").select("doc_id", F.col("sent").alias("pos"), F.lower(F.array_join(F.transform(F.filter("ws", lambda w: w["sents"] == F.col("sent")), lambda w: w["words"]), " ")).alias("piece"))
     return proximity.pieces_joined(pieces)
 
 

@@ -13,7 +13,9 @@ from .index import Index
 #: Documents that the link pass looks at, and rows of each related list.
 HORIZON, LINKS, TITLES, FEATURES = 120, 20, 20, 15
 #: The link pass's features by the name of their list.
-LISTS = {"linkid": ("nblinks", LINKS), "veclfeat": ("titles", TITLES), "vecfname": ("features", FEATURES)}
+LISTS = {"linkid": ("nblinks", TITLES), "veclfeat": ("links", LINKS), "vecfname": ("features", FEATURES)}
+#: The kind whose features weigh in the second pass.
+LINKED = "veclfeat"
 
 
 def terms_table(index: Index, terms: list[dict], s: ranking.Scheme) -> DataFrame:
@@ -51,24 +53,26 @@ def candidates(index: Index, terms: list[dict], s: ranking.Scheme, restrict: Dat
     return ranks if restrict is None else ranks.join(restrict.select("doc_id"), "doc_id", "left_semi")
 
 
-def query_terms(index: Index, q: str, names: dict[str, str] | None = None) -> list[dict]:
-    """A query's words with df, normalized as the index was; fails if the collection holds none."""
-    words = [t["value"] for t in phrases.analyzed(q, names) if t["type"] == "stem"]
-    terms = index.terms(index.analyzed(words))
+def query_terms(index: Index, q: str) -> list[dict]:
+    """A query's words and phrases with df, normalized as the index was; fails if the collection holds none."""
+    terms = index.terms([t["value"] for t in index.covered(q)])
     if not any(t["df"] for t in terms):
         raise ValueError("features not found")
     return terms
 
 
-def link_pass(index: Index, terms: list[dict], forward: dict[str, DataFrame], s: ranking.Scheme, horizon: int = HORIZON, metadata: DataFrame | None = None) -> DataFrame:
-    """(type, link, weight, rank): each kind of forward features (doc_id, pos, value) near the terms in the best documents."""
+def link_pass(index: Index, terms: list[dict], s: ranking.Scheme, horizon: int = HORIZON, metadata: DataFrame | None = None) -> DataFrame:
+    """(type, link, weight, rank): each kind of forward features near the terms in the best documents.
+
+    These (``horizon`` rows) go to the driver first, so that only their buckets are read."""
     words = [t["value"] for t in terms if t["df"] > 0]
-    best = ranking.top(candidates(index, terms, s, None, metadata).withColumn("score", F.round("score", 6)), horizon)
-    hits = index.hits(words).select("doc_id", "pos", F.col("value").alias("term")).join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")  # ``horizon`` rows
+    best = ranking.top(candidates(index, terms, s, None, metadata).select("doc_id", F.round("score", 6).alias("score")), horizon)
+    best = index.spark.createDataFrame(best.collect(), best.schema)
+    ids = [r["doc_id"] for r in best.select("doc_id").collect()]
+    hits, features = index.hits(words, ids).select("doc_id", "pos", F.col("value").alias("term")), index.features(ids)
     out = None
     for kind, reach in s.near:
-        own = forward[kind].join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")
-        near = proximity.accumulated_near(hits, own, len(words), reach, s.near_cardinality, s.cofactor, s.limit_per_doc)
+        near = proximity.accumulated_near(hits, features.filter(F.col("kind") == kind), len(words), reach, s.near_cardinality, s.cofactor, s.limit_per_doc)
         told = links.aggregated(near, best).select(F.lit(kind).alias("type"), "link", F.round("weight", 5).alias("weight"))
         out = told if out is None else out.unionByName(told)
     w = W.partitionBy("type").orderBy(F.desc("weight"), "link")
@@ -76,28 +80,37 @@ def link_pass(index: Index, terms: list[dict], forward: dict[str, DataFrame], s:
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= sizes)
 
 
-def search(index: Index, q: str, i: int = 0, n: int = 6, s: str = "BM25", d: DataFrame | None = None, m: DataFrame | None = None, passage: int = 40, forward: dict[str, DataFrame] | None = None, names: dict[str, str] | None = None) -> DataFrame:
+def link_weights(index: Index, terms: list[dict], metadata: DataFrame | None = None) -> DataFrame:
+    """(doc_id, links): the damped weights of the link pass's titles, each counted once in a document that holds it.
+
+    The titles (LINKS rows) go to the driver, and their postings are read."""
+    lifted = links.log_damped(link_pass(index, terms, ranking.SCHEMES["STDLNK"], metadata=metadata).filter(F.col("type") == LINKED))
+    rows = lifted.select("link", "weight").collect()
+    told = index.spark.createDataFrame([(r["link"], r["weight"]) for r in rows], "value string, weight double")
+    return index.postings([r["link"] for r in rows]).select("doc_id", "value").join(F.broadcast(told), "value").groupBy("doc_id").agg(F.sum("weight").alias("links"))
+
+
+def search(index: Index, q: str, i: int = 0, n: int = 6, s: str = "BM25", d: DataFrame | None = None, m: DataFrame | None = None, passage: int = 40) -> DataFrame:
     """Ranks i .. i + n of a query: (doc_id, score, title, abstract).
 
-    ``d`` restricts the documents, ``m`` is their metadata (pageweight, redirect). ``STD`` runs
-    the link pass first, whose link features (by ``forward``) then weigh in."""
-    terms = query_terms(index, q, names)
+    Phrases of the index's dictionary count as terms of their own. ``d`` restricts the documents,
+    ``m`` is their metadata (pageweight, redirect). ``STD`` runs the link pass first, whose titles
+    then weigh in; an index without features has none."""
+    terms = query_terms(index, q)
     scheme = ranking.scheme("BM25std" if s == "STD" else s)
     ranks = candidates(index, terms, scheme, d, m)
-    if s == "STD" and forward:
-        lifted = link_pass(index, terms, forward, ranking.SCHEMES["STDLNK"], metadata=m).filter(F.col("type") == "linkid")
-        hits = forward["linkid"].join(F.broadcast(lifted.select(F.col("link").alias("value"), "weight")), "value").groupBy("doc_id").agg(F.sum("weight").alias("_links"))  # LINKS rows
-        ranks = ranks.join(hits, "doc_id", "left").select("doc_id", ranking.mixed(F.col("score"), F.coalesce("_links", F.lit(0.0)), scheme.links).alias("score"))
+    if s == "STD" and index.longest:
+        ranks = ranks.join(link_weights(index, terms, m), "doc_id", "left").select("doc_id", ranking.mixed(F.col("score"), F.coalesce("links", F.lit(0.0)), scheme.links).alias("score"))
     best = ranking.top(ranks.select("doc_id", F.round("score", 6).alias("score")), n, i)
     return passages(index, best, [t["value"] for t in terms if t["df"] > 0], passage)
 
 
-def search_page(index: Index, q: str, forward: dict[str, DataFrame], i: int = 0, n: int = 6, **more) -> dict[str, DataFrame]:
+def search_page(index: Index, q: str, i: int = 0, n: int = 6, **more) -> dict[str, DataFrame]:
     """What a result page shows: ranks, whether there are more, and the related lists."""
     terms = query_terms(index, q)
-    related = link_pass(index, terms, forward, ranking.SCHEMES["STDLNK"])
+    related = link_pass(index, terms, ranking.SCHEMES["STDLNK"])
     lists = {name: links.related_terms(related.filter(F.col("type") == kind).withColumnRenamed("link", "name"), q) for kind, (name, _) in LISTS.items()}
-    return {"ranks": search(index, q, i, n, forward=forward, **more), "has_more": ranking.has_more(candidates(index, terms, ranking.SCHEMES["BM25"]), n, i), **lists}
+    return {"ranks": search(index, q, i, n, **more), "has_more": ranking.has_more(candidates(index, terms, ranking.SCHEMES["BM25"]), n, i), **lists}
 
 
 def passages(index: Index, ranks: DataFrame, words: list[str], size: int) -> DataFrame:
@@ -106,13 +119,12 @@ def passages(index: Index, ranks: DataFrame, words: list[str], size: int) -> Dat
     A page of ranks goes to the driver, so that only its documents are read."""
     page = index.spark.createDataFrame(ranks.collect(), ranks.schema)
     ids = [r["doc_id"] for r in page.select("doc_id").collect()]
-    hits = index.hits(words).filter(F.col("doc_id").isin(ids)).select("doc_id", "pos", F.col("value").alias("term"))
+    hits = index.postings(words).filter(F.col("doc_id").isin(ids)).select("doc_id", "length", F.col("value").alias("term"), F.explode("hits.pos").alias("pos"))
     counted = proximity.window_hits(hits, size).groupBy("doc_id").agg(F.max(F.struct("n_hits", (-F.col("pos")).alias("at"))).alias("b"))
-    shown = index.source.filter(F.col("doc_id").isin(ids)).select("doc_id", T.words(F.col("text")).alias("orig"))
-    titles = index.docs().filter(F.col("doc_id").isin(ids)).select("doc_id", "title")
-    # the words as the text has them stand at the places that the index knows
-    marked = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("marked"))
-    told = page.join(shown, "doc_id").join(titles, "doc_id").join(counted, "doc_id", "left").join(marked, "doc_id", "left")
+    shown = index.texts(ids).select("doc_id", "title", F.col("words").alias("orig"))
+    # the words as the text has them stand at the places that the index knows; all words of a phrase are marked
+    marked = hits.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("pos")).groupBy("doc_id").agg(F.collect_set("pos").alias("marked"))
+    told = page.join(shown, "doc_id").join(counted, "doc_id", "left").join(marked, "doc_id", "left")
     start = F.coalesce(-F.col("b.at"), F.lit(0))
     piece = F.transform(F.slice("orig", start + 1, F.lit(size)), lambda t, k: F.when(F.array_contains("marked", (k + start).cast("int")), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
     return told.select("doc_id", "score", "title", F.array_join(piece, " ").alias("abstract")).orderBy(F.desc("score"), "doc_id")
@@ -162,26 +174,20 @@ def top_words(docs: DataFrame, low: float = 0.05, high: float = 0.3, k: int = 2)
     return best.select("value", "df", "n", F.row_number().over(W.orderBy(F.desc("df"), "value")).alias("idx"))
 
 
-def search_many(docs: DataFrame, queries: DataFrame, k: int = 6, s: ranking.Scheme = ranking.SCHEMES["BM25"]) -> DataFrame:
-    """(qid, doc_id, score, rank): the best ``k`` documents of many queries (qid, value, df, n) in one pass.
+def search_many(index: Index, queries: DataFrame, k: int = 6, s: ranking.Scheme = ranking.SCHEMES["BM25"]) -> DataFrame:
+    """(qid, doc_id, score, rank): the best ``k`` documents of many queries (qid, bucket, value, df) in one pass over the postings of their words.
 
-    Words are counted within their documents' arrays, and only those that some query holds
-    leave them; scores meet by (query, document), then by query. Where the queries are few
-    enough, Spark broadcasts them; else they are joined by word."""
-    held = docs.select("doc_id", T.lower_words(F.col("text")).alias("toks"))
-    words = held.select("doc_id", F.size("toks").alias("doclen"), F.explode("toks").alias("value"))
-    wanted = queries.select("value").distinct()
-    tf = words.join(wanted, "value", "left_semi").groupBy("doc_id", "doclen", "value").agg(F.count("*").alias("tf"))
-    score = F.sum(ranking.idf(F.col("n"), F.col("df")) * ranking.tf_weight(F.col("tf"), F.col("doclen"), s))
-    told = tf.join(queries, "value").groupBy("qid", "doc_id").agg(F.round(score, 6).alias("score"))
+    Where the queries are few enough, Spark broadcasts them and prunes the buckets; else both meet by bucket and word."""
+    hit = index.postings().select("bucket", "value", "doc_id", "doclen", "tf").join(queries, ["bucket", "value"])
+    score = F.sum(ranking.idf(F.lit(float(index.n)), F.col("df")) * ranking.tf_weight(F.col("tf"), F.col("doclen"), s))
+    told = hit.groupBy("qid", "doc_id").agg(F.round(score, 6).alias("score"))
     return ranking.top_in_groups(told, "qid", k, "score", "doc_id")
 
 
-def sampled_queries(docs: DataFrame, single: int = 800, double: int = 800) -> DataFrame:
-    """(qid, value, df, n): a load of one- and two-word queries, drawn from the vocabulary by hash."""
-    n = docs.agg(F.count("*").alias("n"))
-    dfs = postings.document_frequencies(docs).filter("df >= 2")
-    drawn = dfs.orderBy(F.md5(F.col("value").cast("binary")), "value").limit(single + 2 * double)
-    ranked = drawn.withColumn("r", F.row_number().over(W.orderBy(F.md5(F.col("value").cast("binary")), "value")))  # a bounded number of rows
+def sampled_queries(index: Index, single: int = 800, double: int = 800) -> DataFrame:
+    """(qid, bucket, value, df): a load of one- and two-word queries, drawn from the vocabulary by hash."""
+    draw = F.md5(F.col("value").cast("binary"))
+    drawn = index.dfs().filter("df >= 2").orderBy(draw, "value").limit(single + 2 * double)
+    ranked = drawn.withColumn("r", F.row_number().over(W.orderBy(draw, "value")))  # a bounded number of rows
     qid = F.when(F.col("r") <= single, F.col("r")).otherwise(single + F.ceil((F.col("r") - single) / 2)).cast("long")
-    return ranked.crossJoin(F.broadcast(n)).select(qid.alias("qid"), "value", "df", "n")  # one row
+    return ranked.select(qid.alias("qid"), "bucket", "value", "df")

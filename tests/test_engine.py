@@ -12,7 +12,7 @@ from lexigrove.functions.porter import stem_word
 from lexigrove.operators import links, markup, nlp, phrases, postings, proximity, ranking, selection, vectors
 from lexigrove.plans import catalog
 from lexigrove.plans import search as plans
-from lexigrove.plans.index import Index
+from lexigrove.plans.index import Index, bucket_number, bucket_of, index_of
 from lexigrove.sources import dumps, sinks
 from lexigrove.streaming import statistics
 
@@ -296,13 +296,76 @@ def test_index_reads_only_its_buckets(spark):
         plans.query_terms(index, "Runs")
 
 
+def files_read(df):
+    """Number of files that a plan without shuffles reads."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().get("numFiles").get().value() for k in range(leaves.size()))
+
+
+def test_forward_index_reads_only_its_buckets(spark):
+    docs = spark.createDataFrame([(k, f"Town{k % 5} hall{k % 5} stands. red{k % 3} fish by town{(k + 1) % 5} hall{(k + 1) % 5}") for k in range(600)], "doc_id long, text string")
+    index = Index.write(docs, spark).write_features(spark.createDataFrame([(f"Town{k} Hall{k}", kind, f"{kind[0]}{k}") for k in range(5) for kind in ("linkid", "vecfname")], "name string, kind string, value string"))
+    ids = [3, 77, 200]
+    for read in (index.features, index.texts):
+        every, some = read(), read(ids)
+        assert files_read(some) <= len(ids) * 2 < files_read(every) and {r["doc_id"] for r in some.collect()} == set(ids)
+    own = {(r["kind"], r["doc_id"], r["pos"], r["value"]) for r in index.features([3]).collect()}
+    assert own == {("linkid", 3, 0, "l3"), ("linkid", 3, 6, "l4"), ("vecfname", 3, 0, "v3"), ("vecfname", 3, 6, "v4")}
+    assert [w for w in index.texts([3]).first()["words"]][:3] == ["Town3", "hall3", "stands"]
+    for b, v in ((index.buckets, "ünï word"), (7, 12), (7, -5)):
+        assert bucket_number(v, b) == one(spark, bucket_of(F.lit(v).cast("string" if isinstance(v, str) else "long"), b))
+
+
+def test_search_by_phrases(spark):
+    rows = [(1, "new york hotel prices"), (2, "a hotel in york is new"), (3, "new york city hotel"), (4, "new york has a new hotel"), (5, "york new hotel")] + [(100 + k, f"filler{k} words") for k in range(40)]
+    names = spark.createDataFrame([(n, "vecfname", n) for n in ("New York", "New York City", "hotel", "city hotel")], "name string, kind string, value string")
+    index = Index.write(spark.createDataFrame(rows, "doc_id long, text string"), spark)
+    assert {r["doc_id"] for r in plans.search(index, "new york hotel").collect()} == {1, 2, 3, 4, 5}
+    index.write_features(names)
+    assert [t["value"] for t in index.covered("new york hotel")] == ["new_york", "york", "hotel"]
+    assert [(t["value"], t["length"]) for t in index.covered("new york city, hotel")] == [("new_york_city", 3), ("york", 1), ("city", 1), ("hotel", 1)]
+    assert [t["value"] for t in index.covered("new, york")] == ["new", "york"]
+    found = plans.search(index, "new york hotel").collect()
+    # the longer name covers the shorter one in document 3, and words out of order are no phrase
+    assert {r["doc_id"] for r in found} == {1, 4} and found[0]["abstract"].startswith("<b>new</b> <b>york</b>")
+    assert {r["doc_id"] for r in plans.search(index, "new york city").collect()} == {3}
+    assert index.terms(["new_york", "york", "no_name"]) == [{"value": "new_york", "df": 2, "weight": 1.0, "term": 1}, {"value": "york", "df": 5, "weight": 1.0, "term": 2}, {"value": "no_name", "df": 0, "weight": 1.0, "term": 3}]
+
+
+def test_phrase_keys_avoid_stop_words(spark):
+    names = spark.createDataFrame([(f"the of w{k}",) for k in range(30)] + [("the of",), ("of the w3 x",), ("w3 x y z",)], "name string")
+    known = phrases.dictionary(names)
+    keys = {r["phrase"]: (r["key"], r["at"]) for r in phrases.keyed(known, 0.05).collect()}
+    assert keys["the_of_w7"] == ("w7", 2) and keys["of_the_w3_x"] == ("x", 3) and keys["the_of"][0] in ("the", "of")
+    docs = spark.createDataFrame([(1, "of the of w7 and the of w3 x y z the of".split()), (2, []), (3, None), (4, ["w7"])], "doc_id long, toks array<string>")
+    want, toks = set(), "of the of w7 and the of w3 x y z the of".split()
+    for r in known.collect():
+        want |= {(i, r["phrase"]) for i in range(len(toks)) if toks[i : i + r["n"]] == r["words"]}
+    for stop in (0.0, 0.05, 1.0):
+        got = phrases.matched(docs, known, stop=stop).collect()
+        assert {(r["pos"], r["phrase"]) for r in got} == want and len(got) == len(want) and {r["doc_id"] for r in got} == {1}
+    assert phrases.matched(docs, known.limit(0)).count() == 0
+    assert phrases.dictionary(spark.createDataFrame([("B  c", 2), ("b C", 1)], "name string, k int"), order="k").first()["id"] == "b C"
+
+
+def test_index_follows_changed_documents(spark, tmp_path):
+    write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    write([(1, "old words", "s")])
+    assert index_of(spark, str(tmp_path)).n == 1
+    write([(1, "old words", "s"), (2, "fresh words", "s")])
+    assert index_of(spark, str(tmp_path)).n == 2
+
+
 def test_result_page(spark):
-    docs = spark.createDataFrame([(k, f"red fish number{k % 4} swims by") for k in range(12)] + [(100 + k, f"filler{k} words") for k in range(60)], "doc_id long, text string")
-    index = Index.write(docs, spark)
-    forward = {k: index.band_features(3, 3) for k in ("linkid", "veclfeat", "vecfname")}
-    page = plans.search_page(index, "red fish", forward, n=5)
-    assert set(page) == {"ranks", "has_more", "nblinks", "titles", "features"}
-    assert page["ranks"].count() == 5 and page["has_more"].first()["has_more"] and {r["name"] for r in page["nblinks"].collect()} == {f"number{k}" for k in range(4)}
+    # "numberX fish" is a title that documents link to
+    docs = spark.createDataFrame([(k, f"red fish number{k % 4} fish swims by") for k in range(12)] + [(100 + k, f"filler{k} words") for k in range(60)], "doc_id long, text string")
+    names = spark.createDataFrame([(f"number{k} fish", kind, f"{'d' * (kind == 'linkid')}number{k}_fish") for k in range(4) for kind in ("linkid", "veclfeat", "vecfname")], "name string, kind string, value string")
+    index = Index.write(docs, spark).write_features(names)
+    page = plans.search_page(index, "red fish", n=5)
+    assert set(page) == {"ranks", "has_more", "nblinks", "links", "features"}
+    assert page["ranks"].count() == 5 and page["has_more"].first()["has_more"] and {r["name"] for r in page["nblinks"].collect()} == {f"dnumber{k}_fish" for k in range(4)}
     told = plans.structured(index, {"features": [{"type": "word", "value": "number1", "weight": 3.0}], "results": 2, "minweight": 0.1})
     assert [r["doc_id"] for r in told.collect()] == [1, 5]
     heavy = docs.select("doc_id", F.when(F.col("doc_id") == 7, 10.0).otherwise(0.0).alias("pageweight"), (F.col("doc_id") == 3).cast("int").alias("redirect"))
@@ -310,6 +373,18 @@ def test_result_page(spark):
     assert 3 not in {r["doc_id"] for r in plans.search(index, "red fish", n=50, m=heavy).collect()}
 
 
+def test_second_pass_damps_and_counts_titles_once(spark):
+    rows = [(k, "red fish near big pond " + "and far big pond " * (k % 2)) for k in range(6)] + [(10 + k, "red fish alone") for k in range(2)] + [(100 + k, f"filler{k}") for k in range(60)]
+    index = Index.write(spark.createDataFrame(rows, "doc_id long, text string"), spark).write_features(spark.createDataFrame([("big pond", "veclfeat", "big_pond")], "name string, kind string, value string"))
+    terms = plans.query_terms(index, "red fish")
+    weight = plans.link_pass(index, terms, ranking.SCHEMES["STDLNK"]).first()["weight"]
+    told = {r["doc_id"]: r["links"] for r in plans.link_weights(index, terms).collect()}
+    # a document with two places counts as one with a single place
+    assert set(told) == set(range(6)) and all(abs(w - math.log(weight)) < 1e-9 for w in told.values())
+    plain_, std = ({r["doc_id"]: r["score"] for r in plans.search(index, "red fish", n=20, s=s).collect()} for s in ("BM25pff", "STD"))
+    assert all(abs(std[k] - (0.7 * told.get(k, 0.0) + 0.3 * plain_[k])) < 1e-5 for k in std)
+
+
 def test_decayed_sums_of_long_keys(spark):
     rows = spark.range(9_000).select(F.lit(1).alias("k"), F.col("id").alias("o"), F.lit(1.0).alias("v"))
     got = {r["o"]: r["decayed"] for r in nlp.decayed_sum(rows, "k", "o", "v", 0.8).collect()}

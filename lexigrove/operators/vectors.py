@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 #: Signature words of 64 bits, and the greatest Hamming distance of a match, of all bits.
 WORDS, MAX_DISTANCE = 32, 480
 
@@ -91,16 +94,105 @@ def nearest_signed(vectors: DataFrame, query: DataFrame, k: int, limit: int = MA
     return told.filter(F.col("distance") <= limit).orderBy("distance", "vec_id").limit(k)
 
 
-def nearest_of_probes(vectors: DataFrame, probes: DataFrame, k: int, limit: int = MAX_DISTANCE, kept: int | None = None) -> DataFrame:
-    """(probe, vec_id, distance, score): for each probe (vec_id, embedding, signature), the best ``k`` by cosine of the ``kept`` nearest signatures within a distance.
-
-    A bounded number of probes goes to all executors."""
-    p = probes.select(F.col("vec_id").alias("probe"), F.col("signature").alias("_s"), as_doubles(F.col("embedding")).alias("_e"))
-    told = vectors.crossJoin(F.broadcast(p)).withColumn("distance", hamming(F.col("signature"), F.col("_s"))).filter(F.col("distance") <= limit)
-    told = told.withColumn("score", cosine(as_doubles(F.col("embedding")), F.col("_e"))).select("probe", "vec_id", "distance", "score")
-    by_distance, by_score = W.partitionBy("probe").orderBy("distance", "vec_id"), W.partitionBy("probe").orderBy(F.desc("score"), "vec_id")
-    near = told.withColumn("_r", F.row_number().over(by_distance)).filter(F.col("_r") <= (kept or 10 * k))
-    return near.withColumn("_r", F.row_number().over(by_score)).filter(F.col("_r") <= k).drop("_r")
+def best_of_probes(told: DataFrame, k: int, shards: int = 64) -> DataFrame:
+    """The best ``k`` (probe, vec_id, score) of each probe, ranked in shards of its rows first, so no task ranks all of them."""
+    order = W.orderBy(F.desc("score"), "vec_id")
+    for own in (["probe", "_shard"], ["probe"]):
+        told = told.withColumn("_shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))) if "_shard" in own else told
+        told = told.withColumn("_r", F.row_number().over(order.partitionBy(*own))).filter(F.col("_r") <= k).drop("_r")
+    return told.drop("_shard")
+
+
+def nearest_of_probes(vectors: DataFrame, probes: DataFrame, k: int, most: int = 10_000) -> DataFrame:
+    """(probe, vec_id, score): for each probe (vec_id, embedding) the best ``k`` of all vectors by cosine; at most ``most`` probes, which go to all executors."""
+    if probes.count() > most:
+        raise ValueError(f"more than {most} probes at once")
+    p = probes.select(F.col("vec_id").alias("probe"), as_doubles(F.col("embedding")).alias("_e"))
+    told = vectors.crossJoin(F.broadcast(p)).select("probe", "vec_id", cosine(as_doubles(F.col("embedding")), F.col("_e")).alias("score"))
+    return best_of_probes(told, k)
+
+
+@dataclass
+class BandIndex:
+    """Vectors by the bands of their signatures, in a folder: written once, read by the bands' keys.
+
+    A band is ``bits`` signs of random projections; its number is the bucket's key. A row has
+    the vector with it, so candidates are ranked where they are read. Keys are dealt over folders
+    by their value and sorted in their files, so a probe reads the row groups of its keys alone.
+
+    A probe looks, in each band, at the ``looks`` keys that take the least projections to get to
+    (multi-probe): bits whose projection is nearest to zero are flipped first. Equal vectors are
+    one row (``vec_id`` of the least, ``copies``), so a vector that many rows have fills no bucket."""
+
+    spark: SparkSession
+    path: str
+    dim: int
+    bands: int
+    bits: int
+    seed: int
+
+    FOLDERS = 64
+
+    @classmethod
+    def write(cls, vectors: DataFrame, spark: SparkSession, dim: int, bands: int = 8, bits: int = 8, seed: int = 7, path: str | None = None) -> BandIndex:
+        """Index (vec_id, embedding); vectors that are null or of another length are left out."""
+        index = cls(spark, path or new_folder(spark, "bands"), dim, bands, bits, seed)
+        kept = vectors.filter(F.size("embedding") == dim).select(F.col("vec_id").cast("long").alias("vec_id"), as_doubles(F.col("embedding")).alias("embedding"))
+        kept = kept.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "copies", "embedding")
+        rows = index._keyed(kept, 1).select("band", "key", "vec_id", "copies", "embedding", F.pmod("key", F.lit(cls.FOLDERS)).alias("folder"))
+        rows.repartition(bands * cls.FOLDERS, "band", "folder").sortWithinPartitions("band", "folder", "key").write.partitionBy("band", "folder").parquet(index.path)
+        return index
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema("key long, vec_id long, copies long, embedding array<double>, band int, folder int").parquet(self.path)
+
+    def _keyed(self, vectors: DataFrame, looks: int) -> DataFrame:
+        """Rows with ``band`` and ``key``, for the first ``looks`` keys of each band."""
+        names, dim, bands, bits = vectors.columns, self.dim, self.bands, self.bits
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema) + ", band int, key long"
+        table = [row for row in planes(dim, -(-bands * bits // 64), self.seed)[: bands * bits]]
+        at = names.index("embedding")
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            p = np.array(table)
+            # flips of the few bits of least margin, as subsets of ranks
+            near = min(bits, max(1, looks).bit_length() + 3)
+            subsets = (np.arange(1 << near)[:, None] >> np.arange(near)) & 1 if looks > 1 else np.zeros((1, near), int)
+            for b in batches:
+                v = b.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                margin = np.einsum("id,pd->ip", v, p).reshape(len(v), bands, bits)
+                own = ((margin >= 0) << np.arange(bits)).sum(axis=2)
+                order = np.argsort(abs(margin), axis=2, kind="stable")[:, :, :near]
+                cost = np.einsum("ibn,sn->ibs", np.take_along_axis(abs(margin), order, axis=2) ** 2, subsets)
+                least = np.argsort(cost, axis=2, kind="stable")[:, :, :looks]
+                flips = np.einsum("ibn,sn->ibs", 1 << order, subsets)
+                keys = own[:, :, None] ^ np.take_along_axis(flips, least, axis=2)
+                n = keys.shape[2]
+                rows = np.repeat(np.arange(len(v)), bands * n)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in b.columns), pa.array(np.tile(np.repeat(np.arange(bands), n), len(v)), pa.int32()), pa.array(keys.ravel(), pa.int64())], [*names, "band", "key"])
+
+        return vectors.mapInArrow(run, schema)
+
+    def candidates(self, probes: DataFrame, looks: int, most: int = 10_000) -> DataFrame:
+        """(probe, vec_id, copies, embedding, _e): what stands under each probe's keys, a vector as often as it is met; at most ``most`` probes, whose keys go to all executors."""
+        if probes.count() > most:
+            raise ValueError(f"more than {most} probes at once")
+        keys = self._keyed(probes.select(F.col("vec_id").alias("probe"), "embedding"), looks).select("probe", "band", "key", F.pmod("key", F.lit(self.FOLDERS)).cast("int").alias("folder"), F.col("embedding").alias("_e"))
+        return self.rows().join(F.broadcast(keys), ["band", "folder", "key"]).select("probe", "vec_id", "copies", "embedding", "_e")
+
+    def nearest(self, probes: DataFrame, k: int, looks: int = 24, least: float = -1.0) -> DataFrame:
+        """(probe, vec_id, score, copies): the best ``k`` candidates of each probe by exact cosine, ``least`` or more."""
+        score = cosine(as_doubles(F.col("embedding")), as_doubles(F.col("_e")))
+        told = self.candidates(probes, looks).select("probe", "vec_id", "copies", score.alias("score")).filter(F.col("score") >= least)
+        return best_of_probes(told.groupBy("probe", "vec_id").agg(F.first("score").alias("score"), F.first("copies").alias("copies")), k)
+
+    def share_read(self, probes: DataFrame, looks: int = 24) -> DataFrame:
+        """(share): the mean share of the different vectors that a probe looks at."""
+        n, n_probes = self.rows().filter("band = 0").count(), probes.count()
+        return self.candidates(probes, looks).select("probe", "vec_id").distinct().agg((F.count("*") / (n * n_probes)).alias("share"))
 
 
 def recall(found: DataFrame, exact: DataFrame, key: list[str] | str = "vec_id") -> DataFrame:

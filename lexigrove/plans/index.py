@@ -27,6 +27,14 @@ SENTENCE_END = r"[.!?\n]+"
 #: Documents for each bucket and each shard of a bucket, about, and the most buckets: beyond, folders hold more sorted files.
 BUCKET_DOCS, SHARD_DOCS, BUCKETS = 20_000, 500_000, 4096
 
+_LISTS = "value string, length int, doc_id long, doclen long, title_sent int, tf long, hits array<struct<pos: int, sent: int>>, bucket int"
+_COUNTS = "value string, df long, tf long, bucket int"
+#: The tables of an index; a folder of no rows has no file that tells its columns.
+TABLES = {
+    "postings": _LISTS, "phrases": _LISTS, "dfs": _COUNTS, "phrase_dfs": _COUNTS, "dictionary": "phrase string, words array<string>, length int, bucket int",
+    "texts": "doc_id long, title string, doclen long, words array<string>, sents array<int>, bucket int", "features": "kind string, doc_id long, pos int, length int, value string, bucket int",
+}
+
 
 def bucket_of(value: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
@@ -67,7 +75,7 @@ class Index:
         path, n = path or new_folder(spark, "index"), docs.count()
         index = cls(spark, path, min(max(16, n // BUCKET_DOCS), BUCKETS), n, docs, stems)
         titled = docs if "title" in docs.columns else docs.withColumn("title", F.lit(None).cast("string"))
-        read = titled.select("doc_id", "title", placed_words(F.col("text")).alias("ws"), T.words(F.col("text")).alias("orig"))
+        read = titled.select(F.col("doc_id").cast("long").alias("doc_id"), "title", placed_words(F.col("text")).alias("ws"), T.words(F.col("text")).alias("orig"))
         # lowering a text may split a few rare letters; then its lowered words are shown
         shown = F.when(F.size("orig") == F.size("ws"), F.col("orig")).otherwise(F.transform("ws", lambda w: w["value"]))
         texts = read.select("doc_id", "title", F.size("ws").cast("long").alias("doclen"), shown.alias("words"), F.transform("ws", lambda w: w["sent"]).alias("sents"), bucket_of(F.col("doc_id"), index.buckets).alias("bucket"))
@@ -120,7 +128,7 @@ class Index:
         return self
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
 
     def _of(self, rows: DataFrame, column: str, wanted: list | None) -> DataFrame:
         if wanted is None:

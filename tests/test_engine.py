@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,13 @@ def test_forward_index_reads_only_its_buckets(spark):
         assert bucket_number(v, b) == one(spark, bucket_of(F.lit(v).cast("string" if isinstance(v, str) else "long"), b))
 
 
+def test_empty_index(spark):
+    index = Index.write(spark.createDataFrame([], "doc_id int, text string"), spark)
+    assert index.postings().count() == index.texts([1]).count() == 0 and index.terms(["a"])[0]["df"] == 0
+    index.write_features(spark.createDataFrame([("a b", "linkid", "x")], "name string, kind string, value string"))
+    assert index.features().count() == 0 and index.covered("a b") == [{"value": "a_b", "length": 2}, {"value": "b", "length": 1}]
+
+
 def test_search_by_phrases(spark):
     rows = [(1, "new york hotel prices"), (2, "a hotel in york is new"), (3, "new york city hotel"), (4, "new york has a new hotel"), (5, "york new hotel")] + [(100 + k, f"filler{k} words") for k in range(40)]
     names = spark.createDataFrame([(n, "vecfname", n) for n in ("New York", "New York City", "hotel", "city hotel")], "name string, kind string, value string")
@@ -385,6 +393,33 @@ def test_second_pass_damps_and_counts_titles_once(spark):
     assert all(abs(std[k] - (0.7 * told.get(k, 0.0) + 0.3 * plain_[k])) < 1e-5 for k in std)
 
 
+def test_band_index(spark):
+    rng = np.random.default_rng(2)
+    hearts = rng.normal(size=(60, 32))
+    x = np.concatenate([h + rng.normal(size=(30, 32)) * 0.2 for h in hearts])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000 + k, x[7].tolist()) for k in range(400)] + [(9000, None), (9001, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = vectors.BandIndex.write(frame, spark, 32, bands=6, bits=12)
+    probes = frame.filter("vec_id % 31 = 0 and vec_id < 1800")
+    found = index.nearest(probes, 20, looks=12).collect()
+    ids = sorted({r["probe"] for r in found})
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {p: set(np.argsort(-(unit @ unit[p]), kind="stable")[:20].tolist()) for p in ids}
+    got = {p: {r["vec_id"] for r in found if r["probe"] == p} for p in ids}
+    assert len(ids) == probes.count() and np.mean([len(got[p] & want[p]) / 20 for p in ids]) >= 0.9
+    assert index.share_read(probes, 12).first()["share"] <= 0.1
+    assert all(abs(r["score"] - unit[r["probe"]] @ unit[r["vec_id"]]) < 1e-9 for r in found)
+    # 401 equal rows are one vector of the index
+    assert {r["copies"] for r in index.nearest(frame.filter("vec_id = 7"), 1, 1).collect()} == {401}
+    # a look at one key a band reads no other folders
+    assert files_read(index.rows().filter("band = 0 and folder = 3")) <= 4 < files_read(index.rows())
+    exact = vectors.nearest_of_probes(frame.filter("vec_id < 1800"), probes, 20).collect()
+    assert {(r["probe"], r["vec_id"]) for r in exact} == {(p, v) for p in ids for v in want[p]}
+    with pytest.raises(ValueError, match="more than 3 probes"):
+        index.candidates(probes, 1, most=3)
+    assert vectors.BandIndex.write(frame.limit(0), spark, 32).nearest(probes, 5).count() == 0
+
+
 def test_decayed_sums_of_long_keys(spark):
     rows = spark.range(9_000).select(F.lit(1).alias("k"), F.col("id").alias("o"), F.lit(1.0).alias("v"))
     got = {r["o"]: r["decayed"] for r in nlp.decayed_sum(rows, "k", "o", "v", 0.8).collect()}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as functions
 from ..functions import text as T
-from ..operators import markup, nlp, phrases, postings
+from ..operators import elements, markup, nlp, phrases, postings
 from ..sources import dumps, sinks
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, stored
 from .catalog import STATS, TOK, TOKS
 from .registry import query, rounded, table
 
@@ -98,6 +98,59 @@ def selectors(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(T.element(html, "p")).alias("n_paragraphs"), F.size(T.element(html, "div", "class", "ad")).alias("n_ads"), F.size(T.element_attribute(html, "a", "href")).alias("n_links"))
 
 
+#: Interval labels of the elements of pages, as ``elements`` builds them.
+LABELS = (
+    r"ev AS MATERIALIZED (SELECT page_id, seq, raw, name, CASE WHEN name IS NULL THEN NULL WHEN starts_with(raw, '</') THEN -1 WHEN ends_with(raw, '/>') OR name IN (" + ", ".join(f"'{v}'" for v in elements.VOID) + ") THEN 0 ELSE 1 END AS kind FROM "
+    "(SELECT *, CASE WHEN starts_with(raw, '<') THEN lower(regexp_extract(raw, '^<[/]?([A-Za-z][\\w:.-]*)', 1)) END AS name FROM (SELECT page_id, unnest(rs) AS raw, generate_subscripts(rs, 1) - 1 AS seq FROM "
+    "(SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '" + elements.SILENT + "', '', 'g'), '" + elements.EVENT + "') AS rs FROM pages)))), "
+    "lv AS (SELECT *, sum(kind) OVER (PARTITION BY page_id, name ORDER BY seq) + (kind = -1)::INT AS level FROM ev WHERE kind IS NOT NULL), "
+    "el AS (SELECT page_id, seq AS start, CASE WHEN kind = 1 AND nk = -1 THEN ns ELSE seq END AS fin, name, raw FROM (SELECT *, lead(kind) OVER w AS nk, lead(seq) OVER w AS ns FROM lv WINDOW w AS (PARTITION BY page_id, name, level, kind = 0 ORDER BY seq)) WHERE kind >= 0), "
+    "dp AS MATERIALIZED (SELECT a.page_id, a.start, a.fin, a.name, a.raw, count(b.start) + 1 AS depth, max(b.start) AS parent FROM el a LEFT JOIN el b ON a.page_id = b.page_id AND b.start < a.start AND b.fin > a.start GROUP BY ALL)"
+)
+
+
+def _labels(spark, sf_dir):
+    """Events and elements of pages, elements written once for the steps that read them."""
+    told = elements.events(table(spark, sf_dir, "pages"), "html", "page_id")
+    return told, stored(elements.elements(told, "page_id"), spark, "elements")
+
+
+@query("WITH " + LABELS + ' SELECT page_id, start, fin AS "end", depth::INT AS depth, parent, name FROM dp')
+def element_labels(spark, sf_dir):
+    """Start, end, depth and parent of every element."""
+    return _labels(spark, sf_dir)[1].select("page_id", "start", "end", "depth", "parent", "name")
+
+
+#: Selectors, and what each means in terms of the labels.
+PATHS = {
+    "//nav//a": "a.name = 'a' AND EXISTS (SELECT 1 FROM dp b WHERE b.page_id = a.page_id AND b.name = 'nav' AND b.start < a.start AND b.fin > a.start)",
+    "/html/body/article/{h1,p}": "a.name IN ('h1', 'p') AND EXISTS (SELECT 1 FROM dp b JOIN dp c ON c.page_id = b.page_id AND c.start = b.parent AND c.name = 'body' JOIN dp d ON d.page_id = c.page_id AND d.start = c.parent AND d.name = 'html' AND d.depth = 1 WHERE b.page_id = a.page_id AND b.start = a.parent AND b.name = 'article')",
+    "//div[@class='ad']": r"a.name = 'div' AND regexp_extract(a.raw, '\bclass\s*=\s*\"([^\"]*)\"', 1) = 'ad'",
+    "//ul/li": "a.name = 'li' AND EXISTS (SELECT 1 FROM dp b WHERE b.page_id = a.page_id AND b.start = a.parent AND b.name = 'ul')",
+}
+
+
+@query("WITH " + LABELS + ", hit AS (" + " UNION ALL ".join(f"SELECT '{p.replace(chr(39), chr(39) * 2)}' AS path, a.page_id, a.start, a.fin FROM dp a WHERE {w}" for p, w in PATHS.items()) + r"), tx AS (SELECT h.path, h.page_id, h.start, string_agg(raw, '' ORDER BY seq) AS t FROM hit h JOIN ev USING (page_id) WHERE ev.name IS NULL AND seq > start AND seq < fin GROUP BY ALL) SELECT path, page_id, start, trim(regexp_replace(coalesce(t, ''), '[ \t\r\n\f]+', ' ', 'g')) AS text FROM hit LEFT JOIN tx USING (path, page_id, start)")
+def selector_paths(spark, sf_dir):
+    """Contents of what several paths select: descendants, children from the root on, one of two names, an attribute's value."""
+    told, every = _labels(spark, sf_dir)
+    out = None
+    for path in PATHS:
+        found = elements.contents(elements.selected(every, path, "page_id"), told, "page_id").select(F.lit(path).alias("path"), "page_id", "start", "text")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("WITH " + LABELS + r", it AS (SELECT a.page_id, a.start AS seq, string_agg(ev.raw, '' ORDER BY ev.seq) AS t FROM dp a JOIN ev ON ev.page_id = a.page_id AND ev.seq > a.start AND ev.seq < a.fin WHERE a.name = 'li' AND ev.name IS NULL GROUP BY ALL) SELECT page_id AS doc_id, seq, 'li' AS type, array_to_string(list_transform(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '^\p{Lu}') THEN 'E#' ELSE 'N#' END || w), ' ') AS tokens FROM it")
+def markup_merged(spark, sf_dir):
+    """Words of list items, tagged apart from them and put back at their items."""
+    told, every = _labels(spark, sf_dir)
+    items = elements.contents(elements.selected(every, "//li", "page_id"), told, "page_id").filter("end > start").select(F.col("page_id").alias("doc_id"), F.col("start").alias("seq"), F.lit("li").alias("type"), "text")
+    tagged = items.select("doc_id", "seq", F.posexplode(T.words(F.col("text"))).alias("pos", "value")).withColumn("cls", F.when(F.col("value").rlike(r"^\p{Lu}"), "E").otherwise("N"))
+    put = nlp.merged_markup(items, tagged)
+    return put.select("doc_id", "seq", "type", F.array_join(F.transform("tokens", lambda t: F.concat(t["cls"], F.lit("#"), t["value"])), " ").alias("tokens"))
+
+
 def _quoted(text: str) -> str:
     return text.replace("'", "''")
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_date
+from ..sources.shared import stored
 from .phrases import exclusive, matched
+from .tagger import roles
 
 # Classes of Penn tags; T! ends a sentence, P! a part.
 TAG_CLASSES = {
@@ -42,16 +44,42 @@ def gender_of(pronoun: Column) -> Column:
     return out
 
 
+#: The default tagger, where no model is plugged in: the first form that a word has gives its tag; the second value tells whether it is lowered.
+FORMS = (
+    (".", False, "^[.!?]$"), (",", False, "^[,;:]$"), ("CD", False, "^[0-9]+(st|nd|rd|th)?$"), ("DT", True, "^(the|a|an|this|that)$"), ("CC", True, "^(and|or|but)$"),
+    ("IN", True, "^(of|in|on|for|with|from|by|at|as)$"), ("TO", True, "^to$"), ("PRP", True, f"^({'|'.join(PRONOUNS)}|you|we|i|them|us)$"), ("VBZ", True, "^(is|are|was|were|be|has|have|had)$"),
+    ("RB", True, "ly$"), ("VBG", True, "ing$"), ("VBD", True, "ed$"), ("NNP", False, r"^\p{Lu}"),
+)
+
+
 def rule_tags(token: Column) -> Column:
-    """Penn-like tags from a word's form alone: the default tagger, where no model is plugged in."""
-    low = F.lower(token)
-    return (
-        F.when(token.rlike(r"^[.!?]$"), ".").when(token.rlike("^[,;:]$"), ",").when(token.rlike("^[0-9]+(st|nd|rd|th)?$"), "CD")
-        .when(low.isin("the", "a", "an", "this", "that"), "DT").when(low.isin("and", "or", "but"), "CC")
-        .when(low.isin("of", "in", "on", "for", "with", "from", "by", "at", "as"), "IN").when(low == "to", "TO")
-        .when(low.isin(*PRONOUNS, "you", "we", "i", "them", "us"), "PRP").when(low.isin("is", "are", "was", "were", "be", "has", "have", "had"), "VBZ")
-        .when(low.rlike("ly$"), "RB").when(low.rlike("ing$"), "VBG").when(low.rlike("ed$"), "VBD").when(token.rlike(r"^\p{Lu}"), "NNP").otherwise("NN")
-    )
+    """Penn-like tags from a word's form alone."""
+    out, low = F.lit("NN"), F.lower(token)
+    for tag, lowers, form in reversed(FORMS):
+        out = F.when((low if lowers else token).rlike(form), tag).otherwise(out)
+    return out
+
+
+class FormClasses(dict):
+    """``class_of`` the rule tag of a word, in Python, kept for the words seen lately."""
+
+    KEPT = 300_000
+
+    def __init__(self):
+        import re
+
+        self.forms = [(tag, lowers, re.compile(form)) for tag, lowers, form in FORMS[:-1]]
+        self.letters = {tag: letter for letter, tags in TAG_CLASSES.items() for tag in tags.split()}
+
+    def __missing__(self, word: str) -> str:
+        import unicodedata
+
+        if len(self) > self.KEPT:
+            self.clear()
+        low = word.lower()
+        tag = next((tag for tag, lowers, form in self.forms if form.search(low if lowers else word)), "NNP" if word and unicodedata.category(word[0]) == "Lu" else "NN")
+        found = self[word] = self.letters[tag]
+        return found
 
 
 def merged_runs(tagged: DataFrame, joins=("N", "E")) -> DataFrame:
@@ -193,8 +221,8 @@ def entity_sequences(tagged: DataFrame) -> DataFrame:
 # --- folds over one document -------------------------------------------------------------
 
 
-def fold_document(tokens: list[dict]) -> list[dict]:
-    """Reference and gender of each token, from (sent, seq, value, cls, role) in order.
+def references(values: list[str], classes: list[str], roles: list[str], sents: list[int]) -> list[tuple[int, str | None, str | None]]:
+    """(place, reference, gender) of a document's tokens that have one, in order.
 
     Entities gather gender votes from the pronouns that follow them, fading by 0.8 a
     sentence. A pronoun refers to the last subject of its gender (or of none known) within
@@ -208,83 +236,104 @@ def fold_document(tokens: list[dict]) -> list[dict]:
     votes: dict[str, dict[str, float]] = {}
     updates: dict[str, int] = {}
     synonyms: dict[str, dict[str, float]] = {}
+    low = [v.lower() for v in values]
 
     def same(noun: str, name: str, weight: float) -> None:
-        known = synonyms.setdefault(noun.lower(), {})
+        known = synonyms.setdefault(noun, {})
         known[name] = min(2.5, known.get(name, 0.0) + weight) if name in known else weight
 
     out, last = [], None
-    for k, t in enumerate(tokens):
-        if t["sent"] != last:
+    for k, word in enumerate(low):
+        if sents[k] != last:
             names = {n: w * 0.8 for n, w in names.items() if w * 0.8 >= 0.1}
             votes = {n: {g: w * 0.8 for g, w in v.items() if w * 0.8 >= 0.3} for n, v in votes.items()}
             synonyms = {n: {e: w * 0.85 for e, w in v.items() if w * 0.85 >= 0.1} for n, v in synonyms.items()}
-            subjects = [s for s in subjects if t["sent"] - s[1] <= 10]
-            last = t["sent"]
-        ref, gender = None, None
-        word = t["value"].lower()
-        if t["cls"] == "E":
-            parts = t["value"].split()
+            subjects = [s for s in subjects if sents[k] - s[1] <= 10]
+            last = sents[k]
+        if classes[k] == "E":
+            parts = values[k].split()
             fuller = [n for n in holding.get(parts[0], ()) if n in names and len(n.split()) > len(parts) and all(parts.count(p) <= n.split().count(p) for p in parts)]
-            ref = max(fuller, key=lambda n: (names[n], -len(n), n)) if fuller else t["value"]
+            ref = max(fuller, key=lambda n: (names[n], -len(n), n)) if fuller else values[k]
             w = names.get(ref, 0.0)
             names[ref] = w + w / 3 if w else 1.0
             for p in ref.split():
                 holding.setdefault(p, set()).add(ref)
-            if t["role"] == "subj":
+            if roles[k] == "subj":
                 known = votes.get(ref, {})
                 best = sorted(known.values(), reverse=True)
                 sure = best and best[0] > 2 * (best[1] if len(best) > 1 else 0.0)
-                subjects.append([ref, t["sent"], max(known, key=known.get) if sure else None])
-            if k + 3 < len(tokens) and [x["value"].lower() for x in tokens[k + 1 : k + 3]] in (["is", "a"], ["was", "a"], ["is", "the"], ["was", "the"], ["is", "an"]) and tokens[k + 3]["cls"] == "N":
-                same(tokens[k + 3]["value"], ref, 2.0)
-            if k and tokens[k - 1]["cls"] == "N":
-                same(tokens[k - 1]["value"], ref, 2.7 if k > 1 and tokens[k - 2]["value"].lower() == "of" else 1.0)
-            if k > 4 and [tokens[k - 1]["value"], tokens[k - 4]["value"].lower(), tokens[k - 3]["value"].lower()] == [",", "of", "the"] and tokens[k - 5]["cls"] == tokens[k - 2]["cls"] == "N":
-                same(tokens[k - 5]["value"], ref, 2.5)
+                subjects.append([ref, sents[k], max(known, key=known.get) if sure else None])
+            if k + 3 < len(low) and (low[k + 1], low[k + 2]) in (("is", "a"), ("was", "a"), ("is", "the"), ("was", "the"), ("is", "an")) and classes[k + 3] == "N":
+                same(low[k + 3], ref, 2.0)
+            if k and classes[k - 1] == "N":
+                same(low[k - 1], ref, 2.7 if k > 1 and low[k - 2] == "of" else 1.0)
+            if k > 4 and (values[k - 1], low[k - 4], low[k - 3]) == (",", "of", "the") and classes[k - 5] == classes[k - 2] == "N":
+                same(low[k - 5], ref, 2.5)
+            out.append((k, ref, None))
         elif word in PRONOUNS:
-            gender = PRONOUNS[word]
-            reach = 2 if k and tokens[k - 1]["value"].lower() in ("and", "or") else 10
+            ref, gender = None, PRONOUNS[word]
+            reach = 2 if k and low[k - 1] in ("and", "or") else 10
             for s in reversed(subjects):
-                if t["sent"] - s[1] > reach:
+                if sents[k] - s[1] > reach:
                     break
                 if s[2] in (None, gender):
                     ref = s[0]
                     v = votes.setdefault(ref, {})
                     updates[ref] = updates.get(ref, 0) + 1
-                    v[gender] = v.get(gender, 0.0) + (1.2 if t["role"] == "subj" else 0.7) / math.sqrt(updates[ref])
+                    v[gender] = v.get(gender, 0.0) + (1.2 if roles[k] == "subj" else 0.7) / math.sqrt(updates[ref])
                     s[2] = s[2] or gender
                     break
-        elif t["cls"] == "N" and k and tokens[k - 1]["value"].lower() == "the" and max(synonyms.get(word, {}).values(), default=0.0) > 0.2:
-            ref = max(synonyms[word], key=lambda n: (synonyms[word][n], n))
-        out.append({**t, "ref": ref, "gender": gender})
+            out.append((k, ref, gender))
+        elif classes[k] == "N" and k and low[k - 1] == "the" and max(synonyms.get(word, {}).values(), default=0.0) > 0.2:
+            out.append((k, max(synonyms[word], key=lambda n: (synonyms[word][n], n)), None))
     return out
 
 
-RESOLVED = "doc_id long, resolved array<struct<sent: int, seq: int, value: string, cls: string, role: string, ref: string, gender: string>>"
+def fold_document(tokens: list[dict]) -> list[dict]:
+    """``references`` for tokens (sent, seq, value, cls, role) in order: each with ref and gender."""
+    found = {k: (ref, gender) for k, ref, gender in references(*([t[n] for t in tokens] for n in ("value", "cls", "role", "sent")))}
+    return [{**t, "ref": found.get(k, (None, None))[0], "gender": found.get(k, (None, None))[1]} for k, t in enumerate(tokens)]
+
 
+RESOLVED = "doc_id long, found array<struct<sent: int, seq: int, value: string, cls: string, role: string, ref: string, gender: string>>"
 
-def discourse(tagged: DataFrame) -> DataFrame:
-    """References and genders of (doc_id, sent, seq, value, cls, role), document by document.
 
-    A document's tokens meet in one array, so the fold runs over batches of documents."""
+def discourse(sentences: DataFrame) -> DataFrame:
+    """(doc_id, sent, seq, value, cls, role, ref, gender): the entities, pronouns and synonyms of documents (doc_id, words), arrays by sentence.
+
+    A document's sentences stand in its own row, so no token moves. A column ``classes`` of the same
+    shape has the words' classes; without it, they are told by form. Subjects are those of ``tagger.roles``."""
+    columns = ["doc_id", "words", *(["classes"] if "classes" in sentences.columns else [])]
 
     def run(batches):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("sent", pa.int32()), ("seq", pa.int32()), *((n, pa.string()) for n in ("value", "cls", "role", "ref", "gender"))]))
+        known = FormClasses()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(fold_document, b.column("ts").to_pylist()), kind)], ["doc_id", "resolved"])
+            out, words_of = [], b.column("words").to_pylist()
+            given = b.column("classes").to_pylist() if len(columns) > 2 else ([[known[w] for w in ws] for ws in doc or ()] for doc in words_of)
+            for words, classes in zip(words_of, given, strict=True):
+                flat = [(v, c, r, s, k) for s, (ws, cs) in enumerate(zip(words or (), classes or (), strict=True)) for k, (v, c, r) in enumerate(zip(ws, cs, roles(ws, cs), strict=True))]
+                values, kinds, found_roles, sents, seqs = zip(*flat, strict=True) if flat else ((),) * 5
+                out.append([{"sent": sents[k], "seq": seqs[k], "value": values[k], "cls": kinds[k], "role": found_roles[k], "ref": ref, "gender": gender} for k, ref, gender in references(values, kinds, found_roles, sents)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, kind)], ["doc_id", "found"])
+
+    return sentences.select(*columns).mapInArrow(run, RESOLVED).select("doc_id", F.explode("found").alias("r")).select("doc_id", "r.*")
 
-    tokens = tagged.select("doc_id", F.struct(F.col("sent").cast("int").alias("sent"), F.col("seq").cast("int").alias("seq"), "value", "cls", "role").alias("t"))
-    whole = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    return whole.mapInArrow(run, RESOLVED).select("doc_id", F.explode("resolved").alias("r")).select("doc_id", "r.*")
+
+WORD_OR_SIGN = r"[\p{L}\p{N}'-]+|[^\s\p{L}\p{N}]"
+
+
+def sentence_arrays(docs: DataFrame) -> DataFrame:
+    """(doc_id, words) of texts, arrays by sentence; sentences end at . ! ? ;"""
+    return docs.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?;])\s+"), lambda s: F.regexp_extract_all(s, F.lit(WORD_OR_SIGN), F.lit(0))).alias("words"))
 
 
 def tagged_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent, seq, value, cls, role) of texts by the form tagger: sentences end at . ! ? ;"""
+    """(doc_id, sent, seq, value, cls, role) of texts by the form tagger; an entity or pronoun that begins its sentence counts as subject."""
     sents = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?;])\s+")).alias("sent", "s"))
-    toks = sents.select("doc_id", "sent", F.posexplode(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}'-]+|[^\s\p{L}\p{N}]"), F.lit(0))).alias("seq", "value"))
+    toks = sents.select("doc_id", "sent", F.posexplode(F.regexp_extract_all("s", F.lit(WORD_OR_SIGN), F.lit(0))).alias("seq", "value"))
     cls = class_of(rule_tags(F.col("value")))
     return toks.select("doc_id", "sent", "seq", "value", cls.alias("cls"), F.when((F.col("seq") == 0) & cls.isin("E", "R"), "subj").otherwise("").alias("role"))
 
@@ -301,26 +350,42 @@ def parts_usage(names: DataFrame) -> DataFrame:
     return names.select("doc_id", "usage", F.explode(every).alias("part")).groupBy("doc_id", "part").agg(F.sum("usage").alias("usage"))
 
 
-def split_names(names: DataFrame, factor: float = 10.0, rounds: int = 4) -> DataFrame:
+def split_names(names: DataFrame, spark: SparkSession | None = None, factor: float = 10.0, rounds: int | None = None) -> DataFrame:
     """Names cut in two where both parts are names themselves and the first is used over
-    ``factor`` times as much as at any other cut; the parts take over the uses. Repeated
-    ``rounds`` times, by joins on (doc_id, part)."""
-    for _ in range(rounds):
-        used = parts_usage(names)
-        own = names.select("doc_id", F.col("name").alias("part"))
-        words = F.split("name", " ")
-        cuts = names.filter(F.size(words) > 1).select("doc_id", "name", F.col("usage").alias("uses"), F.explode(F.sequence(F.lit(1), F.size(words) - 1)).alias("k"), words.alias("w"))
-        cuts = cuts.select("doc_id", "name", "uses", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("head"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("tail"))
-        known = cuts.join(own.withColumnRenamed("part", "head"), ["doc_id", "head"], "left_semi").join(own.withColumnRenamed("part", "tail"), ["doc_id", "tail"], "left_semi")
-        told = known.join(used.select("doc_id", F.col("part").alias("head"), F.col("usage").alias("head_usage")), ["doc_id", "head"])
-        whole = used.select("doc_id", F.col("part").alias("name"), F.col("usage").alias("name_usage"))
-        w = W.partitionBy("doc_id", "name").orderBy(F.desc("head_usage"), "head")
-        best = told.join(whole, ["doc_id", "name"]).withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("head_usage").over(w))
-        best = best.filter((F.col("_r") == 1) & (F.col("head_usage") > factor * F.greatest(F.coalesce("_next", F.lit(0.0)), F.col("name_usage"))))
-        gone = best.select("doc_id", "name")
-        moved = best.select("doc_id", F.explode(F.array("head", "tail")).alias("name"), F.col("uses").alias("usage"))
-        names = names.join(gone, ["doc_id", "name"], "left_anti").select("doc_id", "name", "usage").unionByName(moved).groupBy("doc_id", "name").agg(F.sum("usage").alias("usage"))
-    return names
+    ``factor`` times as much as at any other cut; the parts take over the uses.
+
+    Repeated until nothing is cut, each round's names written to the shared folder; a cut leaves
+    fewer words to cut at, so rounds end with the longest name's words. With ``rounds``, so many
+    are planned in one piece, without a session."""
+    if rounds is not None:
+        for _ in range(rounds):
+            names = _cut_once(names, factor)[0]
+        return names
+    names = stored(names, spark, "names")
+    while True:
+        after, gone = _cut_once(names, factor)
+        if gone.isEmpty():
+            return names
+        names = stored(after, spark, "names")
+
+
+def _cut_once(names: DataFrame, factor: float) -> tuple[DataFrame, DataFrame]:
+    """Names after one round of cuts, and (doc_id, name) of those cut."""
+    used = parts_usage(names)
+    own = names.select("doc_id", F.col("name").alias("part"))
+    words = F.split("name", " ")
+    cuts = names.filter(F.size(words) > 1).select("doc_id", "name", F.col("usage").alias("uses"), F.explode(F.sequence(F.lit(1), F.size(words) - 1)).alias("k"), words.alias("w"))
+    cuts = cuts.select("doc_id", "name", "uses", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("head"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("tail"))
+    known = cuts.join(own.withColumnRenamed("part", "head"), ["doc_id", "head"], "left_semi").join(own.withColumnRenamed("part", "tail"), ["doc_id", "tail"], "left_semi")
+    told = known.join(used.select("doc_id", F.col("part").alias("head"), F.col("usage").alias("head_usage")), ["doc_id", "head"])
+    whole = used.select("doc_id", F.col("part").alias("name"), F.col("usage").alias("name_usage"))
+    w = W.partitionBy("doc_id", "name").orderBy(F.desc("head_usage"), "head")
+    best = told.join(whole, ["doc_id", "name"]).withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("head_usage").over(w))
+    best = best.filter((F.col("_r") == 1) & (F.col("head_usage") > factor * F.greatest(F.coalesce("_next", F.lit(0.0)), F.col("name_usage"))))
+    gone = best.select("doc_id", "name")
+    moved = best.select("doc_id", F.explode(F.array("head", "tail")).alias("name"), F.col("uses").alias("usage"))
+    after = names.join(gone, ["doc_id", "name"], "left_anti").select("doc_id", "name", "usage").unionByName(moved).groupBy("doc_id", "name").agg(F.sum("usage").alias("usage"))
+    return after, gone
 
 
 def most_used(names: DataFrame, share: float = 0.6, least: float = 3.0, long_name: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as functions
 from ..functions import text as T
-from ..operators import elements, markup, nlp, phrases, postings
+from ..operators import elements, markup, nlp, phrases, postings, tagger
 from ..sources import dumps, sinks
 from ..sources.shared import new_folder, stored
 from .catalog import STATS, TOK, TOKS
@@ -299,6 +299,33 @@ def query_fallback(spark, sf_dir):
     return spark.createDataFrame(rows, "p_name string, type string, value string").distinct()
 
 
+# --- a trained tagger ----------------------------------------------------------------------------
+
+#: Turns as a sequence of words: the powers of two of their lengths.
+TURNS = "t AS (SELECT conv_id, turn, role AS tag, floor(log2(greatest(length(coalesce(text, '')), 1)))::INT::VARCHAR AS word FROM conversations)"
+
+
+def _turns(spark, sf_dir):
+    size = F.floor(F.log2(F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1)))).cast("int").cast("string")
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), F.col("role").alias("tag"), size.alias("word"))
+
+
+@query("WITH " + TURNS + ", s AS (SELECT lag(tag) OVER (PARTITION BY conv_id ORDER BY turn) AS before, tag FROM t) SELECT 'step' AS kind, before AS given, tag, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'word', word, tag, count(*) FROM t GROUP BY ALL")
+def tag_counts(spark, sf_dir):
+    """What the tagger learns from: roles after roles, and lengths of turns by role."""
+    steps, words = tagger.counts(_turns(spark, sf_dir), "conv_id")
+    return steps.select(F.lit("step").alias("kind"), F.col("before").alias("given"), "tag", "n").unionByName(words.select(F.lit("word").alias("kind"), F.col("word").alias("given"), "tag", "n"))
+
+
+@query()
+def turn_roles(spark, sf_dir):
+    """Roles of the turns of every fifth conversation by a tagger learned from the others, and those given."""
+    turns = _turns(spark, sf_dir)
+    model = tagger.train(turns.filter("conv_id % 5 <> 0"), "conv_id")
+    rows = turns.filter("conv_id % 5 = 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "word", "tag"))).alias("t"))  # the feature: a held-out part
+    return tagger.tagged(rows.select("conv_id", F.col("t.word").alias("words"), F.col("t.tag").alias("given")), model).select("conv_id", "tags", "given")
+
+
 # --- tagged passes -----------------------------------------------------------------------------
 
 TAGS = [t for tags in nlp.TAG_CLASSES.values() for t in tags.split()]

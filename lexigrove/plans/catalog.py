@@ -585,7 +585,7 @@ def sentence_classes(spark, sf_dir):
 
 @query()
 def coreference(spark, sf_dir):
-    done = nlp.discourse(nlp.tagged_documents(table(spark, sf_dir, "documents")))
+    done = nlp.discourse(nlp.sentence_arrays(table(spark, sf_dir, "documents")))
     return done.filter("ref is not null").groupBy("doc_id").agg(F.count("*").alias("n_refs"), F.count("gender").alias("n_pronouns"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import is_date
 from ..sources.shared import stored
 from .phrases import exclusive, matched
@@ -411,6 +412,21 @@ def longest_spans(tokens: DataFrame, names: DataFrame) -> DataFrame:
     return exclusive(matched(tokens, names))
 
 
+def own_spans(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, pos, n, name): places in a document's ``toks`` where one of its own names (doc_id, name) stands, longer ones covering shorter.
+
+    Names are found by their first words: a word leaves its document only as the first of one of
+    that document's names, with as many words behind it as the longest name has."""
+    parsed = names.select("doc_id", "name", T.lower_words(F.col("name")).alias("words")).filter(F.size("words") > 0).distinct()
+    known = parsed.groupBy("doc_id", F.get("words", F.lit(0)).alias("key"), "words").agg(F.min("name").alias("name"))
+    longest = known.agg(F.max(F.size("words"))).first()[0] or 0
+    arr = F.col("toks")
+    placed = F.transform(arr, lambda w, i: F.struct(i.alias("pos"), w.alias("key"), F.slice(arr, i + 1, F.lit(max(longest, 1))).alias("ahead")))
+    firsts = tokens.select("doc_id", F.explode(placed).alias("_w")).select("doc_id", "_w.*").join(known, ["doc_id", "key"])
+    n = F.size("words")
+    return exclusive(firsts.filter(F.slice("ahead", F.lit(1), n) == F.col("words")).select("doc_id", "pos", n.alias("n"), "name"))
+
+
 def merged_markup(items: DataFrame, tagged: DataFrame) -> DataFrame:
     """Tagged tokens put back at their items: (doc_id, seq, type, tokens) in item order."""
     per = tagged.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "cls", "value"))).alias("tokens"))

@@ -124,6 +124,27 @@ def analyzed_or_words(query: str, analyze) -> list[dict]:
         return [{"type": "stem", "value": w, "length": 1, "pos": k} for k, w in enumerate(words_of(query))]
 
 
+def analyzed_queries(queries: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(qid, type, value, length, pos) for a table of queries (qid, query): as ``analyzed`` for each, by joins.
+
+    Phrases of the dictionary (``dictionary``) within a comma part are of type ``vecsfeat``, longest
+    ones; words that none covers are ``selstem``, and all words are ``stem``. Without a
+    dictionary there are words alone."""
+    parts = F.transform(F.split(F.coalesce("query", F.lit("")), ","), T.lower_words)
+    sized = queries.select("qid", parts.alias("parts")).select("qid", F.posexplode("parts").alias("part", "toks"), "parts")
+    ahead = F.aggregate(F.slice("parts", F.lit(1), F.col("part")), F.lit(0), lambda n, p: n + F.size(p))
+    told = sized.select(F.struct("qid", "part").alias("doc_id"), ahead.alias("ahead"), "toks")
+    words = told.select("doc_id", "ahead", F.posexplode("toks").alias("at", "value"))
+    row = lambda kind, length, value="value": [F.col("doc_id.qid").alias("qid"), F.lit(kind).alias("type"), F.col(value).alias("value"), length.cast("int").alias("length"), (F.col("ahead") + F.col("at")).alias("pos")]
+    stems = words.select(*row("stem", F.lit(1)))
+    if known is None:
+        return stems
+    found = exclusive(matched(told.select("doc_id", "toks"), known)).join(told.select("doc_id", "ahead"), "doc_id").withColumnRenamed("pos", "at")
+    covered = found.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
+    open_ = words.join(covered, ["doc_id", "at"], "left_anti")
+    return found.select(*row("vecsfeat", F.col("n"), "id")).unionByName(open_.select(*row("selstem", F.lit(1)))).unionByName(stems)
+
+
 def vector_refs(terms: list[dict]) -> list[int]:
     """Indexes of feature references: values of F and a number."""
     return [int(t["value"][1:]) for t in terms if t["value"][:1] == "F" and t["value"][1:].isdigit()]

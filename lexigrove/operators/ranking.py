@@ -91,12 +91,18 @@ def pageweight_of(references: Column) -> Column:
     return F.tanh(references / 50)
 
 
-def weighted_sum(parts: dict[str, float]) -> Column:
-    """Sum of named score columns times their weights."""
-    total = F.lit(0.0)
-    for name, w in parts.items():
-        total = total + w * F.coalesce(F.col(name), F.lit(0.0))
-    return total
+def by_formula(ranks: DataFrame, formula: str, name: str = "score", **weights: float) -> DataFrame:
+    """Ranks with a score by a formula of SQL over their columns and named weights, as ``d * _1 + (1 - d) * _0``.
+
+    Columns that are null count as 0; a weight hides a column of its name."""
+    parts = [c for c in ranks.columns if c not in weights]
+    filled = ranks.select(*(F.coalesce(F.col(c), F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in ranks.dtypes if c in parts), *(F.lit(float(v)).alias(k) for k, v in weights.items()))
+    return filled.withColumn(name, F.expr(formula)).select(*dict.fromkeys([*parts, name]))
+
+
+def weighted_sum(ranks: DataFrame, name: str = "score", **weights: float) -> DataFrame:
+    """Ranks with the sum of their score columns times the weights named after these."""
+    return by_formula(ranks, " + ".join(f"{w!r}D * `{c}`" for c, w in ((c, float(w)) for c, w in weights.items())) or "0.0D", name)
 
 
 def top(ranks: DataFrame, k: int, first: int = 0, score: str = "score", tie: str = "doc_id") -> DataFrame:

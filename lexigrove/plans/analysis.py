@@ -281,22 +281,52 @@ def phrase_rules(spark, sf_dir):
 @query("WITH p AS (SELECT DISTINCT p_name FROM part) SELECT p_name, 'vecsfeat' AS type, replace(lower(p_name), ' ', '_') AS value, 2 AS length FROM p UNION ALL SELECT p_name, 'selstem', 'zebra', 1 FROM p UNION ALL SELECT p_name, 'stem', unnest(list_concat(string_split(lower(p_name), ' '), ['zebra'])), 1 FROM p")
 def query_analysis(spark, sf_dir):
     """Each part's name, a comma and a word as a query: phrases cover their words, which stay for ranking."""
-    names = [r["p_name"] for r in _part(spark, sf_dir).select("p_name").distinct().collect()]  # a query a name
-    known = {n.lower().replace(" ", "_"): n.lower().replace(" ", "_") for n in names}
-    rows = [(n, t["type"], t["value"], t["length"]) for n in names for t in phrases.analyzed_or_words(f"{n}, zebra", lambda q: phrases.analyzed(q, known))]
-    return spark.createDataFrame(rows, "p_name string, type string, value string, length int")
+    names = _part(spark, sf_dir).select("p_name").distinct()
+    queries = names.select(F.col("p_name").alias("qid"), F.concat("p_name", F.lit(", zebra")).alias("query"))
+    known = phrases.dictionary(names.select(F.col("p_name").alias("name")))
+    told = phrases.analyzed_queries(queries, known.withColumn("id", F.col("phrase")))
+    return told.select(F.col("qid").alias("p_name"), "type", "value", "length")
 
 
 @query("SELECT DISTINCT p_name, 'stem' AS type, unnest(string_split(lower(p_name), ' ')) AS value FROM part")
 def query_fallback(spark, sf_dir):
-    """Queries whose analyzer fails: their words alone."""
-
-    def fails(q):
-        raise OSError("no analyzer")
-
-    names = [r["p_name"] for r in _part(spark, sf_dir).select("p_name").distinct().collect()]  # a query a name
-    rows = [(n, t["type"], t["value"]) for n in names for t in phrases.analyzed_or_words(n, fails)]
-    return spark.createDataFrame(rows, "p_name string, type string, value string").distinct()
+    """Queries without an analyzer: their words alone."""
+    names = _part(spark, sf_dir).select(F.col("p_name").alias("qid"), F.col("p_name").alias("query")).distinct()
+    return phrases.analyzed_queries(names).select(F.col("qid").alias("p_name"), "type", "value").distinct()
+
+
+@query("WITH " + TOKS + ", n AS (SELECT doc_id, l, unnest([2, 3]) AS n FROM toks), g AS (SELECT doc_id, n, unnest(list_filter(range(len(l) - n + 1), lambda i: l[i + 1:i + n] = l[1:n])) AS pos, l FROM n WHERE len(l) >= n), e AS (SELECT *, max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g) SELECT doc_id, pos::INT AS pos, n::INT AS n, array_to_string(l[1:n], ' ') AS name FROM e WHERE before IS NULL OR before < pos + n")
+def own_title_spans(spark, sf_dir):
+    """Where a document's own title stands in it: its first two and three words, the longer covering the shorter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.lower_words(F.col("text")).alias("toks"))
+    cut = F.explode(F.array(*(F.array_join(F.slice("toks", 1, n), " ") for n in (2, 3))))
+    names = docs.select("doc_id", "toks", cut.alias("name")).filter(F.size(F.split("name", " ")) <= F.size("toks"))
+    return nlp.own_spans(docs, names.filter(F.size(F.split("name", " ")) >= 2).select("doc_id", "name"))
+
+
+#: Names of three, two and one words by brand, with their uses.
+_NAMES = "n0 AS (SELECT p_brand AS doc_id, name, sum(u) AS usage FROM (SELECT p_brand, unnest([p_name || ' ' || lower(p_type), p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_type)]) AS name, unnest([1.0, 2.0, CASE WHEN p_partkey % 7 = 0 THEN 40.0 ELSE 1.0 END, 1.0, 1.0])::DOUBLE AS u FROM part) GROUP BY ALL)"
+
+
+def _split_sql(rounds: int, factor: float) -> str:
+    """So many rounds of cuts, one after another."""
+    sql = "WITH " + _NAMES
+    for k in range(rounds):
+        sql += f""", u{k} AS (SELECT doc_id, part, sum(usage) AS usage FROM (SELECT DISTINCT doc_id, name, usage, unnest(list_concat([name], list_concat(list_transform(range(1, len(w)), lambda i: array_to_string(w[:i], ' ')), list_transform(range(1, len(w)), lambda i: array_to_string(w[i + 1:], ' '))))) AS part FROM (SELECT *, string_split(name, ' ') AS w FROM n{k})) GROUP BY ALL),
+c{k} AS (SELECT doc_id, name, usage AS uses, array_to_string(w[:i], ' ') AS head, array_to_string(w[i + 1:], ' ') AS tail FROM (SELECT *, string_split(name, ' ') AS w, unnest(range(1, len(string_split(name, ' ')))) AS i FROM n{k})),
+t{k} AS (SELECT c.*, h.usage AS head_usage, m.usage AS name_usage FROM c{k} c JOIN u{k} h ON h.doc_id = c.doc_id AND h.part = c.head JOIN u{k} m ON m.doc_id = c.doc_id AND m.part = c.name WHERE EXISTS (SELECT 1 FROM n{k} x WHERE x.doc_id = c.doc_id AND x.name = c.head) AND EXISTS (SELECT 1 FROM n{k} x WHERE x.doc_id = c.doc_id AND x.name = c.tail)),
+b{k} AS (SELECT * FROM (SELECT *, row_number() OVER w AS r, lead(head_usage) OVER w AS follows FROM t{k} WINDOW w AS (PARTITION BY doc_id, name ORDER BY head_usage DESC, head)) WHERE r = 1 AND head_usage > {factor} * greatest(coalesce(follows, 0), name_usage)),
+n{k + 1} AS MATERIALIZED (SELECT doc_id, name, sum(usage) AS usage FROM (SELECT * FROM n{k} WHERE (doc_id, name) NOT IN (SELECT doc_id, name FROM b{k}) UNION ALL SELECT doc_id, unnest([head, tail]), uses FROM b{k}) GROUP BY ALL)"""
+    return sql + f" SELECT doc_id, name, usage FROM n{rounds}"
+
+
+@query(_split_sql(3, 1.2))
+def names_split(spark, sf_dir):
+    """Names of parts by brand, cut until none is cut any more; names of three words take two rounds at most."""
+    name = F.array(F.concat_ws(" ", "p_name", F.lower("p_type")), F.col("p_name"), F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.lower("p_type"))
+    uses = F.array(F.lit(1.0), F.lit(2.0), F.when(F.col("p_partkey") % 7 == 0, 40.0).otherwise(1.0), F.lit(1.0), F.lit(1.0))
+    names = _part(spark, sf_dir).select(F.col("p_brand").alias("doc_id"), F.explode(F.arrays_zip(name.alias("name"), uses.alias("usage"))).alias("n")).select("doc_id", "n.*")
+    return nlp.split_names(names.groupBy("doc_id", "name").agg(F.sum("usage").alias("usage")), spark, factor=1.2)
 
 
 # --- a trained tagger ----------------------------------------------------------------------------

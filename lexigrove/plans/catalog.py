@@ -658,12 +658,6 @@ def df_increments(spark, sf_dir):
     return postings.merge_df(plus.unionByName(twice)).filter("df <> 0")
 
 
-@query("SELECT * FROM (VALUES (1, 'A B', 3.0), (1, 'C', 20.0)) t(doc_id, name, usage)")
-def names_split(spark, sf_dir):
-    names = spark.createDataFrame([(1, "C A B", 1.0), (1, "C", 19.0), (1, "A B", 2.0)], "doc_id int, name string, usage double")
-    return nlp.split_names(names, factor=1.5, rounds=1)
-
-
 @query("WITH u AS (SELECT user_id AS doc_id, event_type AS name, count(*)::DOUBLE AS usage FROM events GROUP BY ALL HAVING count(*) >= 3), s AS (SELECT *, sum(usage) OVER (PARTITION BY doc_id ORDER BY usage DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(usage) OVER (PARTITION BY doc_id) AS total FROM u), c AS (SELECT *, coalesce(max(CASE WHEN run > 0.6 * total THEN usage END) OVER (PARTITION BY doc_id), 3) AS cut FROM s) SELECT doc_id, name, usage FROM c WHERE usage >= cut")
 def names_most_used(spark, sf_dir):
     used = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id"), F.col("event_type").alias("name")).agg(F.count("*").cast("double").alias("usage"))

@@ -262,6 +262,31 @@ def two_pass_std(spark, sf_dir):
     return ranking.top(rounded(both.select("doc_id", ranking.mixed(F.col("score"), F.coalesce("s1", F.lit(0.0)), 0.7).alias("score")), "score"), 20)
 
 
+#: BM25 by the older constants, page weights and a constant score, as parts of formulas.
+PARTS = ", m AS (SELECT doc_id, tanh(len(text) / 5000.0) * 10 AS pageweight FROM documents), p AS (SELECT doc_id, score AS _0, coalesce(pageweight, 0) AS _1, 0.1 AS _2 FROM bm JOIN m USING (doc_id))"
+
+
+def _parts(spark, sf_dir, scheme):
+    index, terms = _terms(spark, sf_dir)
+    weights = table(spark, sf_dir, "documents").select("doc_id", (F.tanh(F.length("text") / 5000.0) * 10).alias("_1"))
+    ranks = plans.scored(index, terms, ranking.scheme(scheme)).select("doc_id", F.col("score").alias("_0"))
+    return ranks.join(weights, "doc_id").select("doc_id", "_0", "_1", F.lit(0.1).alias("_2"))
+
+
+@query(_bm_sql(PARTS + " SELECT doc_id, round(0.2 * _0 * (_1 / 10) + (1 - 0.2) * _0, 6) AS score FROM p ORDER BY 2 DESC, 1 LIMIT 20"))
+def formula_pageweight(spark, sf_dir):
+    """A scheme's formula with a named weight, evaluated over its parts."""
+    told = ranking.by_formula(_parts(spark, sf_dir, "BM25"), "d * _0 * (_1 / 10) + (1 - d) * _0", d=0.2)
+    return ranking.top(rounded(told.select("doc_id", "score"), "score"), 20)
+
+
+@query(_bm_sql(PARTS + " SELECT doc_id, round(_0 + 2 * _1 + 0.1, 6) AS score FROM p ORDER BY 2 DESC, 1 LIMIT 20", k1=0.75, b=2.1))
+def formula_older(spark, sf_dir):
+    """The older weighted sum: BM25 by its constants, twice the page weight, and a constant score."""
+    told = ranking.weighted_sum(_parts(spark, sf_dir, "BM25old"), _0=1.0, _1=2.0, _2=1.0)
+    return ranking.top(rounded(told.select("doc_id", "score"), "score"), 20)
+
+
 @query("WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS link FROM pages), w AS (SELECT link, count(*) AS weight FROM l GROUP BY link) SELECT link, weight FROM w ORDER BY weight DESC, link LIMIT 20 OFFSET 5")
 def links_paged(spark, sf_dir):
     from ..operators import markup

@@ -69,6 +69,10 @@ PLACES, SHAPES = "site|page|main|top|bottom|left|right|global|primary|secondary|
 NAMES = re.compile(rf"(?:(?:{PLACES})[-_]?)?(?:{PARTS})(?:[-_](?:{PARTS}|{SHAPES}|\d+))*")
 #: The same within an article, where words of prose serve as names: only what is no article by any reading.
 INNER = re.compile(r"(?:ads?|adverts?|advertisements?|sponsored|cookie|newsletter|breadcrumbs?|comments?|disqus|pagination|sidebar)(?:[-_](?:area|bar|box|banner|block|container|form|list|notice|section|slot|thread|unit|wrap|wrapper|\d+))*")
+#: Names within an article that prose does not have: such a box goes if it holds less than half of the page's article.
+SURE = re.compile(
+    rf"(?:(?:{PLACES})[-_]?)?(?:notices?|promos?|promotion|popup|newsletter|subscribe|signup|share|sharing|social|consent|gdpr|paywall|modal|overlay|banner)(?:[-_](?:{PARTS}|{SHAPES}|\d+))*|(?:users?|posts?|readers?)[-_]comments?|respond"
+)
 #: Article elements that are no page's article.
 ASIDES = re.compile(r"(?:comment|reply|teaser|related|card|promo|ad|sponsored)s?(?:[-_].*)?")
 #: Elements that end an open one of their own name; any block ends a paragraph.
@@ -115,9 +119,27 @@ def _kind_of(name: str, attrs: str, inside_article: bool) -> int | None:
     return BOXED if inside_article and named and name in BOXES else None
 
 
+def _suspect(name: str, attrs: str) -> int:
+    """What the class or id of an element within an article says: 2 that it is none of it, 1 that it may be a list of links or a form, 0 nothing."""
+    if not attrs or name in HEADINGS or name in ("main", "article", "html", "body"):
+        return 0
+    values = [x for key, a, b, c in ATTR.findall(attrs) if key.lower() in ("class", "id") for x in (a or b or c).lower().split()]
+    return 2 if any(SURE.fullmatch(x) for x in values) else 1 if any(NAMES.fullmatch(x) for x in values) else 0
+
+
+def _shut(page: str, at: int, name: str) -> int | None:
+    """The place after the end of an element whose tag ends at a place, those of its name within it counted; None if it never ends."""
+    nests, depth = name in ("object", "svg", "template"), 1
+    for m in re.compile(rf"<(/?){name}\b[^>]*+(?:>|\Z)", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1 if nests and not m[0].endswith("/>") else 0
+        if not depth:
+            return m.end()
+    return None
+
+
 def _tokens(page: str):
     """(tag end mark, tag name, attributes, text) in order, in linear time, without what stands in elements that hold no text."""
-    at, n, pattern = 0, len(page), TOKEN
+    at, n, pattern, endless = 0, len(page), TOKEN, set()
     while at < n:
         m = pattern.match(page, at)
         if m is None:
@@ -125,9 +147,14 @@ def _tokens(page: str):
             continue
         at = m.end()
         if m[2] and not m[1] and (name := m[2].lower()) in RAW:
-            if not m[3].endswith("/") or name in ("script", "style", "textarea", "title"):
-                shut = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
-                at = shut.end() if shut else n
+            if (not m[3].endswith("/") or name in ("script", "style", "textarea", "title")) and name not in endless:
+                shut = _shut(page, at, name)
+                if shut is None and name in ("script", "style"):
+                    return  # the rest is code
+                if shut is None:
+                    endless.add(name)  # an element that never ends takes nothing but its tag
+                else:
+                    at = shut
             continue
         yield m[1], m[2], m[3], m[0]
 
@@ -136,9 +163,13 @@ def blocks_of(page: str | None) -> tuple[list[int], list[str]]:
     """Kinds and texts of a page's lines, in order."""
     page = page or ""
     kinds, lines, parts = [], [], []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int]] = []
     opened: dict[str, int] = {}
     kind, boxes = OPEN, 0
+    # boxes within articles to judge by what they hold: first line, end, characters of links, controls, and what their names say
+    suspects: list[list[int]] = []
+    links = controls = 0
+    in_link = False
 
     def end():
         if parts:
@@ -149,8 +180,10 @@ def blocks_of(page: str | None) -> tuple[list[int], list[str]]:
             parts.clear()
 
     def close(k):
-        for name, _ in stack[k:]:
+        for name, _, s in stack[k:]:
             opened[name] -= 1
+            if s >= 0:
+                suspects[s][1:4] = [len(lines), links - suspects[s][2], controls - suspects[s][3]]
         del stack[k:]
         return stack[-1][1] if stack else OPEN
 
@@ -158,10 +191,15 @@ def blocks_of(page: str | None) -> tuple[list[int], list[str]]:
         if name is None:
             if whole[0] != "<" or len(whole) < 3:
                 parts.append(whole)
+                links += len(whole) if in_link else 0
             elif whole.startswith("<![CDATA["):
                 parts.append(_html.escape(whole[9:].removesuffix("]]>")))
             continue
         name = name.lower()
+        if name == "a":
+            in_link = not shut
+        elif name in ("input", "button", "form") and not shut:
+            controls += 1
         if shut:
             if name in INLINE or name in VOID:
                 if name == "br":
@@ -189,14 +227,25 @@ def blocks_of(page: str | None) -> tuple[list[int], list[str]]:
             continue  # bare blocks nest nothing that matters, and are often not closed
         if attrs.rstrip().endswith("/"):
             continue
-        own = _kind_of(name, attrs, kind == ARTICLE or kind >= BOXED)
+        inside, suspect = kind == ARTICLE or kind >= BOXED, -1
+        own = _kind_of(name, attrs, inside)
+        if inside and own != FRAME and (says := _suspect(name, attrs)):
+            suspect = len(suspects)
+            suspects.append([len(lines), -1, links, controls, says])
         if kind != FRAME and own is not None and not (own == ARTICLE and kind >= BOXED):
             if own == BOXED:
                 own, boxes = BOXED + boxes, boxes + 1
             kind = own
-        stack.append((name, kind))
+        stack.append((name, kind, suspect))
         opened[name] = opened.get(name, 0) + 1
     end()
+    close(0)
+    sizes = [len(t) for t in lines]
+    whole = sum(n for n, k in zip(sizes, kinds, strict=True) if k != FRAME)
+    for first, last, linked, held, says in suspects:
+        size = sum(sizes[first:last])
+        if says == 2 and 2 * size < whole or 2 * linked >= size and linked or held and 2 * size < whole:
+            kinds[first:last] = [FRAME] * (last - first)
     return kinds, lines
 
 

@@ -7,7 +7,10 @@ of its weight in that of all. A piece's weight is ``(1 + merge rank) ** -ALPHA``
 vocabulary. No piece holds a character before a space, or a line feed beside another
 character, so the lattice falls apart there, and at every other place that no piece crosses:
 the stretches of distinct parts are filtered once for a batch, and all their occurrences are
-drawn side by side in numpy. So a text without spaces takes about as long as one with them.
+drawn side by side in numpy. A part of over ``LONG`` characters is one stretch of its own: its
+sums are filtered place by place over the pieces that end there, in logarithms, and it is drawn
+from its end in chunks whose pieces are looked up anew, so its arrays stay small, and a rule
+line of a million characters takes seconds.
 
 Draws are hashes of the row key, the stretch's number and the piece's, so the same row gives
 the same segmentation in any order, partition or retry. A character that is no piece stands
@@ -29,6 +32,8 @@ from .common import table, text_of
 ALPHA = 1.0
 #: Texts' characters that are worked on together, about.
 BATCH = 3_000_000
+#: Characters of a part beyond which it is worked on alone, and of its chunks.
+LONG, CHUNK = 2048, 65_536
 OUT = "doc_id long, n_chars long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, lossless boolean"
 
 
@@ -92,10 +97,15 @@ class Pieces:
         drawn, sizes, at = [], [], 0
         while at < len(parts):
             end, held = at, 0
-            while end < len(parts) and (end == at or held + len(parts[end]) <= BATCH):
+            while end < len(parts) and len(parts[end]) <= LONG and (end == at or held + len(parts[end]) <= BATCH):
                 held += len(parts[end])
                 end += 1
-            ids, many = self._drawn(parts[at:end], seed[at:end])
+            if end == at:
+                end += 1
+                ids = self._drawn_alone(parts[at], seed[at])
+                many = np.array([len(ids)])
+            else:
+                ids, many = self._drawn(parts[at:end], seed[at:end])
             drawn.append(ids)
             sizes.append(many)
             at = end
@@ -103,24 +113,15 @@ class Pieces:
         cuts = ends[np.cumsum([0, *counts])]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def _drawn(self, parts: list[str], seeds):
-        """Ids of the pieces of all parts, in order, and their number in each part."""
+    def _edges(self, chars, place, span: int):
+        """(piece, weight, begins): by length and last character the piece that ends there and its weight, and the least start of a piece there.
+
+        ``place`` tells how many characters of its part stand before each character."""
         import numpy as np
 
-        index: dict[str, int] = {}
-        occurrence = np.fromiter((index.setdefault(p, len(index)) for p in parts), np.int64, len(parts))
-        distinct = list(index)
-        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        base = np.concatenate([[0], np.cumsum(lengths)])
-        chars = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = len(chars)
-        # the edge that ends at a character with ``length`` characters: its piece and weight
-        word = np.repeat(np.arange(len(distinct)), lengths)
-        place = np.arange(n) - base[word]
-        span = min(self.longest, int(lengths.max()) if len(lengths) else 0)
         piece, weight = np.full((span, n), -1, np.int32), np.zeros((span, n), np.float32)
-        live, rolled, power = np.arange(n), np.zeros(n, np.uint64), 1
-        begins = np.arange(n)  # the least start of a piece that ends at each place
+        live, rolled, power, begins = np.arange(n), np.zeros(n, np.uint64), 1, np.arange(n)
         for k in range(span):
             # hash of the k + 1 characters ending here: one more character in front
             inside = place[live] >= k
@@ -137,6 +138,80 @@ class Pieces:
         if span:
             alone = piece[0] < 0
             piece[0, alone], weight[0, alone] = self.size + chars[alone].astype(np.int32), 1.0 / (2.0 + self.size)
+        return piece, weight, begins
+
+    def _drawn_alone(self, part: str, seed):
+        """Ids of the pieces of one long part."""
+        import math
+        from itertools import pairwise
+
+        import numpy as np
+
+        chars = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n, span = len(chars), self.longest
+
+        def chunk(a, b):
+            """Pieces and weights, by length, that end at places a to b."""
+            first = max(0, a - span + 1)
+            piece, weight, _ = self._edges(chars[first:b], np.arange(b - first), span)
+            return piece[:, a - first :], weight[:, a - first :]
+
+        # forward: the logarithm of each place's sum; ``total`` has the last ones by a common scale
+        logs, total, scale = np.zeros(n + 1), [1.0], 0.0
+        for a in range(0, n, CHUNK):
+            b = min(n, a + CHUNK)
+            weight = chunk(a, b)[1].T
+            at, length = np.nonzero(weight)
+            cuts = np.searchsorted(at, np.arange(b - a + 1)).tolist()
+            edges = list(zip((-length - 1).tolist(), weight[at, length].astype(float).tolist(), strict=True))
+            sums, scales = [], []
+            for x, y in pairwise(cuts):
+                run = 0.0
+                for back, w in edges[x:y]:
+                    run += w * total[back]
+                if run < 1e-200:
+                    total = [t / run for t in total[-span:]]
+                    scale += math.log(run)
+                    run = 1.0
+                total.append(run)
+                sums.append(run)
+                scales.append(scale)
+            total = total[-span:]
+            logs[a + 1 : b + 1] = np.log(sums) + scales
+        # backward, from the last chunk
+        ids, end, step = [], n, 0
+        for a in range((n - 1) // CHUNK * CHUNK, -1, -CHUNK):
+            b = min(n, a + CHUNK)
+            piece, weight = chunk(a, b)
+            before = np.arange(a + 1, b + 1)[:, None] - np.arange(1, span + 1)
+            share = np.where(before >= 0, weight.T * np.exp(logs[np.maximum(before, 0)] - logs[a + 1 : b + 1, None]), 0.0)
+            below = np.cumsum(share, axis=1)
+            below /= below[:, -1:]
+            numbers = np.arange(step, step + b - a, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
+            draws = ((_mixed(seed + numbers) >> np.uint64(11)).astype(float) / (1 << 53)).tolist()
+            first = step
+            while end > a:
+                row = below[end - 1 - a]
+                k = int(row.searchsorted(draws[step - first], side="right"))
+                ids.append(int(piece[k, end - 1 - a]))
+                end -= k + 1
+                step += 1
+        return np.array(ids[::-1], np.int64)
+
+    def _drawn(self, parts: list[str], seeds):
+        """Ids of the pieces of all parts, in order, and their number in each part."""
+        import numpy as np
+
+        index: dict[str, int] = {}
+        occurrence = np.fromiter((index.setdefault(p, len(index)) for p in parts), np.int64, len(parts))
+        distinct = list(index)
+        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        base = np.concatenate([[0], np.cumsum(lengths)])
+        chars = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(chars)
+        word = np.repeat(np.arange(len(distinct)), lengths)
+        span = min(self.longest, int(lengths.max()) if len(lengths) else 0)
+        piece, weight, begins = self._edges(chars, np.arange(n) - base[word], span)
         # stretches: from each place that no piece crosses to the next
         heads = np.flatnonzero(np.minimum.accumulate(begins[::-1])[::-1] == np.arange(n))
         stretches = np.diff(np.append(heads, n))

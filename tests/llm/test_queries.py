@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -437,6 +438,78 @@ def test_pages_query(spark, sf_dir):
     assert decided
 
 
+class Reader(HTMLParser):
+    """Text of a page's article by the standard library's parser; no code of the operator."""
+
+    SKIP = {"script", "style", "nav", "aside", "form", "footer", "button", "select", "textarea", "noscript", "iframe", "template", "svg", "dialog"}
+    BLOCK = {"p", "div", "section", "h1", "h2", "h3", "h4", "ul", "ol", "li", "table", "tr", "td", "th", "blockquote", "pre", "article", "header", "figure", "figcaption", "dl", "dt", "dd", "hr", "br"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.article, self.skipped = [], 0, []
+
+    def handle_starttag(self, tag, attrs):
+        says = dict(attrs).get("class") or ""
+        if self.skipped:
+            self.skipped += [tag] if tag == self.skipped[0] else []
+        elif tag in self.SKIP or says in ("ad", "ads", "comments", "cookie", "sidebar"):
+            self.skipped = [tag]
+        self.article += tag == "article"
+        self.out += [" "] if tag in self.BLOCK else []
+
+    def handle_endtag(self, tag):
+        if self.skipped and tag == self.skipped[0]:
+            self.skipped.pop()
+        self.article -= tag == "article" and self.article > 0
+        self.out += [" "] if tag in self.BLOCK else []
+
+    def handle_data(self, data):
+        if self.article and not self.skipped:
+            self.out.append(data)
+
+
+def test_pages_by_another_parser(spark, sf_dir):
+    pages = dict(duckdb.sql(f"select page_id, html from '{sf_dir}/pages.parquet'").fetchall())
+    got = {r["page_id"]: r["text"] for r in html.op10_html_extraction(spark, sf_dir).collect()}
+    wrong = []
+    for k, page in pages.items():
+        reader = Reader()
+        reader.feed(page or "")
+        reader.close()
+        if " ".join("".join(reader.out).split()) != got[k]:
+            wrong.append(k)
+    assert len(pages) > 20 and wrong == []
+
+
+def test_boxes_within_articles():
+    prose = "<p>" + "This is the long prose of the article, which goes on for a while without a link. " * 5 + "</p>"
+
+    def kept(box):
+        kinds, lines = html.blocks_of(f"<html><body><article><h1>Head</h1>{prose}{box}{prose}</article></body></html>")
+        return [x for x, k in zip(lines, kinds, strict=True) if k != html.FRAME and "long prose" not in x and x != "Head"]
+
+    for name in ("notice", "site-notice", "promo", "newsletter-signup", "share", "social", "popup", "banner", "user-comments", "post-comments", "comments"):
+        assert kept(f'<div class="{name}">not of the article</div>') == [] == kept(f'<section id="{name}"><p>not of it</p></section>')
+    assert kept('<div id="respond">Leave a reply</div>') == []
+    for name in ("related", "nav", "menu", "search"):
+        assert kept(f'<div class="{name}"><p><a href="/">One</a> <a href="/b">Two links</a></p></div>') == []
+        assert kept(f'<section class="{name}"><p>Prose that happens to stand in such a section.</p></section>') == ["Prose that happens to stand in such a section."]
+    assert kept('<ul class="menu"><li><a href="/">One</a><li><a href="/b">Two</a></ul>') == []
+    assert kept("<ul><li>one<li>two</ul>") != []
+    # a box that holds the article itself stays, whatever its name
+    kinds, lines = html.blocks_of(f'<article><div class="promo">{prose}{prose}</div><p>short</p></article>')
+    assert html.FRAME not in kinds and len(lines) == 3
+
+
+def test_raw_elements_that_never_end():
+    text = lambda page: [x for x, k in zip(*reversed(html.blocks_of(page)), strict=True) if k != html.FRAME]
+    for name in ("svg", "iframe", "object", "template", "noscript", "select", "title", "textarea"):
+        assert "".join(text(f"<article><p>one <{name} x=1>two</p><p>three</p></article>")).replace(" ", "") == "onetwothree"
+    assert text("<article>a <object>x<object>y</object>z</object> b</article>") == ["a b"]
+    assert text("<article>a <svg>x<svg/>z</svg> b<script>var x = '<p>c</p>'") == ["a b"]
+    assert html.blocks_of("<svg>" * 20_000 + "end")[1] == ["end"]
+
+
 def test_pages_change_with_their_neighbours(spark):
     page = "<body><p>Top {}</p><article><h1>{}</h1><p>a story of some length, told to the end</p><div class='call'>Write to us</div></article></body>"
     bare = "<body><div>Top</div><div>{}</div><div>Call us</div></body>"

@@ -378,6 +378,64 @@ def test_segmentation_does_not_depend_on_batches(monkeypatch):
     assert [x.tolist() for x in pieces.segment(texts, np.arange(3, dtype=np.uint64))] == whole
 
 
+def test_long_parts_alone(monkeypatch):
+    pieces = sp.Pieces()
+    # the lattice's probabilities, and the same draws whatever the chunks
+    monkeypatch.setattr(sp, "LONG", 1)
+    weights = {int(v): float(w) for v, w in zip(pieces.values, pieces.weight, strict=True)}
+    total = {}
+
+    def walk(rest, ids, w):
+        if not rest:
+            total[ids] = w
+        for k in range(1, len(rest) + 1):
+            if (i := pieces.ids.get(rest[:k])) is not None:
+                walk(rest[k:], (*ids, i), w * weights[i])
+
+    walk(" this", (), 1.0)
+    n, seen = 3000, {}
+    for d in pieces.segment(["this"] * n, sp._mixed(np.arange(n, dtype=np.uint64))):
+        seen[tuple(d.tolist())] = seen.get(tuple(d.tolist()), 0) + 1
+    assert set(seen) <= set(total)
+    for ids, w in total.items():
+        p = w / sum(total.values())
+        assert abs(seen.get(ids, 0) / n - p) < 5 * (p / n) ** 0.5 + 2e-3
+    text = "abra=cadabra-é\ud800🎉" * 40 + "=" * 200
+    whole = pieces.segment([text], np.array([3], np.uint64))[0].tolist()
+    for chunk in (1, 7, 64):
+        monkeypatch.setattr(sp, "CHUNK", chunk)
+        assert pieces.segment([text], np.array([3], np.uint64))[0].tolist() == whole
+    assert pieces.decode(pieces.expanded(np.array(whole))[0]) == text
+
+
+@pytest.mark.parametrize("text", ["=" * 1_000_000, " " * 1_000_000, "ab" * 500_000, "漢字" * 200_000 + " and " + "-" * 300_000])
+def test_very_long_runs(text):
+    import time
+
+    pieces, began = sp.Pieces(), time.perf_counter()
+    ids = pieces.segment([text], np.array([5], np.uint64))[0]
+    assert time.perf_counter() - began < 60 and pieces.decode(pieces.expanded(ids)[0]) == text
+
+
+def test_many_edits_of_a_long_text(counts):
+    import time
+
+    rng, text = random.Random(2), "some words here and  there,\n\n  12345 don't " * 20_000
+    edits = [(p := rng.randrange(len(text)), p + rng.randint(0, 5), rng.choice(["x", "[redacted]", " ", "", "two words"])) for _ in range(20_000)]
+    took = []
+    for n in (5_000, 20_000):
+        tree, began = tc.TokenTree(text, counts), time.perf_counter()
+        tc.apply_edits(tree, edits[:n])
+        took.append(time.perf_counter() - began)
+        assert tree.total == len(counts.encode(tree.text)) and tree.n_leaves == len(counts.pattern.findall(tree.text))
+    assert took[1] < 20 * max(took[0], 0.1)
+    # all edits at one place: the buckets there are cut
+    tree = tc.TokenTree("a b " * 100, counts)
+    for _ in range(3_000):
+        tree.edit(50, 50, "new words ")
+    assert tree.total == len(counts.encode(tree.text)) and max(map(len, tree.leaves)) <= 5 * tc.BUCKET
+
+
 def crc_of_bits(bits):
     c = 0xFFFF
     for b in bits:

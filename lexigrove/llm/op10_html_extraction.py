@@ -59,6 +59,7 @@ INLINE = frozenset(
 FRAMES = frozenset("nav footer aside form dialog menu head button fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 BOXES = frozenset("div section".split())
+GROUPS = frozenset("div section ul ol dl".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What whole class names and ids say of an element: parts of a page, with or without a place and a kind of box.
 PARTS = (
@@ -121,7 +122,7 @@ def _kind_of(name: str, attrs: str, inside_article: bool) -> int | None:
 
 def _suspect(name: str, attrs: str) -> int:
     """What the class or id of an element within an article says: 2 that it is none of it, 1 that it may be a list of links or a form, 0 nothing."""
-    if not attrs or name in HEADINGS or name in ("main", "article", "html", "body"):
+    if not attrs or name not in GROUPS:
         return 0
     values = [x for key, a, b, c in ATTR.findall(attrs) if key.lower() in ("class", "id") for x in (a or b or c).lower().split()]
     return 2 if any(SURE.fullmatch(x) for x in values) else 1 if any(NAMES.fullmatch(x) for x in values) else 0

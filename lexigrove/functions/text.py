@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .porter import stem_word
+from .porter import stem_word as stem_word_1980
+from .porter2 import stem_word
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 Normalizer = Callable[[Column], Column]
@@ -62,14 +63,24 @@ def entity_id(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), WORD_BREAK, "_")
 
 
-#: Letters with a mark, and what they lose it to; one for one.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _marked_letters() -> tuple[str, str]:
+    """Letters that decompose into one letter and marks, and these letters; one for one."""
+    import unicodedata
+
+    found = []
+    for k in (*range(0xC0, 0x600), *range(0x1E00, 0x2000)):
+        base = [c for c in unicodedata.normalize("NFD", chr(k)) if not unicodedata.combining(c)]
+        if len(base) == 1 and base[0] != chr(k):
+            found.append((chr(k), base[0]))
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+ACCENTED, PLAIN = _marked_letters()
 
 
 def without_marks(c: Column) -> Column:
-    """Letters without diacritics; the sharp s and ligatures as two letters."""
-    c = F.translate(c, ACCENTED, PLAIN)
+    """Letters of the Latin, Greek and Cyrillic scripts without diacritics, those of decomposed texts as well; the sharp s and ligatures as two letters."""
+    c = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
     for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("Æ", "AE"), ("Œ", "OE")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
@@ -323,11 +334,13 @@ def is_date(tokens: Column) -> Column:
 # --- stemming --------------------------------------------------------------------------
 
 
-def stem(c: Column) -> Column:
-    """English suffix stripping (Porter, 1980)."""
+def stem(c: Column, older: bool = False) -> Column:
+    """English stems (Porter, 2001), or those of the older suffix stripping (Porter, 1980)."""
+    step = stem_word_1980 if older else stem_word
+
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return s.map(lambda w: None if w is None else known.get(w) or known.setdefault(w, stem_word(w)))
+        known = {w: step(w) for w in s.unique() if w is not None}
+        return pd.Series([known.get(w) for w in s], dtype=object)
 
     return run(c)

@@ -28,7 +28,7 @@ def normalizers(spark, sf_dir):
     return _part(spark, sf_dir).select("p_partkey", T.chain(T.same, T.lowered)(name).alias("lowered"), T.emptied(name).alias("emptied"), T.constant("x")(name).alias("fixed"), tagged.alias("tagged"), T.entity_id(F.col("p_brand")).alias("ident"))
 
 
-@query("SELECT doc_id, translate(replace(replace(replace(replace(replace(translate(coalesce(text, ''), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'Æ', 'AE'), 'Œ', 'OE'), '', '') AS plain FROM documents")
+@query("SELECT doc_id, replace(replace(replace(replace(replace(strip_accents(coalesce(text, '')), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'Æ', 'AE'), 'Œ', 'OE') AS plain FROM documents")
 def without_diacritics(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", T.without_marks(F.coalesce("text", F.lit(""))).alias("plain"))

@@ -264,6 +264,28 @@ def tagged_sink(spark, sf_dir):
     return read.groupBy("cls", "value").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT user_id::VARCHAR AS file, {EVENT_CLASSES} AS cls, event_type AS value, count(*) AS n FROM events GROUP BY ALL")
+def tagged_stream_sink(spark, sf_dir):
+    """Tagged tokens as one stream with a header for each document, written and read again."""
+    path, tagged = new_folder(spark, "tagged_stream"), _tagged_events(spark, sf_dir)
+    sinks.write_tagged_stream(tagged, tagged.select("doc_id", F.col("doc_id").cast("string").alias("file")).distinct(), path)
+    return dumps.tagged_stream(spark, path).groupBy("file", "cls", "value").agg(F.count("*").alias("n"))
+
+
+#: Classes of values with priorities: dates with a time, short titles, words, anything.
+ELEMENTS = [dumps.Element("title", priority=1, most=3), dumps.Element("text"), dumps.Element("date", dumps.DATE_TIME, 2, 1, 1, T.content), dumps.Element("number", "[0-9]+", 1)]
+
+
+@query(r"WITH r AS (SELECT 'order/date' AS path, upper(strftime(o_orderdate::TIMESTAMP, '%d-%b-%y %H:%M')) AS value FROM orders UNION ALL SELECT 'part/name', p_name FROM part UNION ALL SELECT 'part/key', p_partkey::VARCHAR FROM part UNION ALL SELECT 'document/text', coalesce(text, '') FROM documents), k AS (SELECT *, len(list_filter(regexp_split_to_array(value, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS n FROM r) SELECT path, CASE WHEN regexp_full_match(value, '[0-9]{1,2}[\-][A-Z]+[\-][0-9]{2,4}\s{0,2}[0-9\.\:]+') THEN 'date' WHEN n BETWEEN 1 AND 3 THEN 'title' WHEN n >= 1 THEN 'text' ELSE 'other' END AS class, count(*) AS n, count(DISTINCT value) AS n_distinct FROM k GROUP BY ALL")
+def content_classes(spark, sf_dir):
+    """Values of four paths by class: a pattern, a length in tokens, a priority."""
+    at = lambda df, path, value: df.select(F.lit(path).alias("path"), value.alias("value"))
+    orders, part = table(spark, sf_dir, "orders"), _part(spark, sf_dir)
+    rows = at(orders, "order/date", F.upper(F.date_format(F.col("o_orderdate").cast("timestamp"), "dd-MMM-yy HH:mm"))).unionByName(at(part, "part/name", F.col("p_name")))
+    rows = rows.unionByName(at(part, "part/key", F.col("p_partkey").cast("string"))).unionByName(at(table(spark, sf_dir, "documents"), "document/text", F.coalesce("text", F.lit(""))))
+    return dumps.path_classes(rows, ELEMENTS)
+
+
 # --- phrases and queries -----------------------------------------------------------------------
 
 

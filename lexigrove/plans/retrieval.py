@@ -118,20 +118,23 @@ def scheme_pageweight(spark, sf_dir):
 
 
 def _passage_sql(ranks: str) -> str:
-    """Passages of 40 words for a table ``best`` of ranks."""
+    """Passages for a table ``best`` of ranks, over the sentences of ``pl``."""
     return (
-        ranks + ", ht AS (SELECT h.doc_id, h.pos FROM h JOIN best USING (doc_id)), wn AS (SELECT a.doc_id, a.pos, count(*) AS n FROM ht a JOIN ht b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 39 GROUP BY ALL), "
-        "ps AS (SELECT doc_id, pos AS start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS r FROM wn) WHERE r = 1), ws AS (SELECT list(value) AS ws FROM q), "
-        r"o AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents) "
-        "SELECT best.doc_id, best.score, o.source || '/' || best.doc_id AS title, array_to_string(list_transform(t[coalesce(start, 0) + 1:coalesce(start, 0) + 40], lambda x: CASE WHEN list_contains(ws, lower(x)) THEN '<b>' || x || '</b>' ELSE x END), ' ') AS abstract "
-        "FROM best JOIN o USING (doc_id) CROSS JOIN ws LEFT JOIN ps USING (doc_id)"
+        ranks + ", us AS (SELECT idx FROM q WHERE df <= 0.2 * n OR (SELECT min(df) FROM q) > 0.2 * n), ht AS (SELECT h.doc_id, h.pos, h.term FROM h JOIN best USING (doc_id) WHERE term IN (SELECT idx FROM us)), "
+        "wn AS (SELECT a.doc_id, a.pos, count(*) AS n, count(DISTINCT b.term) AS k FROM ht a JOIN ht b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 39 GROUP BY ALL), "
+        "pw AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS r FROM wn WHERE k >= ceil(0.6 * (SELECT count(*) FROM us))) WHERE r = 1), "
+        "ps AS (SELECT pw.doc_id, pw.pos AS place, min(c.pos) AS begins FROM pw JOIN pl b ON b.doc_id = pw.doc_id AND b.pos = pw.pos JOIN pl c ON c.doc_id = b.doc_id AND c.sent = b.sent GROUP BY ALL), ws AS (SELECT list(value) AS ws FROM q), "
+        r"o AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents), "
+        "pp AS (SELECT doc_id, CASE WHEN place - begins <= 60 THEN begins ELSE place END AS start, place FROM ps) "
+        "SELECT best.doc_id, best.score, o.source || '/' || best.doc_id AS title, CASE WHEN place IS NULL THEN 'docstart' ELSE 'phrase' END AS kind, array_to_string(list_transform(t[coalesce(start, 0) + 1:coalesce(place, 0) + 40], lambda x: CASE WHEN list_contains(ws, lower(x)) THEN '<b>' || x || '</b>' ELSE x END), ' ') AS abstract "
+        "FROM best JOIN o USING (doc_id) CROSS JOIN ws LEFT JOIN pp USING (doc_id)"
     )
 
 
 HELD = ", held AS (SELECT doc_id, count(DISTINCT value) AS held FROM tok JOIN q USING (value) GROUP BY doc_id)"
 
 
-@query(_bm_sql(HITS + HELD + _passage_sql(", best AS (SELECT doc_id, round(score, 6) AS score FROM bm JOIN held USING (doc_id) WHERE held >= 2 ORDER BY 2 DESC, 1 LIMIT 6)")))
+@query(_bm_sql(HITS + ", " + PLACED + HELD + _passage_sql(", best AS (SELECT doc_id, round(score, 6) AS score FROM bm JOIN held USING (doc_id) WHERE held >= 2 ORDER BY 2 DESC, 1 LIMIT 6)")))
 def search_flagship(spark, sf_dir):
     index = index_of(spark, sf_dir)
     return plans.search(index, " ".join(index.frequent(LOW, HIGH, 2)))
@@ -238,12 +241,12 @@ def load_throughput(spark, sf_dir):
     return rounded(plans.throughput(times, 1600), "longest", "per_second")
 
 
-@query("WITH " + QRY3 + ", wt AS (SELECT value, df, n, CASE idx WHEN 1 THEN 2.0 WHEN 2 THEN 0.5 ELSE 0.5 END AS weight FROM q), tf AS (SELECT doc_id, value, count(*) AS tf FROM tok GROUP BY ALL), b AS (SELECT tf.doc_id, sum(weight * greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doclen / 1000.0))) AS score FROM tf JOIN wt USING (value) JOIN dl USING (doc_id) GROUP BY tf.doc_id) SELECT doc_id, round(score, 6) AS score FROM b WHERE score >= 1.5 ORDER BY 2 DESC, 1 LIMIT 20")
+@query("WITH " + STATS + ", bw AS (SELECT value FROM dfs, num WHERE df >= 0.05 * n AND df <= 0.3 * n ORDER BY df DESC, value LIMIT 3), sq AS (SELECT doc_id, count(*) AS tf FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 1)) AS i FROM toks WHERE len(l) > 1) WHERE l[i] = 'of' AND l[i + 1] = 'the' GROUP BY doc_id), wt AS (SELECT value, df, 2.0 AS weight FROM dfs WHERE value IN (SELECT value FROM bw) UNION ALL SELECT 'of the', count(*), 1.0 FROM sq), tf AS (SELECT doc_id, value, count(*) AS tf FROM tok WHERE value IN (SELECT value FROM bw) GROUP BY ALL UNION ALL SELECT doc_id, 'of the', tf FROM sq), b AS (SELECT tf.doc_id, sum(weight * greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doclen / 1000.0))) AS score FROM tf JOIN wt USING (value) JOIN dl USING (doc_id), num GROUP BY tf.doc_id) SELECT doc_id, round(score, 6) AS score FROM b WHERE score >= 1.5 ORDER BY 2 DESC, 1 LIMIT 20")
 def structured_query(spark, sf_dir):
-    """A word of weight 2 and an entity of two words of weight 1, at least 1.5 in all."""
+    """Three words of weight 2 and an entity, two words in order, of weight 1; at least 1.5 in all."""
     index = index_of(spark, sf_dir)
-    a, b, c = index.frequent(LOW, HIGH, 3)
-    return plans.structured(index, {"features": [{"type": "word", "value": a, "weight": 2.0}, {"type": "entity", "value": f"{b} {c}", "weight": 1.0}], "results": 20, "minweight": 1.5})
+    words = [{"type": "word", "value": w, "weight": 2.0} for w in index.frequent(LOW, HIGH, 3)]
+    return plans.structured(index, {"features": [*words, {"type": "entity", "value": "of the", "weight": 1.0}], "results": 20, "minweight": 1.5})
 
 
 @query("SELECT md5(doc_id || ':7') AS h, doc_id FROM documents ORDER BY 1, 2 LIMIT 200")

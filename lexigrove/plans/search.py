@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,7 +93,7 @@ def link_weights(index: Index, terms: list[dict], metadata: DataFrame | None = N
 
 
 def search(index: Index, q: str, i: int = 0, n: int = 6, s: str = "BM25", d: DataFrame | None = None, m: DataFrame | None = None, passage: int = 40) -> DataFrame:
-    """Ranks i .. i + n of a query: (doc_id, score, title, abstract).
+    """Ranks i .. i + n of a query: (doc_id, score, title, kind, abstract).
 
     Phrases of the index's dictionary count as terms of their own. ``d`` restricts the documents,
     ``m`` is their metadata (pageweight, redirect). ``STD`` runs the link pass first, whose titles
@@ -102,7 +104,7 @@ def search(index: Index, q: str, i: int = 0, n: int = 6, s: str = "BM25", d: Dat
     if s == "STD" and index.longest:
         ranks = ranks.join(link_weights(index, terms, m), "doc_id", "left").select("doc_id", ranking.mixed(F.col("score"), F.coalesce("links", F.lit(0.0)), scheme.links).alias("score"))
     best = ranking.top(ranks.select("doc_id", F.round("score", 6).alias("score")), n, i)
-    return passages(index, best, [t["value"] for t in terms if t["df"] > 0], passage)
+    return passages(index, best, [t for t in terms if t["df"] > 0], passage)
 
 
 def search_page(index: Index, q: str, i: int = 0, n: int = 6, **more) -> dict[str, DataFrame]:
@@ -113,21 +115,34 @@ def search_page(index: Index, q: str, i: int = 0, n: int = 6, **more) -> dict[st
     return {"ranks": search(index, q, i, n, **more), "has_more": ranking.has_more(candidates(index, terms, ranking.SCHEMES["BM25"]), n, i), **lists}
 
 
-def passages(index: Index, ranks: DataFrame, words: list[str], size: int) -> DataFrame:
-    """Ranks with ``title`` and ``abstract``: the passage with most places of the words, those marked.
+#: Words of a window, most words of a passage, share of the terms that a window must hold, and the greatest share of documents of a term that windows count.
+WINDOW, SENTENCE, CARDINALITY, MAXDF = 40, 100, 0.6, 0.2
+
+
+def passages(index: Index, ranks: DataFrame, terms: list[dict], size: int = WINDOW, sentence: int = SENTENCE, cardinality: float = CARDINALITY, maxdf: float = MAXDF) -> DataFrame:
+    """Ranks with ``title``, ``kind`` and ``abstract``, the places of all terms marked.
 
-    A page of ranks goes to the driver, so that only its documents are read."""
+    The ``phrase`` is the window of ``size`` words with most places of the terms rare enough (of all,
+    if none is), if it holds ``cardinality`` of these; it begins with its sentence, if the whole is at most
+    ``sentence`` words. A document without one shows its beginning (``docstart``). A page of ranks
+    goes to the driver, so that only its documents are read."""
     page = index.spark.createDataFrame(ranks.collect(), ranks.schema)
     ids = [r["doc_id"] for r in page.select("doc_id").collect()]
+    words = [t["value"] for t in terms]
+    near = [t["value"] for t in terms if t["df"] <= maxdf * index.n] or words
     hits = index.postings(words).filter(F.col("doc_id").isin(ids)).select("doc_id", "length", F.col("value").alias("term"), F.explode("hits.pos").alias("pos"))
-    counted = proximity.window_hits(hits, size).groupBy("doc_id").agg(F.max(F.struct("n_hits", (-F.col("pos")).alias("at"))).alias("b"))
-    shown = index.texts(ids).select("doc_id", "title", F.col("words").alias("orig"))
+    counted = proximity.window_hits(hits.filter(F.col("term").isin(near)), size).filter(F.col("n_terms") >= math.ceil(len(near) * cardinality))
+    counted = counted.groupBy("doc_id").agg(F.max(F.struct("n_hits", (-F.col("pos")).alias("at"))).alias("b"))
+    shown = index.texts(ids).select("doc_id", "title", F.col("words").alias("orig"), "sents")
     # the words as the text has them stand at the places that the index knows; all words of a phrase are marked
     marked = hits.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("pos")).groupBy("doc_id").agg(F.collect_set("pos").alias("marked"))
-    told = page.join(shown, "doc_id").join(counted, "doc_id", "left").join(marked, "doc_id", "left")
-    start = F.coalesce(-F.col("b.at"), F.lit(0))
-    piece = F.transform(F.slice("orig", start + 1, F.lit(size)), lambda t, k: F.when(F.array_contains("marked", (k + start).cast("int")), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
-    return told.select("doc_id", "score", "title", F.array_join(piece, " ").alias("abstract")).orderBy(F.desc("score"), "doc_id")
+    told = page.join(shown, "doc_id").join(counted, "doc_id", "left").join(marked, "doc_id", "left").withColumn("at", -F.col("b.at"))
+    begins = (F.array_position("sents", F.get("sents", F.col("at"))) - 1).cast("int")
+    told = told.withColumn("start", F.when(F.col("at") - begins <= sentence - size, begins).otherwise(F.coalesce("at", F.lit(0))))
+    length = F.coalesce(F.col("at") - F.col("start"), F.lit(0)) + size
+    piece = F.transform(F.slice("orig", F.col("start") + 1, length), lambda t, k: F.when(F.array_contains("marked", (k + F.col("start")).cast("int")), F.concat(F.lit("<b>"), t, F.lit("</b>"))).otherwise(t))
+    kind = F.when(F.col("at").isNull(), "docstart").otherwise("phrase")
+    return told.select("doc_id", "score", "title", kind.alias("kind"), F.array_join(piece, " ").alias("abstract")).orderBy(F.desc("score"), "doc_id")
 
 
 def explained(index: Index, q: str, s: str = "BM25", n: int = 6) -> DataFrame:
@@ -139,19 +154,36 @@ def explained(index: Index, q: str, s: str = "BM25", n: int = 6) -> DataFrame:
     return told.select("doc_id", "value", "tf", "doclen", "df", F.round(idf, 6).alias("idf"), F.round(idf * ranking.tf_weight(F.col("tf"), F.col("doclen"), scheme), 6).alias("part"))
 
 
+def sequence_postings(index: Index, words: list[str]) -> DataFrame:
+    """(value, doc_id, doclen, tf): documents that hold the words one after another, the sequence (joined by spaces) as their value, by the places of its words."""
+    places = None
+    for k, w in enumerate(words):
+        own = index.hits([w]).select("doc_id", "doclen", (F.col("pos") - k).alias("start"), F.lit(k).alias("k"))
+        places = own if places is None else places.unionByName(own)
+    whole = places.groupBy("doc_id", "doclen", "start").agg(F.count_distinct("k").alias("n")).filter(F.col("n") == len(words))
+    return whole.groupBy("doc_id", "doclen").agg(F.count("*").alias("tf")).select(F.lit(" ".join(words)).alias("value"), "doc_id", "doclen", "tf")
+
+
 def structured(index: Index, query: dict, n: int = 6) -> DataFrame:
     """Ranks of a structured query: {"features": [{"value", "weight", "type"}], "results", "minweight"}.
 
-    Features of type ``word`` are normalized as words, those of ``entity`` as the words of a phrase, in order."""
+    Features of type ``word`` are words, those of ``entity`` all their words in this order, one after another; both are normalized as the documents are."""
     weights: dict[str, float] = {}
     for f in query.get("features", []):
         words = index.analyzed(phrases.words_of(f["value"]))
-        for w in words:
-            weights[w] = weights.get(w, 0.0) + float(f.get("weight", 1.0)) / len(words)
-    terms = [t | {"weight": weights[t["value"]]} for t in index.terms(list(weights))]
+        for value in [" ".join(words)] if f.get("type") == "entity" else words:
+            weights[value] = weights.get(value, 0.0) + float(f.get("weight", 1.0))
+    terms = index.terms([w for w in weights if " " not in w])
+    rows = index.postings([t["value"] for t in terms if t["df"] > 0]).select("value", "doc_id", "doclen", "tf")
+    for value in (w for w in weights if " " in w):
+        found = sequence_postings(index, value.split())
+        terms.append({"value": value, "df": found.count()})
+        rows = rows.unionByName(found)
+    terms = [t | {"weight": weights[t["value"]]} for t in terms]
     if not any(t["df"] for t in terms):
         raise ValueError("features not found")
-    ranks = scored(index, terms, ranking.SCHEMES["BM25"]).filter(F.col("score") >= float(query.get("minweight", 0.0)))
+    s = ranking.SCHEMES["BM25"]
+    ranks = ranking.bm25(rows, terms_table(index, terms, s), index.n, s).filter(F.col("score") >= float(query.get("minweight", 0.0)))
     return ranking.top(ranks.select("doc_id", F.round("score", 6).alias("score")), int(query.get("results", n)))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from ..functions import text as T
+
 PAGE = T_.StructType([
     T_.StructField("title", T_.StringType()), T_.StructField("ns", T_.IntegerType()),
     T_.StructField("redirect", T_.StructType([T_.StructField("_title", T_.StringType())])),
@@ -74,6 +79,32 @@ def metadata_joined(docs: DataFrame, values: DataFrame, key: str, name: str, def
     return docs.drop(name).join(one, key, "left").withColumn(name, F.coalesce("_new", F.lit(default))).drop("_new")
 
 
+#: Fixed value: the form of dates with a time in content statistics.
+DATE_TIME = r"[0-9]{1,2}[\-][A-Z]+[\-][0-9]{2,4}\s{0,2}[0-9\.\:]+"
+
+
+@dataclass(frozen=True)
+class Element:
+    """A class of values: a pattern of the whole value, and how many tokens it has. Of several that fit, the one of greatest priority counts, then the first."""
+
+    name: str
+    pattern: str = ".*"
+    priority: int = 0
+    least: int = 1
+    most: int | None = None
+    tokenizer: Callable[[Column], Column] = T.words
+
+
+def path_classes(rows: DataFrame, elements: list[Element]) -> DataFrame:
+    """(path, class, n, n_distinct): the values of each tag path by class; those that fit no class are ``other``."""
+    value, kind = F.col("value"), F.lit("other")
+    # what counts more is tried later and takes over
+    for _, _, e in sorted((e.priority, -k, e) for k, e in enumerate(elements)):
+        n = F.size(e.tokenizer(value))
+        kind = F.when(value.rlike(rf"(?s)\A(?:{e.pattern})\z") & (n >= e.least) & (n <= (1 << 30 if e.most is None else e.most)), e.name).otherwise(kind)
+    return rows.groupBy("path", kind.alias("class")).agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
+
+
 def path_statistics(rows: DataFrame, classes: list[tuple[str, str]], least: int = 0, most: int = 1 << 30) -> DataFrame:
     """(path, class, n, n_distinct): values of each tag path by the first pattern they match."""
     kind = F.lit("other")
@@ -83,6 +114,17 @@ def path_statistics(rows: DataFrame, classes: list[tuple[str, str]], least: int
     return sized.groupBy("path", kind.alias("class")).agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
 
 
+def tagged_stream(spark: SparkSession, path: str) -> DataFrame:
+    """(file, cls, value, ref) of a tagged stream: a header ``#FILE#name`` for each document, then a line of tab-separated fields for each token.
+
+    A document is a record of the reader, which cuts files at headers, so streams are read in many tasks."""
+    records = spark.read.option("lineSep", "#FILE#").text(path).filter("value <> ''")
+    lines = F.split("value", "\n")
+    told = records.select(lines[0].alias("file"), F.explode(F.filter(F.slice(lines, 2, F.size(lines)), lambda x: x != "")).alias("l"))
+    part = F.split("l", "\t", -1)
+    return told.select("file", part[0].alias("cls"), part[1].alias("value"), part[2].alias("ref"))
+
+
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(name, embedding) of a vector file in the binary form of word2vec: a header line of
     count and dimension, then for each word its name, a space, and little-endian floats."""

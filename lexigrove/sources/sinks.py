@@ -22,6 +22,15 @@ def write_tagged(tagged: DataFrame, path: str, complete: bool = False) -> None:
     tagged.select("doc_id", "sent", "seq", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns)).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "sent", "seq").write.mode("overwrite").csv(path, sep="\t", quote="")
 
 
+def write_tagged_stream(tagged: DataFrame, names: DataFrame, path: str) -> None:
+    """Documents in order, each with a header line ``#FILE#name`` (doc_id, file), then tag, value and reference of its tokens, tab-separated."""
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("cls", "value", "ref")))
+    rows = tagged.select("doc_id", "sent", "seq", line.alias("line"))
+    heads = names.select("doc_id", F.lit(-1).alias("sent"), F.lit(-1).cast("long").alias("seq"), F.concat(F.lit("#FILE#"), "file").alias("line"))
+    whole = rows.unionByName(heads).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "sent", "seq")
+    whole.select("line").write.mode("overwrite").text(path)
+
+
 def write_stream(texts: DataFrame, path: str) -> None:
     """Texts (file, content) as a stream: a header line ``#FILE#name``, then the content."""
     texts.select(F.concat(F.lit("#FILE#"), F.col("file"), F.lit("\n"), F.col("content")).alias("value")).write.mode("overwrite").text(path)

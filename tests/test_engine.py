@@ -326,6 +326,35 @@ def test_empty_index(spark):
     assert index.features().count() == 0 and index.covered("a b") == [{"value": "a_b", "length": 2}, {"value": "b", "length": 1}]
 
 
+def test_passages_by_sentences(spark):
+    filler = " ".join(f"x{k}" for k in range(45))
+    rows = [(1, f"start here. {filler}. A fine red fish swims in it, with {filler}"), (2, f"{filler} {filler} red {filler} fish"), (3, f"red. {filler}. {filler} fish")] + [(100 + k, f"common w{k}") for k in range(40)]
+    index = Index.write(spark.createDataFrame(rows, "doc_id long, text string"), spark)
+    told = {r["doc_id"]: (r["kind"], r["abstract"]) for r in plans.search(index, "red fish", n=9).collect()}
+    # the phrase begins with its sentence; without a window that holds both there is the document's beginning
+    assert told[1][0] == "phrase" and told[1][1].startswith("A fine <b>red</b> <b>fish</b> swims") and len(told[1][1].split()) == 42
+    assert told[2] == ("docstart", " ".join(filler.split()[:40])) and told[3][0] == "docstart" and told[3][1].startswith("<b>red</b> x0")
+    # a sentence that began too far before is cut at the window
+    far = Index.write(spark.createDataFrame([(1, f"{filler} {filler} red fish {filler}")] + rows[3:], "doc_id long, text string"), spark)
+    assert plans.search(far, "red fish").first()["abstract"].startswith("<b>red</b> <b>fish</b> x0")
+
+
+def test_sequences_in_structured_queries(spark):
+    rows = [(1, "new york is new"), (2, "york new new york"), (3, "york and new")] + [(100 + k, f"w{k}") for k in range(20)]
+    index = Index.write(spark.createDataFrame(rows, "doc_id long, text string"), spark)
+    assert sorted(map(tuple, plans.sequence_postings(index, ["new", "york"]).collect())) == [("new york", 1, 4, 1), ("new york", 2, 4, 1)]
+    assert {r["doc_id"] for r in plans.structured(index, {"features": [{"type": "entity", "value": "New York"}]}).collect()} == {1, 2}
+    assert {r["doc_id"] for r in plans.structured(index, {"features": [{"type": "word", "value": "New York"}]}).collect()} == {1, 2, 3}
+    with pytest.raises(ValueError, match="features not found"):
+        plans.structured(index, {"features": [{"type": "entity", "value": "york york"}]})
+
+
+def test_value_classes(spark):
+    rows = spark.createDataFrame([("d", v) for v in ("12-MAR-99 10:30", "3-JAN-2001 1:2", "12 mar", "one two three four", "7", "", "a b")], "path string, value string")
+    own = [dumps.Element("title", priority=1, most=2), dumps.Element("text"), dumps.Element("date", dumps.DATE_TIME, 2, 1, 1, T.content), dumps.Element("pair", priority=1, least=2, most=2)]
+    assert {(r["class"], r["n"]) for r in dumps.path_classes(rows, own).collect()} == {("date", 2), ("title", 3), ("text", 1), ("other", 1)}
+
+
 def test_search_by_phrases(spark):
     rows = [(1, "new york hotel prices"), (2, "a hotel in york is new"), (3, "new york city hotel"), (4, "new york has a new hotel"), (5, "york new hotel")] + [(100 + k, f"filler{k} words") for k in range(40)]
     names = spark.createDataFrame([(n, "vecfname", n) for n in ("New York", "New York City", "hotel", "city hotel")], "name string, kind string, value string")

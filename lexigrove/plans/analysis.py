@@ -286,6 +286,15 @@ def content_classes(spark, sf_dir):
     return dumps.path_classes(rows, ELEMENTS)
 
 
+@query("SELECT 'v' || vec_id AS name, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS embedding FROM embeddings")
+def vector_files(spark, sf_dir):
+    """All vectors written in the binary form and read again, in blocks of the reader."""
+    path = new_folder(spark, "vectors")
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("name"), "embedding")
+    dumps.write_word_vectors(rows, path, 64)
+    return dumps.word_vectors(spark, path).select("name", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+
+
 # --- phrases and queries -----------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -125,28 +126,82 @@ def tagged_stream(spark: SparkSession, path: str) -> DataFrame:
     return told.select("file", part[0].alias("cls"), part[1].alias("value"), part[2].alias("ref"))
 
 
-def word_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(name, embedding) of a vector file in the binary form of word2vec: a header line of
-    count and dimension, then for each word its name, a space, and little-endian floats."""
-
+def _fragments(dim: int):
     def run(batches):
-        import struct
+        import pyarrow as pa
+
+        for b in batches:
+            raws = b.column("raw").to_pylist()
+            whole = [(at := r.find(b" ")) > 0 and len(r) == at + 1 + 4 * dim for r in raws]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("file", "block", "row")), pa.array(whole), b.column("raw")], ["file", "block", "row", "whole", "raw"])
 
+    return run
+
+
+def _vectors(dim: int):
+    def rows(raw: bytes):
+        """Names and vectors of records that stand one after another, a line feed behind each."""
+        at = 0
+        while at < len(raw):
+            end = raw.index(b" ", at)
+            yield raw[at:end].decode("utf-8", "replace"), raw[end + 1 : end + 1 + 4 * dim]
+            at = end + 2 + 4 * dim
+
+    def table(parts):
+        import numpy as np
         import pyarrow as pa
 
+        found = [r for raw in parts for r in rows(raw)]
+        flat = np.frombuffer(b"".join(v for _, v in found), "<f4")
+        return pa.table({"name": pa.array([n for n, _ in found], pa.string()), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * dim, pa.int32()), pa.array(flat, pa.float32()))})
+
+    def whole(batches):
         for b in batches:
-            for raw in b.column("content").to_pylist():
-                head, _, rest = raw.partition(b"\n")
-                count, dim = map(int, head.split())
-                names, rows, at = [], [], 0
-                for _ in range(count):
-                    end = rest.index(b" ", at)
-                    names.append(rest[at:end].strip(b"\n").decode("utf-8", "replace"))
-                    rows.append(struct.unpack_from(f"<{dim}f", rest, end + 1))
-                    at = end + 1 + 4 * dim
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(rows, pa.list_(pa.float32()))], ["name", "embedding"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, embedding array<float>")
+            yield from table(b.column("raw").to_pylist()).to_batches()
+
+    def broken(run):
+        return table([b"\n".join(run.sort_by([("block", "ascending"), ("row", "ascending")]).column("raw").to_pylist())])
+
+    return whole, broken
+
+
+def word_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(name, embedding) of vector files in the binary form of word2vec: a header line of count and
+    dimension, then for each word its name, a space, little-endian floats, and a line feed.
+
+    Files are read in lines, so by many tasks however long they are. A line that holds a name, a
+    space and all floats is a record; no other line is as long as these, for floats that hold a
+    line feed cut their record into shorter ones. Such lines between two whole records are put
+    together again, over the ends of the reader's blocks as well. All files have one dimension."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    first = lines.first()
+    dim = int(first["value"].split()[1]) if first else 1
+    raw = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("raw"))
+    told = raw.mapInArrow(_fragments(dim), "file string, block long, row long, whole boolean, raw binary")
+    whole, broken = _vectors(dim)
+    schema = "name string, embedding array<float>"
+    # how many whole records stand before a line numbers the run of broken ones that it is in
+    narrow = told.select("file", "block", "row", "whole", F.when(~F.col("whole"), F.col("raw")).alias("raw"))
+    in_block = W.partitionBy("file", "block").orderBy("row")
+    counted = narrow.withColumns({"_own": F.sum(F.col("whole").cast("long")).over(in_block), "_n": F.row_number().over(in_block)})
+    blocks = told.groupBy("file", "block").agg(F.sum(F.col("whole").cast("long")).alias("_all"))
+    before = blocks.select("file", "block", (F.sum("_all").over(W.partitionBy("file").orderBy("block")) - F.col("_all")).alias("_before"))  # a row for each block
+    left = counted.filter(~F.col("whole") & ~((F.col("block") == 0) & (F.col("_n") == 1))).join(before, ["file", "block"])
+    runs = left.select("file", (F.col("_before") + F.col("_own")).alias("run"), "block", "row", "raw").groupBy("file", "run").applyInArrow(broken, schema)
+    return told.filter("whole").select("raw").mapInArrow(whole, schema).unionByName(runs)
+
+
+def write_word_vectors(vectors: DataFrame, path: str, dim: int) -> None:
+    """Files of (name, embedding) as ``word_vectors`` reads them, each with its header; names hold no white space."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        records = [name.encode() + b" " + np.array(v, "<f4").tobytes() for b in batches for name, v in zip(b.column("name").to_pylist(), b.column("embedding").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([f"{len(records)} {dim}".encode(), *records], pa.binary())], ["raw"])
+
+    vectors.select("name", "embedding").mapInArrow(run, "raw binary").select(F.col("raw").cast("string").alias("value")).write.text(path)
 
 
 def statistics_changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:

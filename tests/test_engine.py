@@ -349,6 +349,30 @@ def test_sequences_in_structured_queries(spark):
         plans.structured(index, {"features": [{"type": "entity", "value": "york york"}]})
 
 
+def test_vector_files_in_blocks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    # bytes that hold line feeds and spaces wherever they can
+    raw = rng.choice(np.array([10, 32, 10, 65, 200, 61], np.uint8), size=(400, 24)).astype(np.uint8)
+    some = rng.normal(size=(400, 6)).astype("<f4").tobytes()
+    vectors_ = np.concatenate([np.frombuffer(raw.tobytes(), "<f4").reshape(-1, 6), np.frombuffer(some, "<f4").reshape(-1, 6), np.full((20, 6), np.frombuffer(b"\n\n\n\n", "<f4")[0])])
+    names = [f"w{k}é" if k % 7 else "x" * (k % 90 + 1) + str(k) for k in range(len(vectors_))]
+    content = f"{len(names)} 6\n".encode() + b"".join(n.encode() + b" " + v.astype("<f4").tobytes() + b"\n" for n, v in zip(names, vectors_, strict=True))
+    (tmp_path / "a.bin").write_bytes(content)
+    want = {n: v.tobytes() for n, v in zip(names, vectors_, strict=True)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("300", "4096", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = dumps.word_vectors(spark, str(tmp_path / "a.bin"))
+            rows = got.collect()
+            assert {r["name"]: np.array(r["embedding"], "<f4").tobytes() for r in rows} == want and len(rows) == len(want)
+            assert size != "300" or spark.read.option("lineSep", "\n").text(str(tmp_path / "a.bin")).rdd.getNumPartitions() > 50
+    finally:
+        for key, v in zip(("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"), before, strict=True):
+            spark.conf.set(key, v)
+
+
 def test_value_classes(spark):
     rows = spark.createDataFrame([("d", v) for v in ("12-MAR-99 10:30", "3-JAN-2001 1:2", "12 mar", "one two three four", "7", "", "a b")], "path string, value string")
     own = [dumps.Element("title", priority=1, most=2), dumps.Element("text"), dumps.Element("date", dumps.DATE_TIME, 2, 1, 1, T.content), dumps.Element("pair", priority=1, least=2, most=2)]

@@ -131,7 +131,7 @@ class BandIndex:
     bits: int
     seed: int
 
-    FOLDERS = 64
+    FOLDERS = 16
 
     @classmethod
     def write(cls, vectors: DataFrame, spark: SparkSession, dim: int, bands: int = 8, bits: int = 8, seed: int = 7, path: str | None = None) -> BandIndex:

@@ -459,8 +459,8 @@ def lsh_recall(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     index = vectors.BandIndex.write(v, spark, 64)
     probes = selection.seeded_sample(v, "vec_id", 100)  # the feature: so many probes
-    told = vectors.recall(index.nearest(probes, 20), vectors.nearest_of_probes(v, probes, 20), ["probe", "vec_id"])
-    return told.crossJoin(F.broadcast(index.share_read(probes)))  # one row each
+    told = vectors.recall(index.nearest(probes, 20, looks=36), vectors.nearest_of_probes(v, probes, 20), ["probe", "vec_id"])
+    return told.crossJoin(F.broadcast(index.share_read(probes, looks=36)))  # one row each
 
 
 @query()

@@ -66,14 +66,18 @@ class Index:
     stems: bool = False
     #: Words of the longest phrase, 0 without phrases.
     longest: int = 0
+    #: Irregular forms and what stands for them, and whether words lose their diacritics.
+    dictmap: dict[str, str] | None = None
+    marks_go: bool = False
 
     @classmethod
-    def write(cls, docs: DataFrame, spark: SparkSession, path: str | None = None, stems: bool = False) -> Index:
+    def write(cls, docs: DataFrame, spark: SparkSession, path: str | None = None, stems: bool = False, dictmap: dict[str, str] | None = None, marks_go: bool = False) -> Index:
         """Index (doc_id, text); a column ``title`` becomes an attribute. Hot words are spread over shards of their bucket.
 
-        With ``stems``, words are stemmed and lose their diacritics, here and in queries."""
+        Words go through a chain, here and in queries: lower case, what ``dictmap`` (a bounded
+        dictionary) has for them, stems (with ``stems``), no diacritics (with ``stems`` or ``marks_go``)."""
         path, n = path or new_folder(spark, "index"), docs.count()
-        index = cls(spark, path, min(max(16, n // BUCKET_DOCS), BUCKETS), n, docs, stems)
+        index = cls(spark, path, min(max(16, n // BUCKET_DOCS), BUCKETS), n, docs, stems, dictmap=dictmap, marks_go=marks_go)
         titled = docs if "title" in docs.columns else docs.withColumn("title", F.lit(None).cast("string"))
         read = titled.select(F.col("doc_id").cast("long").alias("doc_id"), "title", placed_words(F.col("text")).alias("ws"), T.words(F.col("text")).alias("orig"))
         # lowering a text may split a few rare letters; then its lowered words are shown
@@ -83,11 +87,15 @@ class Index:
         # the first sentence with a word is the title
         words = read.select("doc_id", F.size("ws").cast("long").alias("doclen"), F.get("ws", F.lit(0))["sent"].alias("title_sent"), F.posexplode("ws").alias("pos", "w"))
         words = words.select("doc_id", "doclen", "title_sent", "pos", "w.value", "w.sent")
-        if stems:
-            words = words.withColumn("value", T.without_marks(T.stem(F.col("value"))))
+        words = words.withColumn("value", index._normal(F.col("value")))
         index._write_postings(words.withColumn("length", F.lit(1)), "postings", "dfs")
         return index
 
+    def _normal(self, value: Column) -> Column:
+        """The chain behind lower case."""
+        steps = [T.mapped(self.dictmap or {}), *([T.stem] if self.stems else []), *([T.without_marks] if self.stems or self.marks_go else [])]
+        return T.chain(*steps)(value)
+
     @property
     def _shards(self) -> int:
         return max(2, self.n // SHARD_DOCS)
@@ -165,9 +173,9 @@ class Index:
 
     def analyzed(self, words: list[str]) -> list[str]:
         """A query's words, normalized as the documents' were."""
-        if not self.stems or not words:
+        if not words or not (self.stems or self.dictmap or self.marks_go):
             return [w.lower() for w in words]
-        rows = self.spark.createDataFrame(list(enumerate(words)), "k int, w string").select("k", T.without_marks(T.stem(F.lower("w"))).alias("w"))
+        rows = self.spark.createDataFrame(list(enumerate(words)), "k int, w string").select("k", self._normal(F.lower("w")).alias("w"))
         return [r["w"] for r in rows.orderBy("k").collect()]
 
     def covered(self, query: str) -> list[dict]:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import links, phrases, postings, proximity, ranking, selection
 from . import search as plans
-from .catalog import HIGH, HITS, LOW, PHRASES, QRY, STATS, _bm_sql, _hits, _ranks, _terms
-from .index import index_of
+from .catalog import HIGH, HITS, LOW, PHRASES, QRY, STATS, TOK, TOKS, _bm_sql, _hits, _ranks, _terms
+from .index import Index, index_of
 from .registry import query, rounded, table
 
 # Words with the number of their sentence, places as in TOK; the title is the first sentence.
@@ -265,6 +265,20 @@ def two_pass_std(spark, sf_dir):
     return ranking.top(rounded(both.select("doc_id", ranking.mixed(F.col("score"), F.coalesce("s1", F.lit(0.0)), 0.7).alias("score")), "score"), 20)
 
 
+#: Forms that stand for one word in both the index and queries.
+IRREGULAR = {"was": "be", "is": "be", "are": "be", "were": "be", "les": "le", "la": "le", "die": "der", "das": "der"}
+NTOK = TOKS + ", tok AS (SELECT doc_id, source, lang, strip_accents(CASE " + " ".join(f"WHEN value = '{a}' THEN '{b}'" for a, b in IRREGULAR.items()) + " ELSE value END) AS value, pos FROM (SELECT doc_id, source, lang, unnest(l) AS value, generate_subscripts(l, 1) - 1 AS pos FROM toks))"
+
+
+@query(_bm_sql(" SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY 2 DESC, 1 LIMIT 20").replace(TOK, NTOK).replace("q AS (SELECT value, df, n, row_number() OVER (ORDER BY df DESC, value) AS idx FROM dfs, num WHERE df >= 0.05 * n AND df <= 0.3 * n ORDER BY df DESC, value LIMIT 2)", "q AS (SELECT value, df, n, 1 AS idx FROM dfs, num WHERE value IN ('be', 'le', 'der'))"))
+def chain_search(spark, sf_dir):
+    """Any of three words, asked for by other forms of them, over an index whose words went through the whole chain but for stems."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = Index.write(docs, spark, dictmap=IRREGULAR, marks_go=True)
+    terms = index.terms(index.analyzed(["WERE", "La", "Die"]))
+    return ranking.top(rounded(plans.scored(index, terms, ranking.scheme("BM25")).select("doc_id", "score"), "score"), 20)
+
+
 #: BM25 by the older constants, page weights and a constant score, as parts of formulas.
 PARTS = ", m AS (SELECT doc_id, tanh(len(text) / 5000.0) * 10 AS pageweight FROM documents), p AS (SELECT doc_id, score AS _0, coalesce(pageweight, 0) AS _1, 0.1 AS _2 FROM bm JOIN m USING (doc_id))"
 

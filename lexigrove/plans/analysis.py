@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as functions
 from ..functions import text as T
-from ..operators import elements, markup, nlp, phrases, postings, tagger
+from ..operators import elements, markup, nlp, phrases, postings, subjects, tagger
 from ..sources import dumps, sinks
 from ..sources.shared import new_folder, stored
 from .catalog import STATS, TOK, TOKS
@@ -360,6 +360,13 @@ def names_split(spark, sf_dir):
     return nlp.split_names(names.groupBy("doc_id", "name").agg(F.sum("usage").alias("usage")), spark, factor=1.2)
 
 
+@query()
+def name_genders(spark, sf_dir):
+    """Weights of genders of the names of every document, by the pronouns that follow them, and the sure ones."""
+    arrays = nlp.sentence_arrays(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return subjects.genders(subjects.tagged_by_form(arrays)).select("doc_id", "name", "gender", F.round("weight", 9).alias("weight"), "sure")
+
+
 # --- a trained tagger ----------------------------------------------------------------------------
 
 #: Turns as a sequence of words: the powers of two of their lengths.

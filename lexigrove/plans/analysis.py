@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as functions
 from ..functions import text as T
-from ..operators import elements, markup, nlp, phrases, postings, subjects, tagger
+from ..operators import elements, embeddings, markup, nlp, phrases, postings, subjects, tagger
 from ..sources import dumps, sinks
 from ..sources.shared import new_folder, stored
 from .catalog import STATS, TOK, TOKS
@@ -367,6 +367,14 @@ def name_genders(spark, sf_dir):
     return subjects.genders(subjects.tagged_by_form(arrays)).select("doc_id", "name", "gender", F.round("weight", 9).alias("weight"), "sure")
 
 
+@query("WITH c AS (SELECT value, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS value FROM conversations) GROUP BY value) SELECT value AS word, 16 AS size FROM c WHERE n >= CASE WHEN starts_with(value, 'e') THEN 30 ELSE 20 END")
+def skip_gram_words(spark, sf_dir):
+    """The words that skip-gram vectors of conversations are learned for, with their vectors' sizes; words in e need more occurrences."""
+    docs = table(spark, sf_dir, "conversations").select(T.lower_words(F.col("text")).alias("tokens"))
+    found = embeddings.skip_gram(docs, size=16, window=3, negative=5, sample=1e-3, least=20, least_of={"e": 30}, rounds=2)
+    return found.select("word", F.size("vector").alias("size"))
+
+
 # --- a trained tagger ----------------------------------------------------------------------------
 
 #: Turns as a sequence of words: the powers of two of their lengths.

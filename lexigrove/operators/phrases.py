@@ -154,3 +154,58 @@ def sentence_weight(classes: list[str], weights: dict[str, float] | None = None)
     """Mean weight of token classes: verbs and entities 1, nouns 0.9, others 0.8."""
     weights = weights or {"V": 1.0, "E": 1.0, "N": 0.9}
     return sum(weights.get(c, 0.8) for c in classes) / len(classes) if classes else 0.0
+
+
+# What separates sentences of a query, weights of classes, of a sentence, and the similarity from which on terms are one group.
+SENTENCE_SEPARATORS, CLASS_WEIGHTS, SENTENCE_WEIGHT, GROUP_SIMILARITY = '";\n', {"V": 1.0, "E": 1.0, "N": 0.9, "*": 0.8}, 0.5, 0.6
+
+
+def best_reading(query: str, classes: dict[str, str], weights: dict[str, float] | None = None, longest: int = 6) -> list[dict]:
+    """The best reading of each sentence of a query: [{terms: [(term, class)], weight}].
+
+    A sentence is any sequence of terms. A term is a run of words that the dictionary knows, words
+    joined by ``_`` where white space and by ``-`` where other signs stand between them, of its
+    classes (a string of letters) the one of most weight; any single word is one of class ``*``. A
+    reading weighs half of the mean weight of its words, each by its term's class; of equal
+    ones the one of fewer terms counts, then the one whose first terms are longer."""
+    import re
+
+    weights = weights or CLASS_WEIGHTS
+    out = []
+    for sentence in re.split(f"[{SENTENCE_SEPARATORS}]", query.lower()):
+        found = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\W_]+", sentence)]
+        if not found:
+            continue
+        n = len(found)
+        glue = ["_" if re.fullmatch(r"[\s_\u00a0\u2000-\u200b\u3000]*", sentence[a[2] : b[1]]) else "-" for a, b in zip(found, found[1:])]
+        # best[i]: weight of the words from i on, terms taken, and the reading
+        best: list[tuple] = [(0.0, 0, ())] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            options, term = [], ""
+            for j in range(i, min(n, i + longest)):
+                term = found[j][0] if j == i else term + glue[j - 1] + found[j][0]
+                kinds = [c for c in classes.get(term, "") if c in weights] + (["*"] if j == i else [])
+                if kinds:
+                    kind = max(kinds, key=lambda c: weights[c])
+                    rest = best[j + 1]
+                    options.append((rest[0] + weights[kind] * (j + 1 - i), rest[1] + 1, ((term, kind), *rest[2]), j - i))
+            # longer first terms win among equals
+            w, k, terms, _ = max(options, key=lambda o: (round(o[0], 9), -o[1], o[3]))
+            best[i] = (w, k, terms)
+        out.append({"terms": list(best[0][2]), "weight": SENTENCE_WEIGHT * best[0][0] / n})
+    return out
+
+
+def grouped_terms(terms: list[str], vectors: dict[str, list[float]], least: float = GROUP_SIMILARITY) -> list[list[str]]:
+    """Terms of a query in groups, each with all that are as similar as that to one of it; terms without vectors stand alone."""
+    import math
+
+    def cosine(a: str, b: str) -> float:
+        x, y = vectors.get(a), vectors.get(b)
+        return sum(p * q for p, q in zip(x, y, strict=True)) / (math.hypot(*x) * math.hypot(*y) or 1.0) if x and y else 0.0
+
+    groups: list[list[str]] = []
+    for t in terms:
+        near = [g for g in groups if any(cosine(t, o) >= least for o in g)]
+        groups = [g for g in groups if g not in near] + [[o for g in near for o in g] + [t]]
+    return groups

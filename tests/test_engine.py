@@ -373,6 +373,31 @@ def test_vector_files_in_blocks(spark, tmp_path):
             spark.conf.set(key, v)
 
 
+def test_best_readings():
+    import itertools
+    import random
+
+    known = {"new_york": "E", "york": "N", "new_york_times": "E", "times": "N", "runs": "VN", "wi-fi": "N", "the_city": "NE"}
+    read = lambda q: [(r["terms"], round(r["weight"], 6)) for r in phrases.best_reading(q, known)]
+    assert read("New York runs") == [([("new_york", "E"), ("runs", "V")], 0.5)]
+    assert read("new york times; wi-fi here") == [([("new_york_times", "E")], 0.5), ([("wi-fi", "N"), ("here", "*")], round(0.5 * (0.9 * 2 + 0.8) / 3, 6))]
+    assert read("new, york") == [([("new", "*"), ("york", "N")], round(0.5 * 1.7 / 2, 6))] and read(' ;"\n') == []
+    rng = random.Random(4)
+    for _ in range(300):
+        words = [rng.choice(["new", "york", "times", "runs", "the", "city", "x"]) for _ in range(rng.randint(1, 6))]
+        scores = []
+        for cuts in itertools.product((0, 1), repeat=len(words) - 1):
+            terms, at = [], 0
+            for k in [*(i + 1 for i, c in enumerate(cuts) if c), len(words)]:
+                terms.append("_".join(words[at:k]))
+                at = k
+            if all(t in known or "_" not in t for t in terms):
+                scores.append(sum(max(phrases.CLASS_WEIGHTS[c] for c in known.get(t, "") + ("*" if "_" not in t else "")) * (t.count("_") + 1) for t in terms))
+        assert phrases.best_reading(" ".join(words), known)[0]["weight"] == pytest.approx(0.5 * max(scores) / len(words))
+    vs = {"a": [1.0, 0.0], "b": [1.0, 1.0], "c": [0.0, 1.0], "d": [-1.0, 0.0]}
+    assert phrases.grouped_terms(["a", "d", "c", "x", "b"], vs) == [["d"], ["x"], ["a", "c", "b"]]
+
+
 def test_value_classes(spark):
     rows = spark.createDataFrame([("d", v) for v in ("12-MAR-99 10:30", "3-JAN-2001 1:2", "12 mar", "one two three four", "7", "", "a b")], "path string, value string")
     own = [dumps.Element("title", priority=1, most=2), dumps.Element("text"), dumps.Element("date", dumps.DATE_TIME, 2, 1, 1, T.content), dumps.Element("pair", priority=1, least=2, most=2)]

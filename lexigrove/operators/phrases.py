@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import stored
 
 
 #: Share of a dictionary's phrases from which on a word is a stop word there.
@@ -41,8 +42,10 @@ def matched(docs: DataFrame, phrases: DataFrame, tokens: str = "toks", stop: flo
 
     Words meet the phrases that have them as keys, with as many words on each side as some phrase
     needs (two numbers, fetched first), and the phrase's words are compared there. So only
-    words that are keys leave their document, and stop words only for phrases of nothing else."""
-    known = keyed(phrases, stop)
+    words that are keys leave their document, and stop words only for phrases of nothing else.
+    The dictionary is written to the shared folder first, for it is read several times."""
+    spark = phrases.sparkSession
+    known = stored(keyed(stored(phrases.select("phrase", "words", "n", "id"), spark, "phrases"), stop), spark, "keys")
     reach = known.agg(F.max("at").alias("before"), F.max(F.col("n") - F.col("at") - 1).alias("after")).first()
     before, after, arr = reach["before"] or 0, reach["after"] or 0, F.col(tokens)
     placed = F.transform(arr, lambda w, i: F.struct(i.alias("place"), w.alias("key"), F.slice(arr, F.greatest(i - before, F.lit(0)) + 1, F.lit(before + 1 + after)).alias("around")))

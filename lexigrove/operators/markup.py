@@ -10,6 +10,7 @@ is said in columns.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -346,6 +347,12 @@ def build(page: str | None) -> Builder:
     return b.finish()
 
 
+def dealt(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, text) dealt over tasks: a small file with many rows is one split of the reader, and lexing takes far longer than reading."""
+    tasks = 4 * pages.sparkSession.sparkContext.defaultParallelism
+    return pages.select("doc_id", "text").repartition(max(32, tasks), "doc_id")
+
+
 PARSED = "doc_id long, items array<struct<type: string, id: string, text: string, depth: int, section: int>>, cells array<struct<table_id: string, kind: string, row: int, col: int, rowspan: int, colspan: int, text: string>>, errors array<string>"
 
 
@@ -357,12 +364,16 @@ def parsed(pages: DataFrame) -> DataFrame:
 
         item = pa.struct([("type", pa.string()), ("id", pa.string()), ("text", pa.string()), ("depth", pa.int32()), ("section", pa.int32())])
         cell = pa.struct([("table_id", pa.string()), ("kind", pa.string()), *((n, pa.int32()) for n in ("row", "col", "rowspan", "colspan")), ("text", pa.string())])
+        def rows(xs, t):
+            flat = list(zip(*(x for one in xs for x in one), strict=True)) or [[]] * t.num_fields
+            held = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, t, strict=True)], fields=list(t))
+            return pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, xs))], pa.int32()), held)
+
         for b in batches:
             built = [build(t) for t in b.column("text").to_pylist()]
-            rows = lambda xs, t: pa.array([[dict(zip(t.names if hasattr(t, "names") else [f.name for f in t], x, strict=True)) for x in one] for one in xs], pa.list_(t))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), rows([x.items for x in built], item), rows([x.cells for x in built], cell), pa.array([x.errors for x in built], pa.list_(pa.string()))], ["doc_id", "items", "cells", "errors"])
 
-    return pages.select("doc_id", "text").mapInArrow(run, PARSED)
+    return dealt(pages).mapInArrow(run, PARSED)
 
 
 LEXEMES = "doc_id long, seq int, kind string, idx int, value string, attrs map<string, string>"
@@ -381,7 +392,7 @@ def lexemes(pages: DataFrame) -> DataFrame:
             cols = [[list(x.items()) for x in c] if k == 5 else c for k, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "seq", "kind", "idx", "value", "attrs"])
 
-    return pages.select("doc_id", "text").mapInArrow(run, LEXEMES)
+    return dealt(pages).mapInArrow(run, LEXEMES)
 
 
 def items(done: DataFrame) -> DataFrame:
@@ -414,11 +425,15 @@ def head_pairs(grid: DataFrame) -> DataFrame:
 
 def linked_tables(done: DataFrame) -> DataFrame:
     """Links to tables, citations and references with what they link to."""
-    it = items(done)
     kinds = F.create_map(*map(F.lit, ("tablink", "table", "citlink", "citation", "reflink", "ref")))
-    links = it.filter(F.col("type").isin("tablink", "citlink", "reflink")).select("doc_id", F.col("id").alias("ident"), F.element_at(kinds, F.col("type")).alias("kind"), F.col("seq").alias("link_seq"))
-    ends = it.select("doc_id", F.col("id").alias("ident"), F.col("type").alias("kind"), F.col("seq").alias("item_seq"), "text")
-    return links.join(ends, ["doc_id", "ident", "kind"])
+    of_link, is_end = F.element_at(kinds, F.col("type")), F.col("type").isin("table", "citation", "ref")
+    # one pass over the pages, both sides met by a shuffle: their size can't be told from that of the pages
+    it = items(done).withColumn("kind", F.when(is_end, F.col("type")).otherwise(of_link)).filter("kind is not null")
+    by_key = it.groupBy("doc_id", F.col("id").alias("ident"), "kind").agg(
+        F.collect_list(F.when(~is_end, F.col("seq"))).alias("links"), F.collect_list(F.when(is_end, F.struct(F.col("seq").alias("item_seq"), "text"))).alias("ends")
+    )
+    links = by_key.select("doc_id", "ident", "kind", F.explode("links").alias("link_seq"), "ends")
+    return links.select("doc_id", "ident", "kind", "link_seq", F.explode("ends").alias("e")).select("doc_id", "ident", "kind", "link_seq", "e.*")
 
 
 def balance(marks: DataFrame) -> DataFrame:

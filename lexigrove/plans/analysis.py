@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import registry as functions
@@ -538,9 +537,8 @@ def markup_items(spark, sf_dir):
 @query("SELECT p_partkey AS doc_id, p_type || ' said \"' || p_name || '\" & \"' || p_brand || '\" - so.' AS text FROM part")
 def markup_text(spark, sf_dir):
     """The first text of each page: formats gone, entities decoded, typographic signs folded, quoted strings kept."""
-    first = markup.items(markup.parsed(_pages(spark, sf_dir))).filter("type = 'text'")
-    w = W.partitionBy("doc_id").orderBy("seq")
-    return first.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("doc_id", F.trim("text").alias("text"))
+    first = F.get(F.filter("items", lambda i: i["type"] == "text"), F.lit(0))
+    return markup.parsed(_pages(spark, sf_dir)).select("doc_id", first.alias("i")).filter("i is not null").select("doc_id", F.trim("i.text").alias("text"))
 
 
 @query("WITH p AS (SELECT p_partkey AS doc_id, p_name, p_type, p_size FROM part), l AS (SELECT unnest(['heading', 'quotes', 'string', 'list', 'link', 'weblink', 'nowiki', 'math', 'quotemark', 'timestamp', 'break']) AS kind, unnest([1, 2, 1, 2, 3, 2, 1, 1, 1, 1, 1]) AS each) SELECT kind, each * (SELECT count(*) FROM p) AS n FROM l")

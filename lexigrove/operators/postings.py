@@ -45,8 +45,9 @@ def positions(toks: DataFrame, where: Column) -> DataFrame:
 
 def succeeding(items: DataFrame, is_marker: Column) -> DataFrame:
     """Markers with the position of the next item that is none (position = succ)."""
-    w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(1, W.unboundedFollowing)
-    at = F.first(F.when(~is_marker, F.col("pos")), ignorenulls=True).over(w)
+    # backwards, for frames that end at the last row are summed up anew for each row
+    w = W.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
+    at = F.last(F.when(~is_marker, F.col("pos")), ignorenulls=True).over(w)
     return items.withColumn("at", at).filter(is_marker)
 
 
@@ -118,7 +119,8 @@ def dominant(weights: DataFrame, key: str, label: str, weight: str, factor: floa
 
 def fields_paired(headings: DataFrame, levels: int = 6) -> DataFrame:
     """Sections from headings (doc_id, pos, level): each ends where the next of its level or above begins."""
-    w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(1, W.unboundedFollowing)
+    # backwards, for frames that end at the last row are summed up anew for each row
+    w = W.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1)
     nexts = {f"_n{k}": F.min(F.when(F.col("level") <= k, F.col("pos"))).over(w) for k in range(1, levels + 1)}
     end = F.lit(None).cast("long")
     for k in range(levels, 0, -1):

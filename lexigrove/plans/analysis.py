@@ -10,7 +10,7 @@ from ..operators import elements, embeddings, markup, nlp, phrases, postings, su
 from ..sources import dumps, sinks
 from ..sources.shared import new_folder, stored
 from .catalog import STATS, TOK, TOKS
-from .registry import query, rounded, table
+from .registry import query, rounded, rounded_double, table
 
 
 def _part(spark, sf_dir):
@@ -291,7 +291,7 @@ def vector_files(spark, sf_dir):
     path = new_folder(spark, "vectors")
     rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("name"), "embedding")
     dumps.write_word_vectors(rows, path, 64)
-    return dumps.word_vectors(spark, path).select("name", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    return dumps.word_vectors(spark, path).select("name", F.transform("embedding", lambda x: rounded_double(x.cast("double"), 6)).alias("embedding"))
 
 
 # --- phrases and queries -----------------------------------------------------------------------

@@ -2,7 +2,10 @@
 
 import time
 
-from lexigrove.operators import markup, postings
+import duckdb
+
+from lexigrove.operators import markup, postings, vectors
+from lexigrove.plans.registry import rounded
 
 
 def plan_of(df) -> str:
@@ -37,3 +40,20 @@ def test_sections_of_one_long_document(spark):
     assert time.perf_counter() - began < 30
     # level 1 ends at the next level 1, all others at the first of their level or above
     assert len(got) == 40_000 and got[0] == 4 and got[1] == 4 and got[2] == 4 and got[3] == 4 and got[39_996] is None and got[39_999] is None
+
+
+def test_rounded_zeros_keep_their_sign(spark):
+    rows = spark.createDataFrame([(-3e-7, 1), (3e-7, 1), (-0.0, 1), (-1.5e-6, 1), (None, 1)], "x double, k int")
+    got = [r["x"] for r in rounded(rows, "x").collect()]
+    con = duckdb.connect()
+    want = [con.execute("select round(?::double, 6)", [x]).fetchall()[0][0] for x in (-3e-7, 3e-7, -0.0, -1.5e-6, None)]
+    assert list(map(repr, got)) == list(map(repr, want)) and dict(rounded(rows, "k").dtypes)["k"] == "int"
+
+
+def test_word_vectors_are_learned_by_many_tasks(spark):
+    rows = spark.createDataFrame([([f"w{(k * 7 + i) % 20}" for i in range(12)],) for k in range(200)], "tokens array<string>").coalesce(1)
+    ran = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("w2v", "")
+    model = vectors.word_vectors(rows, size=4, window=2, least=2)
+    stages = [ran.getStageInfo(s) for j in ran.getJobIdsForGroup("w2v") for s in ran.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= spark.sparkContext.defaultParallelism and model.getVectors().count() == 20

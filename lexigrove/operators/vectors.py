@@ -201,11 +201,14 @@ def recall(found: DataFrame, exact: DataFrame, key: list[str] | str = "vec_id")
     return hit.agg((F.sum(F.coalesce("_hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
-def word_vectors(sentences: DataFrame, size: int = 256, window: int = 8, least: int = 5, column: str = "tokens", seed: int = 1):
-    """A skip-gram model of token arrays; per-type minima are a filter before."""
+def word_vectors(sentences: DataFrame, size: int = 256, window: int = 8, least: int = 5, column: str = "tokens", seed: int = 1, tasks: int | None = None):
+    """A skip-gram model of token arrays; per-type minima are a filter before.
+
+    So many tasks learn apart, by default one on each core, and what they learned is summed; with one, all text would go through it."""
     from pyspark.ml.feature import Word2Vec
 
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, inputCol=column, outputCol="vector", seed=seed).fit(sentences)
+    tasks = tasks or sentences.sparkSession.sparkContext.defaultParallelism
+    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, inputCol=column, outputCol="vector", seed=seed, numPartitions=tasks).fit(sentences)
 
 
 def concepts(vectors: DataFrame, k: int, slack: float = 1.2, seed: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ import time
 import duckdb
 
 from lexigrove.operators import markup, postings, vectors
+from lexigrove.plans.index import Index
 from lexigrove.plans.registry import rounded
 
 
@@ -57,3 +58,25 @@ def test_word_vectors_are_learned_by_many_tasks(spark):
     model = vectors.word_vectors(rows, size=4, window=2, least=2)
     stages = [ran.getStageInfo(s) for j in ran.getJobIdsForGroup("w2v") for s in ran.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) >= spark.sparkContext.defaultParallelism and model.getVectors().count() == 20
+
+
+def test_index_shuffles_lists_not_places(spark, tmp_path):
+    """One row for each word of a document reaches the shuffle, however often the word stands there."""
+    docs = spark.createDataFrame([(k, "one two. " * 500 + f"w{k}") for k in range(40)] + [(100, ""), (101, None), (102, "...")], "doc_id long, text string")
+    began = shuffled_rows(spark)
+    index = Index.write(docs, spark, str(tmp_path / "i"))
+    # texts twice, lists once, and the partial counts of words
+    assert shuffled_rows(spark) - began < 1000
+    got = {(r["doc_id"], r["value"]): r for r in index.postings().collect()}
+    assert len(got) == 120 and got[7, "w7"]["tf"] == 1 and got[7, "w7"]["hits"] == [(1000, 500)]
+    assert got[7, "two"]["tf"] == 500 and got[7, "two"]["hits"] == [(2 * k + 1, k) for k in range(500)] and got[7, "two"]["doclen"] == 1001
+    assert {r["value"]: (r["df"], r["tf"]) for r in index.dfs(["one", "w3"]).collect()} == {"one": (40, 20_000), "w3": (1, 1)}
+    merged = Index.write(docs, spark, str(tmp_path / "m"), dictmap={"one": "two"})
+    assert merged.postings(["two"]).filter("doc_id = 7").first()["hits"] == [(k, k // 2) for k in range(1000)]
+
+
+def shuffled_rows(spark) -> int:
+    """Rows that all stages of the session have shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))

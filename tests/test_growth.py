@@ -4,7 +4,7 @@ import time
 
 import duckdb
 
-from lexigrove.operators import markup, postings, vectors
+from lexigrove.operators import markup, phrases, postings, vectors
 from lexigrove.plans.index import Index
 from lexigrove.plans.registry import rounded
 
@@ -80,3 +80,18 @@ def shuffled_rows(spark) -> int:
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
     return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_phrases_that_share_words_meet_no_other_places(spark):
+    """4,000 phrases that share their words: joined by a word, each place would meet hundreds of them."""
+    names = spark.range(4000).selectExpr("concat('a', id % 20, ' b', int(id / 20) % 20, ' c', int(id / 400)) as name")
+    known = phrases.dictionary(names)
+    docs = spark.range(400).selectExpr("id as doc_id", "split(concat('a', id % 20, ' b', int(id / 20), ' c3 x b1 c1'), ' ') as toks")
+    began = time.perf_counter()
+    got = [(r["doc_id"], r["pos"], r["n"], r["phrase"]) for r in phrases.matched(docs, known).collect()]
+    assert sorted(got) == [(d, 0, 3, f"a{d % 20}_b{d // 20}_c3") for d in range(400)] and time.perf_counter() - began < 30
+    # only what the filter lets pass reaches the join
+    plan = phrases.matched(docs, known)
+    plan.collect()
+    tree = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in tree and "around" not in tree

@@ -6,8 +6,8 @@ neighbour is set against ``negative`` words drawn by the 0.75th power of their c
 returns, for blocks of words, its vectors times the pairs it saw of each word; their sums over all
 tasks, divided by the pairs, are the next model. Words that no task saw stay.
 
-The model is bounded: at most ``WORDS`` words, the most frequent ones (two vectors of ``size``
-floats each). Draws depend on the seed, the round and the partition, so a task that is run
+The model holds every word that stands often enough, two vectors of ``size`` floats each; it goes
+through the driver and to each task, so it must fit there (``most`` bounds it, if it is given). Draws depend on the seed, the round and the partition, so a task that is run
 again gives the same.
 """
 
@@ -16,17 +16,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a model, at most; words of a block of it; pairs of a step.
-WORDS, BLOCK, STEP = 50_000, 1024, 256
+#: Words of a block of the model; pairs of a step.
+BLOCK, STEP = 1024, 256
 
 
-def vocabulary(docs: DataFrame, column: str, least: int = 5, least_of: dict[str, int] | None = None, most: int = WORDS) -> list[tuple[str, int]]:
+def vocabulary(docs: DataFrame, column: str, least: int = 5, least_of: dict[str, int] | None = None, most: int | None = None) -> list[tuple[str, int]]:
     """(word, count) by falling count: words that stand ``least`` times, those with a prefix of ``least_of`` as often as it says."""
     need = F.lit(least)
     for prefix, n in (least_of or {}).items():
         need = F.when(F.col("word").startswith(prefix), n).otherwise(need)
     counts = docs.select(F.explode(column).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= need)
-    return [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    ordered = counts.orderBy(F.desc("n"), "word")
+    return [(r["word"], r["n"]) for r in (ordered if most is None else ordered.limit(most)).collect()]
 
 
 def pairs(rows: list[list[int]], window: int, rng):
@@ -106,7 +107,7 @@ def _added(table):
     return pa.table({"kind": table.column("kind")[:1].cast(pa.int32()), "first": table.column("first")[:1].cast(pa.int32()), "seen": pa.array([seen.tobytes()], pa.binary()), "sums": pa.array([sums.tobytes()], pa.binary())})
 
 
-def skip_gram(docs: DataFrame, size: int = 256, window: int = 8, negative: int = 16, sample: float = 1e-5, least: int = 5, least_of: dict[str, int] | None = None, rounds: int = 5, rate: float = 0.025, seed: int = 1, column: str = "tokens", most: int = WORDS) -> DataFrame:
+def skip_gram(docs: DataFrame, size: int = 256, window: int = 8, negative: int = 16, sample: float = 1e-5, least: int = 5, least_of: dict[str, int] | None = None, rounds: int = 5, rate: float = 0.025, seed: int = 1, column: str = "tokens", most: int | None = None) -> DataFrame:
     """(word, vector) learned from arrays of words."""
     import numpy as np
 

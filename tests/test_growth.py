@@ -4,7 +4,7 @@ import time
 
 import duckdb
 
-from lexigrove.operators import markup, phrases, postings, vectors
+from lexigrove.operators import embeddings, markup, phrases, postings, vectors
 from lexigrove.plans.index import Index
 from lexigrove.plans.registry import rounded
 
@@ -95,3 +95,9 @@ def test_phrases_that_share_words_meet_no_other_places(spark):
     plan.collect()
     tree = plan._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in tree and "around" not in tree
+
+
+def test_skip_gram_keeps_every_word(spark):
+    docs = spark.range(30_500).selectExpr("array(concat('w', id), concat('v', id), concat('w', id), concat('v', id)) as tokens")
+    found = embeddings.skip_gram(docs, size=2, window=1, negative=1, sample=1.0, least=2, rounds=1)
+    assert found.count() == 61_000 and len(embeddings.vocabulary(docs, "tokens", 2, most=10)) == 10

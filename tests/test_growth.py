@@ -101,3 +101,55 @@ def test_skip_gram_keeps_every_word(spark):
     docs = spark.range(30_500).selectExpr("array(concat('w', id), concat('v', id), concat('w', id), concat('v', id)) as tokens")
     found = embeddings.skip_gram(docs, size=2, window=1, negative=1, sample=1.0, least=2, rounds=1)
     assert found.count() == 61_000 and len(embeddings.vocabulary(docs, "tokens", 2, most=10)) == 10
+
+
+def test_chain_of_normalizers_shuffles_words_once(spark, tmp_path):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i} W{k}X{i}" for i in range(100))) for k in range(20)], "doc_id long, text string")
+    began = shuffled_rows(spark)
+    Index.write(docs, spark, str(tmp_path / "i"))
+    plain, began = shuffled_rows(spark) - began, shuffled_rows(spark)
+    Index.write(docs, spark, str(tmp_path / "c"), dictmap={"w0x0": "w0x1"}, marks_go=True)
+    assert shuffled_rows(spark) - began <= plain
+
+
+def test_words_that_became_equal_meet_across_batches(spark):
+    from lexigrove.plans import index as I
+
+    rows = [(k // 3, 7, 10, 0, f"v{k % 2}", [k], [k]) for k in range(12)]
+    cut = list(I._merged(iter(spark.createDataFrame(rows, I._WORDS).coalesce(1).toArrow().to_batches(max_chunksize=2))))
+    got = {(r["nth"], r["value"]): r["at"] for b in cut for r in b.to_pylist()}
+    assert got == {(n, f"v{p}"): [k for k in range(3 * n, 3 * n + 3) if k % 2 == p] for n in range(4) for p in range(2)} and sum(b.num_rows for b in cut) == 8
+
+
+def test_odd_texts_are_cut_as_by_expressions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lexigrove.functions import text as T
+    from lexigrove.plans.index import SENTENCE_END
+
+    texts = ["", None, "...", "a. .b", "A,.\tB!?C\n\nd", "İI ΑΣ ΑΣ'Α b.", "x y z\u0085w　v", "½ ① 一二 \U0001d7d8 \U00020000", "éte _under_score_", ".a", "a" * 5000 + ". b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = Index.write(docs, spark, str(tmp_path / "i"))
+    sentences = F.split(F.lower(F.coalesce("text", F.lit(""))), SENTENCE_END)
+    placed = F.flatten(F.transform(sentences, lambda s, i: F.transform(T.words(s), lambda w: F.struct(w.alias("value"), i.alias("sent")))))
+    want, got = {}, {}
+    for r in docs.select("doc_id", placed.alias("ws"), T.words(F.col("text")).alias("orig")).collect():
+        for pos, w in enumerate(r["ws"]):
+            want.setdefault((r["doc_id"], w["value"]), []).append((pos, w["sent"]))
+        shown = r["orig"] if len(r["orig"]) == len(r["ws"]) else [w["value"] for w in r["ws"]]
+        want[r["doc_id"]] = (shown, [w["sent"] for w in r["ws"]], len(r["ws"]))
+    got = {(r["doc_id"], r["value"]): [tuple(h) for h in r["hits"]] for r in index.postings().collect()}
+    got |= {r["doc_id"]: (r["words"], r["sents"], r["doclen"]) for r in index.texts().collect()}
+    assert got == want
+
+
+def test_words_are_not_handled_one_by_one_in_expressions(spark, tmp_path):
+    """Functions over single words in array expressions are interpreted; the index and the matching of phrases have kernels instead."""
+    known = phrases.dictionary(spark.createDataFrame([("b c",), ("c d e",)], "name string"))
+    docs = spark.createDataFrame([(1, "a b c d e".split()), (2, "c d b c".split()), (3, [])], "doc_id long, toks array<string>").selectExpr("*", "array(0, 10, 20, 30, 40) as own")
+    done = phrases.matched(docs, known, at=["own"])
+    assert "lambdafunction" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in done.collect()) == [(1, 1, 2, "b_c", "b c", 10), (1, 2, 3, "c_d_e", "c d e", 20), (2, 2, 2, "b_c", "b c", 20)]
+    index = Index.write(spark.createDataFrame([(k, f"n{k} m{k}. end") for k in range(50)], "doc_id long, text string"), spark, str(tmp_path / "i"))
+    index.write_features(spark.createDataFrame([("n3 m3", "k", "v")], "name string, kind string, value string"))
+    assert [(r["doc_id"], r["pos"], r["value"]) for r in index.features().collect()] == [(3, 0, "v")]
